@@ -8,13 +8,20 @@ whole corpus without a table of names being kept or shuffled. Whether a symbol
 forms depends on a few words around it only (its context), so two equal
 substrings have the same symbols wherever the context lies inside.
 
-Every window of WINDOW words therefore has a core that its words alone decide:
-of the symbols whose context it holds, the one whose name, taken with the context's words, is largest (a word itself, if no
-symbol fits). Spark then works in rounds: (1) cores are
-shuffled by name, and those that occur in one document only are dropped, with
-all their windows, which are most; (2) the windows of shared cores are verified
-by 128-bit fingerprints of all their words, and the smallest document of each is
-its owner; (3) the words of windows owned by a smaller document are removed.
+Spark then works in rounds, from long symbols to short ones. (1) The symbols of
+the last level are joined up to each one whose name ends in zero bits; two such
+long symbols in a row are shuffled by the fingerprint of their words, and where
+a smaller document has them too, all windows inside are settled. That is most of
+what copies and near copies repeat. (2) Every other window of WINDOW words has a
+core that its words alone decide: of the symbols whose context it holds, the one
+whose name, taken with the context's words, is largest (a word itself, if no
+symbol fits). Cores are shuffled by name, and those in one document only are
+dropped with their windows. (3) The windows of shared cores are verified by
+128-bit fingerprints of all their words, and the smallest document of each is
+its owner. (4) The words of windows that a smaller document owns are removed.
+
+A settled window need not be matched again by others: the smaller document that
+settled it holds it as well, and matches them instead.
 """
 
 from __future__ import annotations
@@ -31,21 +38,25 @@ from ._spark import Written, durable, release_shuffles
 from .language_id import row_runs
 
 WINDOW, ROUNDS = 13, 2
+#: Of this many symbols one, on average, begins a long symbol.
+LONG_SYMBOLS = 10
 _RUN, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
-def _recompress(sym: np.ndarray, row: np.ndarray, rounds: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """After each round the symbols it made: (name, first word, end word, context's first word, context's end).
+def _recompress(sym: np.ndarray, row: np.ndarray, rounds: int) -> tuple[list[tuple[np.ndarray, ...]], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The symbols that each round made, and the last level.
 
-    A context that would need to know what lies beyond a row's edge is given as
+    Made symbols are (name, context's first word, context's end), the last level
+    is (name, row, first word). A context that would need to know what lies beyond a row's edge is given as
     reaching over it by more words than a row can have.
     """
-    beg, end = np.arange(len(sym)), np.arange(1, len(sym) + 1)
-    lo, hi = beg.copy(), end.copy()
+    beg = np.arange(len(sym))
+    lo, hi = beg.copy(), beg + 1
     far = 1 << 40
+    sets = []
     for r in range(rounds):
         if len(sym) < 2:
-            return
+            break
         made = np.zeros(len(sym), bool)
         joined = row[1:] == row[:-1]
         # a symbol's part in a run depends on both neighbours
@@ -55,7 +66,7 @@ def _recompress(sym: np.ndarray, row: np.ndarray, rounds: int) -> Iterator[tuple
         last = np.r_[first[1:], len(sym)] - 1
         size = last - first + 1
         run = size > 1
-        beg, end = beg[first], end[last]
+        beg = beg[first]
         lo, hi = np.minimum(lo[first], left[first]), np.maximum(hi[last], right[last])
         sym, row = np.where(run, _text.mix(sym[first] * _RUN + size.astype(np.uint64)), sym[first]), row[first]
         made = run
@@ -73,27 +84,49 @@ def _recompress(sym: np.ndarray, row: np.ndarray, rounds: int) -> Iterator[tuple
         new_hi[at] = np.maximum(hi[at], hi[at + 1])
         name = sym.copy()
         name[at] = _text.mix(sym[at] * _PAIR + _text.mix(sym[at + 1] + _RUN))
-        end = end.copy()
-        end[at] = end[at + 1]
         made = made | pair
         keep = ~second
-        sym, row, beg, end, lo, hi, made = name[keep], row[keep], beg[keep], end[keep], new_lo[keep], new_hi[keep], made[keep]
-        yield sym[made], beg[made], end[made], lo[made], hi[made]
+        sym, row, beg, lo, hi, made = name[keep], row[keep], beg[keep], new_lo[keep], new_hi[keep], made[keep]
+        sets.append((sym[made], lo[made], hi[made]))
+    return sets, (sym, row, beg)
+
+
+def long_pairs(words: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, end word) of each two long symbols in a row, or of a row's only one; shorter than a window: left out."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    _, (name, row, beg) = _recompress(words, row, rounds)
+    if not len(name):
+        return beg, beg, beg
+    cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]] | (name % LONG_SYMBOLS == 0))
+    row, beg = row[cut], beg[cut]
+    end = np.minimum(np.r_[beg[1:], len(words)], first[row + 1])
+    has_next = np.r_[row[1:] == row[:-1], False]
+    has_last = np.r_[False, row[1:] == row[:-1]]
+    take = np.flatnonzero(has_next | ~has_last)  # the last of several is the second of a pair already
+    end = np.where(has_next, np.r_[end[1:], 0], end)[take]
+    row, beg = row[take], beg[take]
+    enough = end - beg >= window
+    return row[enough], beg[enough], end[enough]
 
 
-def cores_of(words: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(name, row, first window, number of windows) of each core; windows are numbered by their first word in the row."""
+def cores_of(words: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS, settled: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name, row, first window, number of windows) of each core; windows are numbered by their first word in the row.
+
+    Windows that begin at a word where settled is true have none.
+    """
     count = np.diff(first)
     row = np.repeat(np.arange(len(count)), count)
     ends = np.repeat(first[1:], count)
     place = np.arange(len(words))
     is_window = place + window <= ends
+    if settled is not None:
+        is_window &= ~settled
     best = np.full(len(words), -1, np.int64)
-    sets = [s for s in _recompress(words, row, rounds)]
+    sets, _ = _recompress(words, row, rounds)
     if sets:
-        name, beg, end, lo, hi = (np.concatenate(c) for c in zip(*sets, strict=True))
+        name, lo, hi = (np.concatenate(c) for c in zip(*sets, strict=True))
         fits = (hi - lo <= window) & (lo >= 0)
-        name, beg, end, lo, hi = name[fits], beg[fits], end[fits], lo[fits], hi[fits]
+        name, lo, hi = name[fits], lo[fits], hi[fits]
         name = _text.mix(name + _text.range_hash(words, lo, hi))  # all windows that hold the symbol's context hold these words
         order = np.argsort(name, kind="stable")
         name, lo, hi = name[order], lo[order], hi[order]
@@ -129,17 +162,51 @@ def _long(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64))
 
 
+def _pack(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Two numbers of up to 31 bits in one."""
+    return start.astype(np.int64) << 32 | n.astype(np.int64)
+
+
+def _unpacked(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, second) of all numbers in a column of lists of packed ones; null is empty."""
+    size = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    packed = part.flatten().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(size)), size), packed >> 32, packed & 0x7FFFFFFF
+
+
+def _spread(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, start + 0, 1, ... n - 1) of each."""
+    return np.repeat(row, n), np.repeat(start, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _find_long(window: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            uid, doc = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            for lo, hi, buf, offsets in _text.pieces(b, "text"):
+                words, first = _text.word_hashes(buf, offsets)
+                row, beg, end = long_pairs(words, first, window)
+                h1, h2 = (_text.range_hash(words, beg, end, k) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([_long(h1), _long(h2), _long(doc[lo:hi][row]), _long(uid[lo:hi][row]), _long(_pack(beg - first[row], end - beg))], names=["h1", "h2", "doc", "uid", "at"])
+
+    return run
+
+
 def _find_cores(window: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             uid = b.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, buf, offsets in _text.pieces(b, "text"):
                 words, first = _text.word_hashes(buf, offsets)
-                name, row, start, n = cores_of(words, first, window)
+                of, start, n = _unpacked(b.column(2).slice(lo, hi - lo))
+                _, inside = _spread(of, start + first[of], n - window + 1)
+                settled = np.zeros(len(words), bool)
+                settled[inside] = True
+                name, row, start, n = cores_of(words, first, window, settled=settled)
                 if len(name):
                     once = np.zeros(len(name), bool)
                     once[np.unique(_text.mix(name) + row.astype(np.uint64), return_index=True)[1]] = True
-                    yield pa.RecordBatch.from_arrays([_long(name), _long(uid[lo:hi][row]), _long(start << 24 | n), pa.array(once)], names=["core", "uid", "at", "first"])
+                    yield pa.RecordBatch.from_arrays([_long(name), _long(uid[lo:hi][row]), _long(_pack(start, n)), pa.array(once)], names=["core", "uid", "at", "first"])
 
     return run
 
@@ -151,12 +218,7 @@ def _find_windows(window: int):  # noqa: ANN202
             at = b.column(3)
             for lo, hi, buf, offsets in _text.pieces(b, "text"):
                 words, first = _text.word_hashes(buf, offsets)
-                part = at.slice(lo, hi - lo)
-                packed = part.flatten().to_numpy(zero_copy_only=False)
-                of = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy(zero_copy_only=False))
-                n = packed & ((1 << 24) - 1)
-                start = np.repeat(packed >> 24, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                of = np.repeat(of, n)
+                of, start = _spread(*_unpacked(at.slice(lo, hi - lo)))
                 # a row whose key another text shares may be sent windows that it lacks
                 ok = start + window <= np.diff(first)[of]
                 start, of = start[ok], of[ok]
@@ -166,20 +228,20 @@ def _find_windows(window: int):  # noqa: ANN202
     return run
 
 
-def _keep_words(window: int, text_at: int):  # noqa: ANN202
+def _keep_words(text_at: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in row_runs(b.column(text_at)):
                 part = b.slice(lo, hi - lo)
                 kept, total, removed = [], [], []
-                for text, starts in zip(part.column(text_at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
+                for text, at in zip(part.column(text_at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
                     words = text.encode("utf-8", "surrogatepass").split() if text else []
                     total.append(len(words))
-                    if starts:
+                    if at:
                         edge = np.zeros(len(words) + 1, np.int64)
-                        s = np.array(starts)
-                        np.add.at(edge, s, 1)
-                        np.add.at(edge, s + window, -1)
+                        packed = np.array(at)
+                        np.add.at(edge, packed >> 32, 1)
+                        np.add.at(edge, (packed >> 32) + (packed & 0x7FFFFFFF), -1)
                         words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
                     removed.append(total[-1] - len(words))
                     kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
@@ -190,13 +252,19 @@ def _keep_words(window: int, text_at: int):  # noqa: ANN202
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(uid, doc, starts): of each row of docs (uid, doc, text), the windows that a smaller doc has too.
+    """(uid, doc, at): of each row of docs (uid, doc, text), the stretches (first word, length) that a smaller doc has too.
 
     A null doc is smaller than none and owns nothing.
     """
     spark = docs.sparkSession
     rows = docs.where("doc is not null and text is not null")
-    cores = Written(rows.select("uid", "text").mapInArrow(_find_cores(window), "core long, uid long, at long, first boolean"))
+    long = Written(rows.mapInArrow(_find_long(window), "h1 long, h2 long, doc long, uid long, at long"))
+    settled = durable(_late(long.df, "at"))
+    long.drop()
+    release_shuffles(spark)
+    told = rows.join(settled.withColumnRenamed("items", "settled"), ["uid", "doc"], "left").select("uid", "text", "settled")
+    cores = Written(told.mapInArrow(_find_cores(window), "core long, uid long, at long, first boolean"))
+    release_shuffles(spark)
     shared = cores.df.where("first").groupBy("core").count().where("count > 1").select("core")
     wanted = Written(cores.df.join(shared, "core").groupBy("uid").agg(F.collect_list("at").alias("at")))
     cores.drop()
@@ -204,11 +272,17 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = Written(rows.join(wanted.df, "uid").select("uid", "doc", "text", "at").mapInArrow(_find_windows(window), "h1 long, h2 long, doc long, uid long, start int"))
     wanted.drop()
     release_shuffles(spark)
-    owned = found.df.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("h1", "h2", "owner")
-    out = durable(found.df.join(owned, ["h1", "h2"]).where("doc > owner").groupBy("uid", "doc").agg(F.collect_list("start").alias("starts")))
+    late = durable(_late(found.df, "start"))
     found.drop()
     release_shuffles(spark)
-    return out
+    packed = late.select("uid", "doc", F.transform("items", lambda x: F.shiftleft(x.cast("long"), 32) + F.lit(window)).alias("at"))
+    return settled.withColumnRenamed("items", "at").unionByName(packed).groupBy("uid", "doc").agg(F.flatten(F.collect_list("at")).alias("at"))
+
+
+def _late(found: DataFrame, item: str) -> DataFrame:
+    """(uid, doc, items): of each row, what a smaller doc has too by both fingerprints."""
+    owned = found.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("h1", "h2", "owner")
+    return found.join(owned, ["h1", "h2"]).where("doc > owner").groupBy("uid", "doc").agg(F.collect_list(item).alias("items"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,6 +302,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     slim = docs.select(uid.alias("uid"), F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     repeats = repeated_windows(slim, window)
     full = docs.select(uid.alias("__uid"), F.col(f"`{key}`").cast("long").alias("__doc"), *[F.col(f"`{c}`") for c in keep])
-    told = full.join(repeats.select(F.col("uid").alias("__uid"), F.col("doc").alias("__doc"), F.col("starts").alias("__starts")), ["__uid", "__doc"], "left").select(*keep, "__starts")
+    told = full.join(repeats.select(F.col("uid").alias("__uid"), F.col("doc").alias("__doc"), F.col("at").alias("__at")), ["__uid", "__doc"], "left").select(*keep, "__at")
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in full.schema[2:]) + "kept_text string, n_words long, n_removed long"
-    return told.mapInArrow(_keep_words(window, keep.index(text)), schema)
+    return told.mapInArrow(_keep_words(keep.index(text)), schema)
