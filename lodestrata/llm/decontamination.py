@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import _text
 
 #: BM25's constants, the share of an item's own score that is retrieved, and the verified overlaps.
-K1, B, THRESHOLD, NGRAM, OVERLAP = 1.2, 0.75, 0.6, 5, 0.5
+K1, B, THRESHOLD, NGRAM, OVERLAP = 1.2, 0.75, 0.5, 3, 0.5
 BLOCK_ITEMS = 16
 #: Items in a block, and cells at most, of the table of bounds for many passages at once.
 COARSE_ITEMS, COARSE_CELLS = 4, 2_000_000
