@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import durable
+
 MIN_SCHEMA_VERSION = 5
 MAX_DEPTH = 20
 
@@ -44,7 +46,8 @@ def impact(edges: DataFrame, symbols: DataFrame, depth: int) -> DataFrame:
     """(symbol, node_id, depth): what reaches each symbol over at most `depth` edges, at its smallest depth.
 
     A frontier walk: each step joins the newest nodes only and takes out those
-    that are known, so cycles end and no path is walked twice.
+    that are known, so cycles end and no path is walked twice. Each frontier is
+    written, so plans stay as short as one step; the walk ends with an empty one.
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be 1 to {MAX_DEPTH}")
@@ -52,8 +55,10 @@ def impact(edges: DataFrame, symbols: DataFrame, depth: int) -> DataFrame:
     front = seen
     for d in range(1, depth + 1):
         step = front.select("symbol", F.col("node_id").alias("target")).join(edges.select("source", "target"), "target").select("symbol", F.col("source").alias("node_id")).distinct()
-        front = step.join(seen, ["symbol", "node_id"], "left_anti").withColumn("depth", F.lit(d))
+        front = durable(step.join(seen, ["symbol", "node_id"], "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(front)
+        if d < depth and front.isEmpty():
+            break
     return seen.where("depth > 0").withColumn("depth", F.col("depth").cast("long"))
 
 

@@ -21,8 +21,39 @@ MAX_TOP_K, DEFAULT_TOP_K, MAX_QUERY_LEN, MAX_RESPONSE_ITEMS, MAX_IDENTITY, MAX_T
 
 def _schema(required: str, optional: str = "") -> T.StructType:
     """Fields of two DDL strings, the first without nulls."""
-    fields = [T.StructField(f.name, f.dataType, False) for f in T._parse_datatype_string(required)]
-    return T.StructType(fields + (list(T._parse_datatype_string(optional)) if optional else []))
+    return T.StructType([T.StructField(n, t, False) for n, t in _fields(required, " ")] + [T.StructField(n, t) for n, t in _fields(optional, " ")])
+
+
+_PLAIN = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
+def _fields(ddl: str, between: str) -> list[tuple[str, T.DataType]]:
+    return [(n.strip(), _type(t)) for n, t in (part.split(between, 1) for part in (p.strip() for p in _top_level(ddl)) if part)]
+
+
+def _top_level(ddl: str) -> list[str]:
+    """Parts between commas that stand outside angle brackets."""
+    parts, depth = [""], 0
+    for c in ddl:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
+def _type(ddl: str) -> T.DataType:
+    """A type by its DDL, without a session."""
+    name, _, inner = ddl.strip().partition("<")
+    if not inner:
+        return _PLAIN[name]
+    inner = inner[:-1]
+    if name == "array":
+        return T.ArrayType(_type(inner))
+    if name == "map":
+        return T.MapType(*map(_type, _top_level(inner)))
+    return T.StructType([T.StructField(n, t) for n, t in _fields(inner, ":")])
 
 
 def chunk() -> T.StructType:

@@ -9,6 +9,7 @@ the root belongs to, so the table works on any store that Spark can write.
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -96,7 +97,7 @@ class VersionedTable:
     def upsert(self, rows: DataFrame, sha_tag: str | None = None, stamp: dict | None = None) -> Version:
         """A new version in which rows replace those of equal keys; within rows one per key is expected."""
         old, vid = self.current(), self._next()
-        folder = f"data/{vid:09d}"
+        folder = f"data/{vid:09d}-{uuid.uuid4().hex[:12]}"
         out = rows if "tombstone" in rows.columns else rows.withColumn("tombstone", F.lit(False))
         writer = out.write.mode("overwrite")
         (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.root}/{folder}")
@@ -132,7 +133,7 @@ class VersionedTable:
         if v is None or (len(v.folders) == 1 and not v.unindexed):
             return v
         vid = self._next()
-        folder = f"data/{vid:09d}"
+        folder = f"data/{vid:09d}-{uuid.uuid4().hex[:12]}"
         writer = self.read(v.vid).withColumn("tombstone", F.lit(False)).write.mode("overwrite")
         (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.root}/{folder}")
         return self._commit(Version(vid, [folder], [], None, v.stamp))

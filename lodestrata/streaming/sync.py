@@ -66,7 +66,8 @@ def apply_machine(stream: DataFrame, machine: str) -> DataFrame:
         state.update((now,))
         yield pd.DataFrame({"entity_id": key[0], "seq": rows["seq"], "state": rows["state"], "accepted": ok})
 
-    return stream.groupBy("entity_id").applyInPandasWithState(step, "entity_id string, seq long, state string, accepted boolean", "state string", "append", GroupStateTimeout.NoTimeout)
+    kind = stream.schema["entity_id"].dataType.simpleString()
+    return stream.groupBy("entity_id").applyInPandasWithState(step, f"entity_id {kind}, seq long, state string, accepted boolean", "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def sync_table(stream: DataFrame, table: VersionedTable, checkpoint: str) -> StreamingQuery:
