@@ -185,8 +185,11 @@ def fit_language_sample(labelled: DataFrame, key: str = "doc_id", text: str = "t
     """
     rows = labelled.select(F.col(f"`{key}`").alias("k"), F.col(f"`{lang}`").alias("l"), F.col(f"`{text}`").alias("t")).where("k is not null and l is not null and t is not null")
     rows = rows.withColumn("n", F.length("t")).where(F.col("n").between(1, MAX_SAMPLE_CHARS))
-    by = Window.partitionBy("l").orderBy(F.xxhash64("k"), "k")
-    chosen = rows.select("k", "l").distinct().withColumn("r", F.row_number().over(by)).where(f"r <= {DOCS_PER_LANGUAGE}").select("k", "l")
+    # the first of each language are among the first of its parts, so no task sees more than the parts' firsts
+    keys, order = rows.select("k", "l", F.pmod(F.xxhash64("l", "k"), F.lit(64)).alias("part")).distinct(), [F.xxhash64("k"), "k"]
+    for by in (["l", "part"], ["l"]):
+        keys = keys.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(f"r <= {DOCS_PER_LANGUAGE}").drop("r")
+    chosen = keys.select("k", "l")
     if chosen.select("l").distinct().count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     texts = rows.join(F.broadcast(chosen), ["k", "l"]).groupBy("l", "k").agg(F.min("t").alias("t"))
