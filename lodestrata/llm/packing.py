@@ -180,7 +180,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, e
     unique over the table: the task's number in the upper bits, a counter below.
     """
     src = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    deal = F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64))
+    deal = F.xxhash64("doc_id", "text")
     src = src.repartition(partitions, deal) if partitions else src.repartition(deal)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
