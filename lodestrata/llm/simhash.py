@@ -19,16 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _text
 from ._spark import durable
 from .components import connected_components
 from .language_id import row_runs
 
 RADIUS = 2
 SEED = 42
+#: Min-wise hashes: bands that key shards, hashes in a band, places of the sketch.
+BANDS, BAND_HASHES, PLACES = 6, 3, 128
+_rng = np.random.Generator(np.random.PCG64(77))
+_FACTORS = _rng.integers(1, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprints_of(texts: list[str | None], shingle: int = 3, seed: int = SEED) -> np.ndarray:
-    """64-bit fingerprints: a bit is 1 if more than half of the shingle hashes have it; no words: 0."""
+def shingle_hashes(texts: list[str | None], shingle: int = 3, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of every shingle of each text, repeats included, and how many each has: none without words, one if there are too few."""
     from xxhash import xxh64_digest as xx
 
     hashes: list[bytes] = []
@@ -46,12 +51,15 @@ def fingerprints_of(texts: list[str | None], shingle: int = 3, seed: int = SEED)
             ends = list(accumulate(map(len, words), lambda a, b: a + b + 1))
             hashes += [xx(flat[s:e], seed) for s, e in zip([0, *[e + 1 for e in ends[: n - 1]]], ends[shingle - 1 :], strict=True)]
             counts.append(n)
-    out = np.zeros(len(texts), np.uint64)
-    n = np.array(counts, np.int64)
+    return np.frombuffer(b"".join(hashes), ">u8").astype("<u8"), np.array(counts, np.int64)
+
+
+def fingerprints(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of runs of n hashes: a bit is 1 if more than half of a run has it; an empty run: 0."""
+    out = np.zeros(len(n), np.uint64)
     live = n > 0
     if live.any():
         first = np.cumsum(n) - n
-        h = np.frombuffer(b"".join(hashes), ">u8").astype("<u8")
         # eight one-byte counters ride in each 64-bit word; runs of at most 255 rows can't overflow them
         lanes = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
         runs = -(-n[live] // 255)
@@ -64,6 +72,25 @@ def fingerprints_of(texts: list[str | None], shingle: int = 3, seed: int = SEED)
     return out
 
 
+def fingerprints_of(texts: list[str | None], shingle: int = 3, seed: int = SEED) -> np.ndarray:
+    return fingerprints(*shingle_hashes(texts, shingle, seed))
+
+
+def sketches(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bands, places) of runs of hashes: the keys of each run's bands, and one byte of each of its PLACES min-wise hashes."""
+    least = np.full((PLACES, len(n)), np.iinfo(np.uint64).max, np.uint64)
+    live = np.flatnonzero(n > 0)
+    if len(live):
+        first = (np.cumsum(n) - n)[live]
+        for k, f in enumerate(_FACTORS):
+            least[k, live] = np.minimum.reduceat(h * f, first)
+    keys = np.zeros((BANDS, len(n)), np.uint64)
+    for b in range(BANDS):
+        for k in range(b * BAND_HASHES, (b + 1) * BAND_HASHES):
+            keys[b] = _text.mix(keys[b] + least[k] + np.uint64(b))
+    return keys, np.ascontiguousarray((_text.mix(least) & np.uint64(255)).astype(np.uint8).T)
+
+
 class BkTree:
     """A BK-tree in arrays: of each node its fingerprint, and its children in one run ordered by distance."""
 
@@ -104,12 +131,24 @@ class BkTree:
 
 def spanning_links(values: np.ndarray, radius: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
     """For each value that has a link, (value, smallest value of its component here); roots are left out."""
+    root = local_roots(values, radius, block)
+    linked = root != np.arange(len(values))
+    return values[linked], values[root[linked]]
+
+
+def local_roots(values: np.ndarray, radius: int, block: int = 512, places: np.ndarray | None = None, equal: int = 0) -> np.ndarray:
+    """The first place of each value's component; with places, links also need that many equal bytes of them."""
     n = len(values)
     up = np.arange(n)
     tree = BkTree(values)
     for lo in range(0, n, block):
         for q, node in tree.within(values[lo : lo + block], radius):
             a, b = q + lo, node
+            if places is not None:
+                new = _roots(up, a) != _roots(up, b)  # what is joined already needs no further link
+                a, b = a[new], b[new]
+                same = np.concatenate([(places[a[k : k + 4096]] == places[b[k : k + 4096]]).sum(1) for k in range(0, len(a), 4096)]) if len(a) else np.zeros(0)
+                a, b = a[same >= equal], b[same >= equal]
             while True:  # hang the larger root under the smaller until all pairs agree
                 a_root, b_root = _roots(up, a), _roots(up, b)
                 apart = a_root != b_root
@@ -118,9 +157,7 @@ def spanning_links(values: np.ndarray, radius: int, block: int = 512) -> tuple[n
                 a, b = a[apart], b[apart]
                 hi, to = np.maximum(a_root[apart], b_root[apart]), np.minimum(a_root[apart], b_root[apart])
                 np.minimum.at(up, hi, to)
-    root = _roots(up, np.arange(n))
-    linked = root != np.arange(n)
-    return values[linked], values[root[linked]]
+    return _roots(up, np.arange(n))
 
 
 def _roots(up: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -155,30 +192,11 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     dealt = dealt.repartition("shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # of the shard that the last batch did not end
-
-        def search(values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for (values,) in _groups(batches):
             a, b = spanning_links(values.view(np.uint64), radius)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-        of = None
-        for batch in batches:
-            shards, fps = (np.asarray(batch.column(k)) for k in (0, 1))
-            cut = np.flatnonzero(shards[1:] != shards[:-1]) + 1
-            bounds = [0, *cut.tolist(), len(shards)]
-            for lo, hi in zip(bounds, bounds[1:], strict=False):
-                if lo == hi:
-                    continue
-                if of is not None and shards[lo] != of:
-                    if sum(map(len, held)) > 1:
-                        yield from search(np.concatenate(held))
-                    held = []
-                of = shards[lo]
-                held.append(fps[lo:hi])
-        if sum(map(len, held)) > 1:
-            yield from search(np.concatenate(held))
-
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -200,3 +218,71 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     named = durable(parts.join(smallest, "root").select("fp", "component_id"))
     label = durable(distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id")))
     return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+
+
+def similar_components(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+    """(doc_id, component_id) of every row of docs whose key is not null, by similarity of shingle sets.
+
+    Rows are linked if their sketches agree in as many places as sets of that
+    Jaccard similarity do, less one standard error, so that few links at the
+    threshold are lost. component_id is the smallest key that links lead to.
+    Texts without a word are alike; repeated rows each come back; an empty table
+    gives none; further columns are not read.
+    """
+    share = similarity - (similarity * (1 - similarity) / PLACES) ** 0.5
+    equal = int(np.ceil(PLACES * (share * 255 + 1) / 256))
+    # cosine of sets from Jaccard, the angle's share of 64 bits, and three standard errors more
+    part = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    radius = int(np.ceil(64 * part + 3 * (64 * part * (1 - part)) ** 0.5))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in row_runs(b.column(1), 1 << 20):
+                part = b.slice(lo, hi - lo)
+                h, n = shingle_hashes(part.column(1).to_pylist(), shingle)
+                keys, places = sketches(h, n)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(n) + 1, BANDS, dtype=np.int32)), pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(h, n).view(np.int64)), bands, pa.array([p.tobytes() for p in places], pa.binary())], names=["doc_id", "fp", "bands", "places"])
+
+    rows = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    told = durable(rows.mapInArrow(sketch, "doc_id long, fp long, bands array<long>, places binary"))
+    same = ["fp", "places"]
+    items = durable(told.groupBy(*same).agg(F.min("doc_id").alias("item"), F.first("bands").alias("bands")))
+    dealt = items.select(F.explode("bands").alias("shard"), "item", *same).repartition("shard").sortWithinPartitions("shard", "item")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for item, fp, places in _groups(batches):
+            root = local_roots(fp.view(np.uint64), radius, 512, np.frombuffer(b"".join(places), np.uint8).reshape(-1, PLACES), equal)
+            linked = root != np.arange(len(item))
+            if linked.any():
+                yield pa.RecordBatch.from_arrays([pa.array(item[linked]), pa.array(item[root[linked]])], names=["a", "b"])
+
+    links = durable(dealt.mapInArrow(run, "a long, b long").distinct())
+    parts = durable(connected_components(links).select(F.col("node").alias("item"), F.col("root").alias("component_id")))
+    label = durable(items.join(parts, "item", "left").select(*same, F.coalesce("component_id", "item").alias("component_id")))
+    return told.join(label, same).select("doc_id", "component_id")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+    """Columns after the first of each run of rows with one value in it, for runs of two rows or more."""
+    held: list[list] = []
+    of = None
+
+    def joined() -> list:
+        return [np.concatenate(c) for c in zip(*held, strict=True)]
+
+    for batch in batches:
+        shards = batch.column(0).to_numpy(zero_copy_only=False)
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, batch.num_columns)]
+        bounds = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            if lo == hi:
+                continue
+            if of is not None and shards[lo] != of:
+                if sum(len(h[0]) for h in held) > 1:
+                    yield joined()
+                held = []
+            of = shards[lo]
+            held.append([c[lo:hi] for c in cols])
+    if sum(len(h[0]) for h in held) > 1:
+        yield joined()

@@ -215,6 +215,61 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(1000, 1051), 1000)}
 
 
+def brute_similar(rows, similarity=0.8):
+    """Components of exact Jaccard similarity over all pairs, as lists of smallest keys."""
+    sets = []
+    for _, t in rows:
+        w = [x.lower() for x in words(t)]
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if (a and len(a & sets[j]) >= similarity * len(a | sets[j])) or (not a and not sets[j]):
+                up[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(d, least.get(root(i), d))
+    return [least[root(i)] for i in range(len(rows))]
+
+
+def test_similar_components_find_near_copies(spark):
+    r = random.Random(8)
+    rows = []
+    for k in range(40):
+        base = [r.choice("abcdefghijklmnopqrstuvwxyz") + str(r.randrange(900)) for _ in range(r.randint(150, 400))]
+        rows.append((10 * k, " ".join(base)))
+        for c in range(r.randint(0, 5)):  # copies with one word in a hundred and fifty changed
+            near = list(base)
+            for _ in range(len(base) // 150):
+                near[r.randrange(len(near))] = "changed"
+            rows.append((10 * k + 1 + c, " ".join(near)))
+    rows += [(1000, None), (1001, ""), (1002, "one"), (1003, "ONE"), (1003, "ONE"), (None, rows[0][1])]
+    got = {}
+    for x in simhash.similar_components(docs_of(spark, rows)).collect():
+        got.setdefault(x.doc_id, []).append(x.component_id)
+    keyed = [(d, t) for d, t in rows if d is not None]
+    want = brute_similar(keyed)
+    assert sum(map(len, got.values())) == len(keyed)
+    assert [got[d][0] for d, _ in keyed] == want
+    assert simhash.similar_components(docs_of(spark, [])).count() == 0
+
+
+def test_sketches_estimate_similarity():
+    r = np.random.default_rng(6)
+    for share in (0.2, 0.5, 0.8):
+        both = r.integers(0, 2**63, int(4000 * share), dtype=np.uint64)
+        h = np.concatenate([both, r.integers(0, 2**63, 4000 - len(both), dtype=np.uint64), both, r.integers(0, 2**63, 4000 - len(both), dtype=np.uint64)])
+        _, places = simhash.sketches(h, np.array([4000, 4000]))
+        jaccard = len(both) / (8000 - len(both))
+        assert abs((places[0] == places[1]).mean() - jaccard) < 0.15
+
+
 # --- 8 -------------------------------------------------------------------------------------------------------------
 
 
@@ -532,6 +587,7 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(prose)]
     rows += [(100, prose[3]), (100, prose[3]), (101, "1234 5678 ..."), (102, None), (103, ""), (104, f"{prose[5]} {item}"), (105, item)]
     shared = " ".join(r.choice(prose[7].split()) for _ in range(60))
+    rows += [(120, prose[20]), (121, prose[20].replace(" the ", " that ", 1))]
     rows += [(110, f"{prose[9][:400]} {shared}"), (111, f"{prose[11][:400]} {shared} {prose[12][:200]}"), (112, shared)]
     os.makedirs(tmp_path / "sf")
     real(spark).limit(0).unionByName(docs_of(spark, rows)).write.parquet(str(tmp_path / "sf/documents.parquet"))
@@ -547,8 +603,8 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
             assert docs.columns == pipeline.COLUMNS
     (_, b0, a0), (_, b1, a1), (_, b2, a2), (_, b3, a3), (_, b4, a4) = seen
     assert {x.doc_id for x in b0} - {x.doc_id for x in a0} == {101, 102, 103}
-    fp = [(x.doc_id, int(simhash.fingerprints_of([x.text], 5)[0])) for x in b1]
-    assert sorted(x.doc_id for x in a1) == sorted({c for c in brute_components(fp)})
+    assert sorted(x.doc_id for x in a1) == sorted(set(brute_similar([(x.doc_id, x.text) for x in b1])))
+    assert not {120, 121} & {x.doc_id for x in a1}
     want = {d: (n - gone, gone) for d, n, gone, _ in brute_repeats([(x.doc_id, x.text) for x in b2])}
     assert {x.doc_id: len(words(x.text)) for x in a2} == {d: left for d, (left, gone) in want.items() if left or not gone}
     hit = brute_contamination([x.text for x in b3], [(x.item_id, x.text) for x in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
