@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import content, contracts, graph, redaction, search, store, trust
+from .plans import access, content, contracts, graph, redaction, search, store, trust
 
-_MODULES = (search, content, redaction, contracts, graph, store, trust)
+_MODULES = (search, access, content, redaction, contracts, graph, store, trust)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: s for m in _MODULES for k, s in m.ORACLES.items()}

@@ -13,6 +13,7 @@ SCOPES = ("project", "portfolio")
 GRAPH_KINDS = ("explore", "node", "callers", "callees", "search")
 SINKS = ("persist", "mcp_egress", "cloud_egress")
 SECRET_CLASSES = ("prefix_token", "high_entropy_kv", "json_sensitive_value", "env_dump")
+HOST_CAPABILITIES = ("own_store_write", "owned_doc_refresh", "consented_host_config")
 RESIDUAL_CLASSES = ("git_sha_hex", "sub_20_char_json", "adversarial_short_split")
 
 #: Bounds of the contracts.

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.operators import chunking, federation, graph, lint, retrieval
+from lodestrata.operators import chunking, federation, graph, lint, providers, retrieval, scope, tools
 from lodestrata.plans import migrations
 from lodestrata.session import build_session
 from lodestrata.sources import discovery, events, samples
@@ -210,3 +210,54 @@ def test_dense_refuses_unbounded_queries(spark, monkeypatch):
 
 def test_session_is_in_utc():
     assert build_session().conf.get("spark.sql.session.timeZone") == "UTC"
+
+
+def test_tools_check_their_requests(spark):
+    chunks = spark.createDataFrame([("c1", "p1", "alpha beta"), ("c2", "p2", 'beta password: "' + "x" * 30 + '"')], "chunk_id string, project_id string, text string")
+    policies = spark.createDataFrame([("p1", True), ("p2", True)], "project_id string, federation_visible boolean")
+    assert [r.chunk_id for r in tools.search(chunks, policies, " alpha ", 5, "portfolio").collect()] == ["c1"]
+    assert "x" * 30 not in tools.search(chunks, policies, "password", 5, "portfolio").first().text
+    for bad in ({"query": " "}, {"query": "a", "top_k": 0}, {"query": "a", "top_k": 101}, {"query": "a", "within": "galaxy"}, {"query": "a", "within": "project"}):
+        with pytest.raises(ValueError):
+            tools.search(chunks, policies, **bad)
+    files = spark.createDataFrame([("a/b.md", "text")], "path string, text string")
+    assert tools.get_file(files, "a/b.md").count() == 1
+    for bad in ("../b", "/a", ""):
+        with pytest.raises(ValueError):
+            tools.get_file(files, bad)
+    edges = spark.createDataFrame([("x", "y")], "source string, target string")
+    nodes = spark.createDataFrame([("x", "f", "fx"), ("y", "f", "fy")], "id string, kind string, name string")
+    assert tools.ask_graph(edges, nodes, "callers", "y").first().node_id == "x" and tools.ask_graph(edges, nodes, "search", "FY").count() == 1
+    assert tools.ask_graph(edges, nodes, "explore", "x").count() == 2 and tools.ask_graph(edges, nodes, "node", "x").count() == 1
+    with pytest.raises(ValueError):
+        tools.ask_graph(edges, nodes, "impact", "y")
+
+
+def test_providers_are_checked(spark):
+    class Short(providers.HashProvider):
+        def embed(self, texts):
+            return [[0.0] for _ in texts]
+
+    class Nan:
+        def score(self, query, docs):
+            return [float("nan") for _ in docs]
+
+    class Length:
+        def score(self, query, docs):
+            return [float(len(d)) for d in docs]
+
+    docs = spark.createDataFrame([("a", "x y")], "chunk_id string, text string")
+    with pytest.raises(Exception, match="another length"):
+        providers.embed(docs, Short(4)).collect()
+    pairs = spark.createDataFrame([(1, 0, "q", "dd"), (1, 1, "q", "ddd"), (2, 0, "r", "d")], "query_id int, pos int, query string, doc string")
+    assert {tuple(r) for r in providers.rerank_with(pairs, Length()).collect()} == {(1, 0, 2.0), (1, 1, 3.0), (2, 0, 1.0)}
+    with pytest.raises(Exception, match="not finite"):
+        providers.rerank_with(pairs, Nan()).collect()
+
+
+def test_registers_and_live_citations(spark):
+    rows = spark.createDataFrame([(1, "plain", "live"), (2, "deep", None)], "id int, register string, state string")
+    assert [r.id for r in scope.in_register(rows, "deep").collect()] == [2]
+    assert {r.id: r.served_as_cited for r in scope.live_only_cited(rows, F.col("state")).collect()} == {1: True, 2: False}
+    with pytest.raises(ValueError):
+        scope.in_register(rows, "other")
