@@ -259,20 +259,23 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.where("doc is not null and text is not null")
     long = Written(rows.mapInArrow(_find_long(window), "h1 long, h2 long, doc long, uid long, at long"))
-    settled = durable(_late(long.df, "at"))
+    settled = _late(long.df, "at")
     long.drop()
     release_shuffles(spark)
     told = rows.join(settled.withColumnRenamed("items", "settled"), ["uid", "doc"], "left").select("uid", "text", "settled")
     cores = Written(told.mapInArrow(_find_cores(window), "core long, uid long, at long, first boolean"))
     release_shuffles(spark)
-    shared = cores.df.where("first").groupBy("core").count().where("count > 1").select("core")
-    wanted = Written(cores.df.join(shared, "core").groupBy("uid").agg(F.collect_list("at").alias("at")))
-    cores.drop()
+    # written by itself: the shuffle of the counts goes before the next one comes, and a hot core's join can be split
+    shared = Written(cores.df.where("first").groupBy("core").count().where("count > 1").select("core"))
+    release_shuffles(spark)
+    wanted = Written(cores.df.join(shared.df, "core").groupBy("uid").agg(F.collect_list("at").alias("at")))
+    for done in (cores, shared):
+        done.drop()
     release_shuffles(spark)
     found = Written(rows.join(wanted.df, "uid").select("uid", "doc", "text", "at").mapInArrow(_find_windows(window), "h1 long, h2 long, doc long, uid long, start int"))
     wanted.drop()
     release_shuffles(spark)
-    late = durable(_late(found.df, "start"))
+    late = _late(found.df, "start")
     found.drop()
     release_shuffles(spark)
     packed = late.select("uid", "doc", F.transform("items", lambda x: F.shiftleft(x.cast("long"), 32) + F.lit(window)).alias("at"))
@@ -281,8 +284,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def _late(found: DataFrame, item: str) -> DataFrame:
     """(uid, doc, items): of each row, what a smaller doc has too by both fingerprints."""
-    owned = found.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("h1", "h2", "owner")
-    return found.join(owned, ["h1", "h2"]).where("doc > owner").groupBy("uid", "doc").agg(F.collect_list(item).alias("items"))
+    owned = Written(found.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("h1", "h2", "owner"))
+    release_shuffles(found.sparkSession)
+    out = durable(found.join(owned.df, ["h1", "h2"]).where("doc > owner").groupBy("uid", "doc").agg(F.collect_list(item).alias("items")))
+    owned.drop()
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
