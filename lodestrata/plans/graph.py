@@ -26,20 +26,20 @@ def _nodes(spark, sf_dir):
     return out
 
 
-def _symbols(spark, sf_dir, kind, every):
-    return _nodes(spark, sf_dir).where((F.col("kind") == kind) & (F.split("id", ":")[1].cast("long") % every == 0)).select(F.col("id").alias("symbol"))
+def _symbols(spark, sf_dir, kind):
+    return _nodes(spark, sf_dir).where(F.col("kind") == kind).select(F.col("id").alias("symbol"))
 
 
 def graph_callers(spark, sf_dir):
-    return graph.callers(_edges(spark, sf_dir), _nodes(spark, sf_dir), _symbols(spark, sf_dir, "part", 500))
+    return graph.callers(_edges(spark, sf_dir), _nodes(spark, sf_dir), _symbols(spark, sf_dir, "part"))
 
 
 def graph_callees(spark, sf_dir):
-    return graph.callees(_edges(spark, sf_dir), _nodes(spark, sf_dir), _symbols(spark, sf_dir, "orders", 1000))
+    return graph.callees(_edges(spark, sf_dir), _nodes(spark, sf_dir), _symbols(spark, sf_dir, "orders"))
 
 
 def graph_explore(spark, sf_dir):
-    return graph.explore(_edges(spark, sf_dir), _nodes(spark, sf_dir), _symbols(spark, sf_dir, "orders", 5000))
+    return graph.explore(_edges(spark, sf_dir), _nodes(spark, sf_dir), _symbols(spark, sf_dir, "supplier"))
 
 
 def graph_search(spark, sf_dir):
@@ -47,30 +47,29 @@ def graph_search(spark, sf_dir):
 
 
 def graph_impact(spark, sf_dir):
-    return graph.impact(_edges(spark, sf_dir), _symbols(spark, sf_dir, "part", 1000), 3).groupBy("symbol", "depth").agg(F.count("*").alias("n_nodes"))
+    return graph.impact(_edges(spark, sf_dir), _symbols(spark, sf_dir, "supplier"), 3).groupBy("symbol", "depth").agg(F.count("*").alias("n_nodes"))
 
 
 def degree_centrality(spark, sf_dir):
-    return graph.degrees(_edges(spark, sf_dir)).where(F.col("node_id").startswith("s:") | F.col("node_id").startswith("c:"))
+    return graph.degrees(_edges(spark, sf_dir))
 
 
 def page_rank(spark, sf_dir):
-    ranks = graph.page_rank(_edges(spark, sf_dir), 3)
-    return ranks.where(F.col("node_id").startswith("s:")).select("node_id", F.round("rank", 9).alias("rank"))
+    return graph.page_rank(_edges(spark, sf_dir), 3).select("node_id", F.round("rank", 9).alias("rank"))
 
 
 QUERIES = {f.__name__: f for f in (graph_callers, graph_callees, graph_explore, graph_search, graph_impact, degree_centrality, page_rank)}
 
 _G = """e AS (SELECT 'c:' || o_custkey AS source, 'o:' || o_orderkey AS target FROM orders UNION ALL SELECT 'o:' || l_orderkey, 'p:' || l_partkey FROM lineitem UNION ALL SELECT 'o:' || l_orderkey, 's:' || l_suppkey FROM lineitem),
-n AS (SELECT 'c:' || c_custkey AS id, 'customer' AS kind, c_name AS name, c_custkey AS k FROM customer UNION ALL SELECT 'o:' || o_orderkey, 'orders', o_orderpriority, o_orderkey FROM orders UNION ALL SELECT 'p:' || p_partkey, 'part', p_name, p_partkey FROM part UNION ALL SELECT 's:' || s_suppkey, 'supplier', s_name, s_suppkey FROM supplier)"""
+n AS (SELECT 'c:' || c_custkey AS id, 'customer' AS kind, c_name AS name FROM customer UNION ALL SELECT 'o:' || o_orderkey, 'orders', o_orderpriority FROM orders UNION ALL SELECT 'p:' || p_partkey, 'part', p_name FROM part UNION ALL SELECT 's:' || s_suppkey, 'supplier', s_name FROM supplier)"""
 _PAIRS = "pair AS (SELECT DISTINCT source, target FROM e), links AS (SELECT source, target, 1.0::DOUBLE / count(*) OVER (PARTITION BY source) AS share FROM pair), nodes AS (SELECT source AS node_id FROM pair UNION SELECT target FROM pair), c AS (SELECT count(*) AS n FROM nodes), r0 AS (SELECT node_id, 1.0::DOUBLE / n AS rank FROM nodes, c)"
 _ROUNDS = ", ".join(f"g{k} AS (SELECT target, sum(rank * share) AS got FROM links JOIN r{k - 1} ON node_id = source GROUP BY target), r{k} AS (SELECT node_id, (1 - 0.85::DOUBLE) / n + 0.85::DOUBLE * coalesce(got, 0) AS rank FROM nodes LEFT JOIN g{k} ON target = node_id, c)" for k in (1, 2, 3))
 ORACLES = {
-    "graph_callers": f"WITH {_G} SELECT DISTINCT target AS symbol, source AS node_id, m.name FROM e JOIN n s ON s.id = target JOIN n m ON m.id = source WHERE s.kind = 'part' AND s.k % 500 = 0",
-    "graph_callees": f"WITH {_G} SELECT DISTINCT source AS symbol, target AS node_id, m.name FROM e JOIN n s ON s.id = source JOIN n m ON m.id = target WHERE s.kind = 'orders' AND s.k % 1000 = 0",
-    "graph_explore": f"WITH {_G}, s AS (SELECT * FROM n WHERE kind = 'orders' AND k % 5000 = 0) SELECT id AS symbol, 'self' AS role, id AS node_id, name FROM s UNION SELECT s.id, 'caller', m.id, m.name FROM s JOIN e ON target = s.id JOIN n m ON m.id = source UNION SELECT s.id, 'callee', m.id, m.name FROM s JOIN e ON source = s.id JOIN n m ON m.id = target",
+    "graph_callers": f"WITH {_G} SELECT DISTINCT target AS symbol, source AS node_id, m.name FROM e JOIN n s ON s.id = target JOIN n m ON m.id = source WHERE s.kind = 'part'",
+    "graph_callees": f"WITH {_G} SELECT DISTINCT source AS symbol, target AS node_id, m.name FROM e JOIN n s ON s.id = source JOIN n m ON m.id = target WHERE s.kind = 'orders'",
+    "graph_explore": f"WITH {_G}, s AS (SELECT * FROM n WHERE kind = 'supplier') SELECT id AS symbol, 'self' AS role, id AS node_id, name FROM s UNION SELECT s.id, 'caller', m.id, m.name FROM s JOIN e ON target = s.id JOIN n m ON m.id = source UNION SELECT s.id, 'callee', m.id, m.name FROM s JOIN e ON source = s.id JOIN n m ON m.id = target",
     "graph_search": f"WITH {_G} SELECT id, kind, name FROM n WHERE kind = 'part' AND contains(lower(name), 'ring')",
-    "graph_impact": f"WITH RECURSIVE {_G}, walk AS (SELECT id AS symbol, id AS node_id, 0 AS depth FROM n WHERE kind = 'part' AND k % 1000 = 0 UNION SELECT symbol, source, depth + 1 FROM walk JOIN e ON target = node_id WHERE depth < 3) SELECT symbol, CAST(d AS BIGINT) AS depth, CAST(count(*) AS BIGINT) AS n_nodes FROM (SELECT symbol, node_id, min(depth) AS d FROM walk GROUP BY symbol, node_id) WHERE d > 0 GROUP BY symbol, d",
-    "degree_centrality": f"WITH {_G}, x AS (SELECT source AS node_id, 0 AS i, 1 AS o FROM e UNION ALL SELECT target, 1, 0 FROM e) SELECT node_id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM x WHERE node_id LIKE 's:%' OR node_id LIKE 'c:%' GROUP BY node_id",
-    "page_rank": f"WITH {_G}, {_PAIRS}, {_ROUNDS} SELECT node_id, round(rank, 9) AS rank FROM r3 WHERE node_id LIKE 's:%'",
+    "graph_impact": f"WITH RECURSIVE {_G}, walk AS (SELECT id AS symbol, id AS node_id, 0 AS depth FROM n WHERE kind = 'supplier' UNION SELECT symbol, source, depth + 1 FROM walk JOIN e ON target = node_id WHERE depth < 3) SELECT symbol, CAST(d AS BIGINT) AS depth, CAST(count(*) AS BIGINT) AS n_nodes FROM (SELECT symbol, node_id, min(depth) AS d FROM walk GROUP BY symbol, node_id) WHERE d > 0 GROUP BY symbol, d",
+    "degree_centrality": f"WITH {_G}, x AS (SELECT source AS node_id, 0 AS i, 1 AS o FROM e UNION ALL SELECT target, 1, 0 FROM e) SELECT node_id, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o) AS BIGINT) AS out_degree FROM x GROUP BY node_id",
+    "page_rank": f"WITH {_G}, {_PAIRS}, {_ROUNDS} SELECT node_id, round(rank, 9) AS rank FROM r3",
 }

@@ -35,22 +35,27 @@ def version_gc(spark, sf_dir):
 
 
 def index_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("indexed", F.col("doc_id") % 10 != 0)
+    """Documents with a label stand for the indexed rows."""
+    known = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("indexed", F.lit(True))
+    docs = table(spark, sf_dir, "documents").join(known, "doc_id", "left").withColumn("indexed", F.coalesce("indexed", F.lit(False)))
     return versions.unindexed_stats(docs, "source")
 
 
 def tombstone_replace(spark, sf_dir):
     """A source's rows are tombstoned and its new ones put beside them."""
     old = table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(1).cast("long").alias("generation"))
-    new = old.where("source = 'src1' and doc_id % 2 = 0").withColumn("generation", F.lit(2).cast("long"))
+    new = old.where("source = 'src1'").withColumn("generation", F.lit(2).cast("long"))
     gone = old.withColumn("tombstone", F.col("source") == "src1")
     return gone.unionByName(new.withColumn("tombstone", F.lit(False))).groupBy("source", "generation", "tombstone").agg(F.count("*").alias("n"))
 
 
 def hash_delta(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), hashing.content_hash(F.col("text")).alias("content_hash"))
-    new = docs.where("path % 7 != 3").withColumn("content_hash", F.when(F.col("path") % 5 == 0, "edited").otherwise(F.col("content_hash")))
-    return versions.content_delta(docs.where("path % 11 != 4"), new)
+    """Documents against their next state: those marked toxic are gone, numbers are masked, pages have come."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("path"), "doc_id", "text")
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page:"), F.col("page_id").cast("string")).alias("path"), hashing.content_hash(F.col("html")).alias("content_hash"))
+    next_docs = docs.join(toxic, "doc_id", "left_anti").select("path", hashing.content_hash(F.regexp_replace("text", "[0-9]+", "0")).alias("content_hash"))
+    return versions.content_delta(docs.select("path", hashing.content_hash(F.col("text")).alias("content_hash")), next_docs.unionByName(pages))
 
 
 def embedding_cache_miss(spark, sf_dir):
@@ -114,9 +119,9 @@ def _segs(x: str) -> str:
 
 ORACLES = {
     "version_gc": f"SELECT store_id, vid, sha_tag, sha_tag IS NULL AND row_number() OVER (PARTITION BY store_id, sha_tag IS NULL ORDER BY vid DESC) > 2 AS removed FROM {CATALOG.sql()}",
-    "index_stats": "SELECT source, CAST(count(*) FILTER (doc_id % 10 = 0) AS BIGINT) AS num_unindexed_rows, CAST(count(*) FILTER (doc_id % 10 <> 0) AS BIGINT) AS num_indexed_rows FROM documents GROUP BY source",
-    "tombstone_replace": "SELECT source, CAST(generation AS BIGINT) AS generation, tombstone, CAST(count(*) AS BIGINT) AS n FROM (SELECT source, 1 AS generation, source = 'src1' AS tombstone FROM documents UNION ALL SELECT source, 2, false FROM documents WHERE source = 'src1' AND doc_id % 2 = 0) GROUP BY ALL",
-    "hash_delta": "WITH d AS (SELECT doc_id AS path, 'sha256:' || sha256(text) AS h FROM documents), o AS (SELECT * FROM d WHERE path % 11 <> 4), n AS (SELECT path, CASE WHEN path % 5 = 0 THEN 'edited' ELSE h END AS h FROM d WHERE path % 7 <> 3) SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.h = n.h THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.path = n.path",
+    "index_stats": "SELECT source, CAST(count(*) FILTER (NOT l) AS BIGINT) AS num_unindexed_rows, CAST(count(*) FILTER (l) AS BIGINT) AS num_indexed_rows FROM (SELECT source, doc_id IN (SELECT doc_id FROM labels) AS l FROM documents) GROUP BY source",
+    "tombstone_replace": "SELECT source, CAST(generation AS BIGINT) AS generation, tombstone, CAST(count(*) AS BIGINT) AS n FROM (SELECT source, 1 AS generation, source = 'src1' AS tombstone FROM documents UNION ALL SELECT source, 2, false FROM documents WHERE source = 'src1') GROUP BY ALL",
+    "hash_delta": "WITH o AS (SELECT 'doc:' || doc_id AS path, 'sha256:' || sha256(text) AS h FROM documents), n AS (SELECT 'doc:' || doc_id AS path, 'sha256:' || sha256(regexp_replace(text, '[0-9]+', '0', 'g')) AS h FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'page:' || page_id, 'sha256:' || sha256(html) FROM pages) SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.h = n.h THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.path = n.path",
     "embedding_cache_miss": f"SELECT chunk_id, content_hash, model_version FROM {WANTED.sql()} w WHERE NOT EXISTS (SELECT 1 FROM {CACHE.sql()} c WHERE c.content_hash = w.content_hash AND c.model_version = w.model_version)",
     "stamp_gate": _GATE,
     "federation_envelope": f"SELECT project_id, reason IS NULL AS answered, reason FROM ({_ENVELOPE})",
