@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 MARK = "[REDACTED]"
 MARK_IN_JAVA = r"\[REDACTED\]"
 
-#: Token prefixes and sensitive key names.
+#: What the baseline looks for, in the order in which it does.
+PEM = r"-----BEGIN [A-Z ]+-----[\s\S]*?-----END [A-Z ]+-----"
 PREFIXES = ("ghp_", "github_pat_", "sk-", "xoxb-", "xoxp-", "xoxa-", "AKIA", "-----BEGIN ")
+TOKEN_END, TOKEN_LEAST = r"[^ \t\n\"',;)]", 4
 JSON_KEYS = ("password", "token", "secret", "api_key", "access_key", "private_key", "auth_token")
-PEM = r"-----BEGIN [A-Z ]+-----[\s\S]*?-----END [A-Z ]+-----"
-TOKEN_END = r"[^ \t\n\"',;)]"
+JSON_VALUE = r'[^"]{20,}'
+KV_NAME = r"(?:export\s+)?[A-Z_]{3,}(?:SECRET|KEY|TOKEN|PASSWORD|AUTH)[A-Z_]*\s*=\s*[\"']?"
+KV_VALUE = r"[A-Za-z0-9+/=_\-]{20,}"
 
 
 def baseline_rules() -> list[tuple[str, str]]:
     """(pattern, replacement) in order: PEM blocks, prefix tokens, JSON values, KEY=value."""
     rules = [(PEM, MARK)]
-    rules += [(f"{p}{TOKEN_END}{{4,}}", MARK) for p in PREFIXES]
-    rules.append((rf'(?i)("(?:{"|".join(JSON_KEYS)})"\s*:\s*")[^"]{{20,}}"', rf'$1{MARK}"'))
-    rules.append((r"(^|\n)((?:export\s+)?[A-Z_]{3,}(?:SECRET|KEY|TOKEN|PASSWORD|AUTH)[A-Z_]*\s*=\s*[\"']?)[A-Za-z0-9+/=_\-]{20,}", rf"$1$2{MARK}"))
+    rules += [(f"{p}{TOKEN_END}{{{TOKEN_LEAST},}}", MARK) for p in PREFIXES]
+    rules.append((rf'(?i)("(?:{"|".join(JSON_KEYS)})"\s*:\s*"){JSON_VALUE}"', rf'$1{MARK}"'))
+    rules.append((rf"(^|\n)({KV_NAME}){KV_VALUE}", rf"$1$2{MARK}"))
     return rules
 
 
