@@ -26,6 +26,8 @@ from .language_id import row_runs
 
 RADIUS = 2
 SEED = 42
+#: Pairs of query and node that a search holds at once.
+FRONTIER = 2_000_000
 #: Min-wise hashes: bands that key shards, hashes in a band, places of the sketch.
 BANDS, BAND_HASHES, PLACES = 6, 3, 128
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -141,6 +143,7 @@ def local_roots(values: np.ndarray, radius: int, block: int = 512, places: np.nd
     n = len(values)
     up = np.arange(n)
     tree = BkTree(values)
+    block = max(1, min(block, FRONTIER // max(1, n)))  # a frontier holds a few pairs for each query and node at most
     for lo in range(0, n, block):
         for q, node in tree.within(values[lo : lo + block], radius):
             a, b = q + lo, node
