@@ -52,7 +52,8 @@ def engine_rules() -> list[tuple[str, str]]:
     UUIDs or ULIDs are left (see ALLOWED).
     """
     bound = r"(^|[^A-Za-z0-9])"
-    key = r"[A-Za-z0-9_.-]*(?i:secret|key|token|passwd|password|auth|credential)[A-Za-z0-9_.-]*"
+    # looked at first, so that a word with no sign after it is passed over at once
+    key = r"(?=[A-Za-z0-9_.-]++\s*[=:])[A-Za-z0-9_.-]*(?i:secret|key|token|passwd|password|auth|credential)[A-Za-z0-9_.-]*"
     value = r"[A-Za-z0-9+/_.~-]{20,}={0,2}"
     return [
         (PEM, MARK),
@@ -84,7 +85,7 @@ def entropy(text: Column) -> Column:
 
 def high_entropy_values(text: Column, least: float = 3.5) -> Column:
     """Values of KEY=value and key: value whose entropy reaches `least`, but for the allowed shapes."""
-    found = F.regexp_extract_all(text, F.lit(r"[A-Za-z_][A-Za-z0-9_.-]*[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_=-]{20,})"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_.-])[A-Za-z_][A-Za-z0-9_.-]*+[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9+/_=-]{20,})"), F.lit(1))
     return F.filter(found, lambda v: (entropy(v) >= least) & ~v.rlike(rf"^{ALLOWED}$"))
 
 

@@ -71,13 +71,14 @@ def degrees(edges: DataFrame) -> DataFrame:
 def page_rank(edges: DataFrame, rounds: int = 5, damping: float = 0.85) -> DataFrame:
     """(node_id, rank) after a fixed number of rounds; ranks sum to 1 less what nodes without edges out let go.
 
-    The link table is cut to pairs with their share once; each round is one join
-    and one aggregation, combined before it is shuffled.
+    The link table is cut to pairs with their share once and written, as every
+    round reads it; a round is one join and one aggregation, combined before it
+    is shuffled.
     """
     pair = edges.select("source", "target").distinct()
     out = pair.groupBy("source").agg(F.count("*").alias("n"))
-    links = pair.join(out, "source").select("source", "target", (1.0 / F.col("n")).alias("share"))
-    nodes = pair.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    links = durable(pair.join(out, "source").select("source", "target", (1.0 / F.col("n")).alias("share")))
+    nodes = durable(links.select(F.explode(F.array("source", "target")).alias("node_id")).distinct())
     n = nodes.count()
     rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for _ in range(rounds):

@@ -46,11 +46,17 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     return post.join(idf, "term").select(key, "term", part.alias("part")).join(terms, "term").groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; null where a length is 0."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.try_divide(dot, norm(a) * norm(b))
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def dense(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -61,9 +67,11 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: s
     """
     if queries.limit(QUERY_ROWS + 1).count() > QUERY_ROWS:
         raise ValueError(f"more than {QUERY_ROWS} queries in one block")
-    fit = vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("__v"))
-    near = fit.join(F.broadcast(queries.select("query_id", "query_vector")), F.size("__v") == F.size("query_vector"))
-    return near.select("query_id", key, F.round(cosine(F.col("__v"), F.col("query_vector")), 6).alias("score"))
+    # lengths are taken once a vector, not once a pair
+    fit = vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("__v"), norm(F.col(vector)).alias("__n"))
+    asked = queries.select("query_id", "query_vector", norm(F.col("query_vector")).alias("__m"))
+    near = fit.join(F.broadcast(asked), F.size("__v") == F.size("query_vector"))
+    return near.select("query_id", key, F.round(F.try_divide(dot(F.col("__v"), F.col("query_vector")), F.col("__n") * F.col("__m")), 6).alias("score"))
 
 
 def ranked(scored: DataFrame, key: str, k: int, by: str = "query_id") -> DataFrame:
