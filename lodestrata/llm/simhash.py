@@ -26,6 +26,8 @@ from .language_id import row_runs
 
 RADIUS = 2
 SEED = 42
+#: Rows of a shard that one task searches; a larger shard's tree goes to several tasks, each with a part of the queries.
+HOT_ROWS = 4096
 #: Pairs of query and node that a search holds at once.
 FRONTIER = 2_000_000
 #: Min-wise hashes: bands that key shards, hashes in a band, places of the sketch.
@@ -132,21 +134,26 @@ class BkTree:
 
 
 def spanning_links(values: np.ndarray, radius: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """For each value that has a link, (value, smallest value of its component here); roots are left out."""
+    """For each value that has a link, (value, first value of its component here); roots are left out."""
     root = local_roots(values, radius, block)
     linked = root != np.arange(len(values))
     return values[linked], values[root[linked]]
 
 
-def local_roots(values: np.ndarray, radius: int, block: int = 512, places: np.ndarray | None = None, equal: int = 0) -> np.ndarray:
-    """The first place of each value's component; with places, links also need that many equal bytes of them."""
+def local_roots(values: np.ndarray, radius: int, block: int = 512, places: np.ndarray | None = None, equal: int = 0, asked: np.ndarray | None = None) -> np.ndarray:
+    """The first place of each value's component; with places, links also need that many equal bytes of them.
+
+    asked limits the queries to some places; the tree holds all.
+    """
+    asked = np.arange(len(values)) if asked is None else asked
     n = len(values)
     up = np.arange(n)
     tree = BkTree(values)
     block = max(1, min(block, FRONTIER // max(1, n)))  # a frontier holds a few pairs for each query and node at most
-    for lo in range(0, n, block):
-        for q, node in tree.within(values[lo : lo + block], radius):
-            a, b = q + lo, node
+    for lo in range(0, len(asked), block):
+        some = asked[lo : lo + block]
+        for q, node in tree.within(values[some], radius):
+            a, b = some[q], node
             if places is not None:
                 new = _roots(up, a) != _roots(up, b)  # what is joined already needs no further link
                 a, b = a[new], b[new]
@@ -186,21 +193,37 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def fingerprint_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Links (a, b) between fingerprints of column fp that connect all within radius of each other."""
     blocks = radius + 1
     edges = [64 * k // blocks for k in range(blocks + 1)]
     shard = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("part")) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
     dealt = distinct.select("fp", F.explode(shard).alias("s")).select(F.xxhash64("s.block", "s.part").alias("shard"), "fp")
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (values,) in _groups(batches):
-            a, b = spanning_links(values.view(np.uint64), radius)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        for part, parts, fp in _groups(batches):
+            root = local_roots(fp.view(np.uint64), radius, asked=_asked(fp, part, parts))
+            linked = root != np.arange(len(fp))
+            if linked.any():
+                yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[root[linked]])], names=["a", "b"])
+
+    return _in_cells(dealt, hot_rows).mapInArrow(run, "a long, b long")
+
+
+def _in_cells(dealt: DataFrame, hot_rows: int) -> DataFrame:
+    """Rows (shard, ...) as (shard, part, parts, ...), a cell's rows together; a hot shard's rows go to each of its parts.
+
+    Only shards beyond hot_rows are listed, from counts combined before they move.
+    """
+    size = dealt.groupBy("shard").count().where(F.col("count") > hot_rows).select("shard", F.ceil(F.col("count") / hot_rows).cast("int").alias("parts"))
+    told = dealt.join(size, "shard", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cells = told.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return cells.select("shard", "part", "parts", *[c for c in dealt.columns if c != "shard"]).repartition("shard", "part").sortWithinPartitions("shard", "part")
+
 
-    return dealt.mapInArrow(run, "a long, b long")
+def _asked(key: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Places of the queries that a part of a shard asks; every key is asked by one part."""
+    return np.flatnonzero(_text.mix(key.view(np.uint64)) % np.uint64(parts) == np.uint64(part))
 
 
 def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = RADIUS) -> DataFrame:
@@ -223,7 +246,7 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return prints.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_components(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
+def similar_components(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", shingle: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, component_id) of every row of docs whose key is not null, by similarity of shingle sets.
 
     Rows are linked if their sketches agree in as many places as sets of that
@@ -251,41 +274,43 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, key: str = "doc
     told = durable(rows.mapInArrow(sketch, "doc_id long, fp long, bands array<long>, places binary"))
     same = ["fp", "places"]
     items = durable(told.groupBy(*same).agg(F.min("doc_id").alias("item"), F.first("bands").alias("bands")))
-    dealt = items.select(F.explode("bands").alias("shard"), "item", *same).repartition("shard").sortWithinPartitions("shard", "item")
+    dealt = items.select(F.explode("bands").alias("shard"), "item", *same)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for item, fp, places in _groups(batches):
-            root = local_roots(fp.view(np.uint64), radius, 512, np.frombuffer(b"".join(places), np.uint8).reshape(-1, PLACES), equal)
+        for part, parts, item, fp, places in _groups(batches):
+            root = local_roots(fp.view(np.uint64), radius, 512, np.frombuffer(b"".join(places), np.uint8).reshape(-1, PLACES), equal, _asked(item, part, parts))
             linked = root != np.arange(len(item))
             if linked.any():
                 yield pa.RecordBatch.from_arrays([pa.array(item[linked]), pa.array(item[root[linked]])], names=["a", "b"])
 
-    links = durable(dealt.mapInArrow(run, "a long, b long").distinct())
+    links = durable(_in_cells(dealt, hot_rows).mapInArrow(run, "a long, b long").distinct())
     parts = durable(connected_components(links).select(F.col("node").alias("item"), F.col("root").alias("component_id")))
     label = durable(items.join(parts, "item", "left").select(*same, F.coalesce("component_id", "item").alias("component_id")))
     return told.join(label, same).select("doc_id", "component_id")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-    """Columns after the first of each run of rows with one value in it, for runs of two rows or more."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(part, parts, further columns) of each run of rows with one shard and part, for runs of two rows or more."""
     held: list[list] = []
-    of = None
+    of: tuple[int, int, int] | None = None
 
-    def joined() -> list:
-        return [np.concatenate(c) for c in zip(*held, strict=True)]
+    def joined() -> tuple:
+        return (of[1], of[2], *(np.concatenate(c) for c in zip(*held, strict=True)))
 
     for batch in batches:
-        shards = batch.column(0).to_numpy(zero_copy_only=False)
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, batch.num_columns)]
-        bounds = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+        shard, part, parts = cols[:3]
+        cut = np.flatnonzero((shard[1:] != shard[:-1]) | (part[1:] != part[:-1])) + 1
+        bounds = [0, *cut.tolist(), len(shard)]
         for lo, hi in zip(bounds, bounds[1:], strict=False):
             if lo == hi:
                 continue
-            if of is not None and shards[lo] != of:
+            cell = (int(shard[lo]), int(part[lo]), int(parts[lo]))
+            if of is not None and cell != of:
                 if sum(len(h[0]) for h in held) > 1:
                     yield joined()
                 held = []
-            of = shards[lo]
-            held.append([c[lo:hi] for c in cols])
+            of = cell
+            held.append([c[lo:hi] for c in cols[3:]])
     if sum(len(h[0]) for h in held) > 1:
         yield joined()

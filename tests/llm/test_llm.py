@@ -209,6 +209,18 @@ def test_spanning_links_equal_brute_force(seed):
     assert {int(x): int(y) for x, y in zip(a, b, strict=True)} == {int(x): c for x, c in zip(v, want, strict=True) if c != int(x)}
 
 
+def test_hot_shards_are_searched_in_parts(spark):
+    r = np.random.default_rng(3)
+    v = np.unique(np.array([sum(1 << int(k) for k in r.choice(40, r.integers(0, 5), False)) for _ in range(400)], np.int64))
+    want = dict(zip(v.tolist(), brute_components([(int(x), int(x)) for x in v]), strict=True))
+    for hot_rows in (4096, 50):
+        links = simhash.fingerprint_links(spark.createDataFrame([(int(x),) for x in v], "fp long"), 2, hot_rows)
+        got = {x.node: x.root for x in components.connected_components(links).collect()}
+        assert {k: got.get(k, k) for k in want} == want
+    rows = [(k, " ".join(f"w{i}" for i in range(300) if i != 5 * k)) for k in range(50)]
+    assert {x.component_id for x in simhash.similar_components(docs_of(spark, rows), hot_rows=7).collect()} == {0}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1001 + i) for i in range(50)] + [(5, 5)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
