@@ -272,6 +272,17 @@ def test_similar_components_find_near_copies(spark):
     assert simhash.similar_components(docs_of(spark, [])).count() == 0
 
 
+def test_similar_components_of_texts_that_differ_in_repeats_only(spark):
+    r = random.Random(12)
+    rows = []
+    for k in range(30):
+        line = " ".join(f"line{r.randrange(900)}" for _ in range(12))
+        base = " ".join(f"w{r.randrange(5000)}" for _ in range(200))
+        rows += [(10 * k, f"{base} {line} {line}"), (10 * k + 1, base + f" {line}" * 50)]
+    got = {x.doc_id: x.component_id for x in simhash.similar_components(docs_of(spark, rows)).collect()}
+    assert [got[d] for d, _ in rows] == brute_similar(rows) == [d - d % 10 for d, _ in rows]
+
+
 def test_sketches_estimate_similarity():
     r = np.random.default_rng(6)
     for share in (0.2, 0.5, 0.8):
