@@ -11,7 +11,7 @@ forest of its links, not all pairs; connected components join the shards.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -31,7 +31,7 @@ HOT_ROWS = 4096
 #: Pairs of query and node that a search holds at once.
 FRONTIER = 2_000_000
 #: Min-wise hashes: bands that key shards, hashes in a band, places of the sketch.
-BANDS, BAND_HASHES, PLACES = 6, 3, 128
+BANDS, BAND_HASHES, PLACES = 16, 3, 128
 _rng = np.random.Generator(np.random.PCG64(77))
 _FACTORS = _rng.integers(1, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -150,11 +150,8 @@ def spanning_links(values: np.ndarray, radius: int, block: int = 512) -> tuple[n
     return values[linked], values[root[linked]]
 
 
-def local_roots(values: np.ndarray, radius: int, block: int = 512, places: np.ndarray | None = None, equal: int = 0, asked: np.ndarray | None = None) -> np.ndarray:
-    """The first place of each value's component; with places, links also need that many equal bytes of them.
-
-    asked limits the queries to some places; the tree holds all.
-    """
+def local_roots(values: np.ndarray, radius: int, block: int = 512, asked: np.ndarray | None = None) -> np.ndarray:
+    """The first place of each value's component; asked limits the queries to some places, the tree holds all."""
     asked = np.arange(len(values)) if asked is None else asked
     n = len(values)
     up = np.arange(n)
@@ -163,23 +160,57 @@ def local_roots(values: np.ndarray, radius: int, block: int = 512, places: np.nd
     for lo in range(0, len(asked), block):
         some = asked[lo : lo + block]
         for q, node in tree.within(values[some], radius):
-            a, b = some[q], node
-            if places is not None:
-                new = _roots(up, a) != _roots(up, b)  # what is joined already needs no further link
-                a, b = a[new], b[new]
-                same = np.concatenate([(places[a[k : k + 4096]] == places[b[k : k + 4096]]).sum(1) for k in range(0, len(a), 4096)]) if len(a) else np.zeros(0)
-                a, b = a[same >= equal], b[same >= equal]
-            while True:  # hang the larger root under the smaller until all pairs agree
-                a_root, b_root = _roots(up, a), _roots(up, b)
-                apart = a_root != b_root
-                if not apart.any():
-                    break
-                a, b = a[apart], b[apart]
-                hi, to = np.maximum(a_root[apart], b_root[apart]), np.minimum(a_root[apart], b_root[apart])
-                np.minimum.at(up, hi, to)
+            _hang(up, some[q], node)
     return _roots(up, np.arange(n))
 
 
+def local_forest(values: np.ndarray, radius: int, places: np.ndarray, equal: int, asked: np.ndarray, holds: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs within radius that have at least equal bytes of places in common, and that hold.
+
+    With holds every pair that would join two trees is put to it, until one of
+    them holds or none is left. A pair is asked by its later place. Radii that
+    leave a tree nothing to prune are compared in blocks.
+    """
+    up = np.arange(len(values))
+    out = []
+    block = max(1, FRONTIER // 4 // max(1, len(values)))
+    for lo in range(0, len(asked), block):
+        some = asked[lo : lo + block]
+        q, b = np.nonzero(np.bitwise_count(values[some][:, None] ^ values) <= radius)
+        a = some[q]
+        a, b = a[b < a], b[b < a]
+        for k in range(0, len(a), 4096):
+            x, y = a[k : k + 4096], b[k : k + 4096]
+            new = _roots(up, x) != _roots(up, y)  # what is joined already needs no further link
+            x, y = x[new], y[new]
+            near = (places[x] == places[y]).sum(1) >= equal
+            x, y = x[near], y[near]
+            if holds is None:
+                out += _hang(up, x, y)
+                continue
+            for i, j in zip(x.tolist(), y.tolist(), strict=True):
+                if (_roots(up, np.array([i])) != _roots(up, np.array([j])))[0] and holds(i, j):
+                    out += _hang(up, np.array([i]), np.array([j]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *[x for x, _ in out]]), np.concatenate([none, *[y for _, y in out]])
+
+
+def _hang(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hangs the larger root of each pair under the smaller until all pairs agree; the pairs that did it."""
+    did = []
+    while True:
+        a_root, b_root = _roots(up, a), _roots(up, b)
+        apart = a_root != b_root
+        if not apart.any():
+            return did
+        a, b = a[apart], b[apart]
+        hi, to = np.maximum(a_root[apart], b_root[apart]), np.minimum(a_root[apart], b_root[apart])
+        np.minimum.at(up, hi, to)
+        set_ = np.flatnonzero(up[hi] == to)
+        which = set_[np.unique(hi[set_], return_index=True)[1]]
+        did.append((a[which], b[which]))
+
+
 def _roots(up: np.ndarray, of: np.ndarray) -> np.ndarray:
     at = up[of]
     while True:
@@ -259,53 +290,119 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def similar_components(docs: DataFrame, similarity: float = 0.8, key: str = "doc_id", text: str = "text", shingle: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, component_id) of every row of docs whose key is not null, by similarity of shingle sets.
 
-    Rows are linked if their sketches agree in as many places as sets of that
-    Jaccard similarity do, less one standard error, so that few links at the
-    threshold are lost. component_id is the smallest key that links lead to.
-    Texts without a word are alike; repeated rows each come back; an empty table
-    gives none; further columns are not read.
+    Two sets are linked if their Jaccard similarity, taken over the whole sets,
+    reaches the limit. Candidates share a band of min-wise hashes and agree in as
+    many places as such sets do, less four standard errors. Each shard reports a
+    spanning forest of its candidates; its links are verified, and a tree with a
+    false one is searched again with the sets at hand. component_id is the
+    smallest key that links lead to. Texts without a word are alike; repeated rows
+    each come back; an empty table gives none; further columns are not read.
     """
-    share = similarity - (similarity * (1 - similarity) / PLACES) ** 0.5
-    equal = int(np.ceil(PLACES * (share * 255 + 1) / 256))
+    expected = similarity + (1 - similarity) / 256
+    equal = int(np.floor(PLACES * expected - 4 * (PLACES * expected * (1 - expected)) ** 0.5))
     # cosine of sets from Jaccard, the angle's share of 64 bits, and six standard errors more; prints are of sets, too
     part = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     radius = int(np.ceil(64 * part + 6 * (64 * part * (1 - part)) ** 0.5))
 
+    def told_of(col: pa.Array) -> Iterator[tuple]:
+        for lo, hi in row_runs(col, 1 << 20):
+            h, n = shingle_sets(*shingle_hashes(col.slice(lo, hi - lo).to_pylist(), shingle))
+            yield lo, hi, h, n, set_digests(h, n)
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in row_runs(b.column(1), 1 << 20):
-                part = b.slice(lo, hi - lo)
-                h, n = shingle_sets(*shingle_hashes(part.column(1).to_pylist(), shingle))
+            for lo, hi, h, n, item in told_of(b.column(1)):
                 keys, places = sketches(h, n)
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(n) + 1, BANDS, dtype=np.int32)), pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(h, n).view(np.int64)), bands, pa.array([p.tobytes() for p in places], pa.binary())], names=["doc_id", "fp", "bands", "places"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(item), pa.array(fingerprints(h, n).view(np.int64)), bands, pa.array([p.tobytes() for p in places], pa.binary())], names=["doc_id", "item", "fp", "bands", "places"])
 
-    rows = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    told = durable(rows.mapInArrow(sketch, "doc_id long, fp long, bands array<long>, places binary"))
-    same = ["fp", "places"]
-    items = durable(told.groupBy(*same).agg(F.min("doc_id").alias("item"), F.first("bands").alias("bands")))
-    dealt = items.select(F.explode("bands").alias("shard"), "item", *same)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, _, h, n, item in told_of(b.column(1)):
+                ends = np.cumsum(n)
+                yield pa.RecordBatch.from_arrays([pa.array(item), pa.array([h[e - k : e].tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())], names=["item", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, parts, item, fp, places in _groups(batches):
-            root = local_roots(fp.view(np.uint64), radius, 512, np.frombuffer(b"".join(places), np.uint8).reshape(-1, PLACES), equal, _asked(item, part, parts))
-            linked = root != np.arange(len(item))
-            if linked.any():
-                yield pa.RecordBatch.from_arrays([pa.array(item[linked]), pa.array(item[root[linked]])], names=["a", "b"])
+        for shard, part, parts, item, fp, places in _groups(batches, True):
+            order = np.argsort(item)  # so that the trees of several shards have like links
+            item, fp, places = item[order], fp[order], _bytes_of(places[order])
+            a, b = local_forest(fp.view(np.uint64), radius, places, equal, _asked(item, part, parts))
+            if len(a):
+                up = np.arange(len(item))
+                _hang(up, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), x, t)) for x, t in ((shard, np.int64), (part, np.int32), (parts, np.int32))] + [pa.array(x) for x in (item[a], item[b], item[_roots(up, a)])], names=["shard", "part", "parts", "a", "b", "tree"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(k).to_pylist() for k in (2, 3))
+            good = [similar_sets(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), similarity) for s, t in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "good"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, parts, item, fp, places, hashes in _groups(batches):
+            sets = [np.frombuffer(x, np.uint64) for x in hashes]
+            a, b = local_forest(fp.view(np.uint64), radius, _bytes_of(places), equal, _asked(item, part, parts), lambda i, j, sets=sets: similar_sets(sets[i], sets[j], similarity))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(item[a]), pa.array(item[b])], names=["a", "b"])
+
+    rows = docs.where(F.col(f"`{key}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    told = durable(rows.mapInArrow(sketch, "doc_id long, item long, fp long, bands array<long>, places binary"))
+    items = durable(told.groupBy("item").agg(F.min("doc_id").alias("first_doc"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("places").alias("places")))
+    dealt = items.select(F.explode(F.array_distinct("bands")).alias("shard"), "item", "fp", "places")
+    found = durable(_in_cells(dealt, hot_rows).mapInArrow(run, "shard long, part int, parts int, a long, b long, tree long"))
+
+    # the sets of what has a candidate, once each, from the first row that holds them
+    pairs = found.select("a", "b").distinct()
+    wanted = durable(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "item"))
+    of = items.join(wanted, "item", "left_semi").select(F.col("first_doc").alias("doc_id")).distinct()
+    sets = rows.join(of, "doc_id", "left_semi").mapInArrow(whole, "item long, hashes binary").join(wanted, "item", "left_semi")
+    sets = durable(sets.groupBy("item").agg(F.first("hashes").alias("hashes")))
+    told_a, told_b = (sets.select(F.col("item").alias(c), F.col("hashes").alias(f"{c}_hashes")) for c in "ab")
+    checked = durable(pairs.join(told_a, "a").join(told_b, "b").select("a", "b", "a_hashes", "b_hashes").mapInArrow(verify, "a long, b long, good boolean"))
+    links, cell = checked.where("good").select("a", "b"), ["shard", "part", "parts", "tree"]
+    if not checked.where("not good").isEmpty():
+        false = found.join(checked.where("not good"), ["a", "b"], "left_semi").select(*cell).distinct()
+        trees = found.join(false, cell, "left_semi").select(*cell, F.explode(F.array("a", "b")).alias("item")).distinct()
+        full = trees.select(F.xxhash64("shard", "tree").alias("shard"), "part", "parts", "item").join(items.select("item", "fp", "places"), "item").join(sets, "item")
+        full = full.select("shard", "part", "parts", "item", "fp", "places", "hashes").repartition("shard", "part").sortWithinPartitions("shard", "part", "item")
+        links = durable(links.union(full.mapInArrow(again, "a long, b long")).distinct())
+    roots = durable(connected_components(links).select(F.col("node").alias("item"), "root"))
+    # all members of a component take the smallest key of any of its sets
+    rooted = roots.join(items.select("item", "first_doc"), "item")
+    smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    named = durable(roots.join(smallest, "root").select("item", "component_id"))
+    label = durable(items.join(named, "item", "left").select("item", F.coalesce("component_id", "first_doc").alias("component_id")))
+    return told.select("doc_id", "item").join(label, "item").select("doc_id", "component_id")
+
+
+def set_digests(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A signed 64-bit digest of each run of distinct hashes; an empty run has one of its own."""
+    total = np.zeros(len(n), np.uint64)
+    live = n > 0
+    if live.any():
+        total[live] = np.add.reduceat(_text.mix(h), (np.cumsum(n) - n)[live])
+    return _text.mix(total + n.astype(np.uint64) * _FACTORS[0]).view(np.int64)
+
+
+def similar_sets(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have at least that Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
 
-    links = durable(_in_cells(dealt, hot_rows).mapInArrow(run, "a long, b long").distinct())
-    parts = durable(connected_components(links).select(F.col("node").alias("item"), F.col("root").alias("component_id")))
-    label = durable(items.join(parts, "item", "left").select(*same, F.coalesce("component_id", "item").alias("component_id")))
-    return told.join(label, same).select("doc_id", "component_id")
+def _bytes_of(places: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(places), np.uint8).reshape(-1, PLACES)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(part, parts, further columns) of each run of rows with one shard and part, for runs of two rows or more."""
+def _groups(batches: Iterator[pa.RecordBatch], named: bool = False) -> Iterator[tuple]:
+    """(part, parts, further columns) of each run of rows with one shard and part, for runs of two rows or more; named: shard comes first."""
     held: list[list] = []
     of: tuple[int, int, int] | None = None
 
     def joined() -> tuple:
-        return (of[1], of[2], *(np.concatenate(c) for c in zip(*held, strict=True)))
+        return (*of[0 if named else 1 :], *(np.concatenate(c) for c in zip(*held, strict=True)))
 
     for batch in batches:
         cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]

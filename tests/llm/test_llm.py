@@ -283,6 +283,30 @@ def test_similar_components_of_texts_that_differ_in_repeats_only(spark):
     assert [got[d] for d, _ in rows] == brute_similar(rows) == [d - d % 10 for d, _ in rows]
 
 
+def test_similar_components_are_exact_at_the_limit(spark):
+    r = random.Random(13)
+    rows = []
+    for k in range(60):
+        base = [f"w{r.randrange(10**6)}" for _ in range(304)]  # 300 shingles
+        rows.append((1000 * k, " ".join(base)))
+        for c, cut in enumerate((30, 36, 37, 40)):  # a tail of new words: cut of 300 shingles differ on either side
+            rows.append((1000 * k + 1 + c, " ".join([*base[:-cut], *(f"x{c}y{r.randrange(10**6)}" for _ in range(cut))])))
+        both = [f"w{r.randrange(10**6)}" for _ in range(304)]
+        rows += [(1000 * k + 100, " ".join(both[:244])), (1000 * k + 101, " ".join(both)), (1000 * k + 110, " ".join(both[:243]))]  # 240/300, and 239
+    rows = [x for x in rows if x[0] % 1000 != 110] + [(x[0] + 10**6, x[1]) for x in rows if x[0] % 1000 in (101, 110)]
+    for hot_rows in (4096, 2):
+        got = {x.doc_id: x.component_id for x in simhash.similar_components(docs_of(spark, rows), hot_rows=hot_rows).collect()}
+        assert [got[d] for d, _ in rows] == brute_similar(rows)
+
+
+def test_a_false_candidate_does_not_stop_the_search():
+    sets = [np.arange(100), np.arange(30, 130), np.arange(1, 101), np.arange(28, 128), np.arange(12, 112)]
+    same = np.zeros((5, simhash.PLACES), np.uint8)
+    a, b = simhash.local_forest(np.zeros(5, np.uint64), 2, same, 100, np.arange(5), lambda i, j: simhash.similar_sets(sets[i], sets[j], 0.75))
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(2, 0), (3, 1), (4, 0)]
+    assert not simhash.similar_sets(sets[4], sets[1], 0.75) and len(simhash.local_forest(np.zeros(5, np.uint64), 2, same, 100, np.arange(5))[0]) == 4
+
+
 def test_sketches_estimate_similarity():
     r = np.random.default_rng(6)
     for share in (0.2, 0.5, 0.8):
