@@ -659,6 +659,21 @@ def test_pipeline_stages_against_brute_force(spark, tmp_path):
     check_packing(a4, [(x.doc_id, x.text) for x in b4])
 
 
+def test_pipeline_stages_of_rows_without_an_id_or_with_one_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    prose = [x.text for x in real(spark).where("length(text) > 800").orderBy("doc_id").limit(4).collect()]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("item_id = 3").first().text
+    leaks = docs_of(spark, [(None, f"{prose[0]} {item}"), (None, prose[0]), (7, f"{prose[1]} {item}"), (7, prose[2])])
+    assert {(x.doc_id, x.text) for x in pipeline.benchmark_leaks(spark, leaks, SF).collect()} == {(None, prose[0]), (7, prose[2])}
+    near = docs_of(spark, [(None, prose[0]), (3, prose[0]), (None, prose[1]), (None, prose[1]), (None, f"{prose[1]} more"), (5, prose[2]), (5, prose[3]), (5, prose[3])])
+    left = [(x.doc_id, x.text) for x in pipeline.near_duplicates(spark, near, SF).collect()]
+    assert sorted(x for x in left if x[0]) == sorted([(3, prose[0]), (5, prose[2]), (5, prose[3])])
+    assert len(left) == 4 and [x[1].startswith(prose[1]) for x in left if x[0] is None] == [True]
+    shared = " ".join(f"s{k}" for k in range(40))
+    cut = pipeline.repeated_passages(spark, docs_of(spark, [(9, f"{shared} nine"), (None, f"none {shared}")]), SF).collect()
+    assert {(x.doc_id, x.text) for x in cut} == {(9, f"{shared} nine"), (None, "none")}
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs_of(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
