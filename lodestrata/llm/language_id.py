@@ -6,8 +6,9 @@ the fewer phrases it takes, the closer the language. With c phrases over n
 symbols and N labelled symbols the cross-parsing entropy is c * log2(N) / n bits
 a symbol, and the language with the smallest one wins.
 
-The automata become one flat transition table in which a failed step already
-holds the restart from the root, so thousands of blocks of text walk through all
+Each automaton becomes a flat transition table in which a failed step already
+holds the restart from the root (where the alphabets make that too large, a hash
+table of its transitions, and one row of restarts), so thousands of blocks of text walk through all
 languages in lockstep with a few array operations a symbol. Texts are parsed
 whole, in blocks of BLOCK symbols; a phrase ends with its block.
 """
@@ -28,6 +29,9 @@ from pyspark.sql import functions as F
 DOCS_PER_LANGUAGE, MAX_SAMPLE_CHARS, SYMBOLS_PER_LANGUAGE, MAX_LANGUAGES = 80, 20_000, 24_000, 256
 BLOCK = 512
 _SEP, _UNKNOWN, _PAD = 0, 1, 2
+CODE_POINTS = 0x110000
+#: Cells of a language's transition table; a larger one is kept as a hash table of its transitions.
+DENSE_CELLS = 1 << 24
 #: Bits by which a rival must be worse for its weight in the score to halve, inverted.
 SHARPNESS = 6.0
 
@@ -64,9 +68,9 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 @lru_cache(maxsize=1)
 def _lower_letters() -> np.ndarray:
-    """For each code point of the first plane its lower-case letter, or 0 if it is no letter."""
-    out = np.zeros(65536, np.uint32)
-    for c in range(65536):
+    """For each code point its lower-case letter, or 0 if it is no letter."""
+    out = np.zeros(CODE_POINTS, np.uint32)
+    for c in range(CODE_POINTS):
         s = chr(c)
         if s.isalpha():
             low = s.lower()
@@ -76,17 +80,74 @@ def _lower_letters() -> np.ndarray:
 
 def letters_of(text: str) -> np.ndarray:
     """Lower-case letters of a text as code points, each run of anything else as one 0."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = _lower_letters()
-    low = np.where(code < 65536, table[np.minimum(code, 65535)], 0)
-    for k in np.flatnonzero(code >= 65536):
-        if chr(code[k]).isalpha():
-            low[k] = code[k]
+    low = _lower_letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
     keep = np.ones(len(low), bool)
     keep[1:] = (low[1:] != 0) | (low[:-1] != 0)
     return low[keep]
 
 
+class Dense:
+    """Transitions as a table; a failed step holds the inverse of its restart."""
+
+    def __init__(self, step: list[dict[int, int]], size: int):
+        self.size = size
+        flat = np.zeros((len(step), size), np.int32)
+        for c, to in step[0].items():
+            flat[:, c] = to
+        flat = ~flat
+        for s, edges in enumerate(step):
+            for c, to in edges.items():
+                flat[s, c] = to
+        flat[:, _PAD] = 0
+        flat[:, _UNKNOWN] = ~np.int32(0)
+        self.table = flat.ravel()
+
+    def __call__(self, s: np.ndarray, c: np.ndarray) -> np.ndarray:
+        s *= self.size
+        s += c
+        return self.table[s]
+
+
+class Sparse:
+    """The same by open addressing, for alphabets of any size."""
+
+    def __init__(self, step: list[dict[int, int]], size: int):
+        self.size = size
+        self.restart = np.full(size, ~np.int32(0), np.int32)
+        for c, to in step[0].items():
+            self.restart[c] = ~np.int32(to)
+        self.restart[_PAD], self.restart[_UNKNOWN] = 0, ~np.int32(0)
+        edges = [(s * size + c, to) for s, e in enumerate(step) for c, to in e.items() if c not in (_PAD, _UNKNOWN)]
+        key, to = (np.array([e[k] for e in edges], t) for k, t in ((0, np.int64), (1, np.int32)))
+        bits = max(4, (4 * len(edges)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.to = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        at, left = self.slot(key), np.arange(len(key))
+        while len(left):
+            free = left[self.keys[at[left]] == -1]
+            first = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[first]], self.to[at[first]] = key[first], to[first]
+            left = np.setdiff1d(left, first, assume_unique=True)
+            at[left] = (at[left] + (self.keys[at[left]] != key[left])) & self.last
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, s: np.ndarray, c: np.ndarray) -> np.ndarray:
+        key = s.astype(np.int64) * self.size + c
+        at = self.slot(key)
+        have = self.keys[at]
+        out = np.where(have == key, self.to[at], self.restart[c])
+        left = np.flatnonzero((have != key) & (have != -1))
+        while len(left):
+            at[left] = (at[left] + 1) & self.last
+            have = self.keys[at[left]]
+            hit = left[have == key[left]]
+            out[hit] = self.to[at[hit]]
+            left = left[(have != key[left]) & (have != -1)]
+        return out
+
+
 class CrossParser:
     """Automata of all languages; sample is a tuple of (language, labelled text)."""
 
@@ -94,38 +155,20 @@ class CrossParser:
         self.languages = [lang for lang, _ in sample]
         read = [letters_of(text)[:] for _, text in sample]
         seen = Counter(c for r in read for c in r.tolist() if c)
-        self.alphabet = {c: k + 3 for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:250])}
+        self.alphabet = {c: k + 3 for k, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0])))}
         size = len(self.alphabet) + 3
-        self.map = np.full(65536, _UNKNOWN, np.int32)
+        self.map = np.full(CODE_POINTS, _UNKNOWN, np.int32)
         self.map[0] = _SEP
         for c, k in self.alphabet.items():
-            if c < 65536:
-                self.map[c] = k
-        parts, self.root, self.log = [], [], []
-        offset = 0
+            self.map[c] = k
+        self.automata = []
         for r in read:
             step = suffix_automaton(self.symbols(r).tolist())
-            flat = np.empty((len(step), size), np.int32)
-            restart = np.zeros(size, np.int32)
-            for c, to in step[0].items():
-                restart[c] = to
-            flat[:] = ~(restart + offset)
-            for s, edges in enumerate(step):
-                for c, to in edges.items():
-                    flat[s, c] = to + offset
-            flat[:, _PAD] = offset
-            flat[:, _UNKNOWN] = ~np.int32(offset)
-            parts.append(flat)
-            self.root.append(offset)
-            self.log.append(math.log2(max(2, len(r))))
-            offset += len(step)
-        self.size = size
-        self.table = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
-        self.root_states = np.array(self.root, np.int32)
-        self.bits = np.array(self.log)
+            self.automata.append((Dense if len(step) * size <= DENSE_CELLS else Sparse)(step, size))
+        self.bits = np.array([math.log2(max(2, len(r))) for r in read])
 
     def symbols(self, letters: np.ndarray) -> np.ndarray:
-        return np.where(letters < 65536, self.map[np.minimum(letters, 65535)], _UNKNOWN)
+        return self.map[letters]
 
     def entropies(self, texts: list[str]) -> np.ndarray:
         """Bits a symbol of each text under each language."""
@@ -138,20 +181,18 @@ class CrossParser:
         for r, b in zip(rows, blocks.tolist(), strict=True):
             grid[at : at + b].ravel()[: len(r)] = r
             at += b
-        phrases = np.zeros((len(rows), len(self.root)))
+        phrases = np.zeros((len(rows), len(self.automata)))
         order = np.argsort((grid != _PAD).sum(1), kind="stable")  # blocks of like length walk together
         for lo in range(0, len(order), 4096):
             own = order[lo : lo + 4096]
             g = grid[own]
             steps = int((g != _PAD).sum(1).max()) if len(g) else 0
             lanes = np.ascontiguousarray(g.T[:steps])
-            for k, root in enumerate(self.root):
-                s = np.full(len(g), root, np.int32)
+            for k, to in enumerate(self.automata):
+                s = np.zeros(len(g), np.int32)
                 miss = np.zeros(len(g), np.int32)
                 for c in lanes:
-                    s *= self.size
-                    s += c
-                    v = self.table[s]
+                    v = to(s, c)
                     sign = v >> 31
                     miss -= sign
                     np.bitwise_xor(v, sign, out=s)

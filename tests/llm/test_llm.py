@@ -422,6 +422,32 @@ def test_phrases_equal_a_plain_parse():
             assert got[k] == pytest.approx(n * p.bits[k] / len(symbols))
 
 
+def test_languages_of_large_alphabets_and_of_all_planes(monkeypatch):
+    r = random.Random(4)
+
+    def prose(letters, seed, n):
+        vocabulary = ["".join(random.Random(seed * 1000 + i).choices(letters, k=3)) for i in range(300)]
+        return " ".join(r.choice(vocabulary) for _ in range(n))
+
+    common, one, two = [chr(0x4E00 + k) for k in range(250)], [chr(0x5000 + k) for k in range(900)], [chr(0xAC00 + k) for k in range(900)]
+    high, other = [chr(0x10450 + k) for k in range(40)], [chr(0x20000 + k) for k in range(300)]
+    kinds = {"aa": common, "bb": one, "cc": two, "dd": high, "ee": other}
+    sample = tuple((k, prose(x, ord(k[0]), 3000)) for k, x in kinds.items())
+    for _ in range(2):
+        lang, score = language_id.CrossParser(sample).predict([prose(x, ord(k[0]), 40) for k, x in kinds.items()])
+        assert lang == list(kinds) and min(score) > 0.9
+        monkeypatch.setattr(language_id, "DENSE_CELLS", 1)  # all sparse
+    assert language_id.letters_of("\U00010400b").tolist() == [0x10428, ord("b")]
+
+
+def test_dense_and_sparse_automata_step_alike():
+    text = [random.Random(2).choice([0, 3, 4, 5, 6]) for _ in range(400)]
+    step = language_id.suffix_automaton(text)
+    a, b = language_id.Dense(step, 9), language_id.Sparse(step, 9)
+    s, c = (np.repeat(np.arange(len(step)), 9).astype(np.int32), np.tile(np.arange(9), len(step)).astype(np.int32))
+    assert (b(s.copy(), c) == a(s.copy(), c)).all()
+
+
 def test_language_of_odd_rows(spark):
     rows = docs_of(spark, [*ODD, (9, "12 34 ..."), (10, "ñ" * 30)]).withColumn("score", F.lit("mine"))
     got = language_id.identify_language(rows, (("en", "some text"),)).collect()
