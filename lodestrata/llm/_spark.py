@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,34 +23,75 @@ def crc32_mod(col: Column, m: int) -> Column:
     return F.crc32(col.cast("string")) % F.lit(m)
 
 
+def place_of(names: list[str], name: str) -> int:
+    """Where a column stands: the first of exactly that name, else the first but for case."""
+    if name in names:
+        return names.index(name)
+    folded = [n.lower() for n in names]
+    if name.lower() in folded:
+        return folded.index(name.lower())
+    raise ValueError(f"no column {name!r} among {names}")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named by their places, so that no name can clash with another."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def only(df: DataFrame, **names: str) -> DataFrame:
+    """The columns of df that names says (new name=old one); whatever else df holds, whatever its names, is not read."""
+    return numbered(df).select(*[F.col(f"c{place_of(df.columns, old)}").alias(new) for new, old in names.items()])
+
+
+def carry_through(df: DataFrame, text: str, result: str, run: Callable[[pa.RecordBatch, int], Iterator[tuple[int, int, list]]], drop_text: bool = False) -> DataFrame:
+    """df with the columns of result (DDL), of which run gives the arrays for runs of rows, from a batch and its text's place.
+
+    Columns of df named like one of result, in any case, are replaced; all others
+    pass, whatever their names.
+    """
+    added = StructType.fromDDL(result)
+    new = {f.name.lower() for f in added}
+    at = place_of(df.columns, text)
+    keep = [k for k, c in enumerate(df.columns) if c.lower() not in new and not (drop_text and k == at)]
+    src = numbered(df).select(*[f"c{k}" for k in keep], *[] if at in keep else [f"c{at}"])
+    place = keep.index(at) if at in keep else len(keep)
+    schema = StructType([*src.schema.fields[: len(keep)], *added.fields])
+    names = schema.names
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, arrays in run(b, place):
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[: len(keep)], *arrays], names=names)
+
+    return src.mapInArrow(mapped, schema).toDF(*[df.columns[k] for k in keep], *added.names)
+
+
 def ensure_shared_folder(spark: SparkSession) -> None:
-    """Sets the checkpoint folder where the session has none yet."""
+    """Sets the checkpoint folder where the context has none yet: the session's, else a temporary one, on a single machine only."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="ckpt-")
+        sc.setCheckpointDir(folder)
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there.
-
-    The folder is the one in spark.checkpoint.dir; only a session that names
-    none (tests, a notebook) gets a temporary one. The written copy cuts the
-    lineage, so a lost executor costs a reread and not a recomputation.
-    """
+    """Writes df to the shared checkpoint folder and reads it from there."""
     ensure_shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Asks the driver's JVM to collect garbage, which frees the shuffle files of finished rounds."""
+    """Asks the driver's JVM to collect garbage, which frees the shuffle files of finished rounds earlier than it else would."""
     import gc
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-
-
 class Written:
     """A table in the shared checkpoint folder, as compact Parquet, until drop()."""
 
@@ -53,9 +99,53 @@ class Written:
         spark = df.sparkSession
         ensure_shared_folder(spark)
         self.spark, self.path = spark, f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        try:
+            df.write.parquet(self.path)
+        except BaseException:
+            self.drop()
+            raise
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Workspace:
+    """Tables of one run that go together: kept() writes one, and leaving the block deletes all but those that were handed out."""
+
+    def __init__(self) -> None:
+        self.tables: list[Written] = []
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        self.tables.append(Written(df))
+        return self.tables[-1].df
+
+    def drop(self, *frames: DataFrame) -> None:
+        for t in [t for t in self.tables if any(t.df is f for f in frames)]:
+            self.tables.remove(t)
+            t.drop()
+
+    def hand_out(self, df: DataFrame) -> DataFrame:
+        """df, whose table stays until this program ends."""
+        _handed_out.extend(t for t in self.tables if t.df is df)
+        self.tables = [t for t in self.tables if t.df is not df]
+        return df
+
+    def __exit__(self, *_: object) -> None:
+        for t in self.tables:
+            t.drop()
+        self.tables = []
+
+
+_handed_out: list[Written] = []
+
+
+@atexit.register
+def _drop_handed_out() -> None:
+    for t in _handed_out:
+        with contextlib.suppress(Exception):  # the session may be gone
+            t.drop()

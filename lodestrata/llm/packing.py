@@ -12,6 +12,7 @@ at powers of two if that wastes less.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -23,6 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import only
+from ._text import row_runs
+
 #: A group closes at whichever comes first.
 GROUP_TOKENS, GROUP_DOCS = 2_000_000, 8192
 #: Fixed value: the pattern of byte-level pre-tokens.
@@ -133,7 +137,7 @@ class ByteBpe:
     The vocabulary is read from that file and run by tiktoken's encoder, whose
     ids are the same and come several times faster; texts that hold a special
     string, or a run of white space that its pattern engine can't hold, go
-    through the tokenizers library itself.
+    through the tokenizers library itself. A file of another kind is refused.
     """
 
     def __init__(self, path: str):
@@ -141,6 +145,13 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        told = json.loads(self.tok.to_str())
+        model, before = told["model"], told["pre_tokenizer"] or {}
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]] if plain else []
+        if not (plain and byte_level and told["normalizer"] is None and made == sorted(made)):
+            raise ValueError(f"{path} is no plain byte-level BPE file whose ids are in the order of its merges")
         added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.odd = re.compile("|".join([*map(re.escape, added), r"\s{5000}"]))
         byte_of = {c: b for b, c in _byte_letters().items()}
@@ -178,10 +189,13 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, e
     documents of their own. A null key stays null. An empty table gives none.
     Only key and text are read, so further columns never clash. Sequence ids are
     unique over the table: the task's number in the upper bits, a counter below.
+    A task sorts its documents before it groups them, so one that runs again packs
+    as it did; equal rows are dealt apart by the input partition they come from.
     """
-    src = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    deal = F.xxhash64("doc_id", "text")
+    src = only(docs, key=key, text=text).select(F.col("key").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    deal = F.xxhash64("doc_id", "text", F.spark_partition_id())
     src = src.repartition(partitions, deal) if partitions else src.repartition(deal)
+    src = src.sortWithinPartitions(F.xxhash64("doc_id", "text"), "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -211,8 +225,8 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, e
 
         for b in batches:
             keys, texts = b.column(0).to_pylist(), b.column(1)
-            for at in range(0, len(keys), 256):
-                for d, ids in zip(keys[at : at + 256], enc.encode(texts.slice(at, 256).to_pylist()), strict=True):
+            for lo, hi in row_runs(texts, 1 << 20):
+                for d, ids in zip(keys[lo:hi], enc.encode(texts.slice(lo, hi - lo).to_pylist()), strict=True):
                     group.append((d, ids + end))
                     held += len(ids) // 4 + 1
                     if held >= GROUP_TOKENS or len(group) >= GROUP_DOCS:

@@ -6,7 +6,7 @@ terms are hashed to DIMENSIONS columns. A bounded sample of labelled documents
 gives the term weights and, by truncated singular value decomposition, the
 latent space. The sample's vectors are broadcast (at most SAMPLE * LATENT
 numbers); each document is multiplied with all of them in blocks, exactly, and
-its NEIGHBOURS nearest vote with the weight of their cosine.
+its NEIGHBOURS nearest vote, weighted by the fourth power of their cosine.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._spark import carry_through, only
 
 #: Documented bounds of the fit: labelled rows at most, and the space's sizes.
 SAMPLE, DIMENSIONS, LATENT, NEIGHBOURS = 4096, 1024, 48, 25
@@ -38,10 +39,11 @@ for _k, _c in enumerate(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"):
 _REPEATS = 16  # columns at the end for repetition
 
 
-def features_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[int, np.ndarray]]:
+def features_of(batch: pa.RecordBatch, column: str | int = "text") -> Iterator[tuple[int, np.ndarray]]:
     """(first row, term counts) of runs of rows; the counts are rows by DIMENSIONS."""
     hashed = DIMENSIONS - _REPEATS
-    for lo, hi, buf, offsets in _text.pieces(batch, column):
+    held = None  # a long text's counts are the sums of its parts'
+    for lo, hi, buf, offsets, part, last in _text.pieces(batch, column):
         n = hi - lo
         out = np.zeros((n, DIMENSIONS), np.float32)
         if len(buf):
@@ -69,7 +71,11 @@ def features_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[i
                 fresh = np.bincount(who[1:][lead], minlength=n)
                 out[:, hashed + 4] = np.maximum(count - 1 - fresh, 0)
                 out[:, hashed + 5] = count
-        yield lo, out
+        if part:
+            out += held
+        held = out
+        if last:
+            yield lo, out
 
 
 def _normalised(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -128,9 +134,9 @@ def fit_quality_of(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     text counts. The sample is chosen from labels alone, and only then joined to
     texts, so no text is shuffled but the sample's.
     """
-    known = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("k is not null and y in (0, 1)")
+    known = only(labels, k=key, y=label).select("k", F.col("y").cast("int").alias("y")).where("k is not null and y in (0, 1)")
     ids = known.distinct().orderBy(F.xxhash64("k"), "k", "y").limit(SAMPLE)
-    rows = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = only(docs, k=key, text=text).withColumn("text", F.coalesce("text", F.lit("")))
     some = rows.join(F.broadcast(ids), "k").groupBy("k", "y").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,20 +155,15 @@ def score_quality(docs: DataFrame, model: NeighbourModel, threshold: float = 0.3
     """docs, without the text, with score (0 to 1) and predicted of each whole text.
 
     Null and empty texts score like a document without terms: the prior. Repeated
-    rows are kept; columns named like a result are replaced; an empty table gives
-    an empty one.
+    rows are kept; columns named like a result, in any case, are replaced, others
+    pass whatever their names; an empty table gives an empty one. A long text is
+    read in parts that end at white space; its terms are counted part by part.
     """
-    out = ("score", "predicted")
-    keep = [c for c in docs.columns if c not in (*out, text)]
-    src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema if f.name != "__text") + "score double, predicted int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, x in features_of(b, "__text"):
-                part = b.slice(lo, len(x))
-                s = shared.value.scores(x)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, *out])
+    def run(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, list]]:
+        for lo, x in features_of(b, at):
+            s = shared.value.scores(x)
+            yield lo, lo + len(x), [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
 
-    return src.mapInArrow(run, schema)
+    return carry_through(docs, text, "score double, predicted int", run, drop_text=True)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import _text
 from ._spark import durable
 from .components import connected_components
-from .language_id import row_runs
+from ._text import row_runs
 
 RADIUS = 2
 SEED = 42

@@ -32,12 +32,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import _text
-from ._spark import Written, durable, release_shuffles
-from .language_id import row_runs
+from ._spark import Workspace, numbered, only, place_of, release_shuffles
 
 WINDOW, ROUNDS = 13, 2
+#: Rounds of which the symbols can be cores: a higher level's context leaves a window few of them.
+CORE_ROUNDS = 2
+#: Parts of the hash space, one matched after the other, so that shuffles hold a part of the rows at a time.
+PASSES = 1
 #: Of this many symbols one, on average, begins a long symbol.
 LONG_SYMBOLS = 10
 _RUN, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -109,7 +113,7 @@ def long_pairs(words: np.ndarray, first: np.ndarray, window: int = WINDOW, round
     return row[enough], beg[enough], end[enough]
 
 
-def cores_of(words: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS, settled: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def cores_of(words: np.ndarray, first: np.ndarray, window: int = WINDOW, rounds: int = CORE_ROUNDS, settled: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(name, row, first window, number of windows) of each core; windows are numbered by their first word in the row.
 
     Windows that begin at a word where settled is true have none.
@@ -174,20 +178,31 @@ def _unpacked(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(size)), size), packed >> 32, packed & 0x7FFFFFFF
 
 
-def _spread(row: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, start + 0, 1, ... n - 1) of each."""
-    return np.repeat(row, n), np.repeat(start, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+def _inside(told: tuple[np.ndarray, np.ndarray, np.ndarray], first: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of stretches (row, word number, length), cut to the words at hand and counted from the first of these."""
+    row, start, n = told
+    count = np.diff(first)[row]
+    lo, hi = np.clip(start - base, 0, count), np.clip(start - base + n, 0, count)
+    some = hi > lo
+    return row[some], lo[some] + first[row[some]], hi[some] + first[row[some]]
+
+
+def _covered(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of size places lie in a stretch."""
+    edge = np.zeros(size + 1, np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
+    return np.cumsum(edge[:-1]) > 0
 
 
 def _find_long(window: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             uid, doc = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            for lo, hi, buf, offsets in _text.pieces(b, "text"):
-                words, first = _text.word_hashes(buf, offsets)
+            for lo, hi, words, first, base in _text.word_runs(b, 2, window - 1):
                 row, beg, end = long_pairs(words, first, window)
                 h1, h2 = (_text.range_hash(words, beg, end, k) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([_long(h1), _long(h2), _long(doc[lo:hi][row]), _long(uid[lo:hi][row]), _long(_pack(beg - first[row], end - beg))], names=["h1", "h2", "doc", "uid", "at"])
+                yield pa.RecordBatch.from_arrays([_long(h1), _long(h2), _long(doc[lo:hi][row]), _long(uid[lo:hi][row]), _long(_pack(base + beg - first[row], end - beg))], names=["h1", "h2", "doc", "uid", "at"])
 
     return run
 
@@ -196,17 +211,14 @@ def _find_cores(window: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             uid = b.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, buf, offsets in _text.pieces(b, "text"):
-                words, first = _text.word_hashes(buf, offsets)
-                of, start, n = _unpacked(b.column(2).slice(lo, hi - lo))
-                _, inside = _spread(of, start + first[of], n - window + 1)
-                settled = np.zeros(len(words), bool)
-                settled[inside] = True
-                name, row, start, n = cores_of(words, first, window, settled=settled)
+            for lo, hi, words, first, base in _text.word_runs(b, 1, window - 1):
+                row, start, n = _unpacked(b.column(2).slice(lo, hi - lo))
+                _, start, end = _inside((row, start, n - window + 1), first, base)
+                name, row, start, n = cores_of(words, first, window, settled=_covered(len(words), start, end))
                 if len(name):
                     once = np.zeros(len(name), bool)
                     once[np.unique(_text.mix(name) + row.astype(np.uint64), return_index=True)[1]] = True
-                    yield pa.RecordBatch.from_arrays([_long(name), _long(uid[lo:hi][row]), _long(_pack(start, n)), pa.array(once)], names=["core", "uid", "at", "first"])
+                    yield pa.RecordBatch.from_arrays([_long(name), _long(uid[lo:hi][row]), _long(_pack(base + start, n)), pa.array(once)], names=["core", "uid", "at", "first"])
 
     return run
 
@@ -215,40 +227,50 @@ def _find_windows(window: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             uid, doc = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            at = b.column(3)
-            for lo, hi, buf, offsets in _text.pieces(b, "text"):
-                words, first = _text.word_hashes(buf, offsets)
-                of, start = _spread(*_unpacked(at.slice(lo, hi - lo)))
-                # a row whose key another text shares may be sent windows that it lacks
-                ok = start + window <= np.diff(first)[of]
-                start, of = start[ok], of[ok]
-                h1, h2 = window_hashes(words, start + first[of], window)
-                yield pa.RecordBatch.from_arrays([_long(h1), _long(h2), _long(doc[lo:hi][of]), _long(uid[lo:hi][of]), pa.array(start.astype(np.int32))], names=["h1", "h2", "doc", "uid", "start"])
+            for lo, hi, words, first, base in _text.word_runs(b, 2, window - 1):
+                _, start, end = _inside(_unpacked(b.column(3).slice(lo, hi - lo)), first, base)
+                asked = np.flatnonzero(_covered(len(words), start, end))
+                row = np.searchsorted(first, asked, "right") - 1
+                whole = asked + window <= first[row + 1]  # the next part of a long row has the others
+                asked, row = asked[whole], row[whole]
+                h1, h2 = window_hashes(words, asked, window)
+                yield pa.RecordBatch.from_arrays([_long(h1), _long(h2), _long(doc[lo:hi][row]), _long(uid[lo:hi][row]), pa.array((base + asked - first[row]).astype(np.int32))], names=["h1", "h2", "doc", "uid", "start"])
 
     return run
 
 
-def _keep_words(text_at: int):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi in row_runs(b.column(text_at)):
-                part = b.slice(lo, hi - lo)
-                kept, total, removed = [], [], []
-                for text, at in zip(part.column(text_at).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
-                    words = text.encode("utf-8", "surrogatepass").split() if text else []
-                    total.append(len(words))
-                    if at:
-                        edge = np.zeros(len(words) + 1, np.int64)
-                        packed = np.array(at)
-                        np.add.at(edge, packed >> 32, 1)
-                        np.add.at(edge, (packed >> 32) + (packed & 0x7FFFFFFF), -1)
-                        words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
-                    removed.append(total[-1] - len(words))
-                    kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-                cols = [pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cols], names=[*part.schema.names[:-1], "kept_text", "n_words", "n_removed"])
-
-    return run
+def kept_texts(batch: pa.RecordBatch, text: int, gone: int) -> Iterator[tuple[int, int, list[pa.Array]]]:
+    """(first row, end row, [kept text, words, removed words]); column gone lists each row's packed stretches."""
+    parts: list[bytes] = []
+    total = removed = 0
+    for lo, hi, buf, offsets, part, last in _text.pieces(batch, text):
+        starts, ends, first = _text.spans(~_text.ASCII_SPACE[buf], offsets)
+        if part == 0:
+            parts, total, removed = [], 0, 0
+        _, s, e = _inside(_unpacked(batch.column(gone).slice(lo, hi - lo)), first, total)
+        out = _covered(len(starts), s, e)
+        keep = np.flatnonzero(~out)
+        row_first = np.searchsorted(keep, first)
+        size = (ends - starts)[keep] + 1  # with a space, but for each row's last
+        final = row_first[1:][row_first[1:] > row_first[:-1]] - 1
+        size[final] -= 1
+        at = np.r_[0, np.cumsum(size)]
+        data = buf[np.minimum(np.repeat(starts[keep] - at[:-1], size) + np.arange(int(at[-1])), max(0, len(buf) - 1))]
+        spaces = np.ones(len(keep), bool)
+        spaces[final] = False
+        data[at[1:][spaces] - 1] = 0x20
+        words, lost = np.diff(first), np.add.reduceat(np.r_[out, False], first[:-1], dtype=np.int64) * (np.diff(first) > 0)
+        if part == 0 and last:
+            kept = pa.StringArray.from_buffers(hi - lo, pa.py_buffer(at[row_first].astype(np.int32)), pa.py_buffer(data.tobytes()))
+            yield lo, hi, [kept, pa.array(words.astype(np.int64)), pa.array(lost)]
+            continue
+        total, removed = total + len(starts), removed + int(out.sum())
+        if len(data):
+            parts.append(data.tobytes())
+        if last:
+            whole = b" ".join(parts)
+            kept = pa.StringArray.from_buffers(1, pa.py_buffer(np.array([0, len(whole)], np.int32)), pa.py_buffer(whole))
+            yield lo, hi, [kept, pa.array([total], pa.int64()), pa.array([removed], pa.int64())]
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -258,39 +280,56 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.where("doc is not null and text is not null")
-    long = Written(rows.mapInArrow(_find_long(window), "h1 long, h2 long, doc long, uid long, at long"))
-    settled = _late(long.df, "at")
-    long.drop()
-    release_shuffles(spark)
-    told = rows.join(settled.withColumnRenamed("items", "settled"), ["uid", "doc"], "left").select("uid", "text", "settled")
-    cores = Written(told.mapInArrow(_find_cores(window), "core long, uid long, at long, first boolean"))
-    release_shuffles(spark)
-    # written by itself: the shuffle of the counts goes before the next one comes, and a hot core's join can be split
-    shared = Written(cores.df.where("first").groupBy("core").count().where("count > 1").select("core"))
-    release_shuffles(spark)
-    wanted = Written(cores.df.join(shared.df, "core").groupBy("uid").agg(F.collect_list("at").alias("at")))
-    for done in (cores, shared):
-        done.drop()
-    release_shuffles(spark)
-    found = Written(rows.join(wanted.df, "uid").select("uid", "doc", "text", "at").mapInArrow(_find_windows(window), "h1 long, h2 long, doc long, uid long, start int"))
-    wanted.drop()
-    release_shuffles(spark)
-    late = _late(found.df, "start")
-    found.drop()
-    release_shuffles(spark)
-    packed = late.select("uid", "doc", F.transform("items", lambda x: F.shiftleft(x.cast("long"), 32) + F.lit(window)).alias("at"))
-    return settled.withColumnRenamed("items", "at").unionByName(packed).groupBy("uid", "doc").agg(F.flatten(F.collect_list("at")).alias("at"))
-
-
-def _late(found: DataFrame, item: str) -> DataFrame:
-    """(uid, doc, items): of each row, what a smaller doc has too by both fingerprints."""
-    owned = Written(found.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("h1", "h2", "owner"))
-    release_shuffles(found.sparkSession)
-    out = durable(found.join(owned.df, ["h1", "h2"]).where("doc > owner").groupBy("uid", "doc").agg(F.collect_list(item).alias("items")))
-    owned.drop()
+    with Workspace() as w:
+        long = w.kept(rows.mapInArrow(_find_long(window), "h1 long, h2 long, doc long, uid long, at long"))
+        settled = _late(w, long, "at")
+        w.drop(long)
+        release_shuffles(spark)
+        told = rows.join(settled.withColumnRenamed("items", "settled"), ["uid", "doc"], "left").select("uid", "text", "settled")
+        cores = w.kept(told.mapInArrow(_find_cores(window), "core long, uid long, at long, first boolean"))
+        release_shuffles(spark)
+        wanted = []
+        for k in range(PASSES):
+            some = cores.where(F.pmod("core", F.lit(PASSES)) == k)
+            # written by itself: the shuffle of the counts goes before the next one comes, and a hot core's join can be split
+            shared = w.kept(some.where("first").groupBy("core").count().where("count > 1").select("core"))
+            release_shuffles(spark)
+            wanted.append(w.kept(some.join(shared, "core").groupBy("uid").agg(F.collect_set("at").alias("at"))))
+            w.drop(shared)
+            release_shuffles(spark)
+        w.drop(cores)
+        asked = _united(wanted).groupBy("uid").agg(F.flatten(F.collect_list("at")).alias("at"))
+        found = w.kept(rows.join(asked, "uid").select("uid", "doc", "text", "at").mapInArrow(_find_windows(window), "h1 long, h2 long, doc long, uid long, start int"))
+        w.drop(*wanted)
+        release_shuffles(spark)
+        late = _late(w, found, "start")
+        w.drop(found)
+        release_shuffles(spark)
+        packed = late.select("uid", "doc", F.transform("items", lambda x: F.shiftleft(x.cast("long"), 32) + F.lit(window)).alias("at"))
+        out = w.kept(settled.withColumnRenamed("items", "at").unionByName(packed).groupBy("uid", "doc").agg(F.flatten(F.collect_list("at")).alias("at")))
+        return w.hand_out(out)
+
+
+def _united(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
     return out
 
 
+def _late(w: Workspace, found: DataFrame, item: str) -> DataFrame:
+    """(uid, doc, items): of each row, what a smaller doc has too by both fingerprints; a row may come once for each pass."""
+    out = []
+    for k in range(PASSES):
+        some = found.where(F.pmod("h1", F.lit(PASSES)) == k)
+        owned = w.kept(some.groupBy("h1", "h2").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).where("owner < last").select("h1", "h2", "owner"))
+        release_shuffles(found.sparkSession)
+        out.append(w.kept(some.join(owned, ["h1", "h2"]).where("doc > owner").groupBy("uid", "doc").agg(F.collect_set(item).alias("items"))))
+        w.drop(owned)
+        release_shuffles(found.sparkSession)
+    return _united(out).groupBy("uid", "doc").agg(F.flatten(F.collect_list("items")).alias("items"))
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with kept_text, n_words and n_removed.
 
@@ -299,15 +338,30 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     runs of anything but ASCII white space, kept as they are and joined by one
     space. Null and empty texts have no words. Rows with equal keys don't remove
     from each other; repeated rows come back each. A row with a null key keeps
-    all. Columns named like a result are replaced; an empty table gives an empty
-    one.
+    all. Columns named like a result, in any case, are replaced, others pass
+    whatever their names; an empty table gives an empty one. Texts of any length
+    are read in parts, so memory grows with a text's bytes only as far as the
+    text itself must be held.
+
+    Two different windows are taken for one with a chance of 2**-64 for each word
+    at which they differ (two words of one fingerprint), or less than 2**-120.
     """
-    out = ("kept_text", "n_words", "n_removed")
-    keep = [c for c in docs.columns if c not in out]
-    uid = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
-    slim = docs.select(uid.alias("uid"), F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
-    repeats = repeated_windows(slim, window)
-    full = docs.select(uid.alias("__uid"), F.col(f"`{key}`").cast("long").alias("__doc"), *[F.col(f"`{c}`") for c in keep])
-    told = full.join(repeats.select(F.col("uid").alias("__uid"), F.col("doc").alias("__doc"), F.col("at").alias("__at")), ["__uid", "__doc"], "left").select(*keep, "__at")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in full.schema[2:]) + "kept_text string, n_words long, n_removed long"
-    return told.mapInArrow(_keep_words(keep.index(text)), schema)
+    added = "kept_text string, n_words long, n_removed long"
+    new = {c.split()[0] for c in added.split(", ")}
+    at = place_of(docs.columns, text)
+    own = [f"c{k}" for k, c in enumerate(docs.columns) if c.lower() not in new]
+    slim = only(docs, key=key, text=text)
+    uid, doc = F.xxhash64("key", "text").alias("uid"), F.col("key").cast("long").alias("doc")
+    repeats = repeated_windows(slim.select(uid, doc, "text"), window)
+    by = F.col(f"c{place_of(docs.columns, key)}")
+    full = numbered(docs).select(F.xxhash64(by, f"c{at}").alias("uid"), by.cast("long").alias("doc"), *own, F.col(f"c{at}").alias("said"))
+    told = full.join(repeats, ["uid", "doc"], "left").select(*own, "said", "at")
+    schema = StructType([*told.schema.fields[: len(own)], *StructType.fromDDL(added).fields])
+    names, n = schema.names, len(own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, arrays in kept_texts(b, n, n + 1):
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns[:n], *arrays], names=names)
+
+    return told.mapInArrow(run, schema).toDF(*[docs.columns[int(c[1:])] for c in own], *names[n:])

@@ -24,11 +24,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-#: Pre-tokens kept per Python worker; past it the table starts anew.
-CACHE_ENTRIES = 800_000
-#: Longer pre-tokens are merged by a heap, one at a time.
+from ._spark import carry_through
+from ._text import row_runs
+
+#: Pre-tokens, and characters of them, kept per Python worker; past either the table starts anew.
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 8_000_000
+#: Longer pre-tokens are first cut where no piece can span; what is longer still is merged by a heap, one at a time.
 LONG = 200
 _NEVER = np.int32(2**31 - 1)
 SPACE = "▁"
@@ -64,7 +66,14 @@ class PieceMerger:
         self.to, self.pair_rank = np.array(to, np.int32)[at], np.array(rank, np.int32)[at]
         self.size = np.array([1 if p in self.rank else len(p.encode()) for p in self.ids], np.int64)
         self.most_spaces = max((len(p) for p in self.rank if set(p) == {SPACE}), default=1)
+        self.inside = {p[k : k + 2] for p in self.rank for k in range(len(p) - 1)}
         self.cache: dict[str, int] = {}
+        self.cached_chars = 0
+        # what _PRE and the line feeds' count of one rely on
+        odd = [p for p in self.rank if "\n" in p or " " in p or SPACE in p.lstrip(SPACE)]
+        probes = ("a", "\uff21 \ufb01", " a  b ", "x\ny", "\t\u00a0\u0301e")
+        if odd or any(sp.normalize(x) != SPACE + x.replace(" ", SPACE) for x in probes) or len(sp.encode("x\n\nx")) != 4 or sp.encode(""):
+            raise ValueError(f"{model_file} normalises its input, puts no blank before it, or has pieces that span blanks or line feeds")
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and product of each adjacent pair; a negative id never merges."""
@@ -187,10 +196,16 @@ class PieceMerger:
             runs = len(p) - len(p.lstrip(SPACE))
             # the leftmost blanks of a long run always end up as whole pieces of the longest kind
             k = max(0, (runs - 1 - 2 * self.most_spaces) // self.most_spaces)
-            self.cache[w] = k + self.count_long(p[k * self.most_spaces :])
+            rest = p[k * self.most_spaces :]
+            cuts = [0, *(i for i in range(1, len(rest)) if rest[i - 1 : i + 1] not in self.inside), len(rest)]
+            parts = [rest[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            few = [x for x in parts if len(x) <= LONG]
+            own = sum(self.count_long(x) for x in parts if len(x) > LONG)
+            self.cache[w] = k + own + sum(int(self.count_arrays(few[at : at + 20_000]).sum()) for at in range(0, len(few), 20_000))
         for at in range(0, len(short), 20_000):
             some = short[at : at + 20_000]
             self.cache.update(zip(some, self.count_arrays([w.replace(" ", SPACE) for w in some]).tolist(), strict=True))
+        self.cached_chars += sum(map(len, words))
 
 
 #: A pre-token is blanks and what follows them, up to a blank or a line feed; no piece spans these.
@@ -204,8 +219,9 @@ def merger(model_file: str) -> PieceMerger:
 
 def count_tokens_of(texts: list[str], model_file: str) -> list[int]:
     m = merger(model_file)
-    if len(m.cache) > CACHE_ENTRIES:
+    if len(m.cache) > CACHE_ENTRIES or m.cached_chars > CACHE_CHARS:
         m.cache.clear()
+        m.cached_chars = 0
     cut = [_PRE.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
     missing: set[str] = set()
     for c in cut:
@@ -220,22 +236,15 @@ def count_tokens(docs: DataFrame, model_file: str, max_tokens: int = 4096, text:
     """docs with n_bytes, n_tokens and over_limit of each whole text.
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows are counted
-    each. Columns of docs named like a result are replaced. An empty table gives
-    an empty result. model_file must be readable at that path on each executor.
+    each. Columns of docs named like a result, in any case, are replaced, others
+    pass whatever their names. An empty table gives an empty result. model_file must be readable at that path on each executor.
     """
-    out = ("n_bytes", "n_tokens", "over_limit")
-    base = docs.select(*[docs[f"`{c}`"] for c in docs.columns if c not in out])
-    keep = [c for c in base.columns if c != text]
-    src = base.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    fields = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            col = b.column(len(keep)).fill_null("")
-            n: list[int] = []
-            for at in range(0, len(col), 256):
-                n += count_tokens_of(col.slice(at, 256).to_pylist(), model_file)
-            nbytes = pa.compute.binary_length(col).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], nbytes, pa.array(n, pa.int64()), pa.array([x > max_tokens for x in n], pa.bool_())], names=[*keep, *out])
-
-    return src.mapInArrow(run, (fields + ", " if fields else "") + "n_bytes long, n_tokens long, over_limit boolean")
+
+    def run(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, list]]:
+        col = b.column(at).fill_null("")
+        for lo, hi in row_runs(col, 1 << 20):
+            some = col.slice(lo, hi - lo)
+            n = count_tokens_of(some.to_pylist(), model_file)
+            yield lo, hi, [pa.compute.binary_length(some).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([x > max_tokens for x in n], pa.bool_())]
+
+    return carry_through(docs, text, "n_bytes long, n_tokens long, over_limit boolean", run, drop_text=True)

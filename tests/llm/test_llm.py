@@ -711,7 +711,7 @@ def test_text_buffers_of_sliced_batches():
     b = pa.RecordBatch.from_arrays([pa.array(["a b", None, "", "é  c\td", "a b"])], names=["text"])
     for part in (b, b.slice(2, 3)):
         got = []
-        for lo, hi, buf, off in _text.pieces(part, limit=4):
+        for lo, hi, buf, off, _, _ in _text.pieces(part, limit=4):
             h, first = _text.word_hashes(buf, off)
             got += [h[x:y].tolist() for x, y in zip(first, first[1:], strict=False)]
         assert [len(x) for x in got] == [len((t or "").split()) for t in part.column(0).to_pylist()]
