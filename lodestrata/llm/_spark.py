@@ -78,12 +78,6 @@ def ensure_shared_folder(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there."""
-    ensure_shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release_shuffles(spark: SparkSession) -> None:
     """Asks the driver's JVM to collect garbage, which frees the shuffle files of finished rounds earlier than it else would."""
     import gc

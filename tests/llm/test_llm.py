@@ -301,10 +301,10 @@ def test_similar_components_are_exact_at_the_limit(spark):
 
 def test_a_false_candidate_does_not_stop_the_search():
     sets = [np.arange(100), np.arange(30, 130), np.arange(1, 101), np.arange(28, 128), np.arange(12, 112)]
-    same = np.zeros((5, simhash.PLACES), np.uint8)
-    a, b = simhash.local_forest(np.zeros(5, np.uint64), 2, same, 100, np.arange(5), lambda i, j: simhash.similar_sets(sets[i], sets[j], 0.75))
+    same, one = np.zeros((5, 4), np.uint64), np.zeros(5, int)
+    a, b = simhash.local_forest(np.zeros(5, np.uint64), 2, same, 100, one, lambda i, j: simhash.similar_sets(sets[i], sets[j], 0.75))
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(2, 0), (3, 1), (4, 0)]
-    assert not simhash.similar_sets(sets[4], sets[1], 0.75) and len(simhash.local_forest(np.zeros(5, np.uint64), 2, same, 100, np.arange(5))[0]) == 4
+    assert not simhash.similar_sets(sets[4], sets[1], 0.75) and len(simhash.local_forest(np.zeros(5, np.uint64), 2, same, 100, one)[0]) == 4
 
 
 def test_sketches_estimate_similarity():
@@ -312,9 +312,9 @@ def test_sketches_estimate_similarity():
     for share in (0.2, 0.5, 0.8):
         both = r.integers(0, 2**63, int(4000 * share), dtype=np.uint64)
         h = np.concatenate([both, r.integers(0, 2**63, 4000 - len(both), dtype=np.uint64), both, r.integers(0, 2**63, 4000 - len(both), dtype=np.uint64)])
-        _, places = simhash.sketches(h, np.array([4000, 4000]))
+        _, planes = simhash.sketches(h, np.array([4000, 4000]))
         jaccard = len(both) / (8000 - len(both))
-        assert abs((places[0] == places[1]).mean() - jaccard) < 0.15
+        assert abs(simhash.equal_places(planes[0], planes[1]) / simhash.PLACES - (jaccard + (1 - jaccard) / 4)) < 0.15
 
 
 # --- 8 -------------------------------------------------------------------------------------------------------------
