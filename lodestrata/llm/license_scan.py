@@ -1,17 +1,23 @@
 """Licence scan by canonical digest lookup, in DataFrame operations only.
 
-A unit is a whole text, or one line of it (notices stand on lines of their own).
-Each unit is brought to a canonical form and hashed; the digest is joined to
-those of the known licence texts. Canonical form: copyright lines go, letters
-are lower case, everything that is no letter or digit is a single space, and
-equivalent spellings are one.
+Whole texts, single lines (notices stand on lines of their own) and runs of
+paragraphs are brought to a canonical form and hashed; the digests are joined to
+those of the known licence texts, and a known text of several paragraphs is found
+by its first one's digest and compared in all of them. Canonical form: lines that
+name a rights holder go, letters are lower case, everything that is no letter or
+digit is a single space (so comment marks go), equivalent spellings are one, and a
+licence's title goes from the front.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from importlib.resources import files
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import only
+
 #: Public licence notices and short licence texts, by identifier.
 KNOWN = [
     ("MIT", "Released under the MIT License."),
@@ -29,65 +35,115 @@ KNOWN = [
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
 ]
-#: Spellings that licence matching treats as one, left to right.
-SPELLINGS = [("licence", "license"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("non commercial", "noncommercial"), ("sub license", "sublicense"), ("copyright owner", "copyright holder"), ("https", "http"), ("version ", "v"), (" v ", " v")]
-#: Lines that name a rights holder; they differ from file to file.
-COPYRIGHT_LINE = r"(?im)^[^\p{L}\p{N}\n]*(copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
+#: Spellings that licence matching treats as one, as whole words.
+SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("sub license", "sublicense"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("https", "http")]
+#: Titles that stand before a licence or are left out, in canonical form; a longer one first.
+TITLES = ["the mit license mit", "the mit license", "mit license", "mit no attribution", "the isc license", "isc license", "bsd 3 clause new or revised license", "the bsd 3 clause license", "bsd 3 clause license", "bsd 2 clause simplified license", "the bsd 2 clause license", "bsd 2 clause license", "bsd zero clause license", "zero clause bsd license", "zlib license", "boost software license v1 0 august 17th 2003", "the unlicense"]
+#: Lines that name a rights holder, by a year or a sign; they differ from file to file. A licence's own words about copyright stay.
+COPYRIGHT_LINE = r"(?imd)^[^\p{L}\p{N}\n]*(?:(?:portions )?copyright[^\p{L}\p{N}\n]+(?:\(c\)|©|[<\[{(]?(?:[0-9]{4}|year|yyyy))[^\n]*|(?:\(c\)|©)[^\p{L}\n]*[0-9]{4}[^\n]*|copyright ©[^\n]*|all rights reserved[^\p{L}\p{N}\n]*)$"
+#: Between paragraphs: a line break, nothing that is a letter or digit, and a line break.
+GAP = r"\n[^\p{L}\p{N}]*\n"
+#: Every known text holds one of these in its lower-case letters, so a text without any can't be one.
+MARKS = ("licen", "permission", "released", "redistribut")
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(identifier, text) of the notices above and of the standard texts beside this module; where an appendix follows the terms, also without it."""
+    out = list(KNOWN)
+    for f in sorted(files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name):
+        name, text = f.name.removesuffix(".txt").removesuffix(".regents"), f.read_text(encoding="utf-8")
+        out.append((name, text))
+        if _END in text:
+            out.append((name, text[: text.index(_END) + len(_END)]))
+    return out
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
     out = F.lower(F.regexp_replace(text, COPYRIGHT_LINE, " "))
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")
-    for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return F.trim(out)
+    out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    for a, b in SPELLINGS * 2:  # twice, as neighbours share a blank
+        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
+    out = F.trim(F.regexp_replace(out, " (?:version|v) ([0-9])", " v$1"))
+    return F.regexp_replace(out, f"^(?:{'|'.join(TITLES)}) ", "")
 
 
 def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(license_id, digest) of the known texts, once each; its size is that of the list."""
-    rows = spark.createDataFrame(known or KNOWN, "license_id string, known_text string")
-    return rows.select("license_id", digest(F.col("known_text")).alias("digest")).distinct()
+def paragraph_digests(text: Column) -> Column:
+    """The digests of a text's paragraphs in order, without those that canonical form leaves empty."""
+    return F.transform(F.filter(F.transform(F.split(text, GAP, -1), canonical), lambda c: c != ""), lambda c: F.sha2(c, 256))
+
 
+def _marked(text: Column, marks: tuple[str, ...]) -> Column:
+    low = F.lower(text)
+    found = F.contains(low, F.lit(marks[0]))
+    for m in marks[1:]:
+        found = found | F.contains(low, F.lit(m))
+    return found
 
-def scan_licenses(docs: DataFrame, known: DataFrame | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, license_id, n_lines, whole_text): each licence of which the whole text, or a line of it, is a known text.
 
-    n_lines counts the lines that match, whole_text says whether the entire text
-    does (then a text of one line matches as both). Documents without a match have
-    no row. Null and empty texts match nothing; repeated rows add up under their
-    key, rows with a null key under null. Other columns are not read, so names
-    never clash; an empty table gives an empty one. `known` must be a bounded
-    table (license_id, digest), as it is broadcast.
+def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None, key: str = "doc_id", text: str = "text", marks: tuple[str, ...] = MARKS) -> DataFrame:
+    """(doc_id, license_id, n_lines, n_paragraph_runs, whole_text): each licence of which the whole text, a line of it, or a run of its paragraphs is a known text.
+
+    n_lines counts the lines that match, n_paragraph_runs the places where
+    paragraphs one after the other are a known text's (a notice wrapped over lines,
+    a licence before code), whole_text says whether the entire text is one (a text
+    of one line matches as all three). Documents without a match have no row. Null
+    and empty texts match nothing; repeated rows add up under their key, rows with
+    a null key under null. Other columns are not read, so names never clash; an
+    empty table gives an empty one. `known` is a list, as it is broadcast; texts
+    and lines without any of `marks` are passed over, which every known text must
+    hold (else none are).
     """
-    known = known_digests(docs.sparkSession) if known is None else known
-    units = docs.select(F.col(f"`{key}`").alias("doc_id"), F.posexplode(F.concat(F.array(F.col(f"`{text}`")), F.split(F.col(f"`{text}`"), "\n", -1))).alias("pos", "unit"))
-    hits = units.select("doc_id", "pos", digest(F.col("unit")).alias("digest")).join(F.broadcast(known), "digest")
-    return hits.groupBy("doc_id", "license_id").agg(F.count_if(F.col("pos") > 0).alias("n_lines"), F.max(F.col("pos") == 0).alias("whole_text"))
+    spark = docs.sparkSession
+    known = known_texts() if known is None else known
+    if not all(any(m in k.lower() for m in marks) for _, k in known):
+        marks = ("",)
+    rows = spark.createDataFrame(known, "license_id string, known_text string")
+    whole = rows.select("license_id", digest(F.col("known_text")).alias("digest")).distinct()
+    runs = rows.select("license_id", paragraph_digests(F.col("known_text")).alias("run")).distinct().select("license_id", "run", F.col("run")[0].alias("digest"))
+    src = only(docs, doc_id=key, text=text).where(_marked(F.col("text"), marks))
+    lines = F.filter(F.split("text", "\n", -1), lambda x: _marked(x, marks))
+    units = src.select("doc_id", F.posexplode(F.concat(F.array("text"), lines)).alias("pos", "unit"))
+    hits = units.select("doc_id", (F.col("pos") == 0).alias("is_whole"), digest(F.col("unit")).alias("digest")).join(F.broadcast(whole), "digest").select("doc_id", "license_id", F.when(F.col("is_whole"), "whole").otherwise("line").alias("kind"))
+    paragraphs = src.select("doc_id", paragraph_digests(F.col("text")).alias("all")).select("doc_id", "all", F.posexplode("all").alias("pos", "digest"))
+    found = paragraphs.join(F.broadcast(runs), "digest").where(F.slice("all", F.col("pos") + 1, F.size("run")) == F.col("run")).select("doc_id", "license_id", F.lit("run").alias("kind"))
+    by = hits.unionByName(found).groupBy("doc_id", "license_id")
+    return by.agg(F.count_if(F.col("kind") == "line").alias("n_lines"), F.count_if(F.col("kind") == "run").alias("n_paragraph_runs"), F.max(F.col("kind") == "whole").alias("whole_text"))
 
 
 def sql_canonical(x: str) -> str:
     """The canonical form as DuckDB SQL."""
-    pattern = COPYRIGHT_LINE.replace("(?im)", "").replace("'", "''")
+    pattern = COPYRIGHT_LINE.replace("(?imd)", "").replace("'", "''")
     out = f"lower(regexp_replace({x}, '{pattern}', ' ', 'gim'))"
-    out = rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
-    for a, b in SPELLINGS:
-        out = f"replace({out}, '{a}', '{b}')"
-    return f"trim({out}, ' ')"
+    out = rf"' ' || regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' '"
+    for a, b in SPELLINGS * 2:
+        out = f"replace({out}, ' {a} ', ' {b} ')"
+    out = rf"trim(regexp_replace({out}, ' (?:version|v) ([0-9])', ' v\1', 'g'), ' ')"
+    return f"regexp_replace({out}, '^(?:{'|'.join(TITLES)}) ', '')"
 
 
 def oracle() -> str:
-    quoted = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
+    """The scan as DuckDB SQL, without marks."""
+    quoted = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in known_texts())
+    digests = f"list_transform(list_filter(list_transform(string_split_regex(%s, '{GAP}'), lambda p: {sql_canonical('p')}), lambda c: c <> ''), lambda c: sha256(c))"
     return f"""
-WITH known AS (SELECT DISTINCT license_id, sha256({sql_canonical('known_text')}) AS digest FROM (VALUES {quoted}) t(license_id, known_text)),
+WITH texts(license_id, known_text) AS (VALUES {quoted}),
+known AS (SELECT DISTINCT license_id, sha256({sql_canonical('known_text')}) AS digest FROM texts),
+runs AS (SELECT DISTINCT license_id, {digests % 'known_text'} AS run FROM texts),
 units AS (
-  SELECT doc_id, text AS unit, true AS is_whole FROM documents WHERE text IS NOT NULL
+  SELECT doc_id, text AS unit, 'whole' AS kind FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, 'line' AS kind FROM documents WHERE text IS NOT NULL),
+paragraphs AS (SELECT doc_id, {digests % 'text'} AS digests FROM documents WHERE text IS NOT NULL),
+places AS (SELECT doc_id, digests, unnest(range(1, len(digests) + 1)) AS place FROM paragraphs),
+hits AS (
+  SELECT doc_id, license_id, kind FROM (SELECT doc_id, kind, sha256({sql_canonical('unit')}) AS digest FROM units) JOIN known USING (digest)
   UNION ALL
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, false AS is_whole FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, license_id, CAST(count(*) FILTER (NOT is_whole) AS BIGINT) AS n_lines, bool_or(is_whole) AS whole_text
-FROM (SELECT doc_id, is_whole, sha256({sql_canonical('unit')}) AS digest FROM units) JOIN known USING (digest)
-GROUP BY doc_id, license_id"""
+  SELECT doc_id, license_id, 'run' AS kind FROM places JOIN runs ON places.digests[place] = runs.run[1] WHERE list_slice(digests, place, place + len(run) - 1) = run)
+SELECT doc_id, license_id, CAST(count(*) FILTER (kind = 'line') AS BIGINT) AS n_lines, CAST(count(*) FILTER (kind = 'run') AS BIGINT) AS n_paragraph_runs, bool_or(kind = 'whole') AS whole_text
+FROM hits GROUP BY doc_id, license_id"""

@@ -635,6 +635,27 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(docs_of(spark, [])).count() == 0
 
 
+def test_license_files_with_titles_wrapped_notices_and_code(spark):
+    known = dict(license_scan.known_texts())
+    assert all(any(m in t.lower() for m in license_scan.MARKS) for t in known.values())
+    header = "# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#     http://www.apache.org/licenses/LICENSE-2.0\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an \"AS IS\" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n# See the License for the specific language governing permissions and\n# limitations under the License."
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + known["MIT"]),
+        (2, "Copyright 2019 A\n\n" + known["ISC"]),
+        (3, header + "\n\nimport os\n"),
+        (4, "/*\n * The MIT License (MIT)\n *\n * " + known["MIT"].replace("\n", "\n * ") + "\n */\n\nint main() {}\n\nreturn 0;"),
+        (5, known["GPL-3.0"]),
+        (6, known["BSD-3-Clause"].replace("copyright notice", "copyright  NOTICE").replace("HOLDERS", "OWNERS")),
+        (7, known["MIT"].replace("sublicense", "sell")),
+        (8, "The conversion licensed under the Apache License, Version 2.0 today."),
+        (9, "Licensed under the Apache License,\nversion 2.0.\n\n\n" + known["BSD-2-Clause"] + "\n\nmore"),
+        (10, known["ISC"].replace("\n", "\r\n")),
+        (11, "\n" * 50_000 + "license" + " \n" * 50_000),
+    ]
+    got = {(r.doc_id, r.license_id): (r.n_lines, r.n_paragraph_runs, r.whole_text) for r in license_scan.scan_licenses(docs_of(spark, rows)).collect()}
+    assert got == {(1, "MIT"): (0, 1, True), (2, "ISC"): (0, 1, True), (3, "Apache-2.0"): (0, 1, False), (4, "MIT"): (0, 1, False), (5, "GPL-3.0"): (0, 1, True), (6, "BSD-3-Clause"): (0, 1, True), (9, "Apache-2.0"): (0, 1, False), (9, "BSD-2-Clause"): (0, 1, False), (10, "ISC"): (0, 1, True)}
+
+
 def test_license_query_equals_its_sql(spark):
     import duckdb
 
