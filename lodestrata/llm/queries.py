@@ -23,7 +23,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_topk_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").withColumn("embedding", F.expr("transform(embedding, x -> 1.0d * case when abs(x) < double('infinity') then floor(256 * cast(x as double)) else cast(x as double) end)"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("embedding", F.expr("transform(embedding, x -> case when abs(256 * cast(x as double)) < 9e15 then 1.0d * floor(256 * cast(x as double)) else 256 * cast(x as double) end)"))
     return kdtree.top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 

@@ -570,6 +570,33 @@ def test_top_k_of_ties_and_odd_rows(spark):
     assert kdtree.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_rows_that_share_a_key_and_of_large_products(spark):
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 3.0]), (7, [2.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("*", F.lit("x").alias("VEC_id"), F.lit(1).alias("c0"), F.lit(2).alias("asked"))
+    got = sorted(tuple(r) for r in kdtree.top_k(df, F.lit(True), k=2).collect())
+    want = []
+    for n, (i, v) in enumerate(rows):
+        best = sorted((-int(np.dot(v, x)), c) for m, (c, x) in enumerate(rows) if m != n)[:2]
+        want += [(i, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    assert got == sorted(want)
+    big = [(0, [94906267.0, 123.0]), (1, [94906267.0, 1.0]), (2, [94906267.0, 2.0]), (3, [1.0, 1.0])]
+    got = sorted(tuple(r) for r in kdtree.top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3).collect())
+    assert got == [(0, k + 1, c, s) for k, (s, c) in enumerate(sorted(((sum(int(a) * int(b) for a, b in zip(big[0][1], v, strict=True)), i) for i, v in big[1:]), key=lambda x: (-x[0], x[1])))]
+
+
+def test_top_k_in_several_query_blocks_and_shards(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    m = r.integers(-300, 300, (900, 6)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(kdtree, "QUERY_BYTES", 6 * 8 * 5)
+    got = {tuple(x) for x in kdtree.top_k(df, F.col("vec_id") % 50 == 0, k=4).collect()}
+    want = set()
+    for q in range(0, 900, 50):
+        best = sorted((-int(m[q] @ m[i]), i) for i in range(900) if i != q)[:4]
+        want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(best)}
+    assert got == want
+
+
 def test_kd_tree_boxes_are_tight_and_search_prunes():
     r = np.random.default_rng(5)
     centres = r.normal(size=(20, 8)) * 50
