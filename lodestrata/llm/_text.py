@@ -87,7 +87,7 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which:
     return mix(out + size.astype(np.uint64) * _LENGTH)
 
 
-def pieces(batch: pa.RecordBatch, column: str | int = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int, bool]]:
+def pieces(batch: pa.RecordBatch, column: str | int = "text", limit: int = CHUNK_BYTES, rows: int = 1 << 16) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int, bool]]:
     """(first row, end row, bytes, row offsets into them, part, last) of runs of rows of about limit bytes; null is empty.
 
     A longer row comes alone, in parts from 0 on that end at white space where
@@ -107,7 +107,7 @@ def pieces(batch: pa.RecordBatch, column: str | int = "text", limit: int = CHUNK
     at = 0
     while at < n:
         end = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
-        end = min(n, max(end, at + 1))
+        end = min(n, at + rows, max(end, at + 1))
         lo, hi = int(offsets[at]), int(offsets[end])
         if hi - lo <= 2 * limit:
             yield at, end, buf[lo:hi], offsets[at : end + 1] - offsets[at], 0, True

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import only
+
 ESCAPE, BREAK = "\\", "\\:"
 
 
@@ -97,9 +99,14 @@ def format_conversations(turns: DataFrame, template: Template = INSTRUCTION) ->
     rows are turns of their own. A null text is empty, a null role the empty
     role. Turns of a null conv_id form one conversation. Roles out of order are
     formatted all the same; their state is `bad` from there on. Other columns are
-    not read; an empty table gives an empty one.
+    not read, whatever their names; an empty table gives an empty one.
+
+    A conversation's turns pass one task in order, as the machine's state and the
+    digests read back run through them; it holds one turn at a time, so a very long
+    conversation costs time there and no memory.
     """
-    src = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    src = only(turns, conv_id="conv_id", turn="turn", role="role", text="text")
+    src = src.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     src = src.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,13 @@
 """Quality classifier: nearest-neighbour voting in a latent semantic space.
 
-A text's terms are trigrams over the classes of its characters, in which a run
-of letters is one symbol, and how often words repeat what stands before them;
-terms are hashed to DIMENSIONS columns. A bounded sample of labelled documents
-gives the term weights and, by truncated singular value decomposition, the
-latent space. The sample's vectors are broadcast (at most SAMPLE * LATENT
-numbers); each document is multiplied with all of them in blocks, exactly, and
-its NEIGHBOURS nearest vote, weighted by the fourth power of their cosine.
+A text's terms are its words (lower case), trigrams over the classes of its
+characters, in which a run of letters is one symbol, and how often words repeat
+what stands before them; terms are hashed to DIMENSIONS columns. A bounded sample
+of labelled documents gives the term weights and, by truncated singular value
+decomposition, the latent space. The sample's vectors are broadcast (at most
+SAMPLE * LATENT numbers); each document is multiplied with all of them in blocks,
+exactly, and its NEIGHBOURS nearest vote, weighted by their similarity: the fourth
+power of the cosine.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from . import _text
 from ._spark import carry_through, only
 
 #: Documented bounds of the fit: labelled rows at most, and the space's sizes.
-SAMPLE, DIMENSIONS, LATENT, NEIGHBOURS = 4096, 1024, 48, 25
+SAMPLE, DIMENSIONS, LATENT, NEIGHBOURS = 4096, 2048, 96, 25
+#: Columns of hashed words, the last of DIMENSIONS, and what a word counts against a shape; rows whose counts are held at once.
+WORDS, WORD_WEIGHT, ROWS = 1024, 0.5, 1024
 #: Weight of the sample's share of label 1 against the votes.
 PRIOR_WEIGHT = 0.5
 
@@ -36,14 +39,16 @@ _CLASS[[0x20, 0x09]] = 4
 _CLASS[[0x0A, 0x0B, 0x0C, 0x0D]] = 5
 for _k, _c in enumerate(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"):
     _CLASS[_c] = 6 + _k
-_REPEATS = 16  # columns at the end for repetition
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_REPEATS = 16  # columns before the words for repetition
 
 
 def features_of(batch: pa.RecordBatch, column: str | int = "text") -> Iterator[tuple[int, np.ndarray]]:
     """(first row, term counts) of runs of rows; the counts are rows by DIMENSIONS."""
-    hashed = DIMENSIONS - _REPEATS
+    hashed = DIMENSIONS - WORDS - _REPEATS
     held = None  # a long text's counts are the sums of its parts'
-    for lo, hi, buf, offsets, part, last in _text.pieces(batch, column):
+    for lo, hi, buf, offsets, part, last in _text.pieces(batch, column, rows=ROWS):
         n = hi - lo
         out = np.zeros((n, DIMENSIONS), np.float32)
         if len(buf):
@@ -57,7 +62,7 @@ def features_of(batch: pa.RecordBatch, column: str | int = "text") -> Iterator[t
                 gram = ((c[:-2] * 64 + c[1:-1]) * 64 + c[2:]) * 0x9E3779B1 % (1 << 32) * hashed >> 32
                 cell = r[2:][same] * hashed + gram[same]
                 out[:, :hashed] = np.bincount(cell, minlength=n * hashed).reshape(n, hashed)
-            words, first = _text.word_hashes(buf, offsets)
+            words, first = _text.word_hashes(_LOWER[buf], offsets)
             count = np.diff(first)
             if len(words):
                 who = np.repeat(np.arange(n), count)
@@ -65,12 +70,14 @@ def features_of(batch: pa.RecordBatch, column: str | int = "text") -> Iterator[t
                     hit = np.zeros(len(words), bool)
                     hit[k:] = (words[k:] == words[:-k]) & (who[k:] == who[:-k])
                     out[:, hashed + k] = np.bincount(who, hit, n)
-                pairs = who[1:].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                both = _text.mix(words[1:] * np.uint64(3) + words[:-1] * np.uint64(7) + pairs)
-                _, lead = np.unique(both, return_index=True)
-                fresh = np.bincount(who[1:][lead], minlength=n)
+                own = who[1:] == who[:-1]  # pairs within a row
+                pair, of = _text.mix(words[1:] * np.uint64(3) + words[:-1] * np.uint64(7))[own], who[1:][own]
+                _, lead = np.unique(pair + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
+                fresh = np.bincount(of[lead], minlength=n)
                 out[:, hashed + 4] = np.maximum(count - 1 - fresh, 0)
                 out[:, hashed + 5] = count
+                cell = who * WORDS + (words >> np.uint64(32)).astype(np.int64) % WORDS
+                out[:, DIMENSIONS - WORDS :] = WORD_WEIGHT * np.bincount(cell, minlength=n * WORDS).reshape(n, WORDS)
         if part:
             out += held
         held = out
@@ -80,7 +87,7 @@ def features_of(batch: pa.RecordBatch, column: str | int = "text") -> Iterator[t
 
 def _normalised(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Damped relative term frequencies, weighted, each row of length 1 (or 0)."""
-    share = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True), 1)) * weight
+    share = np.sqrt(counts / np.maximum(counts.sum(1, keepdims=True, dtype=np.float64), 1)) * weight
     return share / np.maximum(np.linalg.norm(share, axis=1, keepdims=True), 1e-12)
 
 
@@ -97,16 +104,16 @@ class NeighbourModel:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def scores(self, counts: np.ndarray, block: int = 256) -> np.ndarray:
-        """For each row the weighted share of label 1 among its nearest labelled vectors."""
+        """For each row the weighted share of label 1 among its nearest labelled vectors; of cosines equal to six places the first in order."""
         if not len(self.labels):
             return np.full(len(counts), self.prior)
         v = self.latent(counts)
         out = np.empty(len(v))
-        k = min(NEIGHBOURS, len(self.labels))
+        k, known, order = min(NEIGHBOURS, len(self.labels)), self.vectors.T, np.arange(len(self.labels)) * (0.5e-6 / SAMPLE)
         for lo in range(0, len(v), block):
-            cos = v[lo : lo + block] @ self.vectors.T
-            top = np.argpartition(cos, -k, axis=1)[:, -k:]
-            sim = np.maximum(np.take_along_axis(cos, top, 1), 0).astype(np.float64) ** 4
+            cos = np.round(v[lo : lo + block] @ known, 6)
+            top = np.argpartition(order - cos, k - 1, axis=1)[:, :k]
+            sim = np.maximum(np.take_along_axis(cos, top, 1), 0) ** 4
             vote = (sim * self.labels[top]).sum(1) + PRIOR_WEIGHT * self.prior
             out[lo : lo + block] = vote / (sim.sum(1) + PRIOR_WEIGHT)
         return np.clip(out, 0, 1)
@@ -115,15 +122,15 @@ class NeighbourModel:
 def fit_neighbours(counts: np.ndarray, labels: np.ndarray) -> NeighbourModel:
     """The space and the labelled vectors; labels are 0 or 1. Without rows every score is 0.5."""
     if not len(counts):
-        return NeighbourModel(np.ones(DIMENSIONS, np.float32), np.zeros((DIMENSIONS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
+        return NeighbourModel(np.ones(DIMENSIONS), np.zeros((DIMENSIONS, 1)), np.zeros((0, 1)), np.zeros(0), 0.5)
     found = (counts > 0).sum(0)
-    weight = (np.log((1 + len(counts)) / (1 + found)) + 1).astype(np.float32)
+    weight = np.log((1 + len(counts)) / (1 + found)) + 1
     x = _normalised(counts, weight)
-    _, vec = np.linalg.eigh((x.T @ x).astype(np.float64))
-    basis = np.ascontiguousarray(vec[:, ::-1][:, :LATENT]).astype(np.float32)
+    _, vec = np.linalg.eigh(x.T @ x)
+    basis = np.ascontiguousarray(vec[:, ::-1][:, :LATENT])
     v = x @ basis
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    return NeighbourModel(weight, basis, v.astype(np.float32), labels.astype(np.float64), float(labels.mean()))
+    return NeighbourModel(weight, basis, v, labels.astype(np.float64), float(labels.mean()))
 
 
 def fit_quality_of(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> NeighbourModel:

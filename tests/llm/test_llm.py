@@ -362,6 +362,72 @@ def test_substring_dedup_of_runs_copies_and_odd_rows(spark):
     assert substring_dedup.remove_repeats(docs_of(spark, [])).count() == 0
 
 
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_and_passages_that_polynomials_confuse_are_told_apart(spark):
+    x, y = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    lead = " ".join(f"w{i}" for i in range(12))
+    long = [" ".join(thue_morse(2048, p, q)) for p, q in (("a", "b"), ("b", "a"))]
+    rows = [(1, f"{lead} {x}"), (2, f"{lead} {y}"), (3, f"{lead} {x} tail"), (4, long[0] + " u"), (5, "v " + long[1])]
+    got = substring_dedup.remove_repeats(docs_of(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
+    assert key(tuple(r) for r in got) == key(brute_repeats(rows))
+    assert {r.doc_id: r.n_removed for r in got}[2] == 0
+
+
+def test_long_texts_in_parts_keep_the_same_words(monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["a", "bb", "é漢", "x" * 70, "\t"]) for _ in range(r.choice([0, 3, 400]))) for _ in range(12)] + [None, "y" * 5000, " " * 900]
+    gone = [[int(substring_dedup._pack(np.int64(r.randrange(0, 30)), np.int64(13))) for _ in range(3)] if i % 2 else None for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(gone, pa.list_(pa.int64()))], names=["text", "gone"])
+    results = []
+    for size in (1 << 20, 50, 300):
+        monkeypatch.setattr(_text, "CHUNK_BYTES", size)
+        monkeypatch.setattr(_text, "STEP", max(40, size // 4))
+        monkeypatch.setattr(_text.pieces, "__defaults__", ("text", size, 1 << 16))
+        out, h = [], {}
+        for lo, hi, arrays in substring_dedup.kept_texts(batch, 0, 1):
+            out += zip(range(lo, hi), *(a.to_pylist() for a in arrays), strict=True)
+        for lo, _, w, first, base in _text.word_runs(batch, 0, 12):
+            for i in range(len(first) - 1):
+                for k, v in enumerate(w[first[i] : first[i + 1]].tolist()):
+                    assert h.setdefault((lo + i, base + k), v) == v
+        results.append((out, h, simhash.fingerprints_of(texts).tolist(), [sorted(x) for x in [simhash.shingle_hashes(texts, 5)[0].tolist()]]))
+    assert all(x == results[0] for x in results[1:])
+    for i, kept, total, removed in results[0][0]:
+        w = words(texts[i])
+        drop = {k for p in gone[i] or [] for k in range(p >> 32, (p >> 32) + (p & 0x7FFFFFFF))}
+        left = [x for k, x in enumerate(w) if k not in drop]
+        assert (kept.encode(), total, removed) == (b" ".join(left), len(w), len(w) - len(left))
+
+
+def test_further_columns_may_have_any_name(spark):
+    def more(df):
+        return df.select("*", *[F.lit("x").alias(c) for c in ("uid", "at", "doc", "c0", "said", "__text", "SCORE", "N_TOKENS", "Kept_Text", "LANG_PRED", "predicted", "n_bytes", "settled", "row_key", "place", "TEXT")])
+
+    rows = [(1, "one two three"), (2, None), (None, "one two three")]
+    docs = more(docs_of(spark, rows))
+    results = {
+        "kept_text": substring_dedup.remove_repeats(docs),
+        "n_tokens": token_counts.count_tokens(docs, tokenizer("piece_bpe_32k.model")),
+        "lang_pred": language_id.identify_language(docs, (("en", "one two"),)),
+        "score": quality.score_quality(docs, quality.fit_quality_of(docs, more(spark.createDataFrame([(1, 1)], "doc_id long, quality int")))),
+    }
+    for name, df in results.items():
+        names = [c.lower() for c in df.columns]
+        assert names.count(name) == 1 and names.count("settled") == 1
+        at = names.index("doc_id")
+        assert sorted(str(r[at]) for r in df.collect()) == ["1", "2", "None"]
+    assert simhash.simhash_components(docs).count() == 3 and simhash.similar_components(docs).count() == 2
+    assert packing.pack_documents(docs, tokenizer("byte_bpe_50k.json")).count() == 3
+    items = spark.createDataFrame([(1, "one two three")], "item_id long, text string").select("*", F.lit(1).alias("shard"), F.lit("x").alias("Text"), F.lit(0).alias("id"))
+    assert sorted(str(r.doc_id) for r in decontamination.find_contamination(docs, items).collect()) == ["1", "None"]
+    turns = more(spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string"))
+    assert chat.read_back(chat.format_conversations(turns)).count() == 1
+    assert license_scan.scan_licenses(docs).count() == 0
+
+
 def test_equal_windows_have_equal_cores():
     r = random.Random(2)
     for _ in range(100):
@@ -422,6 +488,49 @@ def test_phrases_equal_a_plain_parse():
             assert got[k] == pytest.approx(n * p.bits[k] / len(symbols))
 
 
+def plain_phrases(automaton, symbols):
+    n, state = 1, 0
+    for c in symbols:
+        v = automaton.one(state, c)
+        n, state = (n + 1, ~v) if v < 0 else (n, v)
+    return n
+
+
+@pytest.mark.parametrize(("block", "stretch", "cells"), [(512, 1 << 20, 1 << 24), (512, 1024, 1), (4, 16, 1 << 24), (2, 6, 1)])
+def test_phrases_are_those_of_one_parse_of_the_whole_text(monkeypatch, block, stretch, cells):
+    r = random.Random(block)
+    for name, v in (("BLOCK", block), ("STRETCH", stretch), ("DENSE_CELLS", cells)):
+        monkeypatch.setattr(language_id, name, v)
+    for letters in ("a", "ab", "abcde ", "abcde q"):
+        said = ["".join(r.choice(letters.replace("q", "")) for _ in range(n)) for n in (20, 200, 6000 if block > 9 else 90)]
+        p = language_id.CrossParser(tuple(zip("xyz", said, strict=True)))
+        texts = ["".join(r.choice(letters) for _ in range(r.randint(1, 40 * block // 3))) for _ in range(5)] + [*said, said[2] * 2, said[1][:7] * 60]
+        rows = [p.symbols(language_id.letters_of(t)) for t in texts]
+        got = p.phrases(rows)
+        assert got.tolist() == [[plain_phrases(a, x.tolist()) for a in p.automata] for x in rows]
+        assert got[7, 2] == 1  # a text that is its language's sample
+
+
+def test_language_query_equals_a_plain_parse(spark):
+    docs = {r.doc_id: r for r in real(spark).collect()}
+    labelled = [r for d, r in docs.items() if zlib.crc32(str(d).encode()) % 3 != 1]
+    sample = language_id.fit_language_sample(spark.createDataFrame(labelled))
+    assert {k for k, _ in sample} == {r.lang for r in labelled if r.lang} and all(len(v) <= language_id.CHARS_PER_LANGUAGE + language_id.DOCS_PER_LANGUAGE for _, v in sample)
+    p = language_id.CrossParser(sample)
+    for r in QUERIES["op7_language_id"](spark, SF).collect()[::7]:
+        x = p.symbols(language_id.letters_of(docs[r.doc_id].text or ""))
+        if r.lang_pred != "und":
+            bits = [plain_phrases(a, x.tolist()) * b / len(x) for a, b in zip(p.automata, p.bits, strict=True)]
+            assert p.languages[int(np.argmin(bits))] == r.lang_pred
+            assert r.score == pytest.approx(1 / sum(2 ** -((b - min(bits)) * language_id.SHARPNESS) for b in bits))
+
+
+def test_a_language_of_long_rows_only_and_many_languages_are_learned(spark):
+    rows = [(i, "ab cd " * 9000, "xx", "s", 1) for i in range(3)] + [(10 + i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 20, f"l{i}", "s", 1) for i in range(300)]
+    sample = dict(language_id.fit_language_sample(spark.createDataFrame(rows, DOCS)))
+    assert len(sample) == 301 and len(sample["xx"]) == language_id.SAMPLE_CHARS // 301
+
+
 def test_languages_of_large_alphabets_and_of_all_planes(monkeypatch):
     r = random.Random(4)
 
@@ -479,6 +588,22 @@ def test_quality_votes_equal_a_plain_vote():
         assert got == pytest.approx((sum(a * b for a, (_, b) in zip(w, near, strict=True)) + 0.5 * m.prior) / (sum(w) + 0.5), rel=1e-4)
 
 
+def test_quality_query_equals_a_plain_vote(spark):
+    docs = {r.doc_id: r.text or "" for r in real(spark).collect()}
+    held_in = {d for d in docs if zlib.crc32(str(d).encode()) % 5}
+    known = sorted((r.doc_id, r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.doc_id in held_in)
+    counts = {}
+    for d in docs:
+        ((_, x),) = quality.features_of(pa.RecordBatch.from_arrays([pa.array([docs[d]])], names=["text"]))
+        counts[d] = x[0]
+    m = quality.fit_neighbours(np.stack([counts[d] for d, _ in known]), np.array([y for _, y in known]))
+    for r in QUERIES["op4_quality"](spark, SF).collect():
+        cos = np.round(m.vectors @ m.latent(counts[r.doc_id][None])[0], 6)
+        near = sorted(zip(cos.tolist(), m.labels.tolist(), strict=True), key=lambda z: -z[0])[: quality.NEIGHBOURS]
+        w = [max(c, 0) ** 4 for c, _ in near]
+        assert r.score == pytest.approx((sum(a * b for a, (_, b) in zip(w, near, strict=True)) + 0.5 * m.prior) / (sum(w) + 0.5), abs=1e-5)
+
+
 def test_quality_of_odd_rows(spark):
     labels = spark.createDataFrame([(4, 1), (4, 1), (5, 0), (None, 1), (6, None), (7, 9)], "doc_id long, quality int")
     model = quality.fit_quality_of(docs_of(spark, ODD), labels)
@@ -523,6 +648,40 @@ def test_contamination_equals_brute_force(spark):
     assert got
 
 
+def test_decontaminate_query_equals_brute_force(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    docs = real(spark).collect()
+    got = QUERIES["op1_decontaminate"](spark, SF).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(docs[k].doc_id, i) for k, i in brute_contamination([d.text or "" for d in docs], items)}
+
+
+def test_items_in_several_indexes_give_the_same_rows(spark, monkeypatch):
+    items, docs = spark.read.parquet(f"{SF}/benchmark.parquet"), real(spark)
+    want = sorted(decontamination.find_contamination(docs, items).collect())
+    total = sum(len(r.text.encode()) for r in items.collect())
+    for parts in (2, 7):
+        monkeypatch.setattr(decontamination, "SHARD_BYTES", -(-total // parts))
+        assert sorted(decontamination.find_contamination(docs, items).collect()) == want
+    assert want
+
+
+def test_contamination_of_long_texts_in_parts():
+    r = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = [" ".join(r.choices(vocabulary, k=r.randint(5, 40))) for _ in range(40)]
+    halves = [decontamination.question_and_answer(t) for t in items]
+    index = decontamination.BenchmarkIndex(list(range(40)), [q for q, _ in halves], [a for _, a in halves])
+    texts = [" ".join([*r.choices(vocabulary, k=300), items[k], *r.choices(vocabulary, k=300)]) for k in range(20)]
+    want = {(x[0], x[1]): x[2:] for x in index.contaminations(pa.array(texts), 0.5, 0.5)}
+    for size in (150, 700):
+        decontamination.PIECE_BYTES = size
+        try:
+            assert {(x[0], x[1]): x[2:] for x in index.contaminations(pa.array(texts), 0.5, 0.5)} == want
+        finally:
+            decontamination.PIECE_BYTES = 1 << 20
+    assert {(k, k) for k in range(20)} <= set(want)
+
+
 def test_wand_returns_all_above_the_threshold():
     r = random.Random(3)
     vocabulary = [f"w{k}" for k in range(120)]
