@@ -39,9 +39,9 @@ from ._spark import Workspace, numbered, only, place_of, release_shuffles
 
 WINDOW, ROUNDS = 13, 2
 #: Rounds of which the symbols can be cores: a higher level's context leaves a window few of them.
-CORE_ROUNDS = 2
+CORE_ROUNDS = 1
 #: Parts of the hash space, one matched after the other, so that shuffles hold a part of the rows at a time.
-PASSES = 1
+PASSES = 3
 #: Of this many symbols one, on average, begins a long symbol.
 LONG_SYMBOLS = 10
 _RUN, _PAIR = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
