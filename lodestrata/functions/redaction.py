@@ -11,20 +11,15 @@ MARK_IN_JAVA = r"\[REDACTED\]"
 #: What the baseline looks for, in the order in which it does.
 PEM = r"-----BEGIN [A-Z ]+-----[\s\S]*?-----END [A-Z ]+-----"
 PREFIXES = ("ghp_", "github_pat_", "sk-", "xoxb-", "xoxp-", "xoxa-", "AKIA", "-----BEGIN ")
-TOKEN_END, TOKEN_LEAST = r"[^ \t\n\"',;)]", 4
+AFTER_PREFIX = r"[^ \t\n\"',;)]{4,}"
 JSON_KEYS = ("password", "token", "secret", "api_key", "access_key", "private_key", "auth_token")
-JSON_VALUE = r'[^"]{20,}'
-KV_NAME = r"(?:export\s+)?[A-Z_]{3,}(?:SECRET|KEY|TOKEN|PASSWORD|AUTH)[A-Z_]*\s*=\s*[\"']?"
-KV_VALUE = r"[A-Za-z0-9+/=_\-]{20,}"
+JSON_VALUE = r'(?i)("(?:password|token|secret|api_key|access_key|private_key|auth_token)"\s*:\s*")[^"]{20,}"'
+KEY_VALUE = r"(^|\n)((?:export\s+)?[A-Z_]{3,}(?:SECRET|KEY|TOKEN|PASSWORD|AUTH)[A-Z_]*\s*=\s*[\"']?)[A-Za-z0-9+/=_\-]{20,}"
 
 
 def baseline_rules() -> list[tuple[str, str]]:
     """(pattern, replacement) in order: PEM blocks, prefix tokens, JSON values, KEY=value."""
-    rules = [(PEM, MARK)]
-    rules += [(f"{p}{TOKEN_END}{{{TOKEN_LEAST},}}", MARK) for p in PREFIXES]
-    rules.append((rf'(?i)("(?:{"|".join(JSON_KEYS)})"\s*:\s*"){JSON_VALUE}"', rf'$1{MARK}"'))
-    rules.append((rf"(^|\n)({KV_NAME}){KV_VALUE}", rf"$1$2{MARK}"))
-    return rules
+    return [(PEM, MARK), *((p + AFTER_PREFIX, MARK) for p in PREFIXES), (JSON_VALUE, rf'$1{MARK}"'), (KEY_VALUE, rf"$1$2{MARK}")]
 
 
 def redact_baseline(text: Column) -> Column:
@@ -76,11 +71,14 @@ def redact_engine(text: Column, sink: str = "persist") -> Column:
 
 
 def entropy(text: Column) -> Column:
-    """Shannon entropy in bits a character."""
-    chars = F.split(text, "")
+    """Shannon entropy in bits a character: of the sorted characters, each run's length is a count."""
+    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+    # sum of run * log2(run) over all runs; H = log2(n) - sum / n
+    closed = lambda s: s["sum"] + F.when(s["run"] > 0, s["run"] * F.log2(s["run"].cast("double"))).otherwise(0.0)
+    walked = F.aggregate(chars, start, lambda s, c: F.when(s["last"] == c, F.struct(c.alias("last"), (s["run"] + 1).alias("run"), s["sum"].alias("sum"))).otherwise(F.struct(c.alias("last"), F.lit(1).alias("run"), closed(s).alias("sum"))), closed)
     n = F.size(chars)
-    share = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
-    return F.when(F.length(text) > 0, F.aggregate(share, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(0.0)
+    return F.when(F.length(text) > 0, F.log2(n.cast("double")) - walked / n).otherwise(0.0)
 
 
 def high_entropy_values(text: Column, least: float = 3.5) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import random
 import string
 
@@ -10,13 +9,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEED = 20240817
-LETTERS = string.ascii_letters + string.digits
-#: How many samples of each kind, and the names their values stand under.
-CHAT_PREFIXES = ("xoxb", "xoxp", "xoxa")
-PEM_KINDS = (("RSA PRIVATE KEY", 64), ("EC PRIVATE KEY", 48), ("PRIVATE KEY", 56), ("OPENSSH PRIVATE KEY", 70))
-KV_NAMES = ("DATABASE_URL", "SECRET_KEY", "WEBHOOK_SECRET", "SIGNING_KEY", "ENCRYPTION_KEY", "MASTER_KEY", "SERVICE_ACCOUNT_KEY", "PRIVATE_KEY_DATA", "AUTH_TOKEN", "SESSION_SECRET")
-JSON_NAMES = ("password", "token", "secret", "api_key", "access_key", "private_key", "auth_token")
 SAMPLE_SCHEMA = "sample_id int, is_secret boolean, secret_class string, residual string, plaintext string, context string"
+ALNUM, UPPER, HEX, BASE64, URL64, CROCKFORD = string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+#: Samples by kind: how many, class, residual, alphabet, lengths of random parts, the plaintext that these make, and its context.
+#: The totals by class (51, 43, 26 and 5, of which the baseline finds 46, 27, 19 and 5; 8 residual, 5 of them let through; 26 look-alikes).
+SECRETS = [
+    (5, "prefix_token", None, ALNUM, (36,), "ghp_{0}", "pushed by the release robot with {v} last night"),
+    (2, "prefix_token", None, ALNUM, (36,), "ghp_{0}", "origin https://{v}@code.example.org/team/ledger.git"),
+    (2, "prefix_token", None, ALNUM, (34,), "ghp_{0}", "x = 1  # until March this was {v}\ny = 2\n"),
+    (7, "prefix_token", None, ALNUM, (59,), "github_pat_{0}", "fetch --header 'X-Robot {v}' --quiet"),
+    (12, "prefix_token", None, ALNUM, (44,), "sk-{0}", "the assistant's account is {v} and renews in June"),
+    (6, "prefix_token", None, ALNUM, (12, 26), "xoxb-{0}-{1}", "chat bot signs in as {v}"),
+    (4, "prefix_token", None, ALNUM, (10, 10, 30), "xoxp-{0}-{1}-{2}", "<user login=\"{v}\"/>"),
+    (5, "prefix_token", None, UPPER, (16,), "AKIA{0}", "bucket policy names {v} as owner"),
+    (3, "prefix_token", None, BASE64, (64, 64, 20), "-----BEGIN EC PRIVATE KEY-----\n{0}\n{1}\n{2}\n-----END EC PRIVATE KEY-----", "printed in the ticket:\n{v}\nplease rotate"),
+    (5, "prefix_token", None, URL64, (24, 52, 43), "{0}.{1}.{2}", "Cookie: session {v}"),
+    (12, "high_entropy_kv", None, ALNUM, (28,), "{0}", "LEDGER_SIGNING_KEY={v}"),
+    (8, "high_entropy_kv", None, ALNUM, (24,), "{0}", "export MAIL_RELAY_PASSWORD='{v}'"),
+    (4, "high_entropy_kv", None, ALNUM, (20,), "{0}", "QUEUE_AUTH={v}"),
+    (3, "high_entropy_kv", None, BASE64, (32,), "{0}", "VAULT_SECRET={v}"),
+    (6, "high_entropy_kv", None, ALNUM, (30,), "{0}", "ledger.signing_key = {v}"),
+    (4, "high_entropy_kv", None, BASE64, (32,), "{0}", "relay:\n  relay-password: {v}\n  port: 25\n"),
+    (3, "high_entropy_kv", None, ALNUM, (24,), "{0}", "CACHE_URL=redis://app:{v}@cache.example.org:6379/0"),
+    (3, "high_entropy_kv", None, ALNUM, (30,), "{0}", "https://hooks.example.org/in?token={v}&kind=push"),
+    (8, "json_sensitive_value", None, ALNUM, (26,), "{0}", '{{"region": "north", "access_key": "{v}"}}'),
+    (5, "json_sensitive_value", None, ALNUM, (22,), "{0}", '[{{"login": "lee", "password" : "{v}"}}]'),
+    (4, "json_sensitive_value", None, ALNUM, (31,), "{0}", '{{\n  "api_key":\n    "{v}"\n}}'),
+    (2, "json_sensitive_value", None, ALNUM, (20,), "{0}", '{{"auth_token": "{v}"}}'),
+    (7, "json_sensitive_value", None, ALNUM, (27,), "{0}", "settings = {{'secret': '{v}', 'retries': 3}}"),
+    (5, "env_dump", None, ALNUM, (34,), "{0}", "LANG=C\nPWD=/srv/ledger\nBUILD_API_TOKEN={v}\nSHELL=/bin/sh\n"),
+    (3, "prefix_token", "adversarial_short_split", ALNUM, (18, 18), "ghp_{0}{1}", 'first = "ghp_{0}"\nthen = "{1}"\n'),
+    (3, "high_entropy_kv", "git_sha_hex", HEX, (40,), "{0}", "checked out at {v} by hand"),
+    (2, "json_sensitive_value", "sub_20_char_json", ALNUM, (19,), "{0}", '{{"password": "{v}"}}'),
+]
+LOOK_ALIKES = [
+    (4, HEX, (40,), "{0}", "commit {v}"),
+    (3, HEX, (64,), "{0}", "sha256:{v}"),
+    (4, HEX, (8, 4, 4, 4, 12), "{0}-{1}-{2}-{3}-{4}", "request {v} took 12 ms"),
+    (3, CROCKFORD, (26,), "{0}", "event {v}"),
+    (2, HEX, (12,), "0x{0}", "at address {v}"),
+    (2, string.digits, (4,), "https://docs.example.org/list?page={0}&sort=name", "see {v}"),
+    (1, ALNUM, (), "IndexerOfSlowlyChangingDocuments", "class {v}:"),
+    (1, ALNUM, (), "retry_until_the_ledger_is_balanced", "def {v}():"),
+    (1, ALNUM, (), "a key without a lock is only metal", "{v}"),
+    (1, ALNUM, (), "bG9uZyBkYXlz", "greeting: {v}"),
+    (1, ALNUM, (), "tangerine42", "the old password was {v}"),
+    (2, string.digits, (16,), "order {0}", "{v} has shipped"),
+    (1, ALNUM, (), "north-by-northwest-by-north", "{v}"),
+]
 
 
 def corpus(spark: SparkSession, repos: int, chunks_per_repo: int, least: int, most: int, seed: int = SEED) -> DataFrame:
@@ -33,86 +74,13 @@ def corpus(spark: SparkSession, repos: int, chunks_per_repo: int, least: int, mo
 
 
 def secret_samples(seed: int = SEED) -> list[tuple]:
-    """Rows of SAMPLE_SCHEMA: 114 generated secrets, 19 hard ones, 26 look-alikes."""
+    """Rows of SAMPLE_SCHEMA: the secrets, then the look-alikes, each value drawn anew."""
     r = random.Random(seed)
-    word = lambda n: "".join(r.choice(LETTERS) for _ in range(n))
-    b64 = lambda n: base64.b64encode(bytes(r.randrange(256) for _ in range(n))).decode()
-    url64 = lambda n: base64.urlsafe_b64encode(bytes(r.randrange(256) for _ in range(n))).decode().rstrip("=")
-    rows: list[tuple] = []
-
-    def add(kind: str, plain: str, context: str, residual: str | None = None) -> None:
-        rows.append((True, kind, residual, plain, context))
-
-    for _ in range(8):
-        t = f"ghp_{word(36)}"
-        add("prefix_token", t, f"Authorization: token {t}")
-    for _ in range(4):
-        t = f"github_pat_{word(82)}"
-        add("prefix_token", t, f"git clone https://{t}@git.example.com/a/b.git")
-    for _ in range(6):
-        t = f"sk-{word(48)}"
-        for c in (f"MODEL_API_KEY={t}", f'client = Client(api_key="{t}")', f"OTHER_API_KEY={t}"):
-            add("prefix_token", t, c)
-    for p in CHAT_PREFIXES:
-        t = f"{p}-{word(11)}-{word(12)}-{word(24)}"
-        add("prefix_token", t, f"CHAT_TOKEN={t}")
-    for k in range(4):
-        t, s = "AKIA" + (word(14 + k % 2)).upper(), word(40)
-        add("prefix_token", t, f"aws_access_key_id = {t}\naws_secret_access_key = {s}")
-        add("high_entropy_kv", s, f"aws_secret_access_key = {s}")
-    for kind, n in PEM_KINDS:
-        t = f"-----BEGIN {kind}-----\n{b64(n)}\n-----END {kind}-----"
-        add("prefix_token", t, f"# deploy key\n{t}")
-    for _ in range(4):
-        t = f"{url64(20)}.{url64(40)}.{url64(32)}"
-        add("prefix_token", t, f"Authorization: Bearer {t}")
-    for k, name in enumerate(KV_NAMES):
-        v = word(32 + 2 * k)
-        for c in (f"{name}={v}", f"export {name}={v}", f'{name}="{v}"'):
-            add("high_entropy_kv", v, c)
-    for k in range(6):
-        v = base64.b64encode(word(24 + 4 * k).encode()).decode()
-        add("high_entropy_kv", v, f"B64_SECRET_{k}={v}")
-    for k, name in enumerate(JSON_NAMES):
-        v = word(24 + k)
-        for c in (f'{{"{name}": "{v}"}}', f'  "{name}": "{v}",', f"'{name}': '{v}'"):
-            add("json_sensitive_value", v, c)
-    for _ in range(4):
-        v = word(32)
-        add("json_sensitive_value", v, f'{{\n  "user": "sam",\n  "token": "{v}",\n  "expires": 99\n}}')
-    for k in range(4):
-        v = word(40)
-        add("env_dump", v, f"PATH=/usr/bin\nHOME=/home/sam\nSECRET_KEY={v}\nAWS_ACCESS_KEY_ID=AKIASAMPLE{k:06d}XXXX\nTERM=xterm\n")
-    # the hard ones
-    add("prefix_token", "sk-", 'key = (\n    "sk-"\n    "rest of it"\n)\n', "adversarial_short_split")
-    add("prefix_token", "AKIA", "aws_key = 'AKIA'\n", "adversarial_short_split")
-    add("prefix_token", "ghp_PART000000000", "part_one = 'ghp_PART000000000'\n", "adversarial_short_split")
-    for t, c in (("sk-" + word(46), "def f():\n    # remove me: {}\n    return 1\n"), ("AKIA" + word(16).upper(), "#!/bin/sh\n# old key: {}  -- rotated\nls\n"), ("ghp_" + word(34), "/**\n * @example Authorization: token {}\n */\n")):
-        add("prefix_token", t, c.format(t))
-    t = "ghp_" + word(33)
-    add("prefix_token", t, f"\turl = https://{t}@git.example.com/a/b.git")
-    t = word(20)
-    add("high_entropy_kv", t, f"DATABASE_URL=postgresql://admin:{t}@localhost:5432/db")
-    t = word(39)
-    add("prefix_token", t, f"https://api.example.com/hook?token={t}&event=push")
-    for c in ("kind: Secret\ndata:\n  api-key: {}\n", "kind: Secret\ndata:\n  AWS_SECRET_ACCESS_KEY: {}\n"):
-        t = base64.b64encode(word(40).encode()).decode()
-        add("high_entropy_kv", t, c.format(t))
-    t = word(39)
-    add("env_dump", t, f"CI=true\nSECRET_KEY={t}\nRUN_ID=12\n")
-    t = "AKIA" + word(16).upper()
-    add("prefix_token", t, f"TERM=xterm\nAWS_ACCESS_KEY_ID={t}\nHOME=/home/sam\n")
-    sha = lambda: "".join(r.choice("0123456789abcdef") for _ in range(40))
-    for c in ('{{"last_indexed_sha": "{}"}}', "commit {}\nAuthor: Sam", "ingestedFromSha={}"):
-        t = sha()
-        add("high_entropy_kv", t, c.format(t), "git_sha_hex")
-    add("json_sensitive_value", "changeme", '{"password": "changeme"}', "sub_20_char_json")
-    add("json_sensitive_value", "Short17CharValue!", '{"token": "Short17CharValue!"}', "sub_20_char_json")
-    t = word(20)
-    add("json_sensitive_value", t, f'{{"password": "{t}"}}')
-    # look-alikes stand alone, without context
-    hexes = ["a" * 40, "feedface" + "0" * 32, sha(), sha() + "".join(r.choice("0123456789abcdef") for _ in range(24)), sha()]
-    uuid = lambda: "-".join("".join(r.choice("0123456789abcdef") for _ in range(n)) for n in (8, 4, 4, 4, 12))
-    plain = [*hexes, *[uuid() for _ in range(5)], "01HZY8M3Q4R5S6T7V8W9XABCDE", "changeme", "admin", "test", "password123", "letmein", "correcthorsebatterystaple", "sphinxofblackquartzjudgemyvow", "VeryLongButNotASecretName", "PlainWordsInCamelCaseThatGoOn", "0x5f3d9a8b7c2e1f07", "1a2b3c4d5e6f7a8b9c0e", "aGVsbG8gd29ybGQ=", "aGVsbG8gYWdhaW4=", "0xCAFEBABEDEADBEEF", "https://api.example.com/v1/data?filter=active&limit=100"]
-    rows += [(False, None, None, p, p) for p in plain]
-    return [(k, *row) for k, row in enumerate(rows)]
+    rows = []
+    kinds = [(True, *k) for k in SECRETS] + [(False, n, None, None, *k) for n, *k in LOOK_ALIKES]
+    for is_secret, n, kind, residual, alphabet, lengths, plain, context in kinds:
+        for _ in range(n):
+            parts = ["".join(r.choices(alphabet, k=size)) for size in lengths]
+            value = plain.format(*parts)
+            rows.append((len(rows), is_secret, kind, residual, value, context.format(*parts, v=value)))
+    return rows
