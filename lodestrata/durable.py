@@ -1,15 +1,47 @@
-"""Cutting lineage through the shared checkpoint folder."""
+"""Cutting lineage through the shared checkpoint folder, spreading narrow scans, and ranks over whole tables."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df as written to the folder that spark.checkpoint.dir names; only a session without one gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, set for this context; only on a single machine may that be unset."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="ckpt-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df as written to the shared folder; a lost executor costs a reread."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly where its scan has fewer partitions than the cluster has cores, so that costly columns keep all of them busy."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
+def whole_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with its rows' places, from 1, under a total order, without gathering them in one task.
+
+    Rows are cut into ranges, which are written; a range's places begin after the
+    counts of those before it.
+    """
+    ranges = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism * 2, *order).withColumn("range_no", F.spark_partition_id())
+    held = durable(ranges)
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = held.groupBy("range_no").agg(F.count("*").alias("n")).select("range_no", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("range_no").orderBy(*order))
+    return held.join(F.broadcast(starts), "range_no").withColumn(name, (F.col("before") + own).cast("long")).drop("range_no", "before")

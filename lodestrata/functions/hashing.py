@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import whole_rank
+
 
 def content_hash(text: Column) -> Column:
     """Identity of a source unit."""
@@ -30,9 +32,11 @@ def pair_score(query: Column, doc: Column) -> Column:
 
 
 def minted_ids(kinds: DataFrame) -> DataFrame:
-    """(kind, ord) rows get n = 0, 1, ... per kind in the order of ord, and the id that kind and n give."""
-    n = F.row_number().over(Window.partitionBy("kind").orderBy("ord")) - 1
-    return kinds.withColumn("n", n.cast("long")).withColumn("minted_id", F.concat(F.lit("fakeid-"), F.substring(F.sha2(F.concat("kind", F.lit("\0"), F.col("n").cast("string")), 256), 1, 24)))
+    """(kind, ord) rows get n = 0, 1, ... per kind in the order of ord, and the id that kind and n give; a kind may span many tasks."""
+    ranked = whole_rank(kinds, [F.col("kind"), F.col("ord")], "place")
+    first = ranked.groupBy("kind").agg(F.min("place").alias("first_place"))
+    numbered = ranked.join(first, ranked["kind"].eqNullSafe(first["kind"])).drop(first["kind"])
+    return numbered.withColumn("n", F.col("place") - F.col("first_place")).drop("place", "first_place").withColumn("minted_id", F.concat(F.lit("fakeid-"), F.substring(F.sha2(F.concat("kind", F.lit("\0"), F.col("n").cast("string")), 256), 1, 24)))
 
 
 def source_root_hash(files: DataFrame, by: str, path: str, digest: str) -> DataFrame:

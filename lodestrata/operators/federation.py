@@ -66,19 +66,48 @@ def resolve_names(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     A node is a candidate if the reference's segments, or those of one of its own
     listed candidates, are the last segments of the node's qualified name. One:
-    resolved. More: ambiguous, none is picked. None: no match. The join is on the
-    last segment; the rest is a residual.
+    resolved. More: ambiguous, none is picked. None: no match.
+
+    Names are counted once for each of their endings, and references are joined to
+    the ending they say as a whole, so a leaf that very many nodes share is one row.
+    Of a reference's names one that ends in another adds no candidate; the others'
+    candidates can't be the same, so counts add up.
     """
     listed = F.coalesce(F.from_json("candidates", "array<string>"), F.array().cast("array<string>"))
-    asked = refs.select("ref_id", F.explode(F.array_union(F.array("reference_name"), listed)).alias("said")).select("ref_id", segments(F.col("said")).alias("want")).where(F.size("want") > 0).withColumn("leaf", F.element_at("want", -1))
-    have = nodes.where("is_exported").select("node_id", "qualified_name", segments(F.col("qualified_name")).alias("have")).where(F.size("have") > 0).withColumn("leaf", F.element_at("have", -1))
-    fits = (F.size("want") <= F.size("have")) & (F.slice("have", F.size("have") - F.size("want") + 1, F.size("want")) == F.col("want"))
-    hits = asked.join(have, "leaf").where(fits).groupBy("ref_id").agg(F.count_distinct("node_id").alias("n"), F.min("qualified_name").alias("only"))
+    said = F.filter(F.transform(F.array_union(F.array("reference_name"), listed), segments), lambda w: F.size(w) > 0)
+    ends_in = lambda w, x: (F.size(x) < F.size(w)) & (F.slice(w, F.size(w) - F.size(x) + 1, F.size(x)) == x)
+    asked = refs.select("ref_id", F.array_distinct(said).alias("all")).select("ref_id", F.explode(F.filter("all", lambda w: ~F.exists("all", lambda x: ends_in(w, x)))).alias("ending"))
+    have = nodes.where("is_exported").select("node_id", "qualified_name", segments(F.col("qualified_name")).alias("have")).where(F.size("have") > 0)
+    endings = have.select("node_id", "qualified_name", F.explode(F.transform(F.sequence(F.lit(1), F.size("have")), lambda k: F.slice("have", -k, k))).alias("ending"))
+    counted = endings.groupBy("ending").agg(F.count_distinct("node_id").alias("n"), F.min("qualified_name").alias("only"))
+    hits = asked.distinct().join(counted, "ending").groupBy("ref_id").agg(F.sum("n").alias("n"), F.min("only").alias("only"))
     n = F.coalesce("n", F.lit(0)).cast("long")
     status = F.when(n == 1, "RESOLVED").when(n > 1, "AMBIGUOUS").otherwise("NO_MATCH")
     return refs.select("ref_id").distinct().join(hits, "ref_id", "left").select("ref_id", n.alias("n_candidates"), status.alias("status"), F.when(n == 1, F.col("only")).alias("resolved"))
 
 
+def side_by_side(refs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(ref_id, status, candidate): what is shown where nothing is picked, each candidate of an ambiguous reference in a row of its own."""
+    told = resolve_names(refs, nodes)
+    listed = F.coalesce(F.from_json("candidates", "array<string>"), F.array().cast("array<string>"))
+    asked = refs.join(told.where("status = 'AMBIGUOUS'").select("ref_id", "status"), "ref_id").select("ref_id", "status", F.explode(F.array_union(F.array("reference_name"), listed)).alias("said"))
+    wanted = asked.select("ref_id", "status", segments(F.col("said")).alias("ending")).where(F.size("ending") > 0)
+    have = nodes.where("is_exported").select("qualified_name", segments(F.col("qualified_name")).alias("have")).where(F.size("have") > 0)
+    endings = have.select("qualified_name", F.explode(F.transform(F.sequence(F.lit(1), F.size("have")), lambda k: F.slice("have", -k, k))).alias("ending"))
+    return wanted.join(endings, "ending").select("ref_id", "status", F.col("qualified_name").alias("candidate")).distinct()
+
+
+def resolution_quality(resolved: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row of precision, recall and forced picks of resolve_names' result against truth (ref_id, kind, expected).
+
+    expected is null where nothing may be picked; a pick for an ambiguous one is forced.
+    """
+    told = truth.join(resolved, "ref_id", "left")
+    picked, right = F.col("resolved").isNotNull(), F.col("resolved") == F.col("expected")
+    counts = told.agg(F.count_if(picked & right).alias("correct"), F.count_if(picked).alias("picked"), F.count_if(F.col("expected").isNotNull()).alias("resolvable"), F.count_if(picked & (F.col("kind") == "ambiguous")).alias("forced_picks"))
+    return counts.select("correct", "picked", "resolvable", "forced_picks", F.round(F.try_divide("correct", "picked"), 3).alias("precision"), F.round(F.try_divide("correct", "resolvable"), 3).alias("recall"))
+
+
 def one_model(rows: DataFrame, by: str, model: str, vector: str) -> DataFrame:
     """Per generation its models and vector lengths, and whether it holds one of each."""
     out = rows.groupBy(by).agg(F.count_distinct(model).alias("n_models"), F.count_distinct(F.size(vector)).alias("n_dimensions"))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import durable, spread
 from ..functions.hashing import pair_score, token_estimate
 
 #: The constants that the design leaves open.
 K1, B, RRF_K, CANDIDATES, FINAL, ROUTE_TOKENS = 1.2, 0.75, 60, 50, 10, 200_000
-#: Query rows that are broadcast at once to the vectors they are compared with.
-QUERY_ROWS = 10_000
+#: Query vectors that are broadcast at once, terms that are broadcast, and rows of vectors multiplied at once.
+QUERY_ROWS, LISTED_TERMS, VECTOR_ROWS = 10_000, 1_000_000, 1024
 
 
 def tokens(text: Column) -> Column:
@@ -22,28 +28,38 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
-def postings(docs: DataFrame, key: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
-    """(key, term, tf, doc_len) of each document; of the terms in `wanted` only, if it is given.
+def postings(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """(key, term, tf, doc_len) of each document and each term in `wanted`, and one row with a null term that counts the document itself.
 
-    The lengths count all tokens. Terms are kept before anything is shuffled, so
-    what moves is one partial count for each document and term asked for.
+    doc_len counts all tokens. Documents are read and cut once; terms are kept
+    before anything is shuffled, so what moves is one partial count for each
+    document and term asked for.
     """
-    words = docs.select(F.col(key), tokens(F.col(text)).alias("words"))
-    rows = words.select(key, F.size("words").alias("doc_len"), F.explode("words").alias("term"))
-    if wanted is not None:
-        rows = rows.join(wanted.select("term").distinct(), "term", "left_semi")
-    return rows.groupBy(key, "term", "doc_len").agg(F.count("*").alias("tf"))
+    words = spread(docs.select(key, text)).select(F.col(key), tokens(F.col(text)).alias("words"))
+    rows = words.select(key, F.when(F.col("words").isNotNull(), F.size("words")).alias("doc_len"), F.explode(F.array_append(F.coalesce("words", F.array().cast("array<string>")), F.lit(None).cast("string"))).alias("term"))
+    asked = wanted.select("term").distinct().withColumn("asked", F.lit(True))
+    asked = F.broadcast(asked) if asked.count() <= LISTED_TERMS else asked
+    kept = rows.join(asked, "term", "left").where("asked or term is null")
+    return kept.groupBy(key, "term", "doc_len").agg(F.count("*").alias("tf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, key, score) of every document that shares a term with the query, scores to six places."""
+    """(query_id, key, score) of every document that shares a term with the query, scores to six places.
+
+    Corpus size, document frequencies and scores all come from one written table
+    of postings. That is dealt by document, so a document's score for a query is
+    summed where its postings are.
+    """
     terms = query_terms(queries)
-    size = docs.select(F.size(tokens(F.col(text))).alias("n")).agg(F.count("*").alias("n_docs"), F.avg(F.when(F.col("n") >= 0, F.col("n"))).alias("mean_len"))
-    post = postings(docs, key, text, terms)
+    post = durable(postings(docs, key, text, terms))
+    size = post.where("term is null").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("doc_len") * F.col("tf")) / F.sum(F.when(F.col("doc_len").isNotNull(), F.col("tf")))).alias("mean_len"))
+    post = post.where("term is not null")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(size)).select("term", "mean_len", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    asked = idf.join(terms, "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("mean_len")))
-    return post.join(idf, "term").select(key, "term", part.alias("part")).join(terms, "term").groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
+    dealt = post.repartition(key)
+    return dealt.join(asked, "term").select("query_id", key, part.alias("part")).groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -59,19 +75,65 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, key, score) of each query (query_id, query_vector) against every vector but null ones, to six places.
+def dense(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, key, score) with each query's k best (query_id, query_vector) by cosine to six places, and more that some task had among its own.
 
-    The queries are broadcast; more than QUERY_ROWS of them are refused, to be
-    given in blocks.
+    Queries travel in blocks of QUERY_ROWS, which are broadcast; a task multiplies
+    its vectors with a block and gives back k rows a query, ties to smaller keys.
+    Null vectors take no part; where a cosine has no value (a length of 0, a null or
+    NaN component) the score is null and comes last. Lengths must agree.
     """
-    if queries.limit(QUERY_ROWS + 1).count() > QUERY_ROWS:
-        raise ValueError(f"more than {QUERY_ROWS} queries in one block")
-    # lengths are taken once a vector, not once a pair
-    fit = vectors.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("__v"), norm(F.col(vector)).alias("__n"))
-    asked = queries.select("query_id", "query_vector", norm(F.col("query_vector")).alias("__m"))
-    near = fit.join(F.broadcast(asked), F.size("__v") == F.size("query_vector"))
-    return near.select("query_id", key, F.round(F.try_divide(dot(F.col("__v"), F.col("query_vector")), F.col("__n") * F.col("__m")), 6).alias("score"))
+    kind = vectors.schema[key].dataType.simpleString()
+    asked = durable(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").cast("array<double>").alias("v")).where("v is not null"))
+    fit = spread(vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")))
+    blocks = max(1, -(-asked.count() // QUERY_ROWS))
+    found = None
+    for n in range(blocks):
+        told = asked.where(F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)) == n).toArrow()
+        one = fit.mapInArrow(_nearest(vectors.sparkSession.sparkContext.broadcast(_by_size(told.column("query_id"), told.column("v"))), k), "query_id long, key long, score double")
+        found = one if found is None else found.unionByName(one)
+    return found.select("query_id", F.col("key").cast(kind).alias(key), "score")
+
+
+def _by_size(ids: pa.ChunkedArray, vectors: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each length: ids and vectors of length 1; what has no direction is NaN."""
+    out: dict[int, list[tuple[int, list]]] = {}
+    for i, v in zip(ids.to_pylist(), vectors.to_pylist(), strict=True):
+        out.setdefault(len(v), []).append((i, v))
+    return {d: (np.array([i for i, _ in rows]), _directions(np.array([v for _, v in rows], float).reshape(len(rows), d))) for d, rows in out.items()}
+
+
+def _directions(m: np.ndarray) -> np.ndarray:
+    with np.errstate(all="ignore"):
+        return m / np.sqrt((m * m).sum(1, keepdims=True))
+
+
+def _nearest(shared, k: int):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            size = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            for d in np.unique(size).tolist():
+                if d not in shared.value:
+                    continue
+                ids, m = shared.value[d]
+                part = b.filter(pa.array(size == d))
+                key, flat = part.column(0).to_numpy(zero_copy_only=False), part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                for lo in range(0, len(flat), VECTOR_ROWS):
+                    cos = np.round(m @ _directions(flat[lo : lo + VECTOR_ROWS]).T, 6)
+                    score = np.where(np.isnan(cos), -np.inf, cos) + 0.0
+                    own = np.broadcast_to(key[lo : lo + VECTOR_ROWS], score.shape)
+                    if d in best:
+                        own, score = np.concatenate([best[d][0], own], 1), np.concatenate([best[d][1], score], 1)
+                    top = np.lexsort((own, -score), axis=1)[:, :k]
+                    best[d] = np.take_along_axis(own, top, 1), np.take_along_axis(score, top, 1)
+        for d, (own, score) in best.items():
+            flat = score.ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(shared.value[d][0], own.shape[1])), pa.array(own.ravel()), pa.array(flat, mask=np.isinf(flat))], names=["query_id", "key", "score"])
+
+    return run
 
 
 def ranked(scored: DataFrame, key: str, k: int, by: str = "query_id") -> DataFrame:
@@ -126,13 +188,35 @@ def boolean_search(docs: DataFrame, all_of: list[str], none_of: list[str] | None
 
 
 def phrase_search(docs: DataFrame, phrase: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, hits): documents that hold the phrase's tokens in a row, from positional postings."""
-    want = [w for w in phrase.lower().split() if w]
+    """(key, hits): documents that hold the phrase's tokens in a row, from positional postings; a phrase without a token is nowhere."""
+    want = re.findall("[a-z0-9_]+", phrase.lower())
+    if not want:
+        return docs.where("false").select(key, F.lit(0).cast("long").alias("hits"))
+    docs = spread(docs.select(key, text))
     at = docs.select(key, F.posexplode(tokens(F.col(text))).alias("pos", "term")).where(F.col("term").isin(*want))
     spots = F.array_compact(F.array(*[F.when(F.col("term") == w, F.col("pos") - k) for k, w in enumerate(want)]))
     return at.select(key, F.explode(spots).alias("start")).groupBy(key, "start").count().where(F.col("count") == len(want)).groupBy(key).agg(F.count("*").alias("hits"))
 
 
+def holding(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, key) of documents whose text holds the query's whole text.
+
+    A query's longest piece between its first and last blank stands between blanks
+    in such a text, too, so documents' pieces are joined to these by equality, and
+    the rest is verified. Queries without such a piece are compared with every text.
+    """
+    inner = F.expr("slice(split(query, ' ', -1), 2, greatest(size(split(query, ' ', -1)) - 2, 0))")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    asked = durable(queries.where("query is not null").select("query_id", "query", longest["w"].alias("piece")))
+    if asked.count() <= LISTED_TERMS:
+        asked = F.broadcast(asked)
+    rows = spread(docs.select(key, text))
+    pieces = rows.select(key, text, F.explode(F.array_distinct(F.split(text, " ", -1))).alias("piece"))
+    some = pieces.join(asked, "piece").where(F.contains(F.col(text), F.col("query"))).select("query_id", key)
+    bare = asked.where("piece is null")
+    return some if bare.isEmpty() else some.unionByName(rows.join(bare, F.contains(F.col(text), F.col("query"))).select("query_id", key))
+
+
 def recall_at_k(found: DataFrame, gold: DataFrame, key: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """(k, hits, relevant, recall) of ranked results against gold (query_id, key); no relevant row: 1."""
     told = gold.select("query_id", key).distinct().join(found.select("query_id", key, "rank"), ["query_id", key], "left")

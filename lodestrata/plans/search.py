@@ -21,7 +21,7 @@ def _lexical(spark, sf_dir, k):
 def _dense(spark, sf_dir, k):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = _queries(spark, sf_dir).join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id").select("query_id", F.col("embedding").alias("query_vector"))
-    return retrieval.ranked(retrieval.dense(vectors, asked, "doc_id"), "doc_id", k)
+    return retrieval.ranked(retrieval.dense(vectors, asked, k, "doc_id"), "doc_id", k)
 
 
 def bm25_topk(spark, sf_dir):
@@ -55,8 +55,7 @@ def fake_rerank(spark, sf_dir):
 
 
 def _gold(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(_queries(spark, sf_dir)), F.contains("text", "query")).select("query_id", "doc_id")
+    return retrieval.holding(table(spark, sf_dir, "documents"), _queries(spark, sf_dir))
 
 
 def recall_at_k(spark, sf_dir):
@@ -75,6 +74,10 @@ def phrase_search(spark, sf_dir):
     return retrieval.phrase_search(table(spark, sf_dir, "documents"), "of the")
 
 
+def phrase_punctuated(spark, sf_dir):
+    return retrieval.phrase_search(table(spark, sf_dir, "documents"), "Released-under: the (MIT) License")
+
+
 def hydrate_hits(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     hits = _lexical(spark, sf_dir, 3).select("query_id", "doc_id", "rank")
@@ -86,7 +89,7 @@ def response_cap(spark, sf_dir):
     return items.agg(F.count("*").alias("n_items"), F.sum("rank").alias("sum_rank")).crossJoin(told)
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, dense_topk, hybrid_rrf, federated_union_rrf, fake_rerank, recall_at_k, benchmark_overlap, boolean_search, phrase_search, hydrate_hits, response_cap)}
+QUERIES = {f.__name__: f for f in (bm25_topk, dense_topk, hybrid_rrf, federated_union_rrf, fake_rerank, recall_at_k, benchmark_overlap, boolean_search, phrase_search, phrase_punctuated, hydrate_hits, response_cap)}
 
 _BM25 = f"""q AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS.format('text')}) AS term FROM benchmark),
 w AS (SELECT doc_id, {_WORDS.format('text')} AS words FROM documents),
@@ -118,6 +121,7 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
     "benchmark_overlap": f"WITH {_GOLD} SELECT query_id, CAST(count(*) AS BIGINT) AS n_docs FROM gold GROUP BY query_id",
     "boolean_search": f"WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents) SELECT doc_id FROM w WHERE list_has_all(w, ['the', 'and']) AND NOT list_contains(w, 'der') AND list_has_any(w, ['with', 'was'])",
     "phrase_search": f"WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), p AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM w), n AS (SELECT doc_id, t, lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS t2 FROM p) SELECT doc_id, CAST(count(*) AS BIGINT) AS hits FROM n WHERE t = 'of' AND t2 = 'the' GROUP BY doc_id",
+    "phrase_punctuated": f"WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w) SELECT doc_id, CAST(count(*) AS BIGINT) AS hits FROM p WHERE list_slice(w, i, i + 4) = ['released', 'under', 'the', 'mit', 'license'] GROUP BY doc_id",
     "hydrate_hits": f"WITH {_BM25} SELECT query_id, doc_id, rank, sha256(text) AS text_hash FROM lexical LEFT JOIN documents USING (doc_id) WHERE rank <= 3",
     "response_cap": f"WITH {_BM25}, o AS (SELECT query_id, rank FROM lexical WHERE rank <= 50 ORDER BY query_id, rank LIMIT 501), capped AS (SELECT * FROM o ORDER BY query_id, rank LIMIT 500) SELECT CAST((SELECT count(*) FROM capped) AS BIGINT) AS n_items, CAST((SELECT sum(rank) FROM capped) AS BIGINT) AS sum_rank, (SELECT count(*) FROM o) > 500 AS truncated",
 }

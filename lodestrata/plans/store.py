@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..durable import shared_folder
 from ..functions import hashing
 from ..operators import federation, metrics
 from ..sources import versions
@@ -26,6 +29,23 @@ NODES = Fixture(
 WORKERS = Fixture("worker_id string, last_used long", [("a", 5), ("b", 9), ("c", 1), ("d", 9), ("a", 7), ("e", 3)])
 CHANGES = Fixture("entity_id long, seq long, state string", [(1, 1, "building"), (1, 2, "reembedding"), (1, 3, "validating"), (1, 4, "active"), (2, 1, "building"), (2, 2, "building"), (3, 1, "active"), (3, 2, "retired"), (3, 3, "gc_eligible"), (3, 4, "purged")])
 RUNS = Fixture("run_id long, latency_ms double, ram_bytes long, disk_bytes long, unindexed long", [(1, 100.0, 1 << 30, 1 << 30, 0), (2, 5000.0, 2 << 30, 5 << 30, 0), (3, 5000.1, 1, 1, 0), (4, 1.0, (2 << 30) + 1, 1, 0), (5, 1.0, 1, 1, 3)])
+_PLACES = ("billing", "auth", "search", "ledger", "mail", "queue", "report")
+_CLEAN = [f"{p}.{k.title()}{p.title()}.{verb}_{p}" for p in _PLACES for k, verb in (("main", "open"), ("side", "close"), ("late", "flush"))]
+_HOMONYMS = ("validate", "connect", "Logger", "encode", "serialize", "init")
+_SHARED = [f"{p}.{h}" for h in _HOMONYMS for p in ("core", "edge")]
+#: 35 nodes, 34 of them exported: 21 with names of their own, 12 that share theirs with another, one behind a namespace and one hidden.
+CORPUS_NODES = Fixture("node_id string, qualified_name string, is_exported boolean", [(f"n{k:02d}", name, name != "vault.internal_only") for k, name in enumerate([*_CLEAN, *_SHARED, "vendor.codec.v2.Packer", "vault.internal_only"])])
+#: 56 references: 16 clean, 12 ambiguous, 14 without a match, 14 that write their separators and namespaces in other ways.
+_ASKED = (
+    [("clean", name.split(".", 1)[1] if k % 2 else name, None, name) for k, name in enumerate(_CLEAN[:16])]
+    + [("ambiguous", h, None if k == 0 else '["ghost_17"]', None) for h in _HOMONYMS for k in (0, 1)]
+    + [("nomatch", f"absent.Thing{k}.call", None, None) for k in range(12)]
+    + [("nomatch", "vault.internal_only", None, None), ("nomatch", "internal_only", None, None)]
+    + [("nsvar", name.replace(".", ("::", "/")[k % 2]), None, name) for k, name in enumerate(_CLEAN[8:20])]
+    + [("nsvar", "src/vendor/codec.ts::Packer", '["vendor.codec.v2.Packer"]', "vendor.codec.v2.Packer"), ("nsvar", "codec.Packer", None, "vendor.codec.v2.Packer")]
+)
+CORPUS_REFS = Fixture("ref_id long, reference_name string, candidates string", [(k, said, listed) for k, (_, said, listed, _) in enumerate(_ASKED)])
+CORPUS_TRUTH = Fixture("ref_id long, kind string, expected string", [(k, kind, name) for k, (kind, _, _, name) in enumerate(_ASKED)])
 CACHE = Fixture("content_hash string, model_version string", [(f"h{k % 5}", f"m{k % 2}") for k in range(6)])
 WANTED = Fixture("chunk_id long, content_hash string, model_version string", [(k, f"h{k % 7}", f"m{k % 3}") for k in range(20)])
 
@@ -41,12 +61,64 @@ def index_stats(spark, sf_dir):
     return versions.unindexed_stats(docs, "source")
 
 
+def _store(spark, key):
+    """A new versioned table in the shared folder."""
+    return versions.VersionedTable(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", key)
+
+
+def _chunks(spark, sf_dir, generation):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.concat_ws(":", F.lit(f"g{generation}"), F.col("doc_id").cast("string")).alias("chunk_id"), "doc_id", "source", F.lit(generation).cast("long").alias("generation"))
+
+
 def tombstone_replace(spark, sf_dir):
-    """A source's rows are tombstoned and its new ones put beside them."""
-    old = table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(1).cast("long").alias("generation"))
-    new = old.where("source = 'src1'").withColumn("generation", F.lit(2).cast("long"))
-    gone = old.withColumn("tombstone", F.col("source") == "src1")
-    return gone.unionByName(new.withColumn("tombstone", F.lit(False))).groupBy("source", "generation", "tombstone").agg(F.count("*").alias("n"))
+    """A source's rows are tombstoned and its new ones put beside them, in one version of a table."""
+    t = _store(spark, "chunk_id")
+    t.upsert(_chunks(spark, sf_dir, 1))
+    t.replace_source("source", "src1", _chunks(spark, sf_dir, 2).where("source = 'src1'"))
+    return t.read(with_tombstones=True).groupBy("source", "generation", "tombstone").agg(F.count("*").alias("n"))
+
+
+def store_upsert(spark, sf_dir):
+    """Every third document comes again in a second batch, and some new ones with it."""
+    t = _store(spark, "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(1).cast("long").alias("generation"))
+    t.upsert(docs)
+    again = docs.where("doc_id % 3 = 0")
+    t.upsert(again.unionByName(again.withColumn("doc_id", -F.col("doc_id") - 1)).withColumn("generation", F.lit(2).cast("long")))
+    return t.read().groupBy("source", "generation").agg(F.count("*").alias("n"), F.sum("doc_id").alias("sum_ids"))
+
+
+def store_versions(spark, sf_dir):
+    """A table as of its first, tagged version, as of its second, restored, and optimised."""
+    t = _store(spark, "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("n_chars"))
+    t.upsert(docs.where("doc_id % 2 = 0"), sha_tag="abc")
+    t.upsert(docs.withColumn("n_chars", F.lit(0).cast("long")))
+    steps = [("first", t.read(sha_tag="abc")), ("second", t.read())]
+    behind = t.index_stats()
+    t.restore("abc")
+    steps.append(("restored", t.read()))
+    t.restore("abc")
+    t.optimize()
+    steps.append(("optimised", t.read()))
+    stats = spark.createDataFrame([("before", behind["num_unindexed_rows"], behind["num_indexed_rows"]), ("after", t.index_stats()["num_unindexed_rows"], t.index_stats()["num_indexed_rows"])], "step string, n long, total long")
+    for name, rows in steps:
+        stats = stats.unionByName(rows.agg(F.lit(name).alias("step"), F.count("*").alias("n"), F.sum("n_chars").alias("total")))
+    return stats
+
+
+def generations_swap(spark, sf_dir):
+    """A second generation that is valid is swapped in; a third that is not leaves it active."""
+    g = versions.Generations(spark, f"{shared_folder(spark)}/generations-{uuid.uuid4().hex}")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    g.build(docs.where("doc_id % 5 = 0"), lambda rows: rows.count() > 0)
+    g.build(docs, lambda rows: rows.where("doc_id is null").isEmpty())
+    try:
+        g.build(docs.limit(0), lambda rows: not rows.isEmpty())
+    except ValueError:
+        pass
+    return g.read().groupBy("source").agg(F.count("*").alias("n"), F.lit(g.active()).cast("long").alias("generation"))
 
 
 def hash_delta(spark, sf_dir):
@@ -88,6 +160,14 @@ def segment_suffix_resolve(spark, sf_dir):
     return federation.resolve_names(REFS.frame(spark), NODES.frame(spark))
 
 
+def resolution_metrics(spark, sf_dir):
+    return federation.resolution_quality(federation.resolve_names(CORPUS_REFS.frame(spark), CORPUS_NODES.frame(spark)), CORPUS_TRUTH.frame(spark))
+
+
+def resolution_side_by_side(spark, sf_dir):
+    return federation.side_by_side(CORPUS_REFS.frame(spark), CORPUS_NODES.frame(spark))
+
+
 def lru_evict(spark, sf_dir):
     return sync.lru_evictions(WORKERS.frame(spark), 3)
 
@@ -104,7 +184,7 @@ def first_seen_sources(spark, sf_dir):
     return metrics.first_seen(table(spark, sf_dir, "documents"), "source", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (version_gc, index_stats, tombstone_replace, hash_delta, embedding_cache_miss, stamp_gate, federation_envelope, federation_excluded, single_model_guard, model_change, segment_suffix_resolve, lru_evict, state_transition_check, maintenance_gate, first_seen_sources)}
+QUERIES = {f.__name__: f for f in (version_gc, index_stats, tombstone_replace, store_upsert, store_versions, generations_swap, hash_delta, embedding_cache_miss, stamp_gate, federation_envelope, federation_excluded, single_model_guard, model_change, segment_suffix_resolve, resolution_metrics, resolution_side_by_side, lru_evict, state_transition_check, maintenance_gate, first_seen_sources)}
 
 _GATE = f"SELECT project_id, CASE WHEN p.schema_version IS NULL THEN 'no_stamp' WHEN p.schema_version <> e.schema_version THEN 'schema_version_mismatch' WHEN p.embedding_model IS DISTINCT FROM e.embedding_model THEN 'embedding_model_mismatch' WHEN p.dimension IS DISTINCT FROM e.dimension THEN 'dimension_mismatch' END AS reason FROM {STAMPS.sql()} p, {EXPECTED.sql()} e"
 _ENVELOPE = f"SELECT a.project_id, CASE WHEN g.project_id IS NULL THEN 'not_registered' ELSE reason END AS reason FROM (SELECT DISTINCT project_id FROM {ASKED.sql()}) a LEFT JOIN ({_GATE}) g USING (project_id)"
@@ -117,10 +197,22 @@ def _segs(x: str) -> str:
     return f"CASE WHEN len({kept}) > 0 THEN {kept} ELSE {parts} END"
 
 
+_FITS = "len(want) > 0 AND len(want) <= len(have) AND have[len(have) - len(want) + 1:] = want"
+
+
+def _resolved(refs, nodes):
+    return f"""r AS (SELECT ref_id, unnest(list_distinct(list_append(coalesce(from_json(candidates, '["VARCHAR"]'), []), reference_name))) AS said FROM {refs.sql()}),
+w AS (SELECT ref_id, {_segs('said')} AS want FROM r), h AS (SELECT node_id, qualified_name, {_segs('qualified_name')} AS have FROM {nodes.sql()} WHERE is_exported),
+m AS (SELECT ref_id, count(DISTINCT node_id) AS n, min(qualified_name) AS only_one FROM w JOIN h ON {_FITS} GROUP BY ref_id)"""
+
+
 ORACLES = {
     "version_gc": f"SELECT store_id, vid, sha_tag, sha_tag IS NULL AND row_number() OVER (PARTITION BY store_id, sha_tag IS NULL ORDER BY vid DESC) > 2 AS removed FROM {CATALOG.sql()}",
     "index_stats": "SELECT source, CAST(count(*) FILTER (NOT l) AS BIGINT) AS num_unindexed_rows, CAST(count(*) FILTER (l) AS BIGINT) AS num_indexed_rows FROM (SELECT source, doc_id IN (SELECT doc_id FROM labels) AS l FROM documents) GROUP BY source",
     "tombstone_replace": "SELECT source, CAST(generation AS BIGINT) AS generation, tombstone, CAST(count(*) AS BIGINT) AS n FROM (SELECT source, 1 AS generation, source = 'src1' AS tombstone FROM documents UNION ALL SELECT source, 2, false FROM documents WHERE source = 'src1') GROUP BY ALL",
+    "store_upsert": "WITH again AS (SELECT doc_id, source FROM documents WHERE doc_id % 3 = 0), rows AS (SELECT doc_id, source, 1 AS generation FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, source, 2 FROM again UNION ALL SELECT -doc_id - 1, source, 2 FROM again) SELECT source, CAST(generation AS BIGINT) AS generation, CAST(count(*) AS BIGINT) AS n, CAST(sum(doc_id) AS BIGINT) AS sum_ids FROM rows GROUP BY ALL",
+    "store_versions": "WITH h AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS total FROM documents WHERE doc_id % 2 = 0), a AS (SELECT CAST(count(*) AS BIGINT) AS n FROM documents) SELECT step, h.n, total FROM h, (VALUES ('first'), ('restored'), ('optimised')) s(step) UNION ALL SELECT 'second', n, 0 FROM a UNION ALL SELECT 'before', h.n + a.n, 0 FROM h, a UNION ALL SELECT 'after', 0, h.n FROM h",
+    "generations_swap": "SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(2 AS BIGINT) AS generation FROM documents GROUP BY source",
     "hash_delta": "WITH o AS (SELECT 'doc:' || doc_id AS path, 'sha256:' || sha256(text) AS h FROM documents), n AS (SELECT 'doc:' || doc_id AS path, 'sha256:' || sha256(regexp_replace(text, '[0-9]+', '0', 'g')) AS h FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'page:' || page_id, 'sha256:' || sha256(html) FROM pages) SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.h = n.h THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.path = n.path",
     "embedding_cache_miss": f"SELECT chunk_id, content_hash, model_version FROM {WANTED.sql()} w WHERE NOT EXISTS (SELECT 1 FROM {CACHE.sql()} c WHERE c.content_hash = w.content_hash AND c.model_version = w.model_version)",
     "stamp_gate": _GATE,
@@ -128,10 +220,11 @@ ORACLES = {
     "federation_excluded": f"SELECT project_id FROM ({_ENVELOPE}) WHERE reason IS NOT NULL",
     "single_model_guard": "SELECT CAST(label AS BIGINT) AS generation, CAST(count(DISTINCT CASE WHEN label = 3 THEN 'm' || (vec_id % 2) ELSE 'm0' END) AS BIGINT) AS n_models, CAST(count(DISTINCT len(embedding)) AS BIGINT) AS n_dimensions, count(DISTINCT CASE WHEN label = 3 THEN 'm' || (vec_id % 2) ELSE 'm0' END) = 1 AND count(DISTINCT len(embedding)) = 1 AS uniform FROM embeddings GROUP BY label",
     "model_change": f"SELECT generation, CASE WHEN old_dim <> new_dim THEN 'rebuild' WHEN old_model <> new_model THEN 'reembed' ELSE 'keep' END AS action FROM {MODELS.sql()}",
-    "segment_suffix_resolve": f"""WITH r AS (SELECT ref_id, unnest(list_distinct(list_append(coalesce(from_json(candidates, '["VARCHAR"]'), []), reference_name))) AS said FROM {REFS.sql()}),
-w AS (SELECT ref_id, {_segs('said')} AS want FROM r), h AS (SELECT node_id, qualified_name, {_segs('qualified_name')} AS have FROM {NODES.sql()} WHERE is_exported),
-m AS (SELECT ref_id, count(DISTINCT node_id) AS n, min(qualified_name) AS only_one FROM w JOIN h ON len(want) > 0 AND len(want) <= len(have) AND have[len(have) - len(want) + 1:] = want GROUP BY ref_id)
+    "segment_suffix_resolve": f"""WITH {_resolved(REFS, NODES)}
 SELECT ref_id, CAST(coalesce(n, 0) AS BIGINT) AS n_candidates, CASE WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'NO_MATCH' END AS status, CASE WHEN n = 1 THEN only_one END AS resolved FROM {REFS.sql()} LEFT JOIN m USING (ref_id)""",
+    "resolution_metrics": f"""WITH {_resolved(CORPUS_REFS, CORPUS_NODES)}, told AS (SELECT t.*, CASE WHEN n = 1 THEN only_one END AS resolved FROM {CORPUS_TRUTH.sql()} t LEFT JOIN m USING (ref_id))
+SELECT CAST(count(*) FILTER (resolved = expected) AS BIGINT) AS correct, CAST(count(resolved) AS BIGINT) AS picked, CAST(count(expected) AS BIGINT) AS resolvable, CAST(count(*) FILTER (resolved IS NOT NULL AND kind = 'ambiguous') AS BIGINT) AS forced_picks, round(count(*) FILTER (resolved = expected) / count(resolved)::DOUBLE, 3) AS precision, round(count(*) FILTER (resolved = expected) / count(expected)::DOUBLE, 3) AS recall FROM told""",
+    "resolution_side_by_side": f"WITH {_resolved(CORPUS_REFS, CORPUS_NODES)} SELECT DISTINCT w.ref_id, 'AMBIGUOUS' AS status, qualified_name AS candidate FROM w JOIN h ON {_FITS} JOIN m USING (ref_id) WHERE n > 1",
     "lru_evict": f"SELECT *, recency > 3 AS evicted FROM (SELECT worker_id, last_used, CAST(row_number() OVER (ORDER BY last_used DESC, worker_id) AS BIGINT) AS recency FROM (SELECT worker_id, max(last_used) AS last_used FROM {WORKERS.sql()} GROUP BY worker_id))",
     "state_transition_check": f"SELECT entity_id, seq, prev_state, state, prev_state IS NULL OR (prev_state || '>' || state) IN ('building>reembedding', 'reembedding>validating', 'validating>swapping', 'swapping>active', 'active>retired', 'retired>gc_eligible', 'gc_eligible>purged') AS accepted FROM (SELECT *, lag(state) OVER (PARTITION BY entity_id ORDER BY seq) AS prev_state FROM {CHANGES.sql()})",
     "maintenance_gate": f"SELECT *, latency_ms <= 5000 AND ram_bytes <= 2147483648 AND disk_bytes <= 5368709120 AND unindexed = 0 AS gate_pass FROM {RUNS.sql()}",

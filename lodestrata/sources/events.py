@@ -42,6 +42,27 @@ def emit(events: DataFrame, path: str, enabled: bool = False) -> int:
 
 
 def outbox(events: DataFrame, known_types: tuple[str, ...]) -> DataFrame:
-    """At-least-once events (event_id, seq, type, payload) once each, in order of seq; unknown types are marked."""
-    once = events.groupBy("event_id").agg(F.min_by(F.struct("seq", "type", "payload"), "seq").alias("e"))
+    """At-least-once events (event_id, seq, type, payload) once each, the first by seq, then type and payload; unknown types are marked."""
+    once = events.groupBy("event_id").agg(F.min(F.struct("seq", "type", "payload")).alias("e"))
     return once.select("event_id", "e.*", (~F.col("e.type").isin(*known_types)).alias("unknown_type"))
+
+
+#: A line of a session transcript.
+TRANSCRIPT = "session_id string, seq long, ts timestamp_ntz, kind string, role string, text string, path string, old_text string, new_text string"
+
+
+def transcripts(spark: SparkSession, path: str) -> DataFrame:
+    """Transcript lines as rows of TRANSCRIPT; a line that is none has only nulls and is left out."""
+    return spark.read.schema(TRANSCRIPT).json(path).where("session_id is not null and seq is not null")
+
+
+def transcript_deltas(lines: DataFrame) -> DataFrame:
+    """(session_id, path, n_edits, chars_added, chars_removed, first_seq, last_seq) of the edits that a transcript's lines tell of."""
+    edits = lines.where("kind = 'edit' and path is not null")
+    size = lambda c: F.coalesce(F.length(c), F.lit(0)).cast("long")
+    return edits.groupBy("session_id", "path").agg(F.count("*").alias("n_edits"), F.sum(size("new_text")).alias("chars_added"), F.sum(size("old_text")).alias("chars_removed"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+def append_team_events(rows: DataFrame, path: str) -> None:
+    """Appends team events (ts, member, event, detail) to JSON lines that operators.lint reads; what is there stays."""
+    rows.select("ts", "member", "event", "detail").write.mode("append").json(path)

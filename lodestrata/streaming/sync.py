@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..durable import whole_rank
 from ..schemas import TRANSITIONS
 from ..sources.versions import VersionedTable
 
@@ -86,7 +87,6 @@ def sync_table(stream: DataFrame, table: VersionedTable, checkpoint: str) -> Str
 
 
 def lru_evictions(uses: DataFrame, capacity: int, key: str = "worker_id", used: str = "last_used") -> DataFrame:
-    """Keys in order of last use, and whether they are evicted at this capacity."""
+    """Keys in order of last use, and whether they are evicted at this capacity; ranges of the order are ranked side by side."""
     last = uses.groupBy(key).agg(F.max(used).alias(used))
-    n = F.row_number().over(Window.orderBy(F.desc(used), key))
-    return last.withColumn("recency", n.cast("long")).withColumn("evicted", F.col("recency") > capacity)
+    return whole_rank(last, [F.desc(used), F.col(key)], "recency").withColumn("evicted", F.col("recency") > capacity)

@@ -201,11 +201,30 @@ def test_names_are_never_picked_from_several(spark):
     assert {r.ref_id: (r.status, r.resolved) for r in federation.resolve_names(refs, nodes).collect()} == {1: ("AMBIGUOUS", None), 2: ("RESOLVED", "b.x")}
 
 
-def test_dense_refuses_unbounded_queries(spark, monkeypatch):
-    monkeypatch.setattr(retrieval, "QUERY_ROWS", 1)
-    v = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec_id long, embedding array<double>")
-    with pytest.raises(ValueError):
-        retrieval.dense(v, v.selectExpr("vec_id query_id", "embedding query_vector"))
+def test_dense_gives_the_same_rows_for_any_block_of_queries(spark, monkeypatch):
+    rows = [(k, [float((k * 7 + j * j) % 11 - 5) for j in range(4)]) for k in range(60)] + [(60, None), (61, [0.0] * 4), (62, [1.0, 2.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = v.selectExpr("vec_id query_id", "embedding query_vector")
+    best = lambda: sorted(retrieval.ranked(retrieval.dense(v, asked, 5), "vec_id", 5).collect(), key=str)
+    want = best()
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 7)
+    assert best() == want and {r.query_id for r in want} == set(range(60)) | {61, 62}
+
+    def cosine(a, b):
+        n = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / n, 6) if n else None
+
+    for q, u in rows[:60:9]:
+        told = sorted(((-c, k) for k, w in rows if w and len(w) == 4 and (c := cosine(u, w)) is not None))[:5]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in want if r.query_id == q), key=lambda r: r["rank"])] == [(k, pytest.approx(-c)) for c, k in told]
+
+
+def test_ranks_of_a_whole_table(spark):
+    from lodestrata.durable import whole_rank
+
+    rows = [(k * 37 % 101 // 3, k) for k in range(101)]
+    got = whole_rank(spark.createDataFrame(rows, "a int, b int").repartition(5), [F.desc("a"), F.col("b")], "n").collect()
+    assert {(r.a, r.b): r.n for r in got} == {x: n + 1 for n, x in enumerate(sorted(rows, key=lambda x: (-x[0], x[1])))}
 
 
 def test_session_is_in_utc():
