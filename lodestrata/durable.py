@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,10 +24,23 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """df as written to the shared folder; a lost executor costs a reread."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as written to the shared folder, once, and read from there; a lost executor costs a reread. The table goes when the program ends."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _drop_written() -> None:
+    for spark, path in _written:
+        with contextlib.suppress(Exception):  # the session may be gone
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -56,10 +56,10 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     post = post.where("term is not null")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(size)).select("term", "mean_len", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    asked = idf.join(terms, "term")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("mean_len")))
-    dealt = post.repartition(key)
-    return dealt.join(asked, "term").select("query_id", key, part.alias("part")).groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = post.join(idf, "term").select(key, "term", part.alias("part")).repartition(n, key)
+    return dealt.join(terms, "term").groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -15,7 +15,6 @@ MARKDOWN = Fixture(
     [(1, "Intro line\n# Title\nSummary.\n## Part A\nBody a\n### Deep\nBody d\n## Part B\n```\n# not a heading\n```\nend"), (2, "no headings\nat all"), (3, "# Only"), (4, "## Starts low\n# Then high\n### Skips a level\n#no heading")],
 )
 CITING = Fixture("doc_id long, text string", [(1, "see core/model/anchor.py:20-35 and docs/a.md:7, also x.py:9-3"), (2, "none here"), (3, "a.b:0 then lib/z.rs:12-12"), (4, None)])
-KINDS = Fixture("kind string, ord long", [("plan", 5), ("plan", 1), ("event", 9), ("chunk", 2), ("plan", 7), ("event", 3)])
 CONTEXTS = Fixture("chunk_id long, context string, chunk string", [(1, "From the guide", "Body"), (2, None, "Body"), (3, "", "Body")])
 PATHS = Fixture("path string", [("p/README.md",), ("p/docs/guide.md",), ("p/docs/adr/001.md",), ("p/CHANGELOG.rst",), ("p/vendor/x/README.md",), ("p/api/openapi.yaml",), ("p/nb/a.ipynb",), ("p/src/main.py",), ("p/docs/private/x.md",), ("p/CONTRIBUTING",)])
 PYTHON = Fixture("path string, source string", [("a.py", "import os\n\nclass A:\n    def f(self):\n        def g():\n            pass\n        os.remove('x')\n\nasync def h():\n    open('y')\n"), ("bad.py", "def broken(:\n" + "x\n" * 50), ("empty.py", "")])
@@ -44,7 +43,9 @@ def fake_embed(spark, sf_dir):
 
 
 def minted_ids(spark, sf_dir):
-    return hashing.minted_ids(KINDS.frame(spark)).select("kind", "ord", "n", "minted_id")
+    """Events in the order of their ids, numbered by type."""
+    kinds = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("event_id").cast("long").alias("ord"))
+    return hashing.minted_ids(kinds).select("kind", "ord", "n", "minted_id")
 
 
 def heading_sections(spark, sf_dir):
@@ -92,7 +93,7 @@ ORACLES = {
     "token_route": "SELECT source, tokens, CASE WHEN tokens < 200000 THEN 'whole_corpus' ELSE 'retrieval' END AS route FROM (SELECT source, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS tokens FROM documents GROUP BY source)",
     "source_root_hash": f"SELECT source, sha256(string_agg(doc_id || ':' || {_D}, chr(10) ORDER BY doc_id || ':' || {_D})) AS source_root_hash FROM documents GROUP BY source",
     "fake_embed": "WITH i AS (SELECT item_id, sha256(text) AS h, unnest(range(40)) AS i FROM benchmark) SELECT item_id, CAST(i AS BIGINT) AS i, round(CAST('0x' || substring(h, CAST(2 * (i % 32) + 1 AS BIGINT), 2) AS BIGINT) / 255.0, 6) AS x FROM i",
-    "minted_ids": f"SELECT kind, ord, n, 'fakeid-' || substring(sha256(kind || chr(0) || n), 1, 24) AS minted_id FROM (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY ord) - 1 AS BIGINT) AS n FROM {KINDS.sql()})",
+    "minted_ids": "SELECT kind, ord, n, 'fakeid-' || substring(sha256(kind || chr(0) || n), 1, 24) AS minted_id FROM (SELECT event_type AS kind, CAST(event_id AS BIGINT) AS ord, CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS BIGINT) AS n FROM events)",
     "heading_sections": f"WITH {_LINES} SELECT doc_id, section, concat_ws(' > ', nullif(h1, ''), nullif(h2, ''), nullif(h3, '')) AS heading_path, CASE WHEN section <= 1 THEN 'plain' ELSE 'deep' END AS register, CAST(count(*) AS BIGINT) AS n_lines, sha256(string_agg(said, chr(10) ORDER BY line)) AS body_hash FROM h GROUP BY doc_id, section, h1, h2, h3",
     "anchor_parse": f"WITH a AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_./-]+\\.[A-Za-z0-9]+:[0-9]{{1,9}}(?:-[0-9]{{1,9}})?') AS s FROM {CITING.sql()}), u AS (SELECT doc_id, CAST(generate_subscripts(s, 1) - 1 AS BIGINT) AS pos, unnest(s) AS said FROM a), p AS (SELECT doc_id, pos, regexp_extract(said, '^(.*):', 1) AS target_path, CAST(regexp_extract(said, ':([0-9]+)', 1) AS INTEGER) AS line_start, TRY_CAST(nullif(regexp_extract(said, ':[0-9]+-([0-9]+)$', 1), '') AS INTEGER) AS e FROM u) SELECT doc_id, pos, target_path, line_start, coalesce(e, line_start) AS line_end, line_start >= 1 AND coalesce(e, line_start) >= line_start AS valid FROM p",
     "context_augment": f"SELECT chunk_id, concat_ws(chr(10) || chr(10), context, chunk) AS text FROM {CONTEXTS.sql()}",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..durable import spread
 from ..functions import redaction as R
 from ..operators import metrics
 from ..schemas import SINKS
@@ -14,7 +15,7 @@ SAMPLES = Fixture(SAMPLE_SCHEMA, secret_samples())
 
 
 def _over_documents(spark, sf_dir, redact):
-    docs = table(spark, sf_dir, "documents").select("doc_id", redact(F.coalesce("text", F.lit(""))).alias("t"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", redact(F.coalesce("text", F.lit(""))).alias("t"))
     return docs.select("doc_id", F.sha2("t", 256).alias("redacted_hash"), F.regexp_count("t", F.lit(R.MARK_IN_JAVA)).cast("long").alias("n_marks"))
 
 
@@ -28,7 +29,7 @@ def fake_redact(spark, sf_dir):
 
 def redact_documents(spark, sf_dir):
     """The required engine over documents, with what its entropy check would still quarantine."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", R.redact_engine(F.coalesce("text", F.lit(""))).alias("t"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", R.redact_engine(F.coalesce("text", F.lit(""))).alias("t"))
     return docs.select("doc_id", F.sha2("t", 256).alias("redacted_hash"), F.regexp_count("t", F.lit(R.MARK_IN_JAVA)).cast("long").alias("n_marks"), R.quarantine(F.col("t")).alias("quarantined"))
 
 

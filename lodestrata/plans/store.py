@@ -11,7 +11,7 @@ from ..functions import hashing
 from ..operators import federation, metrics
 from ..sources import versions
 from ..streaming import sync
-from ._bind import Fixture, table
+from ._bind import Fixture, micros, table
 
 CATALOG = Fixture("store_id long, vid long, sha_tag string", [(1, k, "abc" if k in (2, 7) else None) for k in range(1, 10)] + [(2, 1, None), (2, 2, "x"), (3, 5, "only")])
 STAMPS = Fixture("project_id string, embedding_model string, dimension int, schema_version int", [("src0", "m1", 64, 3), ("src1", "m1", 64, 2), ("src2", "m2", 64, 3), ("src3", "m1", 32, 3), ("src4", None, None, None), ("src5", "m1", 64, 3)])
@@ -26,7 +26,6 @@ NODES = Fixture(
     "node_id string, qualified_name string, is_exported boolean",
     [("n1", "src/auth/token.ts::verifyToken", True), ("n2", "src/billing/gateway.ts::PaymentGateway.charge", True), ("n3", "app/forms.py::validate", True), ("n4", "core.rules.validate", True), ("n5", "app.users.repo.UserRepository.find_by_id", True), ("n6", "core.log.Logger", True), ("n7", "web/log.js::Logger", True), ("n8", "x.hidden", False)],
 )
-WORKERS = Fixture("worker_id string, last_used long", [("a", 5), ("b", 9), ("c", 1), ("d", 9), ("a", 7), ("e", 3)])
 CHANGES = Fixture("entity_id long, seq long, state string", [(1, 1, "building"), (1, 2, "reembedding"), (1, 3, "validating"), (1, 4, "active"), (2, 1, "building"), (2, 2, "building"), (3, 1, "active"), (3, 2, "retired"), (3, 3, "gc_eligible"), (3, 4, "purged")])
 RUNS = Fixture("run_id long, latency_ms double, ram_bytes long, disk_bytes long, unindexed long", [(1, 100.0, 1 << 30, 1 << 30, 0), (2, 5000.0, 2 << 30, 5 << 30, 0), (3, 5000.1, 1, 1, 0), (4, 1.0, (2 << 30) + 1, 1, 0), (5, 1.0, 1, 1, 3)])
 _PLACES = ("billing", "auth", "search", "ledger", "mail", "queue", "report")
@@ -46,8 +45,6 @@ _ASKED = (
 )
 CORPUS_REFS = Fixture("ref_id long, reference_name string, candidates string", [(k, said, listed) for k, (_, said, listed, _) in enumerate(_ASKED)])
 CORPUS_TRUTH = Fixture("ref_id long, kind string, expected string", [(k, kind, name) for k, (kind, _, _, name) in enumerate(_ASKED)])
-CACHE = Fixture("content_hash string, model_version string", [(f"h{k % 5}", f"m{k % 2}") for k in range(6)])
-WANTED = Fixture("chunk_id long, content_hash string, model_version string", [(k, f"h{k % 7}", f"m{k % 3}") for k in range(20)])
 
 
 def version_gc(spark, sf_dir):
@@ -131,7 +128,11 @@ def hash_delta(spark, sf_dir):
 
 
 def embedding_cache_miss(spark, sf_dir):
-    return versions.cache_misses(WANTED.frame(spark), CACHE.frame(spark)).select("chunk_id", "content_hash", "model_version")
+    """Every document is wanted under a model; the cache has the texts of labelled ones, under the first model only."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), hashing.content_hash(F.col("text")).alias("content_hash"), F.concat(F.lit("m"), (F.col("doc_id") % 2).cast("string")).alias("model_version"))
+    known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id")).distinct()
+    cache = docs.join(known, "chunk_id", "left_semi").select("content_hash", F.lit("m0").alias("model_version")).distinct()
+    return versions.cache_misses(docs, cache).select("chunk_id", "content_hash", "model_version")
 
 
 def stamp_gate(spark, sf_dir):
@@ -169,7 +170,9 @@ def resolution_side_by_side(spark, sf_dir):
 
 
 def lru_evict(spark, sf_dir):
-    return sync.lru_evictions(WORKERS.frame(spark), 3)
+    """Users by their last event; the first hundred stay."""
+    uses = table(spark, sf_dir, "events").select(F.col("user_id").alias("worker_id"), micros("ts").alias("last_used"))
+    return sync.lru_evictions(uses, 100)
 
 
 def state_transition_check(spark, sf_dir):
@@ -214,7 +217,7 @@ ORACLES = {
     "store_versions": "WITH h AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(length(text)) AS BIGINT) AS total FROM documents WHERE doc_id % 2 = 0), a AS (SELECT CAST(count(*) AS BIGINT) AS n FROM documents) SELECT step, h.n, total FROM h, (VALUES ('first'), ('restored'), ('optimised')) s(step) UNION ALL SELECT 'second', n, 0 FROM a UNION ALL SELECT 'before', h.n + a.n, 0 FROM h, a UNION ALL SELECT 'after', 0, h.n FROM h",
     "generations_swap": "SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(2 AS BIGINT) AS generation FROM documents GROUP BY source",
     "hash_delta": "WITH o AS (SELECT 'doc:' || doc_id AS path, 'sha256:' || sha256(text) AS h FROM documents), n AS (SELECT 'doc:' || doc_id AS path, 'sha256:' || sha256(regexp_replace(text, '[0-9]+', '0', 'g')) AS h FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION ALL SELECT 'page:' || page_id, 'sha256:' || sha256(html) FROM pages) SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'removed' WHEN o.h = n.h THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.path = n.path",
-    "embedding_cache_miss": f"SELECT chunk_id, content_hash, model_version FROM {WANTED.sql()} w WHERE NOT EXISTS (SELECT 1 FROM {CACHE.sql()} c WHERE c.content_hash = w.content_hash AND c.model_version = w.model_version)",
+    "embedding_cache_miss": "WITH d AS (SELECT doc_id AS chunk_id, 'sha256:' || sha256(text) AS content_hash, 'm' || (doc_id % 2) AS model_version FROM documents) SELECT * FROM d WHERE NOT (model_version = 'm0' AND content_hash IN (SELECT content_hash FROM d WHERE chunk_id IN (SELECT doc_id FROM labels)))",
     "stamp_gate": _GATE,
     "federation_envelope": f"SELECT project_id, reason IS NULL AS answered, reason FROM ({_ENVELOPE})",
     "federation_excluded": f"SELECT project_id FROM ({_ENVELOPE}) WHERE reason IS NOT NULL",
@@ -225,7 +228,7 @@ SELECT ref_id, CAST(coalesce(n, 0) AS BIGINT) AS n_candidates, CASE WHEN n = 1 T
     "resolution_metrics": f"""WITH {_resolved(CORPUS_REFS, CORPUS_NODES)}, told AS (SELECT t.*, CASE WHEN n = 1 THEN only_one END AS resolved FROM {CORPUS_TRUTH.sql()} t LEFT JOIN m USING (ref_id))
 SELECT CAST(count(*) FILTER (resolved = expected) AS BIGINT) AS correct, CAST(count(resolved) AS BIGINT) AS picked, CAST(count(expected) AS BIGINT) AS resolvable, CAST(count(*) FILTER (resolved IS NOT NULL AND kind = 'ambiguous') AS BIGINT) AS forced_picks, round(count(*) FILTER (resolved = expected) / count(resolved)::DOUBLE, 3) AS precision, round(count(*) FILTER (resolved = expected) / count(expected)::DOUBLE, 3) AS recall FROM told""",
     "resolution_side_by_side": f"WITH {_resolved(CORPUS_REFS, CORPUS_NODES)} SELECT DISTINCT w.ref_id, 'AMBIGUOUS' AS status, qualified_name AS candidate FROM w JOIN h ON {_FITS} JOIN m USING (ref_id) WHERE n > 1",
-    "lru_evict": f"SELECT *, recency > 3 AS evicted FROM (SELECT worker_id, last_used, CAST(row_number() OVER (ORDER BY last_used DESC, worker_id) AS BIGINT) AS recency FROM (SELECT worker_id, max(last_used) AS last_used FROM {WORKERS.sql()} GROUP BY worker_id))",
+    "lru_evict": "SELECT *, recency > 100 AS evicted FROM (SELECT worker_id, last_used, CAST(row_number() OVER (ORDER BY last_used DESC, worker_id) AS BIGINT) AS recency FROM (SELECT user_id AS worker_id, max(epoch_us(ts)) AS last_used FROM events GROUP BY user_id))",
     "state_transition_check": f"SELECT entity_id, seq, prev_state, state, prev_state IS NULL OR (prev_state || '>' || state) IN ('building>reembedding', 'reembedding>validating', 'validating>swapping', 'swapping>active', 'active>retired', 'retired>gc_eligible', 'gc_eligible>purged') AS accepted FROM (SELECT *, lag(state) OVER (PARTITION BY entity_id ORDER BY seq) AS prev_state FROM {CHANGES.sql()})",
     "maintenance_gate": f"SELECT *, latency_ms <= 5000 AND ram_bytes <= 2147483648 AND disk_bytes <= 5368709120 AND unindexed = 0 AS gate_pass FROM {RUNS.sql()}",
     "first_seen_sources": "SELECT source, min(doc_id) AS first_pos FROM documents GROUP BY source",
