@@ -117,3 +117,8 @@ def one_model(rows: DataFrame, by: str, model: str, vector: str) -> DataFrame:
 def model_change(old_model: Column, new_model: Column, old_dim: Column, new_dim: Column) -> Column:
     """What a change of embedding model means for a generation."""
     return F.when(old_dim != new_dim, "rebuild").when(old_model != new_model, "reembed").otherwise("keep")
+
+
+def common(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """Distinct keys that both sides have."""
+    return a.select(*keys).intersect(b.select(*keys))

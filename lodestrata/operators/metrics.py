@@ -53,3 +53,9 @@ def first_seen(rows: DataFrame, key: str, pos: str) -> DataFrame:
 def lag_percentiles(rows: DataFrame, by: str, seconds: str) -> DataFrame:
     """(by, p50, p95) exact to the row."""
     return rows.groupBy(by).agg(F.expr(f"round(percentile({seconds}, 0.5), 6)").alias("p50"), F.expr(f"round(percentile({seconds}, 0.95), 6)").alias("p95"))
+
+
+def counts_by_kind(rows: DataFrame, by: str, kind: str) -> DataFrame:
+    """(by, counts): a map from kind to how often it occurs, keys in order; counted before kinds are gathered, so a map holds a kind once."""
+    n = rows.where(F.col(kind).isNotNull()).groupBy(by, kind).agg(F.count("*").alias("n"))
+    return n.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(kind, "n")))).alias("counts"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -62,3 +64,8 @@ def status(registry: DataFrame, stamps: DataFrame, expected: DataFrame, heads: D
     gate = federation.stamp_gate(stamps, expected).select("project_id", F.col("reason").alias("gate_reason"))
     told = registry.join(heads, "project_id", "left").join(gate, "project_id", "left")
     return told.select("project_id", freshness(F.col("head"), F.col("last_indexed_sha"), F.coalesce("dirty", F.lit(False))).alias("freshness"), "gate_reason")
+
+
+def stream_items(answer: DataFrame, *order: str) -> Iterator[Row]:
+    """An answer's rows one after the other in order; the driver holds one partition at a time, and the next is made meanwhile."""
+    yield from answer.orderBy(*order).toLocalIterator(prefetchPartitions=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import graph, tools
 from ._bind import table
 
 
@@ -54,6 +54,11 @@ def degree_centrality(spark, sf_dir):
     return graph.degrees(_edges(spark, sf_dir))
 
 
+def tool_ask_graph(spark, sf_dir):
+    """What an agent gets who asks for the callers of one supplier."""
+    return tools.ask_graph(_edges(spark, sf_dir), _nodes(spark, sf_dir), "callers", "s:1")
+
+
 def fake_graph(spark, sf_dir):
     """The stand-in's answers for each supplier, asked in three ways."""
     asked = _symbols(spark, sf_dir, "supplier").select("symbol", F.explode(F.array(F.lit("callers"), F.lit("callees"), F.lit("impact"))).alias("kind"))
@@ -64,13 +69,14 @@ def page_rank(spark, sf_dir):
     return graph.page_rank(_edges(spark, sf_dir), 3).select("node_id", F.round("rank", 9).alias("rank"))
 
 
-QUERIES = {f.__name__: f for f in (graph_callers, graph_callees, graph_explore, graph_search, graph_impact, degree_centrality, page_rank, fake_graph)}
+QUERIES = {f.__name__: f for f in (graph_callers, graph_callees, graph_explore, graph_search, graph_impact, degree_centrality, page_rank, fake_graph, tool_ask_graph)}
 
 _G = """e AS (SELECT 'c:' || o_custkey AS source, 'o:' || o_orderkey AS target FROM orders UNION ALL SELECT 'o:' || l_orderkey, 'p:' || l_partkey FROM lineitem UNION ALL SELECT 'o:' || l_orderkey, 's:' || l_suppkey FROM lineitem),
 n AS (SELECT 'c:' || c_custkey AS id, 'customer' AS kind, c_name AS name FROM customer UNION ALL SELECT 'o:' || o_orderkey, 'orders', o_orderpriority FROM orders UNION ALL SELECT 'p:' || p_partkey, 'part', p_name FROM part UNION ALL SELECT 's:' || s_suppkey, 'supplier', s_name FROM supplier)"""
 _PAIRS = "pair AS (SELECT DISTINCT source, target FROM e), links AS (SELECT source, target, 1.0::DOUBLE / count(*) OVER (PARTITION BY source) AS share FROM pair), nodes AS (SELECT source AS node_id FROM pair UNION SELECT target FROM pair), c AS (SELECT count(*) AS n FROM nodes), r0 AS (SELECT node_id, 1.0::DOUBLE / n AS rank FROM nodes, c)"
 _ROUNDS = ", ".join(f"g{k} AS (SELECT target, sum(rank * share) AS got FROM links JOIN r{k - 1} ON node_id = source GROUP BY target), r{k} AS (SELECT node_id, (1 - 0.85::DOUBLE) / n + 0.85::DOUBLE * coalesce(got, 0) AS rank FROM nodes LEFT JOIN g{k} ON target = node_id, c)" for k in (1, 2, 3))
 ORACLES = {
+    "tool_ask_graph": "SELECT DISTINCT 's:1' AS symbol, 'o:' || o_orderkey AS node_id, o_orderpriority AS name FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_suppkey = 1",
     "fake_graph": "SELECT 's:' || s_suppkey AS symbol, kind, CASE WHEN kind = 'impact' THEN 's:' || s_suppkey ELSE 'canned:' || kind END AS answer FROM supplier, (VALUES ('callers'), ('callees'), ('impact')) k(kind)",
     "graph_callers": f"WITH {_G} SELECT DISTINCT target AS symbol, source AS node_id, m.name FROM e JOIN n s ON s.id = target JOIN n m ON m.id = source WHERE s.kind = 'part'",
     "graph_callees": f"WITH {_G} SELECT DISTINCT source AS symbol, target AS node_id, m.name FROM e JOIN n s ON s.id = source JOIN n m ON m.id = target WHERE s.kind = 'orders'",

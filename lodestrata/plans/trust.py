@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import grounding, lint, metrics, sessions
+from ..operators import federation, grounding, lint, metrics, sessions
 from ..sources import events as feeds
 from ..streaming import sync
 from ._bind import Fixture, micros, table
@@ -69,6 +70,25 @@ def episode_cards(spark, sf_dir):
     return cards.select("session_id", "n_turns", "n_intents", F.sha2("first_intent", 256).alias("intent_hash"), F.sha2("outcome_summary", 256).alias("outcome_hash"))
 
 
+def transcript_deltas(spark, sf_dir):
+    """Turns stand for a transcript's edits: a role is a path, and its last text is what an edit replaces."""
+    turns = table(spark, sf_dir, "conversations")
+    last = F.lag("text").over(Window.partitionBy("conv_id", "role").orderBy("turn", "text"))
+    lines = turns.select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), F.lit("edit").alias("kind"), F.col("role").alias("path"), last.alias("old_text"), F.col("text").alias("new_text"))
+    return feeds.transcript_deltas(lines)
+
+
+def user_event_counts(spark, sf_dir):
+    counts = metrics.counts_by_kind(table(spark, sf_dir, "events"), "user_id", "event_type")
+    return counts.select("user_id", F.size("counts").cast("long").alias("n_kinds"), F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",").alias("told"))
+
+
+def common_sources(spark, sf_dir):
+    """Sources that have both long and labelled documents."""
+    docs = table(spark, sf_dir, "documents")
+    return federation.common(docs.where("length(text) > 8192"), docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi"), "source")
+
+
 def commit_link_nearest(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("path"), "event_type", micros("ts").alias("ts_us"))
     edits = e.where("event_type = 'click'").select(F.col("event_id").alias("edit_id"), "path", "ts_us")
@@ -144,7 +164,7 @@ def mutation_tripwire(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (anchor_revalidate, grounding_citations, grounding_gate, citation_quality, sentence_actions, provenance_packet, drift_rank, freshness_and_refresh, episode_cards, commit_link_nearest, plan_tasks, workflow_ready, risk_levels, event_debounce_sessions, event_dedup, event_windows, event_lag, team_idle, outbox_once, spec_anchors, spec_anchor_coverage, brief_check, git_guard, territory_guard, mutation_tripwire)
+    for f in (anchor_revalidate, grounding_citations, grounding_gate, citation_quality, sentence_actions, provenance_packet, drift_rank, freshness_and_refresh, episode_cards, transcript_deltas, user_event_counts, common_sources, commit_link_nearest, plan_tasks, workflow_ready, risk_levels, event_debounce_sessions, event_dedup, event_windows, event_lag, team_idle, outbox_once, spec_anchors, spec_anchor_coverage, brief_check, git_guard, territory_guard, mutation_tripwire)
 }
 
 _STATUS = f"SELECT c.*, CASE WHEN line_start < 1 OR line_end < line_start THEN 'bad_span' WHEN n_lines IS NULL THEN 'missing_file' WHEN line_end > n_lines THEN 'out_of_range' WHEN state IS DISTINCT FROM 'live' THEN 'not_live' ELSE 'ok' END AS status FROM {CITATIONS.sql()} c LEFT JOIN {FILES.sql()} f USING (path)"
@@ -152,6 +172,9 @@ _ANCHORS = f"SELECT DISTINCT doc_id, unnest(regexp_extract_all(said, '{lint.ANCH
 _COVERS = "(anchor = {w} OR starts_with(anchor, {w} || '.'))".format
 _NEEDS = " UNION ALL ".join(f"SELECT '{k}' AS template, {list(v)} AS needs" for k, v in sessions.WORKFLOW_NEEDS.items())
 ORACLES = {
+    "transcript_deltas": "WITH l AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, role AS path, turn, text, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS old FROM conversations) SELECT session_id, path, CAST(count(*) AS BIGINT) AS n_edits, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars_added, CAST(sum(length(coalesce(old, ''))) AS BIGINT) AS chars_removed, min(turn) AS first_seq, max(turn) AS last_seq FROM l WHERE path IS NOT NULL GROUP BY session_id, path",
+    "user_event_counts": "SELECT user_id, CAST(count(*) AS BIGINT) AS n_kinds, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS told FROM (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY ALL) GROUP BY user_id",
+    "common_sources": "SELECT source FROM documents WHERE length(text) > 8192 INTERSECT SELECT source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "anchor_revalidate": f"SELECT anchor_id, CASE WHEN s.span_hash = stored_hash THEN 'live' WHEN EXISTS (SELECT 1 FROM {SPANS.sql()} o WHERE o.span_hash = stored_hash) THEN 'moved' WHEN s.span_hash IS NOT NULL THEN 'stale' WHEN NOT coalesce(f.readable, false) THEN 'unknown' ELSE 'orphaned' END AS state FROM {ANCHORS.sql()} a LEFT JOIN {SPANS.sql()} s ON s.path = target_path AND s.line_start = a.line_start AND s.line_end = a.line_end LEFT JOIN {FILES.sql()} f ON f.path = target_path",
     "grounding_citations": f"SELECT answer_id, pos, status FROM ({_STATUS})",
     "grounding_gate": f"SELECT answer_id, CAST(count(*) AS BIGINT) AS n_citations, CAST(count(*) FILTER (status = 'ok') AS BIGINT) AS n_ok, CASE WHEN bool_and(status = 'ok') THEN 'cited' ELSE 'refused' END AS verdict FROM ({_STATUS}) GROUP BY answer_id",

@@ -280,3 +280,19 @@ def test_registers_and_live_citations(spark):
     assert {r.id: r.served_as_cited for r in scope.live_only_cited(rows, F.col("state")).collect()} == {1: True, 2: False}
     with pytest.raises(ValueError):
         scope.in_register(rows, "other")
+
+
+def test_transcripts_team_events_and_streamed_answers(spark, tmp_path):
+    from lodestrata.operators import tools
+
+    lines = tmp_path / "log.jsonl"
+    lines.write_text('{"session_id": "a", "seq": 1, "kind": "edit", "path": "x.py", "old_text": "ab", "new_text": "abc"}\nnot json\n{"session_id": "a", "seq": 2, "kind": "say", "text": "hi"}\n{"session_id": "a", "seq": 3, "kind": "edit", "path": "x.py", "new_text": "d"}\n')
+    told = events.transcripts(spark, str(lines))
+    assert told.count() == 3
+    assert [tuple(r) for r in events.transcript_deltas(told).collect()] == [("a", "x.py", 2, 4, 2, 1, 3)]
+    team = spark.createDataFrame([("2026-01-01", "lee", "TaskCompleted", "t1")], "ts string, member string, event string, detail string")
+    for _ in range(2):
+        events.append_team_events(team, str(tmp_path / "team"))
+    assert spark.read.json(str(tmp_path / "team")).count() == 2
+    got = tools.stream_items(spark.range(50).repartition(7), "id")
+    assert next(got).id == 0 and [r.id for r in got] == list(range(1, 50))
