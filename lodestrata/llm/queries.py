@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, kdtree, language_id, license_scan, packing, quality, simhash, substring_dedup, token_counts
+from . import chat, decontamination, embedding_dedup, infill, kdtree, language_id, license_scan, packing, prefix_trie, quality, simhash, substring_dedup, token_counts
 from ._spark import crc32_mod, table
 
 
@@ -71,6 +71,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")).drop("ids")
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.infill(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rebuilt = infill.restored(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(rebuilt, 256).alias("restored_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,13 +92,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_topk_kdtree, op3_chat_format, op4_quality, op5_token_counts, op6_simhash_bktree, op7_language_id, op8_substring_dedup, op9_license_scan, op10_packing)
+    f.__name__: f for f in (op1_decontaminate, op2_topk_kdtree, op3_chat_format, op4_quality, op5_token_counts, op6_simhash_bktree, op7_language_id, op8_substring_dedup, op9_license_scan, op10_packing, op11_embedding_dedup, op12_infill, op13_prefix_trie)
 }
 
 _TURNS = "SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'"
 
 ORACLES: dict[str, str] = {
     "op9_license_scan": license_scan.oracle(),
+    "op12_infill": infill.oracle(),
+    "op13_prefix_trie": prefix_trie.oracle(),
     "op2_topk_kdtree": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
