@@ -87,6 +87,9 @@ def page_rank(edges: DataFrame, rounds: int = 5, damping: float = 0.85) -> DataF
     return rank
 
 
-def canned(kind: Column, symbol: Column) -> Column:
-    """The stand-in graph's answer: fixed for a known kind, else the symbol itself."""
-    return F.when(kind.isin("callers", "callees"), F.concat(F.lit("canned:"), kind)).otherwise(symbol)
+def canned(kind: Column, symbol: Column, answers: dict[str, str]) -> Column:
+    """The stand-in graph's answer: the given one for a kind that answers has, else the symbol itself."""
+    told = F.lit(None).cast("string")
+    for k, answer in answers.items():
+        told = F.when(kind == k, answer).otherwise(told)
+    return F.coalesce(told, symbol)

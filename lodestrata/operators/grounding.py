@@ -12,7 +12,7 @@ def revalidate(anchors: DataFrame, spans: DataFrame, files: DataFrame) -> DataFr
     anchors: anchor_id, target_path, line_start, line_end, stored_hash. spans:
     path, line_start, line_end, span_hash of the current source. files: path,
     readable. Same place and hash: live. Same place, another hash: stale. The
-    hash elsewhere: moved. The file not readable or not given: unknown. Nothing: orphaned.
+    hash elsewhere: moved. The file there and not readable: unknown. Nothing, or the file gone: orphaned.
     """
     here = spans.select(F.col("path").alias("target_path"), "line_start", "line_end", F.col("span_hash").alias("now_hash")).distinct()
     somewhere = spans.select(F.col("span_hash").alias("stored_hash")).distinct().withColumn("found", F.lit(True))
@@ -22,7 +22,7 @@ def revalidate(anchors: DataFrame, spans: DataFrame, files: DataFrame) -> DataFr
         F.when(F.col("now_hash") == F.col("stored_hash"), "live")
         .when(F.col("found"), "moved")
         .when(F.col("now_hash").isNotNull(), "stale")
-        .when(~F.coalesce("readable", F.lit(False)), "unknown")
+        .when(~F.col("readable"), "unknown")
         .otherwise("orphaned")
     )
     return told.select(*anchors.columns, state.alias("state"))
@@ -77,10 +77,18 @@ def freshness(head: Column, recorded: Column, dirty: Column) -> Column:
 
 
 def drift_rank(items: DataFrame, weights: DataFrame, key: str) -> DataFrame:
-    """items (key, authority, recency, agreement in [0, 1]) by their product, each to the power of its weight (feature, weight)."""
-    w = {r.feature: r.weight for r in weights.limit(16).collect()}
+    """items (key, authority, recency, agreement in [0, 1]) by their product, each to the power of its weight (feature, weight).
+
+    Weights may hold other features, which are not read; a feature without a weight
+    counts once, one with several is refused.
+    """
+    features = ("authority", "recency", "agreement")
+    told = weights.where(F.col("feature").isin(*features)).groupBy("feature").agg(F.first("weight").alias("weight"), F.count("*").alias("n")).collect()
+    if twice := sorted(r.feature for r in told if r.n > 1):
+        raise ValueError(f"more than one weight of {', '.join(twice)}")
+    w = {r.feature: 1.0 if r.weight is None else r.weight for r in told}
     score = F.lit(1.0)
-    for f in ("authority", "recency", "agreement"):
+    for f in features:
         score = score * F.pow(F.col(f), F.lit(float(w.get(f, 1.0))))
     return items.withColumn("score", F.round(score, 6))
 

@@ -15,8 +15,8 @@ from ..functions.hashing import pair_score, token_estimate
 
 #: The constants that the design leaves open.
 K1, B, RRF_K, CANDIDATES, FINAL, ROUTE_TOKENS = 1.2, 0.75, 60, 50, 10, 200_000
-#: Query vectors that are broadcast at once, terms that are broadcast, and rows of vectors multiplied at once.
-QUERY_ROWS, LISTED_TERMS, VECTOR_ROWS = 10_000, 1_000_000, 1024
+#: Bytes of queries that are broadcast at once, terms that are broadcast, and rows of vectors multiplied at once.
+QUERY_BYTES, LISTED_TERMS, VECTOR_ROWS = 16 << 20, 1_000_000, 1024
 
 
 def tokens(text: Column) -> Column:
@@ -78,7 +78,7 @@ def cosine(a: Column, b: Column) -> Column:
 def dense(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, key, score) with each query's k best (query_id, query_vector) by cosine to six places, and more that some task had among its own.
 
-    Queries travel in blocks of QUERY_ROWS, which are broadcast; a task multiplies
+    Queries travel in blocks of QUERY_BYTES, which are broadcast; a task multiplies
     its vectors with a block and gives back k rows a query, ties to smaller keys.
     Null vectors take no part; where a cosine has no value (a length of 0, a null or
     NaN component) the score is null and comes last. Lengths must agree.
@@ -86,7 +86,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", v
     kind = vectors.schema[key].dataType.simpleString()
     asked = durable(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vector").cast("array<double>").alias("v")).where("v is not null"))
     fit = spread(vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")))
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
+    blocks = max(1, -(-(asked.agg(F.sum(F.size("v").cast("long") * 8)).first()[0] or 0) // QUERY_BYTES))
     found = None
     for n in range(blocks):
         told = asked.where(F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)) == n).toArrow()
@@ -127,8 +127,7 @@ def _nearest(shared, k: int):  # noqa: ANN001, ANN202
                     own = np.broadcast_to(key[lo : lo + VECTOR_ROWS], score.shape)
                     if d in best:
                         own, score = np.concatenate([best[d][0], own], 1), np.concatenate([best[d][1], score], 1)
-                    top = np.lexsort((own, -score), axis=1)[:, :k]
-                    best[d] = np.take_along_axis(own, top, 1), np.take_along_axis(score, top, 1)
+                    best[d] = _best_of_rows(own, score, k)
         for d, (own, score) in best.items():
             flat = score.ravel()
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(shared.value[d][0], own.shape[1])), pa.array(own.ravel()), pa.array(flat, mask=np.isinf(flat))], names=["query_id", "key", "score"])
@@ -136,6 +135,19 @@ def _nearest(shared, k: int):  # noqa: ANN001, ANN202
     return run
 
 
+def _best_of_rows(own: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the k best scores, ties to smaller keys; only what reaches the k-th best is sorted."""
+    rows, width = score.shape
+    if width > k:
+        r, c = np.nonzero(score >= np.partition(score, width - k, axis=1)[:, width - k, None])
+    else:
+        r, c = np.divmod(np.arange(rows * width), max(width, 1))
+    order = np.lexsort((own[r, c], -score[r, c], r))
+    r, c = r[order], c[order]
+    take = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return own[r[take], c[take]].reshape(rows, -1), score[r[take], c[take]].reshape(rows, -1)
+
+
 def ranked(scored: DataFrame, key: str, k: int, by: str = "query_id") -> DataFrame:
     """The k best of each query with their rank; ties go to the smaller key."""
     order = Window.partitionBy(by).orderBy(F.desc_nulls_last("score"), key)
@@ -199,22 +211,47 @@ def phrase_search(docs: DataFrame, phrase: str, key: str = "doc_id", text: str =
 
 
 def holding(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, key) of documents whose text holds the query's whole text.
+    """(query_id, key) of documents whose text holds the query's whole text; an empty query is in every text.
 
-    A query's longest piece between its first and last blank stands between blanks
-    in such a text, too, so documents' pieces are joined to these by equality, and
-    the rest is verified. Queries without such a piece are compared with every text.
+    Queries travel in blocks of QUERY_BYTES, each of which is broadcast as one
+    automaton that a task walks once over each of its texts; nothing is shuffled.
     """
-    inner = F.expr("slice(split(query, ' ', -1), 2, greatest(size(split(query, ' ', -1)) - 2, 0))")
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
-    asked = durable(queries.where("query is not null").select("query_id", "query", longest["w"].alias("piece")))
-    if asked.count() <= LISTED_TERMS:
-        asked = F.broadcast(asked)
-    rows = spread(docs.select(key, text))
-    pieces = rows.select(key, text, F.explode(F.array_distinct(F.split(text, " ", -1))).alias("piece"))
-    some = pieces.join(asked, "piece").where(F.contains(F.col(text), F.col("query"))).select("query_id", key)
-    bare = asked.where("piece is null")
-    return some if bare.isEmpty() else some.unionByName(rows.join(bare, F.contains(F.col(text), F.col("query"))).select("query_id", key))
+    spark = docs.sparkSession
+    asked = durable(queries.where("query is not null").select(F.col("query_id").cast("string").alias("query_id"), "query"))
+    size = asked.agg(F.sum(F.octet_length("query").cast("long") + 64)).first()[0] or 0
+    blocks = max(1, -(-size // QUERY_BYTES))
+    rows, schema = spread(docs.select(key, text).where(F.col(text).isNotNull())), f"query_id string, `{key}` {docs.schema[key].dataType.simpleString()}"
+    found = None
+    for n in range(blocks):
+        told = asked.where(F.pmod(F.xxhash64("query", "query_id"), F.lit(blocks)) == n).toArrow()
+        one = rows.mapInArrow(_holders(spark.sparkContext.broadcast(list(zip(told.column("query_id").to_pylist(), told.column("query").to_pylist(), strict=True)))), schema)
+        found = one if found is None else found.unionByName(one)
+    return found.select(F.col("query_id").cast(queries.schema["query_id"].dataType).alias("query_id"), key)
+
+
+def _holders(shared):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        of: dict[str, list[str]] = {}
+        for i, q in shared.value:
+            of.setdefault(q, []).append(i)
+        everywhere = of.pop("", [])
+        machine = ahocorasick.Automaton()
+        for q, ids in of.items():
+            machine.add_word(q, (q, ids))
+        if of:
+            machine.make_automaton()
+        for b in batches:
+            ids, rows = [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                met = {q: own for _, (q, own) in machine.iter(text)} if of else {}
+                for own in (everywhere, *met.values()):
+                    ids += own
+                    rows += [k] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), b.column(0).take(pa.array(rows, pa.int64()))], names=["query_id", b.schema.names[0]])
+
+    return run
 
 
 def recall_at_k(found: DataFrame, gold: DataFrame, key: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:

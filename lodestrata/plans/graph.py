@@ -62,7 +62,7 @@ def tool_ask_graph(spark, sf_dir):
 def fake_graph(spark, sf_dir):
     """The stand-in's answers for each supplier, asked in three ways."""
     asked = _symbols(spark, sf_dir, "supplier").select("symbol", F.explode(F.array(F.lit("callers"), F.lit("callees"), F.lit("impact"))).alias("kind"))
-    return asked.select("symbol", "kind", graph.canned(F.col("kind"), F.col("symbol")).alias("answer"))
+    return asked.select("symbol", "kind", graph.canned(F.col("kind"), F.col("symbol"), {k: f"canned:{k}" for k in ("callers", "callees")}).alias("answer"))
 
 
 def page_rank(spark, sf_dir):

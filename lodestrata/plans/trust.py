@@ -175,7 +175,7 @@ ORACLES = {
     "transcript_deltas": "WITH l AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, role AS path, turn, text, lag(text) OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS old FROM conversations) SELECT session_id, path, CAST(count(*) AS BIGINT) AS n_edits, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars_added, CAST(sum(length(coalesce(old, ''))) AS BIGINT) AS chars_removed, min(turn) AS first_seq, max(turn) AS last_seq FROM l WHERE path IS NOT NULL GROUP BY session_id, path",
     "user_event_counts": "SELECT user_id, CAST(count(*) AS BIGINT) AS n_kinds, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS told FROM (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY ALL) GROUP BY user_id",
     "common_sources": "SELECT source FROM documents WHERE length(text) > 8192 INTERSECT SELECT source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
-    "anchor_revalidate": f"SELECT anchor_id, CASE WHEN s.span_hash = stored_hash THEN 'live' WHEN EXISTS (SELECT 1 FROM {SPANS.sql()} o WHERE o.span_hash = stored_hash) THEN 'moved' WHEN s.span_hash IS NOT NULL THEN 'stale' WHEN NOT coalesce(f.readable, false) THEN 'unknown' ELSE 'orphaned' END AS state FROM {ANCHORS.sql()} a LEFT JOIN {SPANS.sql()} s ON s.path = target_path AND s.line_start = a.line_start AND s.line_end = a.line_end LEFT JOIN {FILES.sql()} f ON f.path = target_path",
+    "anchor_revalidate": f"SELECT anchor_id, CASE WHEN s.span_hash = stored_hash THEN 'live' WHEN EXISTS (SELECT 1 FROM {SPANS.sql()} o WHERE o.span_hash = stored_hash) THEN 'moved' WHEN s.span_hash IS NOT NULL THEN 'stale' WHEN NOT f.readable THEN 'unknown' ELSE 'orphaned' END AS state FROM {ANCHORS.sql()} a LEFT JOIN {SPANS.sql()} s ON s.path = target_path AND s.line_start = a.line_start AND s.line_end = a.line_end LEFT JOIN {FILES.sql()} f ON f.path = target_path",
     "grounding_citations": f"SELECT answer_id, pos, status FROM ({_STATUS})",
     "grounding_gate": f"SELECT answer_id, CAST(count(*) AS BIGINT) AS n_citations, CAST(count(*) FILTER (status = 'ok') AS BIGINT) AS n_ok, CASE WHEN bool_and(status = 'ok') THEN 'cited' ELSE 'refused' END AS verdict FROM ({_STATUS}) GROUP BY answer_id",
     "citation_quality": f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (status = 'ok') AS BIGINT) AS good, round(count(*) FILTER (status = 'ok') / count(*)::DOUBLE, 6) AS precision, round(count(*) FILTER (state = 'live' AND status <> 'ok') / (count(*) FILTER (state = 'live'))::DOUBLE, 6) AS false_confidence FROM ({_STATUS})",

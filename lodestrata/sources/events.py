@@ -63,6 +63,16 @@ def transcript_deltas(lines: DataFrame) -> DataFrame:
     return edits.groupBy("session_id", "path").agg(F.count("*").alias("n_edits"), F.sum(size("new_text")).alias("chars_added"), F.sum(size("old_text")).alias("chars_removed"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
+#: A line of a team's event log; task and subject may be absent.
+TEAM_EVENT = "ts string, event string, session string, name string, task string, subject string"
+
+
 def append_team_events(rows: DataFrame, path: str) -> None:
-    """Appends team events (ts, member, event, detail) to JSON lines that operators.lint reads; what is there stays."""
-    rows.select("ts", "member", "event", "detail").write.mode("append").json(path)
+    """Appends rows of TEAM_EVENT to JSON lines, which team_events reads; what is there stays. Columns that rows lacks are absent from the lines."""
+    fields = [f.split()[0] for f in TEAM_EVENT.split(", ")]
+    rows.select(*[c for c in fields if c in rows.columns]).write.mode("append").json(path)
+
+
+def team_events(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a team's log as rows that operators.lint reads; a line that names no event is left out."""
+    return spark.read.schema(TEAM_EVENT).json(path).where("event is not null")

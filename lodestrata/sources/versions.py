@@ -1,9 +1,11 @@
 """A versioned table in plain Parquet: manifests, upserts, tombstones, compaction, tags, garbage collection, generations.
 
-A version is a small manifest that lists data folders; folders are written once
-and never changed. A write adds a folder and a manifest, so a crash leaves the
-last version as it was. Manifests and pointers go through the file system that
-the root belongs to, so the table works on any store that Spark can write.
+A version is a small manifest that lists data folders; folders and manifests are
+written once and never changed. The manifest is a version's commit: it comes last,
+and one that was cut off while it was written doesn't count, so a crash at any
+place leaves the last version as it was, and the next write goes on after it.
+Manifests and pointers go through the file system that the root belongs to, so
+the table works on any store that Spark can write.
 """
 
 from __future__ import annotations
@@ -27,19 +29,9 @@ class Store:
     def at(self, name: str):  # noqa: ANN201
         return self.jvm.org.apache.hadoop.fs.Path(self.root, name)
 
-    def put(self, name: str, text: str, replace: bool = False) -> None:
-        """Writes a file at once; without replace it must be new, so of two writers one fails."""
-        path = self.at(name)
-        if replace:
-            temp = self.at(name + ".tmp")
-            self._write(temp, text, True)
-            self.fs.delete(path, False)
-            self.fs.rename(temp, path)
-        else:
-            self._write(path, text, False)
-
-    def _write(self, path, text: str, overwrite: bool) -> None:  # noqa: ANN001
-        out = self.fs.create(path, overwrite)
+    def put(self, name: str, text: str) -> None:
+        """Writes a file, which must be new, so of two writers one fails; nothing is ever replaced."""
+        out = self.fs.create(self.at(name), False)
         try:
             out.write(bytearray(text.encode()))
         finally:
@@ -56,7 +48,7 @@ class Store:
             stream.close()
 
     def names(self, folder: str) -> list[str]:
-        path = self.at(folder)
+        path = self.at(folder) if folder else self.root
         return sorted(s.getPath().getName() for s in self.fs.listStatus(path)) if self.fs.exists(path) else []
 
     def delete(self, name: str) -> None:
@@ -80,27 +72,32 @@ class VersionedTable:
         self.store = Store(spark, root)
 
     def versions(self) -> list[Version]:
-        return [Version(**json.loads(self.store.get(f"versions/{n}"))) for n in self.store.names("versions") if n.endswith(".json")]
+        """All versions whose manifest is whole, oldest first."""
+        return [Version(**v) for n in self.store.names("versions") if (v := whole_json(self.store.get(f"versions/{n}")))]
 
     def current(self) -> Version | None:
         every = self.versions()
         return every[-1] if every else None
 
     def _next(self) -> int:
-        return int(self.store.get("counter") or 0) + 1
+        """One more than any number that was ever given out: a mark stays of the highest when its manifest goes."""
+        return max((int(n.split(".")[0]) for folder in ("versions", "marks") for n in self.store.names(folder)), default=0) + 1
 
     def _commit(self, v: Version) -> Version:
         self.store.put(f"versions/{v.vid:09d}.json", json.dumps(asdict(v)))
-        self.store.put("counter", str(v.vid), replace=True)
         return v
 
     def upsert(self, rows: DataFrame, sha_tag: str | None = None, stamp: dict | None = None) -> Version:
-        """A new version in which rows replace those of equal keys; within rows one per key is expected."""
+        """A new version in which rows replace those of equal keys; rows that hold a key twice are refused, and leave the table as it was."""
         old, vid = self.current(), self._next()
         folder = f"data/{vid:09d}-{uuid.uuid4().hex[:12]}"
         out = rows if "tombstone" in rows.columns else rows.withColumn("tombstone", F.lit(False))
         writer = out.write.mode("overwrite")
         (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{self.root}/{folder}")
+        written = self.spark.read.parquet(f"{self.root}/{folder}")
+        if not written.groupBy(self.key).count().where("count > 1").isEmpty():
+            self.store.delete(folder)
+            raise ValueError(f"a batch holds more than one row of the same {self.key}")
         base = old or Version(0)
         return self._commit(Version(vid, [*base.folders, folder], [*base.unindexed, folder], sha_tag, stamp or base.stamp))
 
@@ -164,6 +161,13 @@ class VersionedTable:
         plain = [v for v in every if v.sha_tag is None]
         gone = plain[: len(plain) - keep] if keep else plain
         left = {f for v in every if v not in gone for f in v.folders}
+        if gone:
+            highest = self._next() - 1
+            if f"{highest:09d}" not in self.store.names("marks"):
+                self.store.put(f"marks/{highest:09d}", "")
+            for n in self.store.names("marks"):
+                if n != f"{highest:09d}":
+                    self.store.delete(f"marks/{n}")
         for v in gone:
             self.store.delete(f"versions/{v.vid:09d}.json")
         for f in {f for v in gone for f in v.folders} - left:
@@ -171,24 +175,35 @@ class VersionedTable:
         return len(gone)
 
 
+def whole_json(text: str | None) -> dict | None:
+    """What a small file says, or nothing if it was cut off."""
+    try:
+        return json.loads(text or "")
+    except ValueError:
+        return None
+
+
 class Generations:
-    """Blue-green generations of a table under root: one is active, a new one is built beside it and swapped in."""
+    """Blue-green generations of a table under root: one is active, a new one is built beside it and swapped in.
+
+    Pointers are written once each; the active generation is the one that the
+    highest whole pointer names. A crash before it leaves the old one active.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.store = spark, root.rstrip("/"), Store(spark, root)
 
     def active(self) -> int | None:
-        n = self.store.get("active")
-        return int(n) if n else None
+        whole = (whole_json(self.store.get(f"pointers/{n}")) for n in reversed(self.store.names("pointers")))
+        return next((p["generation"] for p in whole if p), None)
 
     def build(self, rows: DataFrame, validate, room_bytes: int = 0) -> int:  # noqa: ANN001
         """Writes the next generation, validates what was written and makes it active; on failure the old one stays."""
         status = self.store.fs.getStatus()
         if status.getRemaining() < room_bytes:
             raise OSError("not enough room for another generation")
-        n = (self.active() or 0) + 1
+        n = max([int(x.split(".")[0]) for x in self.store.names("pointers")] + [int(x.split("=")[1]) for x in self.store.names("") if x.startswith("generation=")], default=0) + 1
         folder = f"generation={n}"
-        self.store.delete(folder)
         try:
             rows.write.parquet(f"{self.root}/{folder}")
             if not validate(self.spark.read.parquet(f"{self.root}/{folder}")):
@@ -196,7 +211,7 @@ class Generations:
         except BaseException:
             self.store.delete(folder)
             raise
-        self.store.put("active", str(n), replace=True)
+        self.store.put(f"pointers/{n:09d}.json", json.dumps({"generation": n}))
         return n
 
     def read(self) -> DataFrame:

@@ -44,12 +44,108 @@ def test_versions_upsert_read_optimize_and_collect(spark, tmp_path):
 def test_a_version_is_written_once(spark, tmp_path):
     t = VersionedTable(spark, str(tmp_path / "t"), "chunk_id")
     t.upsert(rows(spark, ("a", "f", "1", "x")))
-    t.store.put("counter", "0", replace=True)
+    other = VersionedTable(spark, str(tmp_path / "t"), "chunk_id")
+    other._next = lambda: 1  # as a second writer counts who began before the first one committed
     with pytest.raises(Exception, match="exist"):
-        t.upsert(rows(spark, ("a", "f", "1", "y")))
+        other.upsert(rows(spark, ("a", "f", "1", "y")))
     assert t.read().first().text == "x"
 
 
+def test_a_crash_at_any_place_leaves_the_last_version_and_the_next_write_goes_on(spark, tmp_path, monkeypatch):
+    t = VersionedTable(spark, str(tmp_path / "t"), "chunk_id")
+    t.upsert(rows(spark, ("a", "f", "1", "x")))
+    whole = t.store.put
+
+    def dies(name, text):
+        if cut is not None:
+            whole(name, text[:cut])
+        raise OSError("lost")
+
+    for cut in (None, 0, 7):  # before the manifest, while it is written, after a part of it
+        monkeypatch.setattr(t.store, "put", dies)
+        with pytest.raises(OSError):
+            t.upsert(rows(spark, ("a", "f", "1", "lost")))
+        monkeypatch.setattr(t.store, "put", whole)
+        assert t.read().first().text == "x" and len(t.versions()) == 1
+    t.upsert(rows(spark, ("a", "f", "1", "y")))
+    assert t.read().first().text == "y" and t.current().vid > 1
+
+
+def test_numbers_are_not_given_out_again_after_a_cleanup(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), "chunk_id")
+    for k in range(3):
+        t.upsert(rows(spark, (f"k{k}", "f", "1", "x")))
+    assert t.cleanup_old_versions(0) == 3 and t.current() is None
+    assert t.upsert(rows(spark, ("a", "f", "1", "x"))).vid == 4 and t.cleanup_old_versions(1) == 0
+    assert t.upsert(rows(spark, ("b", "f", "1", "x"))).vid == 5
+
+
+def test_a_batch_with_a_key_twice_is_refused(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), "chunk_id", partition_by=("source_path",))
+    t.upsert(rows(spark, ("a", "f", "1", "x"), ("b", "g", "1", "x")))
+    with pytest.raises(ValueError, match="more than one row"):
+        t.upsert(rows(spark, ("c", "f", "1", "x"), ("c", "g", "1", "y")))
+    assert {r.chunk_id for r in t.read().collect()} == {"a", "b"} and len(t.versions()) == 1
+    assert sorted(p.name for p in (tmp_path / "t" / t.current().folders[0]).iterdir() if p.is_dir()) == ["source_path=f", "source_path=g"]
+    t.upsert(rows(spark, ("a", "g", "2", "z")))
+    assert {(r.chunk_id, r.source_path) for r in t.read().collect()} == {("a", "g"), ("b", "g")}
+
+
+def test_a_crash_before_the_pointer_leaves_the_old_generation(spark, tmp_path, monkeypatch):
+    g = Generations(spark, str(tmp_path / "g"))
+    g.build(rows(spark, ("a", "f", "1", "x")), lambda d: True)
+    whole = g.store.put
+
+    def dies(name, text):
+        if cut is not None:
+            whole(name, text[:cut])
+        raise OSError("lost")
+
+    for cut in (None, 0, 5):
+        monkeypatch.setattr(g.store, "put", dies)
+        with pytest.raises(OSError):
+            g.build(rows(spark, ("b", "f", "1", "y")), lambda d: True)
+        monkeypatch.setattr(g.store, "put", whole)
+        assert g.active() == 1 and g.read().first().chunk_id == "a"
+    n = g.build(rows(spark, ("b", "f", "1", "y")), lambda d: True)
+    assert g.active() == n > 1 and g.read().first().chunk_id == "b"
+
+
+def test_weights_and_stamps_that_are_not_one_are_refused(spark):
+    from lodestrata.operators import grounding
+
+    items = spark.createDataFrame([(1, 0.5, 1.0, 1.0)], "item_id long, authority double, recency double, agreement double")
+    weights = [(f"other{k}", 1.0) for k in range(40)] + [("authority", 5.0)]
+    assert grounding.drift_rank(items, spark.createDataFrame(weights, "feature string, weight double"), "item_id").first().score == 0.03125
+    with pytest.raises(ValueError, match="authority"):
+        grounding.drift_rank(items, spark.createDataFrame([*weights, ("authority", 1.0)], "feature string, weight double"), "item_id")
+    stamp = "embedding_model string, dimension int, schema_version int"
+    own = spark.createDataFrame([("p", "m", 4, 1)], "project_id string, " + stamp)
+    gate = lambda *rows: [r.reason for r in federation.stamp_gate(own, spark.createDataFrame(list(rows), stamp)).collect()]
+    assert gate(("m", 4, 1), ("m", 4, 1)) == [None] and gate() == ["schema_version_mismatch"]
+    with pytest.raises(ValueError, match="more than one"):
+        gate(("m", 4, 1), ("m", 4, 2))
+
+
+def test_holding_of_short_repeated_and_empty_queries(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 100)  # several blocks
+    docs = spark.createDataFrame([(1, "alphabet alpha beta"), (2, "beta"), (3, None), (4, ""), (4, "漢字 beta")], "doc_id long, text string")
+    asked = [(10, "alpha beta"), (11, "a"), (12, ""), (13, None), (14, "beta"), (15, "beta"), (16, "字 b")]
+    got = retrieval.holding(docs, spark.createDataFrame(asked, "query_id long, query string"))
+    want = [(i, d) for i, q in asked for d, t in [(1, "alphabet alpha beta"), (2, "beta"), (4, ""), (4, "漢字 beta")] if q is not None and q in t]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_a_deleted_file_is_orphaned(spark):
+    from lodestrata.operators import grounding
+
+    anchors = spark.createDataFrame([("a", "gone.py", 1, 2, "h"), ("b", "locked.py", 1, 2, "h")], "anchor_id string, target_path string, line_start int, line_end int, stored_hash string")
+    spans = spark.createDataFrame([], "path string, line_start int, line_end int, span_hash string")
+    files = spark.createDataFrame([("locked.py", False)], "path string, readable boolean")
+    assert {r.anchor_id: r.state for r in grounding.revalidate(anchors, spans, files).collect()} == {"a": "orphaned", "b": "unknown"}
+
+
 def test_generations_swap_only_if_valid(spark, tmp_path):
     g = Generations(spark, str(tmp_path / "g"))
     assert g.build(rows(spark, ("a", "f", "1", "x")), lambda d: d.count() == 1) == 1
@@ -207,7 +303,7 @@ def test_dense_gives_the_same_rows_for_any_block_of_queries(spark, monkeypatch):
     asked = v.selectExpr("vec_id query_id", "embedding query_vector")
     best = lambda: sorted(retrieval.ranked(retrieval.dense(v, asked, 5), "vec_id", 5).collect(), key=str)
     want = best()
-    monkeypatch.setattr(retrieval, "QUERY_ROWS", 7)
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", 7 * 32)
     assert best() == want and {r.query_id for r in want} == set(range(60)) | {61, 62}
 
     def cosine(a, b):
@@ -290,9 +386,10 @@ def test_transcripts_team_events_and_streamed_answers(spark, tmp_path):
     told = events.transcripts(spark, str(lines))
     assert told.count() == 3
     assert [tuple(r) for r in events.transcript_deltas(told).collect()] == [("a", "x.py", 2, 4, 2, 1, 3)]
-    team = spark.createDataFrame([("2026-01-01", "lee", "TaskCompleted", "t1")], "ts string, member string, event string, detail string")
-    for _ in range(2):
-        events.append_team_events(team, str(tmp_path / "team"))
-    assert spark.read.json(str(tmp_path / "team")).count() == 2
+    team = [("2026-01-01T00:00:00Z", "TaskCompleted", "s1", "lee", "t1", "a task"), ("2026-01-01T00:00:05Z", "TeammateIdle", "s1", "lee", "t1", None), ("2026-01-01T00:00:06Z", "TeammateIdle", "s2", "kim", None, None)]
+    events.append_team_events(spark.createDataFrame(team, events.TEAM_EVENT), str(tmp_path / "team"))
+    events.append_team_events(spark.createDataFrame([("2026-01-01T00:00:09Z", "TaskCompleted", "s2")], "ts string, event string, session string"), str(tmp_path / "team"))
+    log = events.team_events(spark, str(tmp_path / "team"))
+    assert log.count() == 4 and [tuple(r) for r in lint.idle_without_completion(log).collect()] == [("2026-01-01T00:00:05Z", "s1", "t1")]
     got = tools.stream_items(spark.range(50).repartition(7), "id")
     assert next(got).id == 0 and [r.id for r in got] == list(range(1, 50))
