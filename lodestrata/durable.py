@@ -24,23 +24,67 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-_written: list[tuple[SparkSession, str]] = []
+class Written:
+    """A table in the shared folder, as compact Parquet, until drop()."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.path = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+        try:
+            df.write.parquet(self.path)
+        except BaseException:
+            self.drop()
+            raise
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Workspace:
+    """Tables of one run that go together: kept() writes one, and leaving the block deletes all but those that were handed out."""
+
+    def __init__(self) -> None:
+        self.tables: list[Written] = []
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        self.tables.append(Written(df))
+        return self.tables[-1].df
+
+    def drop(self, *frames: DataFrame) -> None:
+        for t in [t for t in self.tables if any(t.df is f for f in frames)]:
+            self.tables.remove(t)
+            t.drop()
+
+    def hand_out(self, df: DataFrame) -> DataFrame:
+        """df, whose table stays until this program ends."""
+        _handed_out.extend(t for t in self.tables if t.df is df)
+        self.tables = [t for t in self.tables if t.df is not df]
+        return df
+
+    def __exit__(self, *_: object) -> None:
+        for t in self.tables:
+            t.drop()
+        self.tables = []
+
+
+_handed_out: list[Written] = []
 
 
 def durable(df: DataFrame) -> DataFrame:
     """df as written to the shared folder, once, and read from there; a lost executor costs a reread. The table goes when the program ends."""
-    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _handed_out.append(Written(df))
+    return _handed_out[-1].df
 
 
 @atexit.register
-def _drop_written() -> None:
-    for spark, path in _written:
+def _drop_handed_out() -> None:
+    for t in _handed_out:
         with contextlib.suppress(Exception):  # the session may be gone
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            t.drop()
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..durable import shared_folder
 from ..operators import federation, retrieval
+from ..sources.index import SearchIndex
+from ..sources.versions import VersionedTable
 from ._bind import table
 
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9_]+')"
@@ -89,7 +94,51 @@ def response_cap(spark, sf_dir):
     return items.agg(F.count("*").alias("n_items"), F.sum("rank").alias("sum_rank")).crossJoin(told)
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, dense_topk, hybrid_rrf, federated_union_rrf, fake_rerank, recall_at_k, benchmark_overlap, boolean_search, phrase_search, phrase_punctuated, hydrate_hits, response_cap)}
+def _indexed(spark, sf_dir):
+    """The index of a table that documents came to in two increments: the second has the odd ids, and every fifth again."""
+    index = SearchIndex(VersionedTable(spark, f"{shared_folder(spark)}/indexed-{uuid.uuid4().hex}", "doc_id"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    early = (F.col("doc_id") % 2 == 0) | (F.col("doc_id") % 5 == 0)
+    index.table.upsert(docs.where(early).withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.reverse("text")).otherwise(F.col("text"))))
+    index.refresh()
+    index.table.upsert(docs.where((F.col("doc_id") % 2 != 0) | (F.col("doc_id") % 5 == 0)))
+    index.refresh()
+    return index
+
+
+def indexed_bm25(spark, sf_dir):
+    """The lexical leg from the stored index, after two increments and a merge."""
+    index = _indexed(spark, sf_dir)
+    index.optimize()
+    return index.bm25(_queries(spark, sf_dir), retrieval.FINAL)
+
+
+def indexed_phrase(spark, sf_dir):
+    """A phrase from stored positions of two segments, the second of which replaces rows of the first; one source's odd rows are hidden again."""
+    index = _indexed(spark, sf_dir)
+    rows = table(spark, sf_dir, "documents").where("source = 'src1' and doc_id % 2 = 0").select("doc_id", "text", "source")
+    index.table.replace_source("source", "src1", rows)
+    index.refresh()
+    return index.phrase("of the")
+
+
+def indexed_boolean(spark, sf_dir):
+    return _indexed(spark, sf_dir).boolean(["the", "and"], ["der"], ["with", "was"])
+
+
+def search_index_stats(spark, sf_dir):
+    """Rows that are indexed and not: after a third batch, after its segment, and after the merge."""
+    index = _indexed(spark, sf_dir)
+    index.table.upsert(table(spark, sf_dir, "documents").select("doc_id", "text", "source").where("doc_id % 3 = 0"))
+    told = [("upserted", index.stats())]
+    index.refresh()
+    told.append(("refreshed", index.stats()))
+    index.optimize()
+    told.append(("merged", index.stats()))
+    return spark.createDataFrame([(step, s["num_unindexed_rows"], s["num_indexed_rows"]) for step, s in told], "step string, num_unindexed_rows long, num_indexed_rows long")
+
+
+QUERIES = {f.__name__: f for f in (bm25_topk, dense_topk, hybrid_rrf, federated_union_rrf, fake_rerank, recall_at_k, benchmark_overlap, boolean_search, phrase_search, phrase_punctuated, hydrate_hits, response_cap, indexed_bm25, indexed_phrase, indexed_boolean, search_index_stats)}
 
 _BM25 = f"""q AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS.format('text')}) AS term FROM benchmark),
 w AS (SELECT doc_id, {_WORDS.format('text')} AS words FROM documents),
@@ -104,6 +153,10 @@ dense AS (SELECT query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY q
 _GOLD = "gold AS (SELECT DISTINCT item_id AS query_id, doc_id FROM documents JOIN benchmark b ON contains(documents.text, b.text))"
 ORACLES = {
     "bm25_topk": f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM lexical WHERE rank <= 10",
+    "indexed_bm25": f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM lexical WHERE rank <= 10",
+    "indexed_phrase": f"WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE source <> 'src1' OR doc_id % 2 = 0), p AS (SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS t FROM w), n AS (SELECT doc_id, t, lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS t2 FROM p) SELECT doc_id, CAST(count(*) AS BIGINT) AS hits FROM n WHERE t = 'of' AND t2 = 'the' GROUP BY doc_id",
+    "indexed_boolean": f"WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents) SELECT doc_id FROM w WHERE list_has_all(w, ['the', 'and']) AND NOT list_contains(w, 'der') AND list_has_any(w, ['with', 'was'])",
+    "search_index_stats": "WITH c AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 2 = 0 OR doc_id % 5 = 0) + count(*) FILTER (doc_id % 2 <> 0 OR doc_id % 5 = 0) AS two, count(*) FILTER (doc_id % 3 = 0) AS third FROM documents) SELECT 'upserted' AS step, CAST(third AS BIGINT) AS num_unindexed_rows, CAST(two AS BIGINT) AS num_indexed_rows FROM c UNION ALL SELECT 'refreshed', 0, two + third FROM c UNION ALL SELECT 'merged', 0, n FROM c",
     "dense_topk": f"WITH {_DENSE} SELECT query_id, doc_id, score, rank FROM dense WHERE rank <= 10",
     "hybrid_rrf": f"""WITH {_BM25}, {_DENSE},
 f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf FROM (SELECT query_id, doc_id, rank FROM lexical UNION ALL SELECT query_id, doc_id, rank FROM dense) WHERE rank <= 50 GROUP BY query_id, doc_id),
