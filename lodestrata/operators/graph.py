@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import durable
+from ..durable import Workspace, durable
 
 MIN_SCHEMA_VERSION = 5
 MAX_DEPTH = 20
@@ -42,24 +42,47 @@ def find_nodes(nodes: DataFrame, said: str, kind: str | None = None) -> DataFram
     return hit.where(F.col("kind") == kind) if kind else hit
 
 
-def impact(edges: DataFrame, symbols: DataFrame, depth: int) -> DataFrame:
-    """(symbol, node_id, depth): what reaches each symbol over at most `depth` edges, at its smallest depth.
+def reach(edges: DataFrame, symbols: DataFrame, depth: int, w: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(group_no, node_id, bits, depth) and (group_no, members): which of 64 symbols a node reaches first at this depth.
 
-    A frontier walk: each step joins the newest nodes only and takes out those
-    that are known, so cycles end and no path is walked twice. Each frontier is
-    written, so plans stay as short as one step; the walk ends with an empty one.
+    Symbols share a word of 64 bits, so a node moves once for all symbols of a group
+    that it newly reaches; words that meet at a node are united before they are
+    shuffled, and what a node has seen is one word a group. Frontiers are written,
+    so plans stay as short as one step; the walk ends with an empty one.
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be 1 to {MAX_DEPTH}")
-    seen = symbols.select("symbol", F.col("symbol").alias("node_id"), F.lit(0).alias("depth"))
-    front = seen
+    listed = w.kept(symbols.select("symbol").where("symbol is not null").distinct().withColumn("n", F.monotonically_increasing_id()))
+    group, place = F.shiftright("n", 6).alias("group_no"), F.col("n").bitwiseAND(F.lit(63)).cast("int")
+    members = listed.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "symbol"))).alias("members"))
+    front = w.kept(listed.groupBy(group, F.col("symbol").alias("node_id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(n & 63 as int))")).alias("bits")))
+    links = w.kept(edges.select("source", "target"))
+    seen, out = front, front.withColumn("depth", F.lit(0))
     for d in range(1, depth + 1):
-        step = front.select("symbol", F.col("node_id").alias("target")).join(edges.select("source", "target"), "target").select("symbol", F.col("source").alias("node_id")).distinct()
-        front = durable(step.join(seen, ["symbol", "node_id"], "left_anti").withColumn("depth", F.lit(d)))
-        seen = seen.unionByName(front)
-        if d < depth and front.isEmpty():
+        step = front.withColumnRenamed("node_id", "target").join(links, "target").groupBy("group_no", F.col("source").alias("node_id")).agg(F.bit_or("bits").alias("bits"))
+        old = seen.withColumnRenamed("bits", "old")
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0))))
+        front = w.kept(step.join(old, ["group_no", "node_id"], "left").select("group_no", "node_id", fresh.alias("bits")).where("bits != 0"))
+        out = out.unionByName(front.withColumn("depth", F.lit(d)))
+        if d == depth or front.isEmpty():
             break
-    return seen.where("depth > 0").withColumn("depth", F.col("depth").cast("long"))
+        seen = w.kept(seen.unionByName(front).groupBy("group_no", "node_id").agg(F.bit_or("bits").alias("bits")))
+    return out, members
+
+
+def impact(edges: DataFrame, symbols: DataFrame, depth: int) -> DataFrame:
+    """(symbol, node_id, depth): what reaches each symbol over at most `depth` edges, at its smallest depth.
+
+    The walk moves a node once for 64 symbols (reach); pairs appear only at the
+    end, where each is made in the task that holds its word. A symbol that leads back
+    to itself is not its own impact. Cycles end, and no path is walked twice.
+    """
+    with Workspace() as w:
+        told, members = reach(edges, symbols, depth, w)
+        told = w.hand_out(w.kept(told.where("depth > 0")))
+        members = w.hand_out(w.kept(members))
+    pairs = told.join(members, "group_no").select("node_id", F.col("depth").cast("long").alias("depth"), F.explode(F.filter("members", lambda m: F.getbit(F.col("bits"), m["place"]) == 1)).alias("m"))
+    return pairs.select("m.symbol", "node_id", "depth")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from ..functions.redaction import redact_engine
 
 #: Risk by action; only 0 may run by itself, and an unknown action is the riskiest.
 RISK = {"read": 0, "search": 0, "draft": 1, "edit_owned": 2, "run_tests": 2, "edit_foreign": 3, "push": 4, "delete": 4}
+#: Slices of time that a horizon is cut into.
+SLICES = 16
 #: Readiness rules of workflow templates, by what must be there.
 WORKFLOW_NEEDS = {"review": ("user", "assistant"), "guided": ("system", "user", "assistant"), "intake": ("user",)}
 
@@ -37,19 +39,37 @@ def episode_cards(turns: DataFrame, consent: Column | None = None) -> DataFrame:
 def nearest_commit(edits: DataFrame, commits: DataFrame, horizon_seconds: int = 3600) -> DataFrame:
     """edits (edit_id, path, ts_us) with the commit (commit_id, path, ts_us) to the same path nearest in time.
 
-    Both sides meet on path and a bucket of the horizon's width, an edit in its
-    own bucket and both beside it, so a busy path is spread over its buckets.
-    Ties go to the earlier commit, then the smaller id. confidence falls from 1
-    to 0 over the horizon; an edit without a commit within it stays, unlinked.
+    Both sides stand in one table, dealt by path and a slice of time; two running
+    windows over a slice tell each edit the last commit before it and the next one
+    after it, and a slice begins and ends with what its neighbours know, which comes
+    from one row a slice. So rows grow with both sides together and no pair is
+    made, however busy a path or a slice is. Ties go to the earlier commit, then the
+    smaller id. confidence falls from 1 to 0 over the horizon; an edit without a
+    commit within it stays, unlinked.
     """
     width = horizon_seconds * 1_000_000
-    e = edits.select("edit_id", "path", F.col("ts_us").alias("edit_us"), F.explode(F.array(*[F.floor(F.col("ts_us") / width) + k for k in (-1, 0, 1)])).alias("bucket"))
-    c = commits.select("commit_id", "path", F.col("ts_us").alias("commit_us"), F.floor(F.col("ts_us") / width).alias("bucket"))
-    gap = F.abs(F.col("edit_us") - F.col("commit_us"))
-    near = e.join(c, ["path", "bucket"]).withColumn("gap", gap).where(F.col("gap") <= width)
-    best = near.groupBy("edit_id").agg(F.min(F.struct("gap", "commit_us", "commit_id")).alias("b"))
-    out = edits.select("edit_id").join(best, "edit_id", "left")
-    return out.select("edit_id", F.col("b.commit_id").alias("commit_id"), F.round(1 - F.col("b.gap") / width, 6).alias("confidence"))
+    at = F.floor(F.col("ts_us") * SLICES / width).alias("slice")
+    kind = commits.schema["commit_id"].dataType
+    e = edits.select("path", "ts_us", at, "edit_id", F.lit(None).cast(kind).alias("commit_id"), F.lit(True).alias("asks"))
+    c = commits.groupBy("path", "ts_us").agg(F.min("commit_id").alias("commit_id")).select("path", "ts_us", at, F.lit(None).cast(edits.schema["edit_id"].dataType).alias("edit_id"), "commit_id", F.lit(False).alias("asks"))
+    seen = F.struct("ts_us", "commit_id")
+    per = c.groupBy("path", "slice").agg(F.min(seen).alias("first"), F.max(seen).alias("last"))
+    every = e.unionByName(c)
+    # an edit's slice need not have a commit, so slices of both sides are told what lies around them
+    slices = every.groupBy("path", "slice").agg(F.lit(1).alias("one")).drop("one").join(per, ["path", "slice"], "left")
+    around = Window.partitionBy("path")
+    before = F.last("last", ignorenulls=True).over(around.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("first", ignorenulls=True).over(around.orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1))
+    slices = slices.select("path", "slice", before.alias("before"), after.alias("after"))
+    inside = Window.partitionBy("path", "slice")
+    upto = lambda *order: inside.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    commit = F.when(~F.col("asks"), seen)
+    told = every.withColumn("last", F.last(commit, ignorenulls=True).over(upto("ts_us", "asks"))).withColumn("next", F.last(commit, ignorenulls=True).over(upto(F.desc("ts_us"), "asks")))
+    told = told.where("asks").join(slices, ["path", "slice"], "left")
+    near = lambda place: F.when(F.col(place).isNotNull(), F.struct(F.abs(F.col("ts_us") - F.col(place)["ts_us"]).alias("gap"), F.col(place)["ts_us"].alias("at"), F.col(place)["commit_id"].alias("commit_id")))
+    best = F.array_min(F.array_compact(F.array(*map(near, ("last", "next", "before", "after")))))
+    best = F.when(best["gap"] <= width, best)
+    return told.withColumn("b", best).select("edit_id", F.col("b.commit_id").alias("commit_id"), F.round(1 - F.col("b.gap") / width, 6).alias("confidence"))
 
 
 def plan_tasks(plans: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

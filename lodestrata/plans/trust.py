@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import federation, grounding, lint, metrics, sessions
+from ..operators import federation, grounding, lint, metrics, relocation, sessions
 from ..sources import events as feeds
 from ..streaming import sync
 from ._bind import Fixture, micros, table
@@ -35,6 +35,28 @@ def anchor_revalidate(spark, sf_dir):
     return grounding.revalidate(ANCHORS.frame(spark), SPANS.frame(spark), FILES.frame(spark)).select("anchor_id", "state")
 
 
+def _edited(lines):
+    """Lines (doc_id, line, said) as somebody has edited them since: some deleted, two swapped, some moved to the end of the next document."""
+    kept = lines.where("(doc_id * 31 + line) % 11 <> 0")
+    swapped = F.when(F.col("line") % 20 == 8, F.col("line") + 1).when(F.col("line") % 20 == 9, F.col("line") - 1).otherwise(F.col("line"))
+    moves = F.expr("line % 50 between 5 and 8 and doc_id % 3 = 0")
+    rows = kept.select(F.when(moves, F.col("doc_id") + 1).otherwise(F.col("doc_id")).alias("doc_id"), moves.cast("int").alias("part"), swapped.alias("place"), "said")
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "place", "said"))), lambda x: x["said"]), "\n").alias("text"))
+
+
+def span_relocation(spark, sf_dir):
+    """Anchors of every document, stored, and looked for in an edited copy; some documents are gone there and some can't be read."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    path = F.concat(F.lit("doc:"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "said")).withColumn("line", F.col("line") + 1)
+    start = F.explode(F.expr("transform(sequence(0, (size(split(text, '\n', -1)) - 1) div 3), k -> named_struct('s', 1 + 3 * k, 'm', 1 + k % 4))"))
+    anchors = docs.select("doc_id", path, F.size(F.split("text", "\n", -1)).alias("n"), start.alias("a")).where("a.s + a.m - 1 <= n")
+    anchors = anchors.select(F.concat_ws(":", "path", F.col("a.s").cast("string")).alias("anchor_id"), "path", F.col("a.s").cast("long").alias("line_start"), F.expr("cast(a.s + a.m - 1 as bigint)").alias("line_end"))
+    edited = _edited(lines).where("doc_id % 13 <> 5").select(path, "text", (F.col("doc_id") % 17 != 3).alias("readable"))
+    stored = relocation.fingerprinted(anchors, docs.select(path, "text"))
+    return relocation.relocate(stored, edited).select("anchor_id", "state", "new_path", "new_line")
+
+
 def grounding_citations(spark, sf_dir):
     return grounding.check_citations(CITATIONS.frame(spark), FILES.frame(spark)).select("answer_id", "pos", "status")
 
@@ -164,7 +186,7 @@ def mutation_tripwire(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (anchor_revalidate, grounding_citations, grounding_gate, citation_quality, sentence_actions, provenance_packet, drift_rank, freshness_and_refresh, episode_cards, transcript_deltas, user_event_counts, common_sources, commit_link_nearest, plan_tasks, workflow_ready, risk_levels, event_debounce_sessions, event_dedup, event_windows, event_lag, team_idle, outbox_once, spec_anchors, spec_anchor_coverage, brief_check, git_guard, territory_guard, mutation_tripwire)
+    for f in (anchor_revalidate, span_relocation, grounding_citations, grounding_gate, citation_quality, sentence_actions, provenance_packet, drift_rank, freshness_and_refresh, episode_cards, transcript_deltas, user_event_counts, common_sources, commit_link_nearest, plan_tasks, workflow_ready, risk_levels, event_debounce_sessions, event_dedup, event_windows, event_lag, team_idle, outbox_once, spec_anchors, spec_anchor_coverage, brief_check, git_guard, territory_guard, mutation_tripwire)
 }
 
 _STATUS = f"SELECT c.*, CASE WHEN line_start < 1 OR line_end < line_start THEN 'bad_span' WHEN n_lines IS NULL THEN 'missing_file' WHEN line_end > n_lines THEN 'out_of_range' WHEN state IS DISTINCT FROM 'live' THEN 'not_live' ELSE 'ok' END AS status FROM {CITATIONS.sql()} c LEFT JOIN {FILES.sql()} f USING (path)"
@@ -176,6 +198,23 @@ ORACLES = {
     "user_event_counts": "SELECT user_id, CAST(count(*) AS BIGINT) AS n_kinds, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS told FROM (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY ALL) GROUP BY user_id",
     "common_sources": "SELECT source FROM documents WHERE length(text) > 8192 INTERSECT SELECT source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
     "anchor_revalidate": f"SELECT anchor_id, CASE WHEN s.span_hash = stored_hash THEN 'live' WHEN EXISTS (SELECT 1 FROM {SPANS.sql()} o WHERE o.span_hash = stored_hash) THEN 'moved' WHEN s.span_hash IS NOT NULL THEN 'stale' WHEN NOT f.readable THEN 'unknown' ELSE 'orphaned' END AS state FROM {ANCHORS.sql()} a LEFT JOIN {SPANS.sql()} s ON s.path = target_path AND s.line_start = a.line_start AND s.line_end = a.line_end LEFT JOIN {FILES.sql()} f ON f.path = target_path",
+    "span_relocation": """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+ln AS (SELECT doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS said FROM d),
+k AS (SELECT *, line % 50 BETWEEN 5 AND 8 AND doc_id % 3 = 0 AS moves FROM ln WHERE (doc_id * 31 + line) % 11 <> 0),
+m AS (SELECT CASE WHEN moves THEN doc_id + 1 ELSE doc_id END AS doc_id, CAST(moves AS INTEGER) AS part, CASE line % 20 WHEN 8 THEN line + 1 WHEN 9 THEN line - 1 ELSE line END AS place, said FROM k),
+blank AS (SELECT doc_id, part, place, CASE WHEN trim(said) = '' THEN '' ELSE said END AS said FROM m),
+new AS (SELECT doc_id, 'doc:' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path, doc_id % 17 <> 3 AS readable, list(said ORDER BY part, place, said) AS l FROM blank WHERE doc_id % 13 <> 5 GROUP BY doc_id),
+g AS (SELECT path, size, line, list_slice(l, line, line + size - 1) AS run FROM (SELECT path, l, size, unnest(range(1, len(l) - size + 2)) AS line FROM new, (VALUES (1), (2), (3), (4)) s(size) WHERE readable)),
+own AS (SELECT path, size, run, min(line) AS line FROM g GROUP BY ALL), every AS (SELECT size, run, min((path, line)) AS at FROM g GROUP BY ALL),
+a AS (SELECT 'doc:' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path, 1 + 3 * k AS s, 1 + k % 4 AS size, list_transform(list_slice(l, 1 + 3 * k, 1 + 3 * k + k % 4), lambda x: CASE WHEN trim(x) = '' THEN '' ELSE x END) AS run FROM (SELECT doc_id, l, unnest(range(0, (len(l) - 1) // 3 + 1)) AS k FROM d) WHERE 1 + 3 * k + k % 4 <= len(l)),
+h AS (SELECT path, s, unnest(range(1, size - (size + 1) // 2 + 2)) AS i, (size + 1) // 2 AS half, run FROM a),
+p AS (SELECT h.path, h.s, min(own.line) AS line FROM h JOIN own ON own.path = h.path AND own.size = half AND own.run = list_slice(h.run, i, i + half - 1) WHERE len(list_filter(list_slice(h.run, i, i + half - 1), lambda x: x <> '')) > 0 GROUP BY ALL),
+t AS (SELECT a.path || ':' || a.s AS anchor_id, a.path, a.s, live.path IS NOT NULL AS live, own.line AS own_line, every.at AS other, new.readable, p.line AS part_line FROM a
+  LEFT JOIN g live ON live.path = a.path AND live.size = a.size AND live.line = a.s AND live.run = a.run LEFT JOIN own ON own.path = a.path AND own.size = a.size AND own.run = a.run LEFT JOIN every ON every.size = a.size AND every.run = a.run
+  LEFT JOIN new ON new.path = a.path LEFT JOIN p ON p.path = a.path AND p.s = a.s),
+z AS (SELECT *, CASE WHEN live THEN 'live' WHEN other IS NOT NULL THEN 'moved' WHEN NOT coalesce(readable, true) THEN 'unknown' WHEN part_line IS NOT NULL THEN 'stale' ELSE 'orphaned' END AS state FROM t)
+SELECT anchor_id, state, CASE WHEN state IN ('live', 'stale') OR state = 'moved' AND own_line IS NOT NULL THEN path WHEN state = 'moved' THEN other[1] END AS new_path,
+  CAST(CASE WHEN state = 'live' THEN s WHEN state = 'stale' THEN part_line WHEN own_line IS NOT NULL AND state = 'moved' THEN own_line WHEN state = 'moved' THEN other[2] END AS BIGINT) AS new_line FROM z""",
     "grounding_citations": f"SELECT answer_id, pos, status FROM ({_STATUS})",
     "grounding_gate": f"SELECT answer_id, CAST(count(*) AS BIGINT) AS n_citations, CAST(count(*) FILTER (status = 'ok') AS BIGINT) AS n_ok, CASE WHEN bool_and(status = 'ok') THEN 'cited' ELSE 'refused' END AS verdict FROM ({_STATUS}) GROUP BY answer_id",
     "citation_quality": f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (status = 'ok') AS BIGINT) AS good, round(count(*) FILTER (status = 'ok') / count(*)::DOUBLE, 6) AS precision, round(count(*) FILTER (state = 'live' AND status <> 'ok') / (count(*) FILTER (state = 'live'))::DOUBLE, 6) AS false_confidence FROM ({_STATUS})",
