@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import federation, grounding, lint, metrics, relocation, sessions
+from ..durable import shared_folder
+from ..sources import append_log
 from ..sources import events as feeds
-from ..streaming import sync
+from ..streaming import machines, sync
 from ._bind import Fixture, micros, table
 
 ANCHORS = Fixture("anchor_id string, target_path string, line_start int, line_end int, stored_hash string", [("a1", "x.py", 1, 5, "h1"), ("a2", "x.py", 6, 9, "old"), ("a3", "y.py", 1, 2, "h9"), ("a4", "gone.py", 1, 2, "zz"), ("a5", "locked.py", 1, 2, "zz"), ("a6", "x.py", 50, 60, "zz"), ("a7", "x.py", 6, 9, "h1")])
@@ -150,6 +154,39 @@ def event_lag(spark, sf_dir):
     return metrics.lag_percentiles(e, "event_type", "value")
 
 
+LEGAL = {("signup", "view"), ("view", "view"), ("view", "click"), ("click", "view"), ("click", "click"), ("click", "purchase"), ("purchase", "view")}
+QUIET_US = 18 * 3600 * 1_000_000
+
+
+def machine_events(spark, sf_dir):
+    """Users' events as a stream in three increments, the query started anew for each; users who hear nothing for 18 hours become idle."""
+    at = f"{shared_folder(spark)}/machine-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("entity_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
+    end = spark.sql("SELECT -1L AS entity_id, timestamp'2100-01-01 00:00:00' AS ts, -1L AS seq, 'end' AS state")
+    days = F.to_date("ts")
+    for part in (e.where(days < "2024-01-11"), e.where((days >= "2024-01-11") & (days < "2024-01-21")), e.where(days >= "2024-01-21").unionByName(end)):
+        part.write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(e.schema).parquet(f"{at}/in")
+        machines.start_machine(machines.run_machine(stream, LEGAL, QUIET_US), f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").where("entity_id >= 0")
+
+
+def machine_windows(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("entity_id"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("state"))
+    return machines.machine_batch(e, LEGAL, QUIET_US)
+
+
+def append_log_events(spark, sf_dir):
+    """Events as JSON lines that a stream takes by byte offsets, half of them after it has started once."""
+    at = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    for k in range(2):
+        e.where(F.col("event_id") % 2 == k).write.mode("append").json(f"{at}/log")
+        rows = append_log.tail(spark, f"{at}/log", "event_id long, user_id long, event_type string", suffix=".json", rangeBytes="65536")
+        rows.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).format("parquet").start(f"{at}/out").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("event_id", "user_id", "event_type")
+
+
 def team_idle(spark, sf_dir):
     return lint.idle_without_completion(TEAM.frame(spark))
 
@@ -186,9 +223,15 @@ def mutation_tripwire(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (anchor_revalidate, span_relocation, grounding_citations, grounding_gate, citation_quality, sentence_actions, provenance_packet, drift_rank, freshness_and_refresh, episode_cards, transcript_deltas, user_event_counts, common_sources, commit_link_nearest, plan_tasks, workflow_ready, risk_levels, event_debounce_sessions, event_dedup, event_windows, event_lag, team_idle, outbox_once, spec_anchors, spec_anchor_coverage, brief_check, git_guard, territory_guard, mutation_tripwire)
+    for f in (anchor_revalidate, span_relocation, grounding_citations, grounding_gate, citation_quality, sentence_actions, provenance_packet, drift_rank, freshness_and_refresh, episode_cards, transcript_deltas, user_event_counts, common_sources, commit_link_nearest, plan_tasks, workflow_ready, risk_levels, event_debounce_sessions, event_dedup, event_windows, event_lag, machine_events, machine_windows, append_log_events, team_idle, outbox_once, spec_anchors, spec_anchor_coverage, brief_check, git_guard, territory_guard, mutation_tripwire)
 }
 
+_PAIRS = ", ".join(f"'{a}>{b}'" for a, b in sorted(LEGAL))
+_MACHINE = f"""WITH e AS (SELECT user_id AS entity_id, epoch_us(ts) AS us, event_id AS seq, event_type AS state FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+w AS (SELECT *, lag(us) OVER o AS last_us, lag(state) OVER o AS last_state, lead(us) OVER o AS next_us FROM e WINDOW o AS (PARTITION BY entity_id ORDER BY us, seq, state)),
+p AS (SELECT *, CASE WHEN us - last_us <= {QUIET_US} THEN last_state END AS prev FROM w)
+SELECT entity_id, us AS at_us, seq, prev AS prev_state, state, prev IS NULL OR prev || '>' || state IN ({_PAIRS}) AS accepted FROM p
+UNION ALL SELECT entity_id, us + {QUIET_US}, NULL, state, '{machines.IDLE}', true FROM p WHERE next_us IS NULL OR next_us - us > {QUIET_US}"""
 _STATUS = f"SELECT c.*, CASE WHEN line_start < 1 OR line_end < line_start THEN 'bad_span' WHEN n_lines IS NULL THEN 'missing_file' WHEN line_end > n_lines THEN 'out_of_range' WHEN state IS DISTINCT FROM 'live' THEN 'not_live' ELSE 'ok' END AS status FROM {CITATIONS.sql()} c LEFT JOIN {FILES.sql()} f USING (path)"
 _ANCHORS = f"SELECT DISTINCT doc_id, unnest(regexp_extract_all(said, '{lint.ANCHOR}')) AS anchor FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS said FROM {SPEC.sql()}) WHERE NOT contains(said, 'LESSONS')"
 _COVERS = "(anchor = {w} OR starts_with(anchor, {w} || '.'))".format
@@ -235,6 +278,9 @@ SELECT * FROM t UNION ALL SELECT doc_id, 0, NULL, false, 'whole_file', '' FROM {
     "event_dedup": "SELECT event_type, CAST(count(*) AS BIGINT) AS n_events, CAST(sum(event_id) AS BIGINT) AS sum_ids FROM events GROUP BY event_type",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "event_lag": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
+    "machine_events": _MACHINE,
+    "machine_windows": _MACHINE,
+    "append_log_events": "SELECT event_id, user_id, event_type FROM events",
     "team_idle": f"SELECT i.ts, i.session, i.task FROM {TEAM.sql()} i WHERE event = 'TeammateIdle' AND NOT EXISTS (SELECT 1 FROM {TEAM.sql()} d WHERE d.event = 'TaskCompleted' AND d.session IS NOT DISTINCT FROM i.session AND d.task IS NOT DISTINCT FROM i.task AND d.ts > i.ts)",
     "outbox_once": f"SELECT event_id, seq, type, payload, type NOT IN ('indexed', 'removed') AS unknown_type FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY seq) AS n FROM {OUTBOX.sql()}) WHERE n = 1",
     "spec_anchors": _ANCHORS,
