@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,14 +15,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 class Fixture:
-    """Rows that both engines see: frame() for Spark, sql() for DuckDB."""
+    """Rows that both engines see: frame() for Spark, sql() for DuckDB.
+
+    `more` is a SELECT over the driver's tables, written {table}, and the given rows,
+    written {rows}, in words that both engines understand; its rows come beside the
+    given ones, which are the corner cases. Without it the rows are parameters.
+    """
 
-    def __init__(self, ddl: str, rows: list[tuple]):
-        self.ddl, self.rows = ddl, rows
+    def __init__(self, ddl: str, rows: list[tuple], more: str = ""):
+        self.ddl, self.rows, self.more = ddl, rows, more
         self.fields = [tuple(f.split()) for f in ddl.split(", ")]
+        self.tables = sorted(set(re.findall(r"\{(\w+)\}", more)))
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, self.ddl)
+    def frame(self, spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+        rows = spark.createDataFrame(self.rows, self.ddl)
+        if not self.more:
+            return rows
+        told = spark.sql(self.more, **{t: rows if t == "rows" else table(spark, sf_dir, t) for t in self.tables})
+        return rows.unionByName(told.select(*[F.col(n).cast(t).alias(n) for n, t in self.fields]))
 
     def sql(self) -> str:
         def literal(v: object) -> str:
@@ -35,7 +47,9 @@ class Fixture:
         rows = ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in self.rows)
         names = ", ".join(n for n, _ in self.fields)
         cast = ", ".join(f"CAST({n} AS {_SQL_TYPE[t]}) AS {n}" for n, t in self.fields)
-        return f"(SELECT {cast} FROM (VALUES {rows}) AS fixture({names}))"
+        given = f"SELECT {cast} FROM (VALUES {rows}) AS fixture({names})"
+        told = f" UNION ALL SELECT {cast} FROM ({self.more.format(**{t: f'({given})' if t == 'rows' else t for t in self.tables})})" if self.more else ""
+        return f"({given}{told})"
 
 
 def micros(ts: str) -> Column:

@@ -9,15 +9,15 @@ from ._bind import Fixture, table
 from .contracts import POLICIES
 from .store import EXPECTED, STAMPS
 
-INTENTS = Fixture("intent_id long, capability string", [(1, "write"), (2, "delete"), (3, "read"), (4, "write")])
+INTENTS = Fixture("intent_id long, capability string", [(1, "write"), (2, "delete"), (3, "read"), (4, "write")], "SELECT event_id + 1000 AS intent_id, CASE event_type WHEN 'click' THEN 'write' WHEN 'view' THEN 'read' WHEN 'error' THEN 'delete' ELSE event_type END AS capability FROM {events}")
 ALLOWED = Fixture("capability string", [("write",), ("read",)])
-STAMPED = Fixture("intent_id long, authorized boolean", [(1, True), (2, True), (3, False), (4, None)])
-ANCHORS = Fixture("anchor_id string, target_symbol string", [("a1", "core.gate"), ("a2", "core.gone"), ("a3", None), ("a4", "core.gate")])
-NODES = Fixture("id string, qualified_name string, is_exported boolean", [("n1", "core.gate", True), ("n2", "core.other", True), ("n3", "core.hidden", False)])
-CLAIMS = Fixture("claim_id long, symbol string, says string", [(1, "gate", "async"), (2, "gate", "sync"), (3, "lost", "sync")])
-FACTS = Fixture("symbol string, says string", [("gate", "sync")])
-REGISTRY = Fixture("project_id string, last_indexed_sha string", [(f"src{k}", None if k == 3 else f"sha{k}") for k in range(0, 16, 3)])
-HEADS = Fixture("project_id string, head string, dirty boolean", [("src0", "sha0", False), ("src3", "sha9", False), ("src6", "sha7", False), ("src9", "sha9", True)])
+STAMPED = Fixture("intent_id long, authorized boolean", [(1, True), (2, True), (3, False), (4, None)], "SELECT event_id + 1000 AS intent_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN false ELSE true END AS authorized FROM {events} WHERE event_id % 9 <> 0")
+ANCHORS = Fixture("anchor_id string, target_symbol string", [("a1", "core.gate"), ("a2", "core.gone"), ("a3", None), ("a4", "core.gate")], "SELECT 'e' || event_id AS anchor_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'part.' || (event_id % 400) END AS target_symbol FROM {events}")
+NODES = Fixture("id string, qualified_name string, is_exported boolean", [("n1", "core.gate", True), ("n2", "core.other", True), ("n3", "core.hidden", False)], "SELECT 'p' || p_partkey AS id, 'part.' || p_partkey AS qualified_name, p_partkey % 3 <> 0 AS is_exported FROM {part}")
+CLAIMS = Fixture("claim_id long, symbol string, says string", [(1, "gate", "async"), (2, "gate", "sync"), (3, "lost", "sync")], "SELECT event_id + 1000 AS claim_id, 'user' || user_id AS symbol, event_type AS says FROM {events}")
+FACTS = Fixture("symbol string, says string", [("gate", "sync")], "SELECT DISTINCT 'user' || user_id AS symbol, event_type AS says FROM {events} WHERE event_id % 3 = 0")
+REGISTRY = Fixture("project_id string, last_indexed_sha string", [(f"src{k}", None if k == 3 else f"sha{k}") for k in range(0, 16, 3)], "SELECT 'P' || source AS project_id, CASE WHEN min(doc_id) % 5 = 3 THEN NULL ELSE 'sha' || max(doc_id) END AS last_indexed_sha FROM {documents} GROUP BY source")
+HEADS = Fixture("project_id string, head string, dirty boolean", [("src0", "sha0", False), ("src3", "sha9", False), ("src6", "sha7", False), ("src9", "sha9", True)], "SELECT 'P' || source AS project_id, 'sha' || CASE WHEN min(doc_id) % 2 = 0 THEN max(doc_id) ELSE min(doc_id) END AS head, min(doc_id) % 7 = 0 AS dirty FROM {documents} GROUP BY source HAVING min(doc_id) % 6 <> 5")
 
 
 def retrieval_scope(spark, sf_dir):
@@ -26,32 +26,32 @@ def retrieval_scope(spark, sf_dir):
 
 
 def host_gate(spark, sf_dir):
-    return scope.perform(INTENTS.frame(spark), STAMPED.frame(spark), ALLOWED.frame(spark))
+    return scope.perform(INTENTS.frame(spark, sf_dir), STAMPED.frame(spark, sf_dir), ALLOWED.frame(spark, sf_dir))
 
 
 def anchor_symbols(spark, sf_dir):
-    return scope.anchors_to_nodes(ANCHORS.frame(spark), NODES.frame(spark))
+    return scope.anchors_to_nodes(ANCHORS.frame(spark, sf_dir), NODES.frame(spark, sf_dir))
 
 
 def doc_gaps(spark, sf_dir):
-    return scope.undocumented(NODES.frame(spark), ANCHORS.frame(spark))
+    return scope.undocumented(NODES.frame(spark, sf_dir), ANCHORS.frame(spark, sf_dir))
 
 
 def doc_conflicts(spark, sf_dir):
-    return scope.contradicted(CLAIMS.frame(spark), FACTS.frame(spark)).select("claim_id", "symbol", "says")
+    return scope.contradicted(CLAIMS.frame(spark, sf_dir), FACTS.frame(spark, sf_dir)).select("claim_id", "symbol", "says")
 
 
 def tool_list_projects(spark, sf_dir):
-    return tools.list_projects(REGISTRY.frame(spark), POLICIES.frame(spark))
+    return tools.list_projects(REGISTRY.frame(spark, sf_dir), POLICIES.frame(spark, sf_dir))
 
 
 def tool_status(spark, sf_dir):
-    return tools.status(REGISTRY.frame(spark), STAMPS.frame(spark), EXPECTED.frame(spark), HEADS.frame(spark))
+    return tools.status(REGISTRY.frame(spark, sf_dir), STAMPS.frame(spark, sf_dir), EXPECTED.frame(spark, sf_dir), HEADS.frame(spark, sf_dir))
 
 
 def tool_search(spark, sf_dir):
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("project_id"), "text")
-    return tools.search(chunks, POLICIES.frame(spark), "that with onthe", 10, "portfolio").select("chunk_id", "project_id", "score", "rank")
+    return tools.search(chunks, POLICIES.frame(spark, sf_dir), "that with onthe", 10, "portfolio").select("chunk_id", "project_id", "score", "rank")
 
 
 def embed_provider(spark, sf_dir):

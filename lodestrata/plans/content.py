@@ -13,11 +13,12 @@ _D = "concat('sha256:', sha256(text))"
 MARKDOWN = Fixture(
     "doc_id long, text string",
     [(1, "Intro line\n# Title\nSummary.\n## Part A\nBody a\n### Deep\nBody d\n## Part B\n```\n# not a heading\n```\nend"), (2, "no headings\nat all"), (3, "# Only"), (4, "## Starts low\n# Then high\n### Skips a level\n#no heading")],
+    "SELECT doc_id + 100 AS doc_id, CASE doc_id % 4 WHEN 0 THEN '# ' || replace(text, chr(10), chr(10) || '## ') WHEN 1 THEN 'intro' || chr(10) || '### ' || replace(text, chr(10), chr(10) || 'x') WHEN 2 THEN '```' || chr(10) || '# no' || chr(10) || '```' || chr(10) || '# ' || source || chr(10) || text ELSE text END AS text FROM {documents} WHERE text IS NOT NULL",
 )
-CITING = Fixture("doc_id long, text string", [(1, "see core/model/anchor.py:20-35 and docs/a.md:7, also x.py:9-3"), (2, "none here"), (3, "a.b:0 then lib/z.rs:12-12"), (4, None)])
-CONTEXTS = Fixture("chunk_id long, context string, chunk string", [(1, "From the guide", "Body"), (2, None, "Body"), (3, "", "Body")])
-PATHS = Fixture("path string", [("p/README.md",), ("p/docs/guide.md",), ("p/docs/adr/001.md",), ("p/CHANGELOG.rst",), ("p/vendor/x/README.md",), ("p/api/openapi.yaml",), ("p/nb/a.ipynb",), ("p/src/main.py",), ("p/docs/private/x.md",), ("p/CONTRIBUTING",)])
-PYTHON = Fixture("path string, source string", [("a.py", "import os\n\nclass A:\n    def f(self):\n        def g():\n            pass\n        os.remove('x')\n\nasync def h():\n    open('y')\n"), ("bad.py", "def broken(:\n" + "x\n" * 50), ("empty.py", "")])
+CITING = Fixture("doc_id long, text string", [(1, "see core/model/anchor.py:20-35 and docs/a.md:7, also x.py:9-3"), (2, "none here"), (3, "a.b:0 then lib/z.rs:12-12"), (4, None)], "SELECT doc_id + 100 AS doc_id, 'see src/' || source || '.py:' || doc_id || '-' || (doc_id + doc_id % 7 - 2) || ', docs/a.md:' || (doc_id % 3) || ' ' || text AS text FROM {documents}")
+CONTEXTS = Fixture("chunk_id long, context string, chunk string", [(1, "From the guide", "Body"), (2, None, "Body"), (3, "", "Body")], "SELECT doc_id + 100 AS chunk_id, CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'From ' || source END AS context, text AS chunk FROM {documents}")
+PATHS = Fixture("path string", [("p/README.md",), ("p/docs/guide.md",), ("p/docs/adr/001.md",), ("p/CHANGELOG.rst",), ("p/vendor/x/README.md",), ("p/api/openapi.yaml",), ("p/nb/a.ipynb",), ("p/src/main.py",), ("p/docs/private/x.md",), ("p/CONTRIBUTING",)], "SELECT 'p' || page_id || CASE page_id % 10 WHEN 0 THEN '/README.md' WHEN 1 THEN '/docs/guide.md' WHEN 2 THEN '/docs/adr/001.md' WHEN 3 THEN '/CHANGELOG.rst' WHEN 4 THEN '/vendor/x/README.md' WHEN 5 THEN '/api/openapi.yaml' WHEN 6 THEN '/nb/a.ipynb' WHEN 7 THEN '/docs/private/x.md' WHEN 8 THEN '/CONTRIBUTING' ELSE '/src/main.py' END AS path FROM {pages}")
+PYTHON = Fixture("path string, source string", [("a.py", "import os\n\nclass A:\n    def f(self):\n        def g():\n            pass\n        os.remove('x')\n\nasync def h():\n    open('y')\n"), ("bad.py", "def broken(:\n" + "x\n" * 50), ("empty.py", "")], """SELECT 'd' || doc_id || '.py' AS path, CASE WHEN doc_id % 5 = 0 THEN text ELSE 'import os' || chr(10) || 'class A' || doc_id || ':' || chr(10) || '    def f(self):' || chr(10) || '        return ' || doc_id || chr(10) || 'def g():' || chr(10) || '    open("x")' || chr(10) || '# ' || replace(text, chr(10), ' ') || chr(10) END AS source FROM {documents} WHERE text IS NOT NULL""")
 
 
 def chunk_documents(spark, sf_dir):
@@ -49,15 +50,15 @@ def minted_ids(spark, sf_dir):
 
 
 def heading_sections(spark, sf_dir):
-    return chunking.heading_sections(MARKDOWN.frame(spark)).select("doc_id", "section", "heading_path", "register", "n_lines", F.sha2("body", 256).alias("body_hash"))
+    return chunking.heading_sections(MARKDOWN.frame(spark, sf_dir)).select("doc_id", "section", "heading_path", "register", "n_lines", F.sha2("body", 256).alias("body_hash"))
 
 
 def anchor_parse(spark, sf_dir):
-    return chunking.parse_anchors(CITING.frame(spark))
+    return chunking.parse_anchors(CITING.frame(spark, sf_dir))
 
 
 def context_augment(spark, sf_dir):
-    return CONTEXTS.frame(spark).select("chunk_id", chunking.with_context(F.col("context"), F.col("chunk")).alias("text"))
+    return CONTEXTS.frame(spark, sf_dir).select("chunk_id", chunking.with_context(F.col("context"), F.col("chunk")).alias("text"))
 
 
 def manifest_projection(spark, sf_dir):
@@ -71,12 +72,12 @@ def registry_rebuild(spark, sf_dir):
 
 
 def classify_files(spark, sf_dir):
-    files = PATHS.frame(spark).where(F.col("path").rlike(discovery.DOC_PATTERN))
+    files = PATHS.frame(spark, sf_dir).where(F.col("path").rlike(discovery.DOC_PATTERN))
     return discovery.classify(discovery.without_ignored(files, ["docs/private/"])).select("path", "producer", "doc_type", "ownership")
 
 
 def chunk_python_ast(spark, sf_dir):
-    return chunking.python_scopes(PYTHON.frame(spark))
+    return chunking.python_scopes(PYTHON.frame(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (chunk_documents, content_hash, token_route, source_root_hash, fake_embed, minted_ids, heading_sections, anchor_parse, context_augment, manifest_projection, registry_rebuild, classify_files, chunk_python_ast)}

@@ -12,6 +12,8 @@ from ..sources.samples import SAMPLE_SCHEMA, secret_samples
 from ._bind import Fixture, quoted, re2, table
 
 SAMPLES = Fixture(SAMPLE_SCHEMA, secret_samples())
+#: The samples by themselves, and one planted in each document, after its own text.
+PLANTED = Fixture(SAMPLE_SCHEMA, secret_samples(), f"SELECT CAST({len(SAMPLES.rows)} + doc_id AS INT) AS sample_id, is_secret, secret_class, residual, plaintext, coalesce(text, '') || chr(10) || context AS context FROM {{documents}} JOIN {{rows}} ON sample_id = {SAMPLES.rows[0][0]} + doc_id % {len(SAMPLES.rows)}")
 
 
 def _over_documents(spark, sf_dir, redact):
@@ -33,26 +35,26 @@ def redact_documents(spark, sf_dir):
     return docs.select("doc_id", F.sha2("t", 256).alias("redacted_hash"), F.regexp_count("t", F.lit(R.MARK_IN_JAVA)).cast("long").alias("n_marks"), R.quarantine(F.col("t")).alias("quarantined"))
 
 
-def _harness(spark, redact):
-    rows = SAMPLES.frame(spark).withColumn("sink", F.explode(F.array(*map(F.lit, SINKS))))
-    rows = rows.withColumn("after", redact(F.col("context")))
+def harness(samples, redact):
+    """What becomes of each sample (SAMPLE_SCHEMA) at each sink."""
+    rows = spread(samples).withColumn("after", redact(F.col("context"))).withColumn("sink", F.explode(F.array(*map(F.lit, SINKS))))
     return rows.select("sink", "sample_id", "is_secret", "secret_class", "residual", (F.col("is_secret") & R.leaked(F.col("plaintext"), F.col("after"))).alias("leaked"), (~F.col("is_secret") & R.false_positive(F.col("plaintext"), F.col("context"), F.col("after"))).alias("false_positive"))
 
 
 def redact_metrics(spark, sf_dir):
-    return metrics.redaction_report(_harness(spark, R.redact_baseline))
+    return metrics.redaction_report(harness(PLANTED.frame(spark, sf_dir), R.redact_baseline))
 
 
 def redact_class_recall(spark, sf_dir):
-    return metrics.class_recall(_harness(spark, R.redact_baseline))
+    return metrics.class_recall(harness(PLANTED.frame(spark, sf_dir), R.redact_baseline))
 
 
 def redact_engine_metrics(spark, sf_dir):
-    return metrics.redaction_report(_harness(spark, R.redact_engine))
+    return metrics.redaction_report(harness(PLANTED.frame(spark, sf_dir), R.redact_engine))
 
 
 def leak_oracle(spark, sf_dir):
-    rows = _harness(spark, R.redact_baseline)
+    rows = harness(PLANTED.frame(spark, sf_dir), R.redact_baseline)
     return rows.select("sink", "sample_id", "leaked", "false_positive", R.gate_failure(F.col("leaked"), F.col("residual")).alias("gate_failure"))
 
 
@@ -76,7 +78,7 @@ def _sql_over_documents(redacted: str) -> str:
 
 
 _PLAIN = "lower(regexp_replace({}, '^\\s+|\\s+$', '', 'g'))".format
-_RESULTS = f"""r AS (SELECT *, {_sql_baseline('context')} AS after FROM {SAMPLES.sql()}),
+_RESULTS = f"""r AS (SELECT *, {_sql_baseline('context')} AS after FROM {PLANTED.sql()}),
 o AS (SELECT sink, sample_id, is_secret, secret_class, residual, is_secret AND length({_PLAIN('plaintext')}) >= 8 AND contains({_PLAIN('after')}, {_PLAIN('plaintext')}) AS leaked,
   NOT is_secret AND contains({_PLAIN('context')}, {_PLAIN('plaintext')}) AND NOT contains({_PLAIN('after')}, {_PLAIN('plaintext')}) AS false_positive FROM r, (VALUES ('persist'), ('mcp_egress'), ('cloud_egress')) s(sink))"""
 ORACLES = {

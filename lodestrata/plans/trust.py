@@ -7,36 +7,36 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import federation, grounding, lint, metrics, relocation, sessions
-from ..durable import shared_folder
+from ..operators import federation, grounding, lint, metrics, relocation, rollups, sessions, variants
+from ..durable import durable, shared_folder
 from ..sources import append_log
 from ..sources import events as feeds
 from ..streaming import machines, sync
 from ._bind import Fixture, micros, table
 
-ANCHORS = Fixture("anchor_id string, target_path string, line_start int, line_end int, stored_hash string", [("a1", "x.py", 1, 5, "h1"), ("a2", "x.py", 6, 9, "old"), ("a3", "y.py", 1, 2, "h9"), ("a4", "gone.py", 1, 2, "zz"), ("a5", "locked.py", 1, 2, "zz"), ("a6", "x.py", 50, 60, "zz"), ("a7", "x.py", 6, 9, "h1")])
-SPANS = Fixture("path string, line_start int, line_end int, span_hash string", [("x.py", 1, 5, "h1"), ("x.py", 6, 9, "h2"), ("z.py", 3, 4, "h9")])
-FILES = Fixture("path string, readable boolean, n_lines int", [("x.py", True, 40), ("y.py", True, 10), ("z.py", True, 9), ("locked.py", False, 5)])
-CITATIONS = Fixture("answer_id long, pos long, path string, line_start int, line_end int, state string", [(1, 1, "x.py", 1, 5, "live"), (1, 2, "y.py", 2, 2, "live"), (2, 1, "x.py", 1, 99, "live"), (2, 2, "x.py", 1, 2, "stale"), (3, 1, "gone.py", 1, 1, "live"), (4, 1, "x.py", 9, 3, "live"), (4, 2, "x.py", 3, 9, None)])
-SENTENCES = Fixture("answer_id long, pos long, n_citations long, n_ok long", [(1, 1, 2, 2), (1, 2, 0, 0), (2, 1, 2, 1), (3, 1, 1, 0), (3, 2, 0, 0)])
-EVIDENCE = Fixture("answer_id long, project_id string, source_id string, citation string, commit_sha string, session_id string, confidence double, type string, label string", [(1, "p1", "s1", "x.py:1-5", "c1", None, 0.9, "code", "gate"), (1, "p2", "s2", "y.md:2", "c1", "e1", 0.7, "doc", "guide"), (1, "p1", "s1", "x.py:1-5", "c2", "e1", 0.8, "code", "gate"), (2, "p1", "s3", None, None, None, 1.0, "note", "memo")])
-DRIFT = Fixture("item_id long, authority double, recency double, agreement double", [(k, (k % 7) / 7, (k % 5) / 5, (k % 3 + 1) / 3) for k in range(20)])
+ANCHORS = Fixture("anchor_id string, target_path string, line_start int, line_end int, stored_hash string", [("a1", "x.py", 1, 5, "h1"), ("a2", "x.py", 6, 9, "old"), ("a3", "y.py", 1, 2, "h9"), ("a4", "gone.py", 1, 2, "zz"), ("a5", "locked.py", 1, 2, "zz"), ("a6", "x.py", 50, 60, "zz"), ("a7", "x.py", 6, 9, "h1")], "SELECT 'o' || o_orderkey AS anchor_id, 'f' || (o_orderkey % 500) AS target_path, CAST(o_orderkey % 500 % 9 * 10 + 1 AS INT) AS line_start, CAST(o_orderkey % 500 % 9 * 10 + 5 AS INT) AS line_end, CASE o_orderkey % 4 WHEN 0 THEN 'h' || (o_orderkey % 500) WHEN 1 THEN 'h' || (o_orderkey % 77) ELSE 'none' || o_orderkey END AS stored_hash FROM {orders}")
+SPANS = Fixture("path string, line_start int, line_end int, span_hash string", [("x.py", 1, 5, "h1"), ("x.py", 6, 9, "h2"), ("z.py", 3, 4, "h9")], "SELECT 'f' || p_partkey AS path, CAST(p_partkey % 9 * 10 + 1 AS INT) AS line_start, CAST(p_partkey % 9 * 10 + 5 AS INT) AS line_end, 'h' || p_partkey AS span_hash FROM {part} WHERE p_partkey % 13 <> 0")
+FILES = Fixture("path string, readable boolean, n_lines int", [("x.py", True, 40), ("y.py", True, 10), ("z.py", True, 9), ("locked.py", False, 5)], "SELECT 'f' || p_partkey AS path, p_partkey % 7 <> 0 AS readable, p_size + 20 AS n_lines FROM {part} WHERE p_partkey % 11 <> 0")
+CITATIONS = Fixture("answer_id long, pos long, path string, line_start int, line_end int, state string", [(1, 1, "x.py", 1, 5, "live"), (1, 2, "y.py", 2, 2, "live"), (2, 1, "x.py", 1, 99, "live"), (2, 2, "x.py", 1, 2, "stale"), (3, 1, "gone.py", 1, 1, "live"), (4, 1, "x.py", 9, 3, "live"), (4, 2, "x.py", 3, 9, None)], "SELECT user_id + 100 AS answer_id, event_id AS pos, 'f' || (event_id % 300) AS path, CAST(event_id % 45 - 1 AS INT) AS line_start, CAST(event_id % 45 - 2 + event_id % 5 AS INT) AS line_end, CASE event_id % 6 WHEN 0 THEN 'stale' WHEN 1 THEN NULL ELSE 'live' END AS state FROM {events}")
+SENTENCES = Fixture("answer_id long, pos long, n_citations long, n_ok long", [(1, 1, 2, 2), (1, 2, 0, 0), (2, 1, 2, 1), (3, 1, 1, 0), (3, 2, 0, 0)], "SELECT conv_id + 100 AS answer_id, turn AS pos, length(text) % 4 AS n_citations, least(length(text) % 4, length(text) % 3) AS n_ok FROM {conversations}")
+EVIDENCE = Fixture("answer_id long, project_id string, source_id string, citation string, commit_sha string, session_id string, confidence double, type string, label string", [(1, "p1", "s1", "x.py:1-5", "c1", None, 0.9, "code", "gate"), (1, "p2", "s2", "y.md:2", "c1", "e1", 0.7, "doc", "guide"), (1, "p1", "s1", "x.py:1-5", "c2", "e1", 0.8, "code", "gate"), (2, "p1", "s3", None, None, None, 1.0, "note", "memo")], "SELECT user_id + 100 AS answer_id, 'p' || (event_id % 5) AS project_id, 's' || (event_id % 9) AS source_id, CASE WHEN event_id % 4 <> 0 THEN 'f' || (event_id % 12) || '.py:' || (event_id % 3) END AS citation, CASE WHEN event_id % 3 = 0 THEN 'c' || (event_id % 10) END AS commit_sha, CASE WHEN event_id % 2 = 0 THEN 'e' || (event_id % 6) END AS session_id, (event_id % 97 + 1) * 0.01 AS confidence, event_type AS type, 'l' || (event_id % 3) AS label FROM {events}")
+DRIFT = Fixture("item_id long, authority double, recency double, agreement double", [(k, (k % 7) / 7, (k % 5) / 5, (k % 3 + 1) / 3) for k in range(20)], "SELECT l_orderkey * 10 + l_linenumber + 1000 AS item_id, l_discount * 10 AS authority, l_tax * 12 AS recency, l_quantity * 0.02 AS agreement FROM {lineitem}")
 WEIGHTS = Fixture("feature string, weight double", [("authority", 1.0), ("recency", 1.0), ("agreement", 1.0)])
-FRESH = Fixture("project_id string, head string, recorded string, dirty boolean, ownership string, changed boolean", [("p1", "a", "a", False, "owned", True), ("p2", "b", "a", False, "foreign", True), ("p3", "a", "a", True, "supplemental", True), ("p4", "a", None, False, "owned", False), ("p5", None, "a", False, "unknown", True)])
-PLANS = Fixture("doc_id long, text string", [(1, "# Plan\n## Phase 1\n- [x] build gate §4.1 §4.2\n- [ ] test it §5\n## Phase 2\n* [X] ship\nnotes"), (2, "just prose"), (3, "- [ ] orphan task")])
-ACTIONS = Fixture("action string", [(a,) for a in ("read", "draft", "edit_owned", "edit_foreign", "push", "launch")])
-SPEC = Fixture("doc_id string, text string", [("arch", "§4 Gate\n§4.1 detail and §4.3\nLESSONS §9\nsee #gate-rules and §5"), ("brief", "§4.1 §7 #gate-rules"), ("tests", "spec(§4.3)\nspec(§5)\nspec(#gate-rules)")])
-PHASES = Fixture("phase long, anchor string", [(1, "§4"), (1, "§4.1"), (2, "§5"), (2, "§6"), (2, "#gate-rules"), (3, "§7")])
-WAIVERS = Fixture("anchor string", [("§6",)])
-COMMANDS = Fixture("command string", [(c,) for c in ("git push --force", "git push origin main", "git push origin topic", "git reset --hard HEAD~1", "git reset HEAD", "git status", "git clean -fd", "git checkout -- x", "ls")])
-PATHS = Fixture("path string", [(p,) for p in ("core/a.py", "core", "corelib/x", "docs/a.md", "app/b")])
-SOURCES = Fixture("path string, source string", [("a.py", "import os\nos.remove('x')\nopen('y')\n"), ("ok.py", "open('z')"), ("bad.py", "def (")])
-TEAM = Fixture("ts long, event string, session string, task string", [(1, "TeammateIdle", "s1", "t1"), (2, "TaskCompleted", "s1", "t1"), (3, "TeammateIdle", "s1", "t1"), (4, "TeammateIdle", "s2", None), (5, "TaskCompleted", "s2", None), (6, "TeammateIdle", "s3", "t9")])
-OUTBOX = Fixture("event_id string, seq long, type string, payload string", [("e1", 2, "indexed", "b"), ("e1", 1, "indexed", "a"), ("e2", 3, "novel", "c"), ("e3", 4, "removed", "d")])
+FRESH = Fixture("project_id string, head string, recorded string, dirty boolean, ownership string, changed boolean", [("p1", "a", "a", False, "owned", True), ("p2", "b", "a", False, "foreign", True), ("p3", "a", "a", True, "supplemental", True), ("p4", "a", None, False, "owned", False), ("p5", None, "a", False, "unknown", True)], "SELECT 'c' || c_custkey AS project_id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 's' || (c_custkey % 4) END AS head, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE 's' || (c_custkey % 3) END AS recorded, c_custkey % 5 = 0 AS dirty, CASE c_custkey % 4 WHEN 0 THEN 'owned' WHEN 1 THEN 'foreign' WHEN 2 THEN 'supplemental' ELSE 'unknown' END AS ownership, c_custkey % 6 <> 0 AS changed FROM {customer}")
+PLANS = Fixture("doc_id long, text string", [(1, "# Plan\n## Phase 1\n- [x] build gate §4.1 §4.2\n- [ ] test it §5\n## Phase 2\n* [X] ship\nnotes"), (2, "just prose"), (3, "- [ ] orphan task")], "SELECT doc_id + 100 AS doc_id, CASE doc_id % 3 WHEN 0 THEN text ELSE '## Phase ' || source || chr(10) || '- [x] start §' || (doc_id % 9) || chr(10) || '- [ ] ' || replace(text, chr(10), chr(10) || '* [X] §' || (doc_id % 9) || '.' || (doc_id % 4) || ' ') END AS text FROM {documents} WHERE text IS NOT NULL")
+ACTIONS = Fixture("action string", [(a,) for a in ("read", "draft", "edit_owned", "edit_foreign", "push", "launch")], "SELECT CASE event_id % 8 WHEN 0 THEN 'read' WHEN 1 THEN 'search' WHEN 2 THEN 'draft' WHEN 3 THEN 'edit_owned' WHEN 4 THEN 'run_tests' WHEN 5 THEN 'edit_foreign' WHEN 6 THEN 'push' ELSE event_type END AS action FROM {events}")
+SPEC = Fixture("doc_id string, text string", [("arch", "§4 Gate\n§4.1 detail and §4.3\nLESSONS §9\nsee #gate-rules and §5"), ("brief", "§4.1 §7 #gate-rules"), ("tests", "spec(§4.3)\nspec(§5)\nspec(#gate-rules)")], "SELECT CASE doc_id % 3 WHEN 0 THEN 'arch' WHEN 1 THEN 'brief' ELSE 'tests' END AS doc_id, '§' || (doc_id % 40) || '.' || (doc_id % 5) || ' and §' || (doc_id % 23) || ' #rule-' || source || chr(10) || 'LESSONS §99.' || doc_id || chr(10) || text AS text FROM {documents} WHERE text IS NOT NULL")
+PHASES = Fixture("phase long, anchor string", [(1, "§4"), (1, "§4.1"), (2, "§5"), (2, "§6"), (2, "#gate-rules"), (3, "§7")], "SELECT DISTINCT p_partkey % 3 + 10 AS phase, CASE WHEN p_partkey % 2 = 0 THEN '§' || (p_partkey % 46) ELSE '§' || (p_partkey % 46) || '.' || (p_partkey % 6) END AS anchor FROM {part}")
+WAIVERS = Fixture("anchor string", [("§6",)], "SELECT DISTINCT '§' || (p_partkey % 46) AS anchor FROM {part} WHERE p_partkey % 46 > 40")
+COMMANDS = Fixture("command string", [(c,) for c in ("git push --force", "git push origin main", "git push origin topic", "git reset --hard HEAD~1", "git reset HEAD", "git status", "git clean -fd", "git checkout -- x", "ls")], "SELECT CASE event_id % 8 WHEN 0 THEN 'git push --force origin b' WHEN 1 THEN 'git push origin main' WHEN 2 THEN 'git push origin b' WHEN 3 THEN 'git reset --hard HEAD~' WHEN 4 THEN 'git status ' WHEN 5 THEN 'git clean -fd d' WHEN 6 THEN '  git checkout -- f' ELSE 'ls ' END || event_id AS command FROM {events}")
+PATHS = Fixture("path string", [(p,) for p in ("core/a.py", "core", "corelib/x", "docs/a.md", "app/b")], "SELECT CASE page_id % 5 WHEN 0 THEN 'core/' WHEN 1 THEN 'corelib/' WHEN 2 THEN 'docs/' WHEN 3 THEN 'core' ELSE 'x/core/' END || page_id AS path FROM {pages}")
+SOURCES = Fixture("path string, source string", [("a.py", "import os\nos.remove('x')\nopen('y')\n"), ("ok.py", "open('z')"), ("bad.py", "def (")], """SELECT 'd' || doc_id || '.py' AS path, CASE WHEN doc_id % 5 = 0 THEN text ELSE 'import os' || chr(10) || 'os.remove("' || source || '")' || chr(10) || 'x.write_text("y")' || chr(10) || '# ' || replace(text, chr(10), ' ') || chr(10) END AS source FROM {documents} WHERE text IS NOT NULL""")
+TEAM = Fixture("ts long, event string, session string, task string", [(1, "TeammateIdle", "s1", "t1"), (2, "TaskCompleted", "s1", "t1"), (3, "TeammateIdle", "s1", "t1"), (4, "TeammateIdle", "s2", None), (5, "TaskCompleted", "s2", None), (6, "TeammateIdle", "s3", "t9")], "SELECT event_id + 100 AS ts, CASE event_type WHEN 'click' THEN 'TeammateIdle' WHEN 'purchase' THEN 'TaskCompleted' ELSE event_type END AS event, 'u' || user_id AS session, CASE WHEN event_id % 7 = 0 THEN NULL ELSE 't' || (event_id % 4) END AS task FROM {events}")
+OUTBOX = Fixture("event_id string, seq long, type string, payload string", [("e1", 2, "indexed", "b"), ("e1", 1, "indexed", "a"), ("e2", 3, "novel", "c"), ("e3", 4, "removed", "d")], "SELECT 'o' || (event_id % 3000) AS event_id, event_id + 10 AS seq, CASE event_type WHEN 'click' THEN 'indexed' WHEN 'view' THEN 'removed' ELSE event_type END AS type, props AS payload FROM {events}")
 
 
 def anchor_revalidate(spark, sf_dir):
-    return grounding.revalidate(ANCHORS.frame(spark), SPANS.frame(spark), FILES.frame(spark)).select("anchor_id", "state")
+    return grounding.revalidate(ANCHORS.frame(spark, sf_dir), SPANS.frame(spark, sf_dir), FILES.frame(spark, sf_dir)).select("anchor_id", "state")
 
 
 def _edited(lines):
@@ -62,33 +62,33 @@ def span_relocation(spark, sf_dir):
 
 
 def grounding_citations(spark, sf_dir):
-    return grounding.check_citations(CITATIONS.frame(spark), FILES.frame(spark)).select("answer_id", "pos", "status")
+    return grounding.check_citations(CITATIONS.frame(spark, sf_dir), FILES.frame(spark, sf_dir)).select("answer_id", "pos", "status")
 
 
 def grounding_gate(spark, sf_dir):
-    return grounding.gate_answers(grounding.check_citations(CITATIONS.frame(spark), FILES.frame(spark)), strict=True)
+    return grounding.gate_answers(grounding.check_citations(CITATIONS.frame(spark, sf_dir), FILES.frame(spark, sf_dir)), strict=True)
 
 
 def citation_quality(spark, sf_dir):
-    return grounding.citation_quality(grounding.check_citations(CITATIONS.frame(spark), FILES.frame(spark)))
+    return grounding.citation_quality(grounding.check_citations(CITATIONS.frame(spark, sf_dir), FILES.frame(spark, sf_dir)))
 
 
 def sentence_actions(spark, sf_dir):
-    return grounding.sentence_actions(SENTENCES.frame(spark))
+    return grounding.sentence_actions(SENTENCES.frame(spark, sf_dir))
 
 
 def provenance_packet(spark, sf_dir):
-    p = grounding.provenance_packets(EVIDENCE.frame(spark))
+    p = grounding.provenance_packets(EVIDENCE.frame(spark, sf_dir))
     lists = [F.array_join(c, ",").alias(c) for c in ("project_ids", "source_ids", "citations", "commit_shas", "session_ids")]
     return p.select("answer_id", *lists, "confidence", F.size("evidence").cast("long").alias("n_evidence"))
 
 
 def drift_rank(spark, sf_dir):
-    return grounding.drift_rank(DRIFT.frame(spark), WEIGHTS.frame(spark), "item_id").select("item_id", "score")
+    return grounding.drift_rank(DRIFT.frame(spark, sf_dir), WEIGHTS.frame(spark, sf_dir), "item_id").select("item_id", "score")
 
 
 def freshness_and_refresh(spark, sf_dir):
-    return FRESH.frame(spark).select("project_id", grounding.freshness(F.col("head"), F.col("recorded"), F.col("dirty")).alias("freshness"), grounding.refresh_action(F.col("ownership"), F.col("changed")).alias("action"))
+    return FRESH.frame(spark, sf_dir).select("project_id", grounding.freshness(F.col("head"), F.col("recorded"), F.col("dirty")).alias("freshness"), grounding.refresh_action(F.col("ownership"), F.col("changed")).alias("action"))
 
 
 def episode_cards(spark, sf_dir):
@@ -123,7 +123,7 @@ def commit_link_nearest(spark, sf_dir):
 
 
 def plan_tasks(spark, sf_dir):
-    return sessions.plan_tasks(PLANS.frame(spark))
+    return sessions.plan_tasks(PLANS.frame(spark, sf_dir))
 
 
 def workflow_ready(spark, sf_dir):
@@ -131,7 +131,7 @@ def workflow_ready(spark, sf_dir):
 
 
 def risk_levels(spark, sf_dir):
-    return ACTIONS.frame(spark).select("action", sessions.risk(F.col("action")).alias("risk"), (sessions.risk(F.col("action")) == 0).alias("auto"))
+    return ACTIONS.frame(spark, sf_dir).select("action", sessions.risk(F.col("action")).alias("risk"), (sessions.risk(F.col("action")) == 0).alias("auto"))
 
 
 def event_debounce_sessions(spark, sf_dir):
@@ -187,43 +187,76 @@ def append_log_events(spark, sf_dir):
     return spark.read.parquet(f"{at}/out").select("event_id", "user_id", "event_type")
 
 
+def observed_emit(spark, sf_dir):
+    """Events written to the local sink, and what was observed of them on the way."""
+    e = table(spark, sf_dir, "events")
+    at = f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
+    told = feeds.observed(e, {"n": F.count(F.lit(1)), "n_users": F.count("user_id"), "sum_ids": F.sum("event_id"), "last_us": F.max(micros("ts"))}, lambda rows: rows.write.json(at))
+    return spark.createDataFrame([(told["n"], told["n_users"], told["sum_ids"], told["last_us"], spark.read.json(at).count())], "n long, n_users long, sum_ids long, last_us long, n_written long")
+
+
+def usage_rollup(spark, sf_dir):
+    """Daily sketches, stored, and merged by week: exact counts, and whether quantiles and distinct counts are as near as they promise."""
+    e = table(spark, sf_dir, "events")
+    days = durable(rollups.daily(e, F.col("event_type").isin("click", "purchase"), F.col("event_type") == "signup"))
+    week = lambda day: F.floor(F.datediff(day, F.lit("2024-01-01").cast("date")) / 7).cast("long")
+    spans = durable(rollups.merged(days, week(F.col("day"))))
+    exact = e.groupBy(week(F.to_date("ts")).alias("span")).agg(F.count_distinct("user_id").alias("users"), F.count_distinct(F.when(F.col("event_type") == "signup", F.col("user_id"))).alias("opted"))
+    out = spans.join(exact, "span")
+    for at, q in (("p50", 0.5), ("p95", 0.95)):
+        rank = rollups.rank_of(e, spans, week(F.to_date("ts")), "value", at).withColumnRenamed("rank", f"{at}_rank")
+        out = out.join(rank, "span").withColumn(f"{at}_near", F.abs(F.col(f"{at}_rank") - q) <= 0.01)
+    near = lambda a, b: F.abs(a - b) <= 0.03 * b
+    return out.select("span", "n_events", "evidence_share", F.col("users").alias("n_users"), F.round(F.col("opted") / F.col("users"), 6).alias("opt_in_rate"), "p50_near", "p95_near", near(F.col("n_users"), F.col("users")).alias("users_near"), near(F.col("opt_in_rate"), F.col("opted") / F.col("users")).alias("opt_in_near"))
+
+
+def event_props(spark, sf_dir):
+    """The typed field of every event's JSON column, through a variant."""
+    e = variants.parsed(table(spark, sf_dir, "events"), "props")
+    return e.select("event_id", variants.field("variant", "$.k", "int").alias("k"), variants.field("variant", "$.absent", "string").alias("absent"))
+
+
+def event_prop_schemas(spark, sf_dir):
+    return variants.schema_by(variants.parsed(table(spark, sf_dir, "events"), "props"), "event_type")
+
+
 def team_idle(spark, sf_dir):
-    return lint.idle_without_completion(TEAM.frame(spark))
+    return lint.idle_without_completion(TEAM.frame(spark, sf_dir))
 
 
 def outbox_once(spark, sf_dir):
-    return feeds.outbox(OUTBOX.frame(spark), ("indexed", "removed"))
+    return feeds.outbox(OUTBOX.frame(spark, sf_dir), ("indexed", "removed"))
 
 
 def spec_anchors(spark, sf_dir):
-    return lint.anchors_of(SPEC.frame(spark))
+    return lint.anchors_of(SPEC.frame(spark, sf_dir))
 
 
 def spec_anchor_coverage(spark, sf_dir):
-    tagged = lint.anchors_of(SPEC.frame(spark).where("doc_id = 'tests'")).select("anchor")
-    return lint.coverage_counts(lint.coverage(PHASES.frame(spark), tagged, WAIVERS.frame(spark)))
+    tagged = lint.anchors_of(SPEC.frame(spark, sf_dir).where("doc_id = 'tests'")).select("anchor")
+    return lint.coverage_counts(lint.coverage(PHASES.frame(spark, sf_dir), tagged, WAIVERS.frame(spark, sf_dir)))
 
 
 def brief_check(spark, sf_dir):
-    every = lint.anchors_of(SPEC.frame(spark))
-    return lint.brief_problems(every.where("doc_id = 'brief'").select("anchor"), every.where("doc_id = 'arch'").select("anchor"), PHASES.frame(spark).where("phase = 1").select("anchor"))
+    every = lint.anchors_of(SPEC.frame(spark, sf_dir))
+    return lint.brief_problems(every.where("doc_id = 'brief'").select("anchor"), every.where("doc_id = 'arch'").select("anchor"), PHASES.frame(spark, sf_dir).where("phase = 1").select("anchor"))
 
 
 def git_guard(spark, sf_dir):
-    return COMMANDS.frame(spark).select("command", lint.git_denied(F.col("command")).alias("denied"))
+    return COMMANDS.frame(spark, sf_dir).select("command", lint.git_denied(F.col("command")).alias("denied"))
 
 
 def territory_guard(spark, sf_dir):
-    return PATHS.frame(spark).select("path", lint.path_denied(F.col("path"), ["core", "docs/"]).alias("denied"))
+    return PATHS.frame(spark, sf_dir).select("path", lint.path_denied(F.col("path"), ["core", "docs/"]).alias("denied"))
 
 
 def mutation_tripwire(spark, sf_dir):
-    return lint.mutation_tripwire(SOURCES.frame(spark), ["ok.py"])
+    return lint.mutation_tripwire(SOURCES.frame(spark, sf_dir), ["ok.py"])
 
 
 QUERIES = {
     f.__name__: f
-    for f in (anchor_revalidate, span_relocation, grounding_citations, grounding_gate, citation_quality, sentence_actions, provenance_packet, drift_rank, freshness_and_refresh, episode_cards, transcript_deltas, user_event_counts, common_sources, commit_link_nearest, plan_tasks, workflow_ready, risk_levels, event_debounce_sessions, event_dedup, event_windows, event_lag, machine_events, machine_windows, append_log_events, team_idle, outbox_once, spec_anchors, spec_anchor_coverage, brief_check, git_guard, territory_guard, mutation_tripwire)
+    for f in (anchor_revalidate, span_relocation, grounding_citations, grounding_gate, citation_quality, sentence_actions, provenance_packet, drift_rank, freshness_and_refresh, episode_cards, transcript_deltas, user_event_counts, common_sources, commit_link_nearest, plan_tasks, workflow_ready, risk_levels, event_debounce_sessions, event_dedup, event_windows, event_lag, machine_events, machine_windows, append_log_events, observed_emit, usage_rollup, event_props, event_prop_schemas, team_idle, outbox_once, spec_anchors, spec_anchor_coverage, brief_check, git_guard, territory_guard, mutation_tripwire)
 }
 
 _PAIRS = ", ".join(f"'{a}>{b}'" for a, b in sorted(LEGAL))
@@ -278,6 +311,10 @@ SELECT * FROM t UNION ALL SELECT doc_id, 0, NULL, false, 'whole_file', '' FROM {
     "event_dedup": "SELECT event_type, CAST(count(*) AS BIGINT) AS n_events, CAST(sum(event_id) AS BIGINT) AS sum_ids FROM events GROUP BY event_type",
     "event_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "event_lag": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
+    "observed_emit": "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(user_id) AS BIGINT) AS n_users, CAST(sum(event_id) AS BIGINT) AS sum_ids, max(epoch_us(ts)) AS last_us, CAST(count(*) AS BIGINT) AS n_written FROM events",
+    "usage_rollup": "SELECT CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7 AS BIGINT) AS span, CAST(count(*) AS BIGINT) AS n_events, round(count(*) FILTER (event_type IN ('click', 'purchase')) / count(*)::DOUBLE, 6) AS evidence_share, CAST(count(DISTINCT user_id) AS BIGINT) AS n_users, round(count(DISTINCT user_id) FILTER (event_type = 'signup') / count(DISTINCT user_id)::DOUBLE, 6) AS opt_in_rate, true AS p50_near, true AS p95_near, true AS users_near, true AS opt_in_near FROM events GROUP BY 1",
+    "event_props": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, json_extract_string(props, '$.absent') AS absent FROM events",
+    "event_prop_schemas": "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (props IS NULL OR NOT json_valid(props)) AS BIGINT) AS n_invalid, CASE WHEN bool_and(json_type(props, '$.k') IN ('UBIGINT', 'BIGINT')) THEN 'OBJECT<k: BIGINT>' END AS schema FROM events GROUP BY event_type",
     "machine_events": _MACHINE,
     "machine_windows": _MACHINE,
     "append_log_events": "SELECT event_id, user_id, event_type FROM events",

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 
@@ -34,11 +34,40 @@ def subscribe(stream: DataFrame, handler: Callable[[DataFrame, int], None], chec
 
 
 def emit(events: DataFrame, path: str, enabled: bool = False) -> int:
-    """Appends (name, attributes) rows to local JSON lines; off unless enabled; returns how many."""
+    """Appends (name, attributes) rows to local JSON lines; off unless enabled; returns how many.
+
+    They are counted as they are written, so their plan runs once.
+    """
     if not enabled:
         return 0
-    events.write.mode("append").json(path)
-    return events.count()
+    return observed(events, {"n": F.count(F.lit(1))}, lambda rows: rows.write.mode("append").json(path))["n"]
+
+
+def observed(rows: DataFrame, metrics: dict[str, Column], action: Callable[[DataFrame], None]) -> dict:
+    """What the metrics come to over the rows that pass while the action runs."""
+    seen = Observation()
+    action(rows.observe(seen, *[m.alias(k) for k, m in metrics.items()]))
+    return seen.get
+
+
+class StreamMetrics(StreamingQueryListener):
+    """Keeps what observed streams report: (name of the observation, batch, metrics), a row for each batch."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, int, dict]] = []
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        for name, row in event.progress.observedMetrics.items():
+            self.rows.append((name, event.progress.batchId, row.asDict()))
+
+    def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        pass
 
 
 def outbox(events: DataFrame, known_types: tuple[str, ...]) -> DataFrame:

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from lodestrata import schemas
 from lodestrata.functions import hashing, redaction, validators
-from lodestrata.plans.redaction import SAMPLES, redact_engine_metrics, redact_metrics
+from lodestrata.operators import metrics
+from lodestrata.plans.redaction import SAMPLES, harness
 from lodestrata.sources import samples
 
 FIELDS = {
@@ -80,9 +81,9 @@ def test_sample_counts():
 
 
 def test_baseline_and_engine_recall(spark):
-    for r in redact_metrics(spark, "").collect():
+    for r in metrics.redaction_report(harness(SAMPLES.frame(spark), redaction.redact_baseline)).collect():
         assert (r.caught, r.catchable, r.residual_escaped, r.residual, r.false_positives, r.gate_pass) == (97, 125, 5, 8, 0, False)
-    for r in redact_engine_metrics(spark, "").collect():
+    for r in metrics.redaction_report(harness(SAMPLES.frame(spark), redaction.redact_engine)).collect():
         assert r.recall >= 0.95 and r.fp_rate == 0 and r.gate_pass
 
 
