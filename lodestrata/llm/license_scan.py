@@ -5,8 +5,9 @@ paragraphs are brought to a canonical form and hashed; the digests are joined to
 those of the known licence texts, and a known text of several paragraphs is found
 by its first one's digest and compared in all of them. Canonical form: lines that
 name a rights holder go, letters are lower case, everything that is no letter or
-digit is a single space (so comment marks go), equivalent spellings are one, and a
-licence's title goes from the front.
+digit is a single space (so comment marks go), equivalent spellings are one, as
+are the ways to call the work and to begin a notice's sentence, and a licence's
+title goes from the front.
 """
 
 from __future__ import annotations
@@ -35,6 +36,46 @@ KNOWN = [
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
 ]
+#: Names by which notices call a licence.
+NAMES = {
+    "MIT": ("MIT License",),
+    "MIT-0": ("MIT No Attribution License", "MIT-0 License"),
+    "ISC": ("ISC License",),
+    "0BSD": ("Zero-Clause BSD License", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "Revised BSD License", "BSD-3-Clause License"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0 License", "Apache 2 License", "Apache-2.0 License", "Apache Software License, Version 2.0"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2", "GNU GPLv2", "GPLv2", "GPL v2", "GPL-2.0 License", "GPLv2 License", "GPL version 2"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GNU GPLv3", "GPLv3", "GPL v3", "GPL-3.0 License", "GPLv3 License", "GPL version 3"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "GNU LGPL v2.1", "LGPLv2.1", "LGPL v2.1", "LGPL-2.1 License", "LGPL version 2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "GNU LGPL v3", "GNU LGPLv3", "LGPLv3", "LGPL v3", "LGPL-3.0 License", "LGPL version 3"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "GNU AGPL v3", "GNU AGPLv3", "AGPLv3", "AGPL v3", "AGPL-3.0 License", "AGPL version 3"),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License v2.0", "MPL 2.0", "MPLv2", "MPL-2.0 License"),
+    "EPL-2.0": ("Eclipse Public License, Version 2.0", "Eclipse Public License 2.0", "Eclipse Public License v2.0", "EPL 2.0", "EPL-2.0 License"),
+    "EPL-1.0": ("Eclipse Public License, Version 1.0", "Eclipse Public License 1.0", "Eclipse Public License v1.0", "EPL 1.0", "EPL-1.0 License"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0", "BSL-1.0 License"),
+    "Unlicense": ("Unlicense",),
+    "Zlib": ("zlib License",),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal", "CC0 1.0 License", "Creative Commons Zero v1.0 Universal License"),
+    "CC-BY-4.0": ("CC BY 4.0", "CC BY 4.0 License", "CC-BY 4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0 License"),
+    "CC-BY-SA-4.0": ("CC BY-SA 4.0", "CC BY-SA 4.0 License", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike 4.0 License"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "CC BY-NC 4.0 License", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-3.0": ("CC BY 3.0", "CC BY 3.0 License", "Creative Commons Attribution 3.0 Unported License"),
+    "CC-BY-SA-3.0": ("CC BY-SA 3.0", "CC BY-SA 3.0 License", "Creative Commons Attribution-ShareAlike 3.0 Unported License"),
+}
+#: What notices call the work, as whole words in canonical form; they are one.
+WORKS = "library|software|file|package|module|code|project"
+#: How a notice's sentence begins, in canonical form; all say the same.
+LEAD = "(?:(?:this (?:program|source code|repository|work)|the (?:code|source code|software|project|program)|it) is )?(?:licensed|released|distributed|available|made available|provided) under (?:the )?"
+#: The notice that stands at the head of files under a GNU licence, its licences, versions and closing sentences.
+GNU_FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation{version}."
+GNU_HOPE = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+GNU_COPY = "You should have received a copy of the {name} along with this program{end}."
+GNU_LICENSES = (("GPL-1.0", "GNU General Public License", "1"), ("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"), ("LGPL-2.0", "GNU Library General Public License", "2"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"), ("LGPL-3.0", "GNU Lesser General Public License", "3"), ("AGPL-3.0", "GNU Affero General Public License", "3"))
+GNU_VERSIONS = (", either version {v} of the License, or (at your option) any later version", ", either version {v}, or (at your option) any later version", ", version {v} of the License", ", version {v}", " version {v} of the License", " version {v}")
+GNU_ENDS = ("", ". If not, see <https://www.gnu.org/licenses/>", ". If not, see <https://gnu.org/licenses/>", "; if not, see <https://www.gnu.org/licenses/>", "; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "; if not, write to the Free Software Foundation, Inc., 59 Temple Place, Suite 330, Boston, MA 02111-1307 USA")
+#: The notice at the head of files under the MPL.
+MPL_HEADER = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
 #: Spellings that licence matching treats as one, as whole words.
 SPELLINGS = [("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("organisation", "organization"), ("merchantibility", "merchantability"), ("non commercial", "noncommercial"), ("non infringement", "noninfringement"), ("sub license", "sublicense"), ("copyright owner", "copyright holder"), ("copyright owners", "copyright holders"), ("https", "http")]
 #: Titles that stand before a licence or are left out, in canonical form; a longer one first.
@@ -44,13 +85,30 @@ COPYRIGHT_LINE = r"(?imd)^[^\p{L}\p{N}\n]*(?:(?:portions )?copyright[^\p{L}\p{N}
 #: Between paragraphs: a line break, nothing that is a letter or digit, and a line break.
 GAP = r"\n[^\p{L}\p{N}]*\n"
 #: Every known text holds one of these in its lower-case letters, so a text without any can't be one.
-MARKS = ("licen", "permission", "released", "redistribut")
+MARKS = ("licen", "permission", "released", "redistribut", "distributed under", "available under", "provided under")
 _END = "END OF TERMS AND CONDITIONS"
 
 
+def sentences() -> list[tuple[str, str]]:
+    """(identifier, notice): a licence's names in one sentence each, the identifier lines, and the heads of files under GNU licences and the MPL.
+
+    A GNU head is known by its first paragraph, and whole where no blank line parts it.
+    """
+    out = [(i, f"Licensed under the {n}.") for i, names in NAMES.items() for n in names]
+    for i in sorted({*NAMES, *(k for k, _, _ in GNU_LICENSES), "MPL-1.1", "Artistic-1.0", "GFDL-1.2", "GFDL-1.3"}):
+        ends = ("", "-only", "-or-later", "+") if "GPL" in i or "GFDL" in i else ("",)
+        out += [(i, f"SPDX-License-Identifier: {i}{e}") for e in ends]
+    for i, name, v in GNU_LICENSES:
+        for version in GNU_VERSIONS:
+            head, hope = GNU_FREE.format(name=name, version=version.format(v=v)), GNU_HOPE.format(name=name)
+            out += [(i, head), (i, f"{head} {hope}")]
+            out += [(i, f"{head} {hope} {GNU_COPY.format(name=name, end=e)}") for e in GNU_ENDS]
+    return [*out, ("MPL-2.0", MPL_HEADER)]
+
+
 def known_texts() -> list[tuple[str, str]]:
     """(identifier, text) of the notices above and of the standard texts beside this module; where an appendix follows the terms, also without it."""
-    out = list(KNOWN)
+    out = [*KNOWN, *sentences()]
     for f in sorted(files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name):
         name, text = f.name.removesuffix(".txt").removesuffix(".regents"), f.read_text(encoding="utf-8")
         out.append((name, text))
@@ -65,8 +123,10 @@ def canonical(text: Column) -> Column:
     out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for a, b in SPELLINGS * 2:  # twice, as neighbours share a blank
         out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
+    out = F.regexp_replace(out, f" this (?:{WORKS}) ", " this program ")
     out = F.trim(F.regexp_replace(out, " (?:version|v) ([0-9])", " v$1"))
-    return F.regexp_replace(out, f"^(?:{'|'.join(TITLES)}) ", "")
+    out = F.regexp_replace(out, f"^(?:{'|'.join(TITLES)}) ", "")
+    return F.regexp_replace(out, f"^{LEAD}", "licensed under ")
 
 
 def digest(text: Column) -> Column:
@@ -123,8 +183,10 @@ def sql_canonical(x: str) -> str:
     out = rf"' ' || regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' '"
     for a, b in SPELLINGS * 2:
         out = f"replace({out}, ' {a} ', ' {b} ')"
+    out = f"regexp_replace({out}, ' this (?:{WORKS}) ', ' this program ', 'g')"
     out = rf"trim(regexp_replace({out}, ' (?:version|v) ([0-9])', ' v\1', 'g'), ' ')"
-    return f"regexp_replace({out}, '^(?:{'|'.join(TITLES)}) ', '')"
+    out = f"regexp_replace({out}, '^(?:{'|'.join(TITLES)}) ', '')"
+    return f"regexp_replace({out}, '^{LEAD}', 'licensed under ')"
 
 
 def oracle() -> str:

@@ -842,6 +842,52 @@ def test_license_files_with_titles_wrapped_notices_and_code(spark):
     assert got == {(1, "MIT"): (0, 1, True), (2, "ISC"): (0, 1, True), (3, "Apache-2.0"): (0, 1, False), (4, "MIT"): (0, 1, False), (5, "GPL-3.0"): (0, 1, True), (6, "BSD-3-Clause"): (0, 1, True), (9, "Apache-2.0"): (0, 1, False), (9, "BSD-2-Clause"): (0, 1, False), (10, "ISC"): (0, 1, True)}
 
 
+#: Notices as they stand in files, and what they are; written by hand, not from the scan's lists.
+IN_THE_WILD = {
+    "GPL-3.0": """# frobnicate - turns knobs
+# Copyright (C) 2021  A. N. Author
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program.  If not, see <https://www.gnu.org/licenses/>.
+
+import sys
+""",
+    "GPL-2.0": "/*\n * This file is free software; you can redistribute it and/or modify it\n * under the terms of the GNU General Public License as published\n * by the Free Software Foundation; version 2 of the License.\n */\nint x;",
+    "LGPL-2.1": """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,""",
+    "AGPL-3.0": "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU Affero General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n\nrest",
+    "MPL-2.0": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\n\nlet x = 1;",
+    "MIT": "// SPDX-License-Identifier: MIT\npackage main",
+    "Apache-2.0": "prose before\nThis software is licensed under the Apache License, Version 2.0.\nprose after",
+    "BSD-3-Clause": "This project is released under the New BSD License\n",
+    "CC-BY-SA-4.0": "This work is licensed under a lot of things.\nThe code is available under the Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "LGPL-3.0": "# SPDX-License-Identifier: LGPL-3.0-or-later",
+    "EPL-2.0": "Distributed under the EPL 2.0.",
+    "GPL-1.0": "    This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 1, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+}
+
+
+def test_notices_as_they_stand_in_files(spark):
+    near = ["This program is free software in spirit.", "SPDX-License-Identifier: MIT-ish", "They spoke of what is licensed under the MIT License.", "Provided under protest.", "This program is distributed in the hope that it will be useful."]
+    rows = list(enumerate([*IN_THE_WILD.values(), *near]))
+    got = {(r.doc_id, r.license_id) for r in license_scan.scan_licenses(docs_of(spark, rows)).collect()}
+    assert got == set(enumerate(IN_THE_WILD))
+
+
 def test_license_query_equals_its_sql(spark):
     import duckdb
 
