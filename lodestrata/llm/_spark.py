@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..durable import Workspace, Written, shared_folder
+
+__all__ = ["Workspace", "Written", "carry_through", "crc32_mod", "numbered", "only", "place_of", "release_shuffles", "shared_folder", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -66,80 +66,9 @@ def carry_through(df: DataFrame, text: str, result: str, run: Callable[[pa.Recor
     return src.mapInArrow(mapped, schema).toDF(*[df.columns[k] for k in keep], *added.names)
 
 
-def ensure_shared_folder(spark: SparkSession) -> None:
-    """Sets the checkpoint folder where the context has none yet: the session's, else a temporary one, on a single machine only."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="ckpt-")
-        sc.setCheckpointDir(folder)
-
-
 def release_shuffles(spark: SparkSession) -> None:
     """Asks the driver's JVM to collect garbage, which frees the shuffle files of finished rounds earlier than it else would."""
     import gc
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
-class Written:
-    """A table in the shared checkpoint folder, as compact Parquet, until drop()."""
-
-    def __init__(self, df: DataFrame):
-        spark = df.sparkSession
-        ensure_shared_folder(spark)
-        self.spark, self.path = spark, f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-        try:
-            df.write.parquet(self.path)
-        except BaseException:
-            self.drop()
-            raise
-        self.df = spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-class Workspace:
-    """Tables of one run that go together: kept() writes one, and leaving the block deletes all but those that were handed out."""
-
-    def __init__(self) -> None:
-        self.tables: list[Written] = []
-
-    def __enter__(self) -> Workspace:
-        return self
-
-    def kept(self, df: DataFrame) -> DataFrame:
-        self.tables.append(Written(df))
-        return self.tables[-1].df
-
-    def drop(self, *frames: DataFrame) -> None:
-        for t in [t for t in self.tables if any(t.df is f for f in frames)]:
-            self.tables.remove(t)
-            t.drop()
-
-    def hand_out(self, df: DataFrame) -> DataFrame:
-        """df, whose table stays until this program ends."""
-        _handed_out.extend(t for t in self.tables if t.df is df)
-        self.tables = [t for t in self.tables if t.df is not df]
-        return df
-
-    def __exit__(self, *_: object) -> None:
-        for t in self.tables:
-            t.drop()
-        self.tables = []
-
-
-_handed_out: list[Written] = []
-
-
-@atexit.register
-def _drop_handed_out() -> None:
-    for t in _handed_out:
-        with contextlib.suppress(Exception):  # the session may be gone
-            t.drop()
