@@ -98,6 +98,24 @@ def refresh_action(ownership: Column, changed: Column) -> Column:
     return F.when(~changed, "none").when(ownership == "owned", "three_way_merge").when(ownership == "foreign", "never_overwrite").when(ownership == "supplemental", "write_namespaced").otherwise("refuse")
 
 
+def trust_metrics(checked: DataFrame, gold: DataFrame, claims: DataFrame) -> DataFrame:
+    """One row: citation precision and recall, grounding correctness and what it missed, and false confidence.
+
+    checked: citations with status and state. gold: the (answer_id, path) that each
+    answer ought to cite; recall is the share of them among its good citations.
+    claims: (answer_id, pos, supported, flagged); correctness is the share of unsupported
+    claims that were flagged. With nothing to find a share is 1, with nothing that
+    claims to be live false confidence is 0.
+    """
+    told = citation_quality(checked).select("precision", "false_confidence")
+    good = checked.where("status = 'ok'").select("answer_id", "path").distinct().withColumn("found", F.lit(True))
+    of_gold = gold.select("answer_id", "path").distinct().join(good, ["answer_id", "path"], "left").agg(F.count("*").alias("n_gold"), F.count("found").alias("n_found"))
+    bare = claims.agg(F.count_if(~F.col("supported")).alias("n_unsupported"), F.count_if(~F.col("supported") & F.col("flagged")).alias("n_flagged"), F.count_if(F.col("supported") & F.col("flagged")).alias("wrongly_flagged"))
+    share = lambda a, b: F.when(F.col(b) == 0, 1.0).otherwise(F.round(F.col(a) / F.col(b), 6))
+    one = told.crossJoin(of_gold).crossJoin(bare)  # one row each
+    return one.select("precision", share("n_found", "n_gold").alias("recall"), share("n_flagged", "n_unsupported").alias("grounding_correctness"), (F.col("n_unsupported") - F.col("n_flagged")).alias("unflagged"), "wrongly_flagged", "false_confidence")
+
+
 def citation_quality(checked: DataFrame) -> DataFrame:
     """Share of good citations, and of those that claim to be live and are not good."""
     live = F.col("state").eqNullSafe("live")

@@ -13,7 +13,8 @@ from . import federation, graph, retrieval, scope
 
 
 def _check(spark, value, problem, name: str) -> None:  # noqa: ANN001
-    reason = spark.range(1).select(problem(F.lit(value))).first()[0]
+    """Refuses a value; a row of literals is worked out while it is planned, so no job runs."""
+    reason = spark.sql("VALUES (1)").select(problem(F.lit(value))).first()[0]
     if reason is not None:
         raise ValueError(f"{name}: {reason}")
 
@@ -27,15 +28,18 @@ def search(chunks: DataFrame, policies: DataFrame, query: str, top_k: int = sche
     _check(spark, query, validators.query_problem, "query")
     _check(spark, top_k, validators.top_k_problem, "top_k")
     seen = scope.in_scope(chunks, within, project_id)
-    seen = seen.join(F.broadcast(policies.where("federation_visible").select("project_id")), "project_id", "left_semi")
+    seen = seen.join(policies.where("federation_visible").select("project_id"), "project_id", "left_semi")
     asked = spark.createDataFrame([(0, query.strip())], "query_id long, query string")
     best = retrieval.ranked(retrieval.bm25(seen, asked, "chunk_id"), "chunk_id", top_k)
     return best.join(seen, "chunk_id").select("chunk_id", "project_id", "score", "rank", redaction.redact_engine(F.col("text"), "mcp_egress").alias("text"))
 
 
-def get_file(files: DataFrame, path: str) -> DataFrame:
-    """(path, text) of one file, redacted; paths that leave the tree are refused."""
+def get_file(files: DataFrame, path: str, project_id: str | None = None) -> DataFrame:
+    """(path, text) of one file, of one project if files have a project_id, redacted; paths that leave the tree are refused."""
     _check(files.sparkSession, path, validators.path_problem, "path")
+    if "project_id" in files.columns:
+        _check(files.sparkSession, project_id, validators.identity_problem, "project_id")
+        files = files.where(F.col("project_id") == project_id)
     return files.where(F.col("path") == path).select("path", redaction.redact_engine(F.col("text"), "mcp_egress").alias("text"))
 
 

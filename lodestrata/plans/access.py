@@ -54,6 +54,12 @@ def tool_search(spark, sf_dir):
     return tools.search(chunks, POLICIES.frame(spark, sf_dir), "that with onthe", 10, "portfolio").select("chunk_id", "project_id", "score", "rank")
 
 
+def tool_get_file(spark, sf_dir):
+    """One file of one project, as an agent gets it."""
+    files = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("p"), (F.col("item_id") % 3).cast("string")).alias("project_id"), F.concat(F.lit("items/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+    return tools.get_file(files, "items/7.txt", "p1").select("path", F.sha2("text", 256).alias("text_hash"))
+
+
 def embed_provider(spark, sf_dir):
     v = providers.embed(table(spark, sf_dir, "benchmark"), providers.HashProvider(16), "item_id")
     return v.select("item_id", "embedding_model_version", F.posexplode("vector").alias("i", "x")).select("item_id", "embedding_model_version", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
@@ -64,7 +70,7 @@ def late_chunks(spark, sf_dir):
     return v.select("item_id", F.col("ordinal").cast("long").alias("ordinal"), "chunk_text", F.round(F.col("vector")[0], 6).alias("x0"))
 
 
-QUERIES = {f.__name__: f for f in (retrieval_scope, host_gate, anchor_symbols, doc_gaps, doc_conflicts, tool_list_projects, tool_status, tool_search, embed_provider, late_chunks)}
+QUERIES = {f.__name__: f for f in (retrieval_scope, host_gate, anchor_symbols, doc_gaps, doc_conflicts, tool_list_projects, tool_status, tool_search, tool_get_file, embed_provider, late_chunks)}
 
 _W = "regexp_extract_all(lower({}), '[a-z0-9_]+')"
 _H = "CAST('0x' || substring(sha256({}), {}, 2) AS BIGINT) / 255.0::DOUBLE"
@@ -80,6 +86,7 @@ ORACLES = {
 c AS (SELECT count(*) AS n_docs, avg(len(words)) AS mean_len FROM d), p AS (SELECT doc_id, source, term, len(words) AS dl, count(*) AS tf FROM (SELECT *, unnest(words) AS term FROM d) WHERE term IN ('that', 'with', 'onthe') GROUP BY doc_id, source, term, len(words)),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT doc_id AS chunk_id, source AS project_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean_len))), 6) AS score FROM p JOIN f USING (term), c GROUP BY doc_id, source)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, chunk_id) AS BIGINT) AS rank FROM s) WHERE rank <= 10""",
+    "tool_get_file": "SELECT 'items/7.txt' AS path, sha256(text) AS text_hash FROM benchmark WHERE item_id = 7",
     "embed_provider": f"SELECT item_id, 'hash-16' AS embedding_model_version, CAST(i AS BIGINT) AS i, round({_H.format('text', 'CAST(2 * i + 1 AS BIGINT)')}, 6) AS x FROM (SELECT item_id, text, unnest(range(16)) AS i FROM benchmark)",
     "late_chunks": f"WITH w AS (SELECT item_id, regexp_extract_all(text, '\\S+') AS w FROM benchmark), u AS (SELECT item_id, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS word FROM w) SELECT item_id, CAST(i // 16 AS BIGINT) AS ordinal, string_agg(word, ' ' ORDER BY i) AS chunk_text, round(avg({_H.format('word', '1')}), 6) AS x0 FROM u GROUP BY item_id, i // 16",
 }

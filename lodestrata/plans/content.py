@@ -21,6 +21,10 @@ PATHS = Fixture("path string", [("p/README.md",), ("p/docs/guide.md",), ("p/docs
 PYTHON = Fixture("path string, source string", [("a.py", "import os\n\nclass A:\n    def f(self):\n        def g():\n            pass\n        os.remove('x')\n\nasync def h():\n    open('y')\n"), ("bad.py", "def broken(:\n" + "x\n" * 50), ("empty.py", "")], """SELECT 'd' || doc_id || '.py' AS path, CASE WHEN doc_id % 5 = 0 THEN text ELSE 'import os' || chr(10) || 'class A' || doc_id || ':' || chr(10) || '    def f(self):' || chr(10) || '        return ' || doc_id || chr(10) || 'def g():' || chr(10) || '    open("x")' || chr(10) || '# ' || replace(text, chr(10), ' ') || chr(10) END AS source FROM {documents} WHERE text IS NOT NULL""")
 
 
+#: Ignore rules at the root, and in every host's folder.
+IGNORE, HOST_IGNORE = ["# languages", "", "**/es/*", "m.*/", "/blog.*/en/1?", "*9"], ["!/en/", "en/?[05]"]
+
+
 def chunk_documents(spark, sf_dir):
     return chunking.sized_chunks(table(spark, sf_dir, "documents")).select("doc_id", "ordinal", "chunk_id", F.length("chunk_text").cast("long").alias("n_chars"), "content_hash")
 
@@ -76,11 +80,20 @@ def classify_files(spark, sf_dir):
     return discovery.classify(discovery.without_ignored(files, ["docs/private/"])).select("path", "producer", "doc_type", "ownership")
 
 
+def ignored_pages(spark, sf_dir):
+    """Pages as files, host by host: rules at the root, and those of every host's own ignore file, the last of which takes some in again."""
+    pages = table(spark, sf_dir, "pages").select(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?].*$", "").alias("path")).distinct()
+    hosts = pages.select(F.split_part("path", F.lit("/"), F.lit(1)).alias("dir")).distinct()
+    root = spark.createDataFrame([("", k, line) for k, line in enumerate(IGNORE)], "dir string, line_no int, line string")
+    rules = root.unionByName(hosts.select("dir", F.explode(F.array(*[F.struct(F.lit(k).alias("line_no"), F.lit(x).alias("line")) for k, x in enumerate(HOST_IGNORE)])).alias("r")).select("dir", "r.line_no", "r.line"))
+    return discovery.without_ignored_by(pages, discovery.ignore_patterns(rules))
+
+
 def chunk_python_ast(spark, sf_dir):
     return chunking.python_scopes(PYTHON.frame(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (chunk_documents, content_hash, token_route, source_root_hash, fake_embed, minted_ids, heading_sections, anchor_parse, context_augment, manifest_projection, registry_rebuild, classify_files, chunk_python_ast)}
+QUERIES = {f.__name__: f for f in (chunk_documents, content_hash, token_route, source_root_hash, fake_embed, minted_ids, heading_sections, anchor_parse, context_augment, manifest_projection, registry_rebuild, classify_files, ignored_pages, chunk_python_ast)}
 
 _RULES = ", ".join(f"({p}, '{pattern}', '{a}', '{b}', '{c}')" for p, pattern, a, b, c in discovery.RULES)
 _LINES = f"""lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS said FROM {MARKDOWN.sql()}),
@@ -89,6 +102,10 @@ l AS (SELECT *, CASE WHEN NOT fenced AND regexp_matches(said, '^#{{1,3}} +\\S')
 h AS (SELECT *, {', '.join(f"coalesce(last_value(CASE WHEN lvl = {k} THEN title WHEN lvl < {k} THEN '' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line), '') AS h{k}" for k in (1, 2, 3))},
   CAST(count(lvl) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS section FROM l)"""
 ORACLES = {
+    "ignored_pages": """WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^https?://', ''), '[?].*$', '') AS path FROM pages), q AS (SELECT path, substr(path, strpos(path, '/') + 1) AS rest FROM p),
+d AS (SELECT path, CASE WHEN strpos(path, '/') > 0 AND regexp_matches(rest, '^en/[^/][05](/.*)?$') THEN true WHEN strpos(path, '/') > 0 AND regexp_matches(rest, '^en/.*$') THEN false
+ ELSE regexp_matches(path, '^(?:.*/)?es/[^/]*(/.*)?$') OR regexp_matches(path, '^(?:.*/)?m[.][^/]*/.*$') OR regexp_matches(path, '^blog[.][^/]*/en/1[^/](/.*)?$') OR regexp_matches(path, '^(?:.*/)?[^/]*9(/.*)?$') END AS gone FROM q)
+SELECT path FROM d WHERE NOT gone""",
     "chunk_documents": "WITH o AS (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 2000.0) AS BIGINT))) AS n FROM documents WHERE length(text) > 0), p AS (SELECT doc_id, CAST(n AS BIGINT) AS ordinal, substring(text, n * 2000 + 1, 2000) AS piece FROM o) SELECT doc_id, ordinal, doc_id || '#' || ordinal AS chunk_id, CAST(length(piece) AS BIGINT) AS n_chars, 'sha256:' || sha256(piece) AS content_hash FROM p",
     "content_hash": f"SELECT doc_id, {_D} AS content_hash FROM documents",
     "token_route": "SELECT source, tokens, CASE WHEN tokens < 200000 THEN 'whole_corpus' ELSE 'retrieval' END AS route FROM (SELECT source, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS tokens FROM documents GROUP BY source)",

@@ -73,6 +73,15 @@ def citation_quality(spark, sf_dir):
     return grounding.citation_quality(grounding.check_citations(CITATIONS.frame(spark, sf_dir), FILES.frame(spark, sf_dir)))
 
 
+def trust_metrics(spark, sf_dir):
+    """Users' citations against those that every third event would have cited, and sentences that nothing supports."""
+    e = table(spark, sf_dir, "events")
+    gold = e.where("event_id % 3 = 0").select((F.col("user_id") + 100).alias("answer_id"), F.concat(F.lit("f"), (F.col("event_id") % 300).cast("string")).alias("path"))
+    told = grounding.sentence_actions(SENTENCES.frame(spark, sf_dir))
+    claims = told.select("answer_id", "pos", (F.col("n_ok") > 0).alias("supported"), (F.col("action") != "keep").alias("flagged"))
+    return grounding.trust_metrics(grounding.check_citations(CITATIONS.frame(spark, sf_dir), FILES.frame(spark, sf_dir)), gold, claims)
+
+
 def sentence_actions(spark, sf_dir):
     return grounding.sentence_actions(SENTENCES.frame(spark, sf_dir))
 
@@ -256,7 +265,7 @@ def mutation_tripwire(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (anchor_revalidate, span_relocation, grounding_citations, grounding_gate, citation_quality, sentence_actions, provenance_packet, drift_rank, freshness_and_refresh, episode_cards, transcript_deltas, user_event_counts, common_sources, commit_link_nearest, plan_tasks, workflow_ready, risk_levels, event_debounce_sessions, event_dedup, event_windows, event_lag, machine_events, machine_windows, append_log_events, observed_emit, usage_rollup, event_props, event_prop_schemas, team_idle, outbox_once, spec_anchors, spec_anchor_coverage, brief_check, git_guard, territory_guard, mutation_tripwire)
+    for f in (anchor_revalidate, span_relocation, grounding_citations, grounding_gate, citation_quality, trust_metrics, sentence_actions, provenance_packet, drift_rank, freshness_and_refresh, episode_cards, transcript_deltas, user_event_counts, common_sources, commit_link_nearest, plan_tasks, workflow_ready, risk_levels, event_debounce_sessions, event_dedup, event_windows, event_lag, machine_events, machine_windows, append_log_events, observed_emit, usage_rollup, event_props, event_prop_schemas, team_idle, outbox_once, spec_anchors, spec_anchor_coverage, brief_check, git_guard, territory_guard, mutation_tripwire)
 }
 
 _PAIRS = ", ".join(f"'{a}>{b}'" for a, b in sorted(LEGAL))
@@ -294,6 +303,11 @@ SELECT anchor_id, state, CASE WHEN state IN ('live', 'stale') OR state = 'moved'
     "grounding_citations": f"SELECT answer_id, pos, status FROM ({_STATUS})",
     "grounding_gate": f"SELECT answer_id, CAST(count(*) AS BIGINT) AS n_citations, CAST(count(*) FILTER (status = 'ok') AS BIGINT) AS n_ok, CASE WHEN bool_and(status = 'ok') THEN 'cited' ELSE 'refused' END AS verdict FROM ({_STATUS}) GROUP BY answer_id",
     "citation_quality": f"SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (status = 'ok') AS BIGINT) AS good, round(count(*) FILTER (status = 'ok') / count(*)::DOUBLE, 6) AS precision, round(count(*) FILTER (state = 'live' AND status <> 'ok') / (count(*) FILTER (state = 'live'))::DOUBLE, 6) AS false_confidence FROM ({_STATUS})",
+    "trust_metrics": f"""WITH s AS ({_STATUS}), g AS (SELECT DISTINCT user_id + 100 AS answer_id, 'f' || (event_id % 300) AS path FROM events WHERE event_id % 3 = 0), ok AS (SELECT DISTINCT answer_id, path FROM s WHERE status = 'ok'),
+c AS (SELECT n_ok > 0 AS supported, n_citations = 0 OR n_ok <> n_citations AS flagged FROM {SENTENCES.sql()})
+SELECT (SELECT round(count(*) FILTER (status = 'ok') / count(*)::DOUBLE, 6) FROM s) AS precision, (SELECT round(count(ok.path) / count(*)::DOUBLE, 6) FROM g LEFT JOIN ok USING (answer_id, path)) AS recall,
+ (SELECT round(count(*) FILTER (flagged) / count(*)::DOUBLE, 6) FROM c WHERE NOT supported) AS grounding_correctness, (SELECT CAST(count(*) AS BIGINT) FROM c WHERE NOT supported AND NOT flagged) AS unflagged, (SELECT CAST(count(*) AS BIGINT) FROM c WHERE supported AND flagged) AS wrongly_flagged,
+ (SELECT round(count(*) FILTER (state = 'live' AND status <> 'ok') / (count(*) FILTER (state = 'live'))::DOUBLE, 6) FROM s) AS false_confidence""",
     "sentence_actions": f"SELECT *, CASE WHEN n_citations = 0 THEN 'annotate' WHEN n_ok = n_citations THEN 'keep' ELSE 'strip_and_flag' END AS action, CASE WHEN max(n_ok) OVER (PARTITION BY answer_id) > 0 THEN 'answer' ELSE 'refuse' END AS answer_action FROM {SENTENCES.sql()}",
     "provenance_packet": "SELECT answer_id, " + ", ".join(f"coalesce(array_to_string(list_sort(list(DISTINCT {c}) FILTER ({c} IS NOT NULL)), ','), '') AS {c}s" for c in ("project_id", "source_id", "citation", "commit_sha", "session_id")) + f", round(min(confidence), 6) AS confidence, CAST(count(*) AS BIGINT) AS n_evidence FROM {EVIDENCE.sql()} GROUP BY answer_id",
     "drift_rank": f"SELECT item_id, round(authority * recency * agreement, 6) AS score FROM {DRIFT.sql()}",

@@ -59,6 +59,38 @@ def glob_pattern(g: str) -> str:
     return f"(^|/){out}$"
 
 
+def ignore_patterns(lines: DataFrame) -> DataFrame:
+    """(dir, place, pattern, negated) of the rules in ignore files (dir, line_no, line); blank lines and comments are none.
+
+    As usual: `!` takes a path in again, a trailing slash means folders only, a slash
+    before the end ties a rule to its file's folder, * and ? stop at slashes and **
+    does not. Brackets stand for themselves.
+    """
+    said = F.rtrim(F.regexp_replace("line", "\r$", ""))
+    rows = lines.select("dir", F.col("line_no").alias("place"), said.alias("said")).where("said != '' and not startswith(said, '#')")
+    rows = rows.select("dir", "place", F.startswith("said", F.lit("!")).alias("negated"), F.regexp_replace("said", "^!", "").alias("rule"))
+    folder, tied = F.endswith("rule", F.lit("/")), F.regexp_replace("rule", "/$", "").contains("/")
+    glob = F.regexp_replace(F.regexp_replace(F.regexp_replace("rule", "/$", ""), "^/", ""), r"([.+^$(){}|\[\]\\])", r"\\$1")
+    for a, b in (("**/", "\x01"), ("**", "\x02"), ("*", "[^/]*"), ("?", "[^/]"), ("\x01", "(?:.*/)?"), ("\x02", ".*")):
+        glob = F.replace(glob, F.lit(a), F.lit(b))
+    return rows.select("dir", "place", F.concat(F.when(tied, "^").otherwise("^(?:.*/)?"), glob, F.when(folder, "/.*$").otherwise("(?:/.*)?$")).alias("pattern"), "negated")
+
+
+def without_ignored_by(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """files (path, ...) that no rule takes out: of all rules of a path's folders that match, the deepest folder's last one decides.
+
+    A path meets the rules of its own folders by equality; dir is relative, the
+    root's is empty. Paths are unique.
+    """
+    parts = F.split("path", "/", -1)
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    met = files.select("path", F.explode(folders).alias("dir")).join(rules, "dir")
+    rest = F.when(F.col("dir") == "", F.col("path")).otherwise(F.substring("path", F.length("dir") + 2, F.lit(1 << 30)))
+    hit = met.where(F.regexp_like(rest, F.col("pattern")))
+    out = hit.groupBy("path").agg(F.max_by("negated", F.struct(F.length("dir"), "place")).alias("back")).where("not back")
+    return files.join(out, "path", "left_anti")
+
+
 def classify(files: DataFrame, rules: DataFrame | None = None, path: str = "path") -> DataFrame:
     """files with producer, doc_type and ownership by the first rule that matches; none: human, other, owned.
 

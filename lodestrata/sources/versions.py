@@ -105,9 +105,27 @@ class VersionedTable:
         """Tombstones all live rows of a source, then puts its new rows, in one version."""
         if self.current() is None:
             return self.upsert(rows, sha_tag)
-        gone = self.read().where(F.col(source) == value).join(rows.select(self.key), self.key, "left_anti").withColumn("tombstone", F.lit(True))
+        gone = self.lookup(self._holders(source, value)).where(F.col(source) == value).join(rows.select(self.key), self.key, "left_anti").withColumn("tombstone", F.lit(True))
         return self.upsert(rows.withColumn("tombstone", F.lit(False)).unionByName(gone), sha_tag)
 
+    def _holders(self, column: str, value: str) -> DataFrame:
+        """Keys of which any folder has a row with this value; the filter reaches the scans."""
+        keys = None
+        for f in self.current().folders:
+            some = self.spark.read.parquet(f"{self.root}/{f}").where(F.col(column) == value).select(self.key)
+            keys = some if keys is None else keys.unionByName(some)
+        return keys.distinct()
+
+    def lookup(self, keys: DataFrame) -> DataFrame:
+        """The live rows of the newest version whose key is among keys; only these are ranked by age, so cost goes with keys, not with the table."""
+        v, parts = self.current(), None
+        for k, f in enumerate(v.folders):
+            part = self.spark.read.parquet(f"{self.root}/{f}").join(keys.select(self.key), self.key, "left_semi").withColumn("__age", F.lit(len(v.folders) - k))
+            parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
+        newest = Window.partitionBy(self.key).orderBy("__age")
+        rows = parts.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n", "__age")
+        return rows.where(~F.coalesce("tombstone", F.lit(False))).drop("tombstone")
+
     def read(self, vid: int | None = None, sha_tag: str | None = None, with_tombstones: bool = False) -> DataFrame:
         """The live rows of the newest version, of a given one, or of the newest with a tag."""
         v = next((v for v in reversed(self.versions()) if (vid is None or v.vid == vid) and (sha_tag is None or v.sha_tag == sha_tag)), None)

@@ -72,13 +72,16 @@ def apply_machine(stream: DataFrame, machine: str) -> DataFrame:
 
 
 def sync_table(stream: DataFrame, table: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Applies batches of changed chunks to a versioned table; a batch whose rows are there already adds no version."""
+    """Applies batches of changed chunks to a versioned table; a batch whose rows are there already adds no version.
+
+    Of the table only the batch's keys are looked at, which are few enough to be sent to every scan.
+    """
 
     def apply(batch: DataFrame, n: int) -> None:
         last = Window.partitionBy(table.key).orderBy(F.desc("seq"))
         rows = batch.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "seq")
         if table.current() is not None:
-            have = table.read().select(table.key, "content_hash")
+            have = table.lookup(rows.select(table.key)).select(table.key, "content_hash")
             rows = rows.join(have, [table.key, "content_hash"], "left_anti")
         if not rows.isEmpty():
             table.upsert(rows)

@@ -166,6 +166,44 @@ def test_discover_and_classify(spark, tmp_path):
     assert set(got) == {f"{tmp_path.name}/README.md", "docs/a.md", "vendor/README.md"}
 
 
+def test_ignore_rules_with_negation_and_nested_files(spark):
+    lines = [("", 1, "*.log"), ("", 2, "/build"), ("", 3, "docs/**/draft?.md"), ("", 4, "# no rule"), ("", 5, "!keep.log"), ("", 6, "tmp/"), ("", 7, "a+b[1].md "), ("sub", 1, "!x.log"), ("sub/deep", 1, "*.log"), ("sub", 2, "/only.md")]
+    rules = discovery.ignore_patterns(spark.createDataFrame(lines, "dir string, line_no int, line string"))
+    gone = ["x.log", "a/x.log", "build", "build/x.md", "docs/draft1.md", "docs/a/b/draft2.md", "tmp/x", "a/tmp/x", "a+b[1].md", "sub/deep/x.log", "sub/only.md", "sub/y.log"]
+    stay = ["keep.log", "a/keep.log", "a/build", "docs/draft12.md", "other/docs/draft1.md", "tmp", "xlog", "aab1.md", "sub/x.log", "sub/a/x.log", "sub/a/only.md", "only.md"]
+    files = spark.createDataFrame([(p,) for p in gone + stay], "path string")
+    assert sorted(r.path for r in discovery.without_ignored_by(files, rules).collect()) == sorted(stay)
+    assert discovery.without_ignored_by(files, rules.limit(0)).count() == len(gone + stay)
+
+
+def test_lookup_looks_at_the_keys_only(spark, tmp_path):
+    t = VersionedTable(spark, str(tmp_path / "t"), "chunk_id")
+    t.upsert(rows(spark, *[(f"k{k}", "f", "1", "x") for k in range(50)]))
+    t.upsert(rows(spark, ("k1", "f", "2", "y"), ("new", "g", "1", "z")))
+    t.replace_source("source_path", "g", rows(spark))
+    got = t.lookup(spark.createDataFrame([("k1",), ("k2",), ("new",), ("none",), ("k1",)], "chunk_id string"))
+    assert {(r.chunk_id, r.text) for r in got.collect()} == {("k1", "y"), ("k2", "x")} and got.count() == 2
+
+
+def test_tools_refuse_without_a_job(spark):
+    files = spark.createDataFrame([("p", "a.md", "token ghp_" + "a" * 36)], "project_id string, path string, text string")
+    ran = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    before = ran()
+    for path, project in (("../a", "p"), ("", "p"), ("a.md", " "), ("a.md", None)):
+        with pytest.raises(ValueError):
+            tools.get_file(files, path, project)
+    assert ran() == before
+    assert tools.get_file(files, "a.md", "other").count() == 0 and "ghp_" not in tools.get_file(files, "a.md", "p").first().text
+
+
+def test_trust_metrics_with_nothing_to_count(spark):
+    from lodestrata.operators import grounding
+
+    checked = spark.createDataFrame([], "answer_id long, path string, state string, status string")
+    gold, claims = spark.createDataFrame([], "answer_id long, path string"), spark.createDataFrame([], "answer_id long, pos long, supported boolean, flagged boolean")
+    assert tuple(grounding.trust_metrics(checked, gold, claims).first()) == (1.0, 1.0, 1.0, 0, 0, 0.0)
+
+
 def test_code_graph_source(spark, tmp_path):
     path = str(tmp_path / "g.db")
     con = sqlite3.connect(path)
