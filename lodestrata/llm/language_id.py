@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import carry_through, only
+from ._spark import Workspace, carry_through, only
 
 #: Bounds of the labelled sample: documents and characters a language, and characters of all languages, which share these evenly.
 DOCS_PER_LANGUAGE, CHARS_PER_LANGUAGE, SAMPLE_CHARS = 80, 24_000, 768_000
+#: Keys of chosen rows that are broadcast; more are joined.
+LISTED_KEYS = 100_000
 #: Symbols of a block, and of a longer text that are parsed at once.
 BLOCK, STRETCH = 512, 1 << 20
 _SEP, _UNKNOWN, _PAD = 0, 1, 2
@@ -327,16 +329,23 @@ def fit_language_sample(labelled: DataFrame, key: str = "doc_id", text: str = "t
     hash of the key, until they hold its characters: CHARS_PER_LANGUAGE, or an even
     share of SAMPLE_CHARS if languages are many; the last row is cut there. Rows
     without text, language or key take no part; of rows with one key and language
-    the smallest text counts. Other columns are not read.
+    the smallest text counts. Other columns are not read. A language column may hold
+    very many values; each then gives its even share, a character at least.
     """
     rows = only(labelled, k=key, l=lang, t=text).where("k is not null and l is not null and length(t) > 0")
     # the first of each language are among the first of its parts, so no task sees more than the parts' firsts
     keys, order = rows.select("k", "l", F.pmod(F.xxhash64("l", "k"), F.lit(64)).alias("part")).distinct(), [F.xxhash64("k"), "k"]
     for by in (["l", "part"], ["l"]):
         keys = keys.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(f"r <= {DOCS_PER_LANGUAGE}").drop("r")
-    chosen = keys.select("k", "l")
-    share = max(1, min(CHARS_PER_LANGUAGE, SAMPLE_CHARS // max(1, chosen.select("l").distinct().count())))
-    cut = rows.join(F.broadcast(chosen), ["k", "l"]).groupBy("l", "k").agg(F.min("t").alias("t")).select("l", "k", F.substring("t", 1, share).alias("t"))
+    with Workspace() as w:
+        return _sample(rows, w.kept(keys.select("k", "l")), order)
+
+
+def _sample(rows: DataFrame, chosen: DataFrame, order: list) -> tuple[tuple[str, str], ...]:
+    """The texts of the chosen keys, cut; the keys are sent to all tasks only while they are few enough for that."""
+    n = chosen.agg(F.count("*").alias("rows"), F.count_distinct("l").alias("languages")).first()
+    share = max(1, min(CHARS_PER_LANGUAGE, SAMPLE_CHARS // max(1, n.languages)))
+    cut = rows.join(F.broadcast(chosen) if n.rows <= LISTED_KEYS else chosen, ["k", "l"]).groupBy("l", "k").agg(F.min("t").alias("t")).select("l", "k", F.substring("t", 1, share).alias("t"))
     before = F.coalesce(F.sum(F.length("t")).over(Window.partitionBy("l").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     texts = cut.withColumn("h", F.xxhash64("k")).withColumn("before", before).where(f"before < {share}")
     out: dict[str, list[str]] = {}
@@ -349,7 +358,9 @@ def identify_language(docs: DataFrame, sample: tuple[tuple[str, str], ...], text
     """docs with lang_pred and score of each whole text.
 
     Null texts, empty ones and those without a letter are `und` with score 0.
-    Without any labelled text all are `und`. Columns of docs named like a result,
+    Without any labelled text all are `und`. Of languages that need equally few
+    phrases the first by name wins. A long text is parsed as a whole, in blocks that
+    walk in step, with memory for its characters and a few numbers for each. Columns of docs named like a result,
     in any case, are replaced, others pass whatever their names; repeated rows are
     kept; an empty table gives an empty one.
     """

@@ -152,7 +152,8 @@ def scan_licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None, k
     n_lines counts the lines that match, n_paragraph_runs the places where
     paragraphs one after the other are a known text's (a notice wrapped over lines,
     a licence before code), whole_text says whether the entire text is one (a text
-    of one line matches as all three). Documents without a match have no row. Null
+    of one line matches as all three). Documents without a match have no row. A
+    long text is brought to its canonical form as a whole, a few times its size. Null
     and empty texts match nothing; repeated rows add up under their key, rows with
     a null key under null. Other columns are not read, so names never clash; an
     empty table gives an empty one. `known` is a list, as it is broadcast; texts

@@ -185,7 +185,8 @@ def encoder(path: str) -> ByteBpe:
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (the tokens).
 
-    Null and empty texts are the end token alone. Rows with equal keys are
+    Null and empty texts are the end token alone. A long text is held whole with its
+    tokens, and cut into full sequences. Keys are longs, or cast to them. Rows with equal keys are
     documents of their own. A null key stays null. An empty table gives none.
     Only key and text are read, so further columns never clash. Sequence ids are
     unique over the table: the task's number in the upper bits, a counter below.

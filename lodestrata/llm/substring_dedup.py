@@ -337,8 +337,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     starts in a row with a smaller key; windows are judged on the input. Words are
     runs of anything but ASCII white space, kept as they are and joined by one
     space. Null and empty texts have no words. Rows with equal keys don't remove
-    from each other; repeated rows come back each. A row with a null key keeps
-    all. Columns named like a result, in any case, are replaced, others pass
+    from each other; repeated rows come back each. Keys are longs, or cast to
+    them; one that can't be cast fails. A row with a null key keeps all. Columns named like a result, in any case, are replaced, others pass
     whatever their names; an empty table gives an empty one. Texts of any length
     are read in parts, so memory grows with a text's bytes only as far as the
     text itself must be held.

@@ -237,7 +237,8 @@ def count_tokens(docs: DataFrame, model_file: str, max_tokens: int = 4096, text:
 
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows are counted
     each. Columns of docs named like a result, in any case, are replaced, others
-    pass whatever their names. An empty table gives an empty result. model_file must be readable at that path on each executor.
+    pass whatever their names. An empty table gives an empty result. A long
+    text comes alone in its run and is held with its pieces, a few times its size. model_file must be readable at that path on each executor.
     """
 
     def run(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, list]]:

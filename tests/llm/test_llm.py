@@ -71,6 +71,17 @@ def test_token_counts_of_odd_rows(spark):
     assert token_counts.count_tokens(docs_of(spark, []), tokenizer("piece_bpe_32k.model")).count() == 0
 
 
+def test_tokens_and_sequences_of_a_text_of_megabytes(spark):
+    import sentencepiece
+
+    long = "the quick brown fox, 12 ünï\n" * 60_000 + "x" * 3000 + "漢字" * 50_000
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
+    df = docs_of(spark, [(1, long), (2, "short")])
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in token_counts.count_tokens(df, tokenizer("piece_bpe_32k.model")).collect()}
+    assert got == {1: (len(long.encode()), len(sp.encode(long))), 2: (5, len(sp.encode("short")))}
+    check_packing(packing.pack_documents(df, tokenizer("byte_bpe_50k.json")).collect(), [(1, long), (2, "short")])
+
+
 # --- 10 ------------------------------------------------------------------------------------------------------------
 
 
@@ -531,6 +542,15 @@ def test_a_language_of_long_rows_only_and_many_languages_are_learned(spark):
     assert len(sample) == 301 and len(sample["xx"]) == language_id.SAMPLE_CHARS // 301
 
 
+def test_a_language_column_with_very_many_values(spark, monkeypatch):
+    rows = [(k, f"text {k} of some language", f"x{k % 2500}", "s", 1) for k in range(5000)]
+    df = spark.createDataFrame(rows, DOCS)
+    sample = language_id.fit_language_sample(df)
+    assert len(sample) == 2500 and all(0 < len(t) <= language_id.SAMPLE_CHARS // 2500 + 1 for _, t in sample)
+    monkeypatch.setattr(language_id, "LISTED_KEYS", 0)
+    assert language_id.fit_language_sample(df) == sample
+
+
 def test_languages_of_large_alphabets_and_of_all_planes(monkeypatch):
     r = random.Random(4)
 
