@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import Workspace, durable
+from ..durable import Workspace
 
 MIN_SCHEMA_VERSION = 5
 MAX_DEPTH = 20
@@ -96,18 +96,19 @@ def page_rank(edges: DataFrame, rounds: int = 5, damping: float = 0.85) -> DataF
 
     The link table is cut to pairs with their share once and written, as every
     round reads it; a round is one join and one aggregation, combined before it
-    is shuffled.
+    is shuffled. Only the ranks stay; ids that are longs make it all lighter.
     """
-    pair = edges.select("source", "target").distinct()
-    out = pair.groupBy("source").agg(F.count("*").alias("n"))
-    links = durable(pair.join(out, "source").select("source", "target", (1.0 / F.col("n")).alias("share")))
-    nodes = durable(links.select(F.explode(F.array("source", "target")).alias("node_id")).distinct())
-    n = nodes.count()
-    rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for _ in range(rounds):
-        got = links.join(rank, links["source"] == rank["node_id"]).groupBy("target").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = nodes.join(got, nodes["node_id"] == got["target"], "left").select("node_id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-    return rank
+    with Workspace() as w:
+        pair = w.kept(edges.select("source", "target").distinct())
+        out = pair.groupBy("source").agg(F.count("*").alias("n"))
+        links = w.kept(pair.join(out, "source").select("source", "target", (1.0 / F.col("n")).alias("share")))
+        nodes = w.kept(links.select("source").distinct().union(links.select("target").distinct()).distinct().toDF("node_id"))
+        n = nodes.count()
+        rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+        for _ in range(rounds):
+            got = links.join(rank, links["source"] == rank["node_id"]).groupBy("target").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+            rank = nodes.join(got, nodes["node_id"] == got["target"], "left").select("node_id", (F.lit((1 - damping) / max(n, 1)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        return w.hand_out(w.kept(rank))
 
 
 def canned(kind: Column, symbol: Column, answers: dict[str, str]) -> Column:

@@ -26,6 +26,24 @@ def _nodes(spark, sf_dir):
     return out
 
 
+_TAGS = "cops"
+
+
+def _long_edges(spark, sf_dir):
+    """The same edges between longs: a key times four, and its table's place among the tags."""
+    orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    tag = lambda k, c: (F.col(c) * 4 + _TAGS.index(k)).cast("long")
+    a = orders.select(tag("c", "o_custkey").alias("source"), tag("o", "o_orderkey").alias("target"))
+    parts = items.select(tag("o", "l_orderkey").alias("source"), F.explode(F.array(tag("p", "l_partkey"), tag("s", "l_suppkey"))).alias("target"))
+    return a.unionByName(parts)
+
+
+def _tagged(node):
+    """A long id as the text that it stands for."""
+    tag = F.element_at(F.array(*map(F.lit, _TAGS)), (F.pmod(F.col(node), F.lit(4)) + 1).cast("int"))
+    return F.concat(tag, F.lit(":"), F.floor(F.col(node) / 4).cast("string"))
+
+
 def _symbols(spark, sf_dir, kind):
     return _nodes(spark, sf_dir).where(F.col("kind") == kind).select(F.col("id").alias("symbol"))
 
@@ -47,11 +65,13 @@ def graph_search(spark, sf_dir):
 
 
 def graph_impact(spark, sf_dir):
-    return graph.impact(_edges(spark, sf_dir), _symbols(spark, sf_dir, "supplier"), 3).groupBy("symbol", "depth").agg(F.count("*").alias("n_nodes"))
+    suppliers = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 4 + _TAGS.index("s")).cast("long").alias("symbol"))
+    told = graph.impact(_long_edges(spark, sf_dir), suppliers, 3).groupBy("symbol", "depth").agg(F.count("*").alias("n_nodes"))
+    return told.withColumn("symbol", _tagged("symbol"))
 
 
 def degree_centrality(spark, sf_dir):
-    return graph.degrees(_edges(spark, sf_dir))
+    return graph.degrees(_long_edges(spark, sf_dir)).withColumn("node_id", _tagged("node_id"))
 
 
 def tool_ask_graph(spark, sf_dir):
@@ -66,7 +86,7 @@ def fake_graph(spark, sf_dir):
 
 
 def page_rank(spark, sf_dir):
-    return graph.page_rank(_edges(spark, sf_dir), 3).select("node_id", F.round("rank", 9).alias("rank"))
+    return graph.page_rank(_long_edges(spark, sf_dir), 3).select(_tagged("node_id").alias("node_id"), F.round("rank", 9).alias("rank"))
 
 
 QUERIES = {f.__name__: f for f in (graph_callers, graph_callees, graph_explore, graph_search, graph_impact, degree_centrality, page_rank, fake_graph, tool_ask_graph)}
