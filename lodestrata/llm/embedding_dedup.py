@@ -175,6 +175,16 @@ def near_vectors(vectors: DataFrame, limit: float = LIMIT, recall: float = RECAL
     return good.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def oracle() -> str:
+    """DuckDB SQL for the rows over embeddings, by all pairs."""
+    return f"""WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, CAST(embedding AS DOUBLE[]) AS e,
+  coalesce(len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS fit FROM embeddings),
+l AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.fit AND b.fit AND a.id <> b.id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= {LIMIT}),
+r AS (SELECT id, id AS other FROM v UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.other),
+c AS (SELECT r.id, min(v.vec_id) AS component_id FROM r JOIN v ON v.id = r.other GROUP BY r.id), n AS (SELECT a AS id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN c USING (id) LEFT JOIN n USING (id)"""
+
+
 def by_length(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, pa.RecordBatch]]:
     """(length, rows) of the rows of each vector length."""
     import pyarrow.compute as pc

@@ -99,6 +99,7 @@ _TURNS = "SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') A
 
 ORACLES: dict[str, str] = {
     "op9_license_scan": license_scan.oracle(),
+    "op11_embedding_dedup": embedding_dedup.oracle(),
     "op12_infill": infill.oracle(),
     "op13_prefix_trie": prefix_trie.oracle(),
     "op2_topk_kdtree": """

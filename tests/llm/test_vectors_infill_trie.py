@@ -77,6 +77,7 @@ def near_family(r, n, d=16, spread=0.05):
 def test_embedding_query_equals_brute_force(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert Counter(map(tuple, QUERIES["op11_embedding_dedup"](spark, SF).collect())) == Counter(brute_links(rows))
+    same_as_sql(spark, "op11_embedding_dedup")
 
 
 def test_near_vectors_equal_brute_force(spark):
