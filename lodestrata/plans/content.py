@@ -22,7 +22,7 @@ PYTHON = Fixture("path string, source string", [("a.py", "import os\n\nclass A:\
 
 
 #: Ignore rules at the root, and in every host's folder.
-IGNORE, HOST_IGNORE = ["# languages", "", "**/es/*", "m.*/", "/blog.*/en/1?", "*9"], ["!/en/", "en/?[05]"]
+IGNORE, HOST_IGNORE = ["# languages", "", "**/es/*", "m.*/", "/blog.*/en/1?", "*9"], ["!/en/", "en/?5"]
 
 
 def chunk_documents(spark, sf_dir):
@@ -103,7 +103,7 @@ h AS (SELECT *, {', '.join(f"coalesce(last_value(CASE WHEN lvl = {k} THEN title
   CAST(count(lvl) OVER (PARTITION BY doc_id ORDER BY line) AS BIGINT) AS section FROM l)"""
 ORACLES = {
     "ignored_pages": """WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^https?://', ''), '[?].*$', '') AS path FROM pages), q AS (SELECT path, substr(path, strpos(path, '/') + 1) AS rest FROM p),
-d AS (SELECT path, CASE WHEN strpos(path, '/') > 0 AND regexp_matches(rest, '^en/[^/][05](/.*)?$') THEN true WHEN strpos(path, '/') > 0 AND regexp_matches(rest, '^en/.*$') THEN false
+d AS (SELECT path, CASE WHEN strpos(path, '/') > 0 AND regexp_matches(rest, '^en/[^/]5(/.*)?$') THEN true WHEN strpos(path, '/') > 0 AND regexp_matches(rest, '^en/.*$') THEN false
  ELSE regexp_matches(path, '^(?:.*/)?es/[^/]*(/.*)?$') OR regexp_matches(path, '^(?:.*/)?m[.][^/]*/.*$') OR regexp_matches(path, '^blog[.][^/]*/en/1[^/](/.*)?$') OR regexp_matches(path, '^(?:.*/)?[^/]*9(/.*)?$') END AS gone FROM q)
 SELECT path FROM d WHERE NOT gone""",
     "chunk_documents": "WITH o AS (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / 2000.0) AS BIGINT))) AS n FROM documents WHERE length(text) > 0), p AS (SELECT doc_id, CAST(n AS BIGINT) AS ordinal, substring(text, n * 2000 + 1, 2000) AS piece FROM o) SELECT doc_id, ordinal, doc_id || '#' || ordinal AS chunk_id, CAST(length(piece) AS BIGINT) AS n_chars, 'sha256:' || sha256(piece) AS content_hash FROM p",

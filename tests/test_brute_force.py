@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestrata.catalogue import QUERIES
 from lodestrata.functions import redaction
 from lodestrata.operators import chunking, lint
-from lodestrata.plans.redaction import SAMPLES
+from lodestrata.plans.redaction import PLANTED, SAMPLES
 
 SF = "/root/testdata/sf0.01"
 
@@ -41,7 +41,7 @@ def test_engine_over_texts_with_secrets_equals_plain_python(spark):
 
 def test_engine_metrics_equal_plain_python(spark):
     caught = catchable = residual = escaped = wrong = others = 0
-    for _, secret, _, kind, plain, context in SAMPLES.rows:
+    for _, secret, _, kind, plain, context in PLANTED.frame(spark, SF).collect():
         after, before = plain_engine(context).lower(), context.lower()
         leaked = len(plain.strip()) >= 8 and plain.strip().lower() in after
         if secret and kind is None:
