@@ -13,7 +13,7 @@ from ._bind import Fixture, quoted, re2, table
 
 SAMPLES = Fixture(SAMPLE_SCHEMA, secret_samples())
 #: The samples by themselves, and one planted in each document, after its own text.
-PLANTED = Fixture(SAMPLE_SCHEMA, secret_samples(), f"SELECT CAST({len(SAMPLES.rows)} + doc_id AS INT) AS sample_id, is_secret, secret_class, residual, plaintext, coalesce(text, '') || chr(10) || context AS context FROM {{documents}} JOIN {{rows}} ON sample_id = {SAMPLES.rows[0][0]} + doc_id % {len(SAMPLES.rows)}")
+PLANTED = Fixture(SAMPLE_SCHEMA, secret_samples(), f"SELECT CAST({len(SAMPLES.rows)} + doc_id % 2000000000 AS INT) AS sample_id, is_secret, secret_class, residual, plaintext, coalesce(text, '') || chr(10) || context AS context FROM {{documents}} JOIN {{rows}} ON sample_id = {SAMPLES.rows[0][0]} + doc_id % {len(SAMPLES.rows)}")
 
 
 def _over_documents(spark, sf_dir, redact):
