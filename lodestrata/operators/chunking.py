@@ -46,6 +46,18 @@ def heading_sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     return rows.withColumn("heading_path", path).groupBy(key, "section", "heading_path").agg(F.count("*").alias("n_lines"), body.alias("body")).withColumn("register", F.when(F.col("section") <= 1, "plain").otherwise("deep"))
 
 
+def parsed(source: str) -> ast.Module | None:
+    """The syntax tree of a Python file; None if it doesn't parse, or nests deeper than the parser's stack."""
+    try:
+        return ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError):
+        return None
+    except MemoryError as e:  # raised for the parser's own, fixed stack; without its message memory is short
+        if "too complex to parse" not in str(e):
+            raise
+        return None
+
+
 @udtf(returnType="name: string, kind: string, start_line: int, end_line: int")
 class PythonScopes:
     """Functions and classes of a Python file with their lines; windows of lines if it doesn't parse."""
@@ -53,9 +65,8 @@ class PythonScopes:
     def eval(self, source: str) -> Iterator[tuple]:
         if not source:
             return
-        try:
-            tree = ast.parse(source)
-        except (SyntaxError, ValueError, RecursionError):
+        tree = parsed(source)
+        if tree is None:
             n = source.count("\n") + 1
             for at in range(0, n, LINE_WINDOW):
                 yield None, "lines", at + 1, min(n, at + LINE_WINDOW)
