@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from .chunking import parsed
+
 ANCHOR = r"§[0-9]+(?:\.[0-9]+)*|#[a-z][a-z0-9-]{2,}"
 
 
@@ -76,9 +78,8 @@ class MutatingCalls:
     """Lines of a Python file that call a mutator; a file that doesn't parse is one row `unparsed`."""
 
     def eval(self, source: str) -> Iterator[tuple]:
-        try:
-            tree = ast.parse(source or "")
-        except (SyntaxError, ValueError, RecursionError):
+        tree = parsed(source or "")
+        if tree is None:
             yield 0, "unparsed"
             return
         for node in ast.walk(tree):

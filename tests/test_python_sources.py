@@ -2,7 +2,7 @@
 
 import pytest
 
-from lodestrata.operators import chunking
+from lodestrata.operators import chunking, lint
 
 DEEP = "-" * 10_000 + "1\n" + "x = 1\n" * 60
 
@@ -20,3 +20,8 @@ def test_short_memory_is_no_syntax_error(monkeypatch):
     monkeypatch.setattr(chunking.ast, "parse", fail)
     with pytest.raises(MemoryError):
         chunking.parsed("x")
+
+
+def test_tripwire_on_a_source_too_deep_for_the_parser(spark):
+    files = spark.createDataFrame([("deep.py", DEEP), ("a.py", "open('x')\n")], "path string, source string")
+    assert {tuple(r) for r in lint.mutation_tripwire(files, ["ok.py"]).collect()} == {("deep.py", 0, "unparsed"), ("a.py", 1, "open")}
