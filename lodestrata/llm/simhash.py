@@ -210,13 +210,31 @@ def local_roots(values: np.ndarray, radius: int, block: int = 512, asked: np.nda
     return _roots(up, np.arange(n))
 
 
+class RowTree:
+    """A BK-tree over the distinct values of some rows, and the rows that each stands for."""
+
+    def __init__(self, values: np.ndarray, rows: np.ndarray):
+        self.values = values
+        distinct, where = np.unique(values[rows], return_inverse=True)
+        self.rows, self.n = rows[np.argsort(where, kind="stable")], np.bincount(where, minlength=len(distinct))
+        self.first, self.tree = np.cumsum(self.n) - self.n, BkTree(distinct)
+
+    def within(self, asked: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (row of asked, row of the tree) at distance radius or less."""
+        if len(self.rows) and len(asked):
+            for q, node in self.tree.within(self.values[asked], radius):
+                n = self.n[node]
+                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                yield np.repeat(asked[q], n), self.rows[np.repeat(self.first[node], n) + step]
+
+
 def local_forest(values: np.ndarray, radius: int, planes: np.ndarray, equal: int, part: np.ndarray, holds: Callable[[int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs within radius that have at least equal places in common, and that hold.
 
-    If part tells rows of two kinds apart, only pairs of different kinds are
-    compared. With holds every pair that would join two trees is put to it, until
-    one of them holds or none is left. Radii that leave a tree nothing to prune are
-    compared in blocks; rows that hang together are compared no more.
+    Pairs come from searches of a BK-tree over the fingerprints. If part tells rows
+    of two kinds apart, only pairs of different kinds are compared. With holds every
+    pair that would join two trees is put to it, until one of them holds or none is
+    left. Rows of the largest family search a tree without that family.
     """
     n = len(values)
     up = np.arange(n)
@@ -237,9 +255,8 @@ def local_forest(values: np.ndarray, radius: int, planes: np.ndarray, equal: int
                 if (_roots(up, np.array([i])) != _roots(up, np.array([j])))[0] and holds(i, j):
                     out.extend(_hang(up, np.array([i]), np.array([j])))
 
-    def compare(rows: np.ndarray, columns: np.ndarray) -> None:
-        if len(rows) and len(columns):
-            a, b = _near(values, rows, columns, radius)
+    def search(rows: np.ndarray, tree: RowTree, reach: int) -> None:
+        for a, b in tree.within(rows, reach):
             join(a, b) if apart else join(a[b < a], b[b < a])
 
     asked = np.flatnonzero(part == part.max()) if apart else np.arange(n)
@@ -250,27 +267,28 @@ def local_forest(values: np.ndarray, radius: int, planes: np.ndarray, equal: int
                 roots = _roots(up, np.arange(n))
                 alone = mine[roots[mine] == mine][k : k + 1]
                 if len(alone):
-                    compare(theirs[roots[theirs] != alone[0]], alone)
-    block = max(1, FRONTIER // 4 // max(1, n))
-    for lo in range(0, len(asked), block):
-        some = asked[lo : lo + block]
-        against = other if apart else other[: int(some[-1])]
-        if not len(against):
-            continue
-        roots = _roots(up, np.arange(n))
-        most = np.bincount(roots[against]).argmax()
-        inside = roots[some] == most
-        compare(some[inside], against[roots[against] != most])
-        compare(some[~inside], against)
+                    search(theirs[roots[theirs] != alone[0]], RowTree(values, alone), radius)
+    every, few = RowTree(values, other), None
+    # the nearest first, where a tree prunes well; what hangs together then leaves little for the wide search
+    for reach in [r for r in (RADIUS, 3 * RADIUS) if n > 1000 and r < radius] + [radius]:
+        block = max(1, FRONTIER // max(1, n))
+        for lo in range(0, len(asked), block):
+            some, inside = asked[lo : lo + block], np.zeros(n, bool)
+            if n > 1000:
+                roots = _roots(up, np.arange(n))
+                if few is None:
+                    family = np.bincount(roots).argmax()
+                inside = roots == roots[family]
+                rest = other[~inside[other]]
+                if few is None or len(rest) < len(few.rows) // 2:
+                    few = RowTree(values, rest)
+                search(some[inside[some]], few, reach)
+            search(some[~inside[some]], every, reach)
+        few = None
     none = np.zeros(0, np.int64)
     return np.concatenate([none, *[x for x, _ in out]]), np.concatenate([none, *[y for _, y in out]])
 
 
-def _near(values: np.ndarray, rows: np.ndarray, columns: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    q, c = np.nonzero(np.bitwise_count(values[rows][:, None] ^ values[columns]) <= radius)
-    return rows[q], columns[c]
-
-
 def _hang(up: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Hangs the larger root of each pair under the smaller until all pairs agree; the pairs that did it."""
     did = []
@@ -382,9 +400,11 @@ def similar_components(docs: DataFrame, similarity: float = 0.8, key: str = "doc
     """(doc_id, component_id) of every row of docs whose key is not null, by similarity of shingle sets.
 
     Two sets are linked if their Jaccard similarity, taken over the whole sets,
-    reaches the limit. Candidates share a band of min-wise hashes, and agree in as
-    many places as such sets do, less four standard errors. Each cell reports a
-    spanning forest of its candidates; its links are verified, and a tree with a
+    reaches the limit. Candidates are found by BK-trees of SimHash fingerprints (of
+    distinct shingles), at a radius that such sets keep but for six standard errors.
+    A shard's tree holds what agrees on a band of min-wise hashes, as no blocks of
+    fingerprint bits survive that radius. Candidates must also agree in as many min-wise places as such sets do, less four standard
+    errors. Each cell reports a spanning forest of its candidates; its links are verified, and a tree with a
     false one is searched again with the sets at hand. component_id is the
     smallest key that links lead to. Texts without a word are alike; repeated rows
     each come back; an empty table gives none; further columns are not read,

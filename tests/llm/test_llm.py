@@ -261,6 +261,40 @@ def brute_similar(rows, similarity=0.8):
     return [least[root(i)] for i in range(len(rows))]
 
 
+def _forest_case(seed, n, apart):
+    """Families around centres, one of them with half of all rows, with equal fingerprints among them."""
+    r = np.random.default_rng(seed)
+    centre = r.integers(0, 2**63, 20, dtype=np.uint64)
+    of = np.where(r.random(n) < 0.5, 0, r.integers(0, 20, n))
+    flips = np.bitwise_or.reduce(np.where(r.random((n, 4)) < 0.7, np.uint64(1) << r.integers(0, 64, (n, 4), dtype=np.uint64), np.uint64(0)), axis=1)
+    planes = r.integers(0, 2**63, (20, 4), dtype=np.uint64)[of]
+    return centre[of] ^ flips, planes, (r.integers(0, 2, n) if apart else np.zeros(n)).astype(np.int32)
+
+
+def _roots_of(n, pairs):
+    up = np.arange(n)
+    simhash._hang(up, *np.array(pairs, np.int64).reshape(-1, 2).T)
+    return simhash._roots(up, np.arange(n)).tolist()
+
+
+@pytest.mark.parametrize("apart", [False, True])
+@pytest.mark.parametrize("n", [2, 60, 1500])
+def test_near_duplicate_forest_is_what_all_pairs_give(n, apart):
+    values, planes, part = _forest_case(n, n, apart)
+    a, b = simhash.local_forest(values, 4, planes, 100, part)
+    i, j = np.nonzero((np.bitwise_count(values[:, None] ^ values) <= 4) & (simhash.equal_places(planes[:, None], planes[None]) >= 100))
+    want = [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if x < y and (part[x] != part[y] or (part == part[0]).all())]
+    assert _roots_of(n, list(zip(a.tolist(), b.tolist(), strict=True))) == _roots_of(n, want) and (n == 2 or len(a))
+
+
+def test_near_duplicate_candidates_come_from_bk_trees(monkeypatch):
+    values, planes, part = _forest_case(1, 200, False)
+    asked = []
+    within = simhash.BkTree.within
+    monkeypatch.setattr(simhash.BkTree, "within", lambda self, q, radius: asked.append(len(q)) or within(self, q, radius))
+    assert len(simhash.local_forest(values, 4, planes, 100, part)[0]) and sum(asked) >= 200
+
+
 def test_similar_components_find_near_copies(spark):
     r = random.Random(8)
     rows = []
