@@ -3,7 +3,9 @@
 Events wait in an entity's state until the watermark has passed them, and are then
 taken in the order of event time, whatever batch or order they came in. An entity
 that hears nothing for `quiet` becomes idle: a timer gives a row for it, and its
-state expires, so what is kept grows with the entities that are awake. Two
+state expires, so what is kept grows with the entities that are awake. Of what
+waits, only the earliest event has a timer, so that calls into the state grow with
+entities and batches, not with events. Two
 events at one time go by state, then sequence.
 """
 
@@ -35,8 +37,7 @@ class Machine(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
         came = [(r["at_us"], r["seq"], r["state"]) for r in rows]
         self.waiting.appendList(came)
-        for at in {_ms(t) for t, _, _ in came}:
-            self.handle.registerTimer(at)
+        self.handle.registerTimer(_ms(min(t for t, _, _ in came)))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
@@ -62,6 +63,7 @@ class Machine(StatefulProcessor):
         if len(rest) != len(every):
             if rest:
                 self.waiting.put(rest)
+                self.handle.registerTimer(_ms(rest[0][0]))
             else:
                 self.waiting.clear()
         return iter(out)

@@ -1,6 +1,7 @@
 """The state machine on a stream against its batch twin, and the append-only log read by offsets, both through restarts."""
 
 import json
+import random
 from collections import Counter
 
 import pytest
@@ -40,6 +41,73 @@ def test_machine_on_a_stream_equals_the_batch_through_increments_and_restarts(sp
     assert [r.entity_id for r in machines.machine_state(spark, cp).collect()] == []
 
 
+class FakeState:
+    """Timers and state of one entity, as the engine holds them; counts the timers that were asked for."""
+
+    def __init__(self):
+        self.value, self.timers, self.asked = None, set(), 0
+
+    def getListState(self, *_):  # noqa: N802
+        return self.list
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def registerTimer(self, at):  # noqa: N802
+        self.asked += 1
+        self.timers.add(at)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def clear(self):
+        self.value = None
+
+    def appendList(self, rows):  # noqa: N802
+        self.value = (self.value or []) + rows
+
+
+def through(batches, quiet):
+    """Rows of one entity's machine over (events, watermark after them), and the timers it asked for."""
+    handle, out = FakeState(), []
+    handle.list = FakeState()
+    machine = machines.Machine(LEGAL, quiet)
+    machine.init(handle)
+    for rows, mark in batches:
+        clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda _, mark=mark: mark})()
+        if rows:
+            list(machine.handleInputRows((1,), iter([{"at_us": t, "seq": n, "state": s} for t, n, s in rows]), clock))
+        for at in sorted(t for t in handle.timers if t <= mark):
+            handle.timers.discard(at)
+            out += [(r["at_us"], r["seq"], r["prev_state"], r["state"], r["accepted"]) for r in machine.handleExpiredTimer((1,), clock, None)]
+    return out, handle
+
+
+def test_an_entity_asks_for_timers_by_batch_and_not_by_event():
+    r = random.Random(6)
+    for quiet in (40_000, 700_000):
+        events = [(r.randrange(5_000_000), k, r.choice(["click", "view", "purchase", "signup"])) for k in range(600)]
+        whole, _ = through([(events, 10_000)], quiet)
+        assert len(whole) > 600
+        # the watermark stops between events; each comes before the watermark has passed it, in any order
+        marks, batches, left = list(range(250, 5_001, 250)), [], events
+        for last, mark in zip([0, *marks], marks, strict=False):
+            now = [e for e in left if e[0] <= mark * 1000 or r.random() < 0.2]
+            left = [e for e in left if e not in now]
+            batches.append((r.sample(now, len(now)), mark - 120))
+        told, handle = through([*batches, (left, 10_000)], quiet)
+        assert [e for e in told if e[0] != 0] == [e for e in whole if e[0] != 0] and not handle.timers
+        assert handle.asked <= 3 * (len(batches) + 1)
+
+
 def drained(spark, path, cp, sink, **options):
     stream = append_log.tail(spark, path, "k long, s string", **options)
     stream.writeStream.option("checkpointLocation", cp).trigger(availableNow=True).format("parquet").start(sink).awaitTermination()
