@@ -43,30 +43,29 @@ def find_nodes(nodes: DataFrame, said: str, kind: str | None = None) -> DataFram
 
 
 def reach(edges: DataFrame, symbols: DataFrame, depth: int, w: Workspace) -> tuple[DataFrame, DataFrame]:
-    """(group_no, node_id, bits, depth) and (group_no, members): which of 64 symbols a node reaches first at this depth.
+    """(group_no, node_id, bits, depth) and (group_no, bit, symbol): which of 64 symbols a node reaches first at this depth.
 
-    Symbols share a word of 64 bits, so a node moves once for all symbols of a group
-    that it newly reaches; words that meet at a node are united before they are
-    shuffled, and what a node has seen is one word a group. Frontiers are written,
-    so plans stay as short as one step; the walk ends with an empty one.
+    Symbols that are neighbours in order share a word of 64 bits, so a node moves once
+    for all symbols of a group that it newly reaches. A step's words and what the nodes
+    have seen meet in one aggregation, which is written once; plans stay as short as one
+    step, and the walk ends with an empty one. The tables stay until this program ends.
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be 1 to {MAX_DEPTH}")
-    listed = w.kept(symbols.select("symbol").where("symbol is not null").distinct().withColumn("n", F.monotonically_increasing_id()))
-    group, place = F.shiftright("n", 6).alias("group_no"), F.col("n").bitwiseAND(F.lit(63)).cast("int")
-    members = listed.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "symbol"))).alias("members"))
-    front = w.kept(listed.groupBy(group, F.col("symbol").alias("node_id")).agg(F.bit_or(F.expr("shiftleft(1L, cast(n & 63 as int))")).alias("bits")))
+    listed = w.hand_out(w.kept(symbols.select("symbol").where("symbol is not null").distinct().sort("symbol").withColumn("n", F.monotonically_increasing_id())))
+    members = listed.select(F.shiftright("n", 6).alias("group_no"), F.expr("shiftleft(1L, cast(n & 63 as int))").alias("bit"), "symbol")
+    seen = front = members.select("group_no", F.col("symbol").alias("node_id"), F.col("bit").alias("bits"))
     links = w.kept(edges.select("source", "target"))
-    seen, out = front, front.withColumn("depth", F.lit(0))
+    out, none = front.withColumn("depth", F.lit(0)), F.lit(0).cast("long")
     for d in range(1, depth + 1):
-        step = front.withColumnRenamed("node_id", "target").join(links, "target").groupBy("group_no", F.col("source").alias("node_id")).agg(F.bit_or("bits").alias("bits"))
-        old = seen.withColumnRenamed("bits", "old")
-        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0))))
-        front = w.kept(step.join(old, ["group_no", "node_id"], "left").select("group_no", "node_id", fresh.alias("bits")).where("bits != 0"))
+        step = front.withColumnRenamed("node_id", "target").join(links, "target").select("group_no", F.col("source").alias("node_id"), F.col("bits").alias("new"), none.alias("old"))
+        met = step.unionByName(seen.select("group_no", "node_id", none.alias("new"), F.col("bits").alias("old"))).groupBy("group_no", "node_id").agg(F.bit_or("new").alias("new"), F.bit_or("old").alias("old"))
+        told = met.select("group_no", "node_id", F.col("new").bitwiseAND(F.bitwise_not("old")).alias("fresh"), F.col("new").bitwiseOR(F.col("old")).alias("bits"))
+        seen = w.hand_out(w.kept(told if d < depth else told.where("fresh != 0")))
+        front = seen.where("fresh != 0").select("group_no", "node_id", F.col("fresh").alias("bits"))
         out = out.unionByName(front.withColumn("depth", F.lit(d)))
         if d == depth or front.isEmpty():
             break
-        seen = w.kept(seen.unionByName(front).groupBy("group_no", "node_id").agg(F.bit_or("bits").alias("bits")))
     return out, members
 
 
@@ -74,15 +73,13 @@ def impact(edges: DataFrame, symbols: DataFrame, depth: int) -> DataFrame:
     """(symbol, node_id, depth): what reaches each symbol over at most `depth` edges, at its smallest depth.
 
     The walk moves a node once for 64 symbols (reach); pairs appear only at the
-    end, where each is made in the task that holds its word. A symbol that leads back
+    end, where a word meets the symbols of its bits. A symbol that leads back
     to itself is not its own impact. Cycles end, and no path is walked twice.
     """
     with Workspace() as w:
         told, members = reach(edges, symbols, depth, w)
-        told = w.hand_out(w.kept(told.where("depth > 0")))
-        members = w.hand_out(w.kept(members))
-    pairs = told.join(members, "group_no").select("node_id", F.col("depth").cast("long").alias("depth"), F.explode(F.filter("members", lambda m: F.getbit(F.col("bits"), m["place"]) == 1)).alias("m"))
-    return pairs.select("m.symbol", "node_id", "depth")
+    pairs = told.where("depth > 0").join(members, "group_no").where(F.col("bits").bitwiseAND(F.col("bit")) != 0)
+    return pairs.select("symbol", "node_id", F.col("depth").cast("long").alias("depth"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

@@ -115,3 +115,23 @@ def test_impact_equals_a_plain_walk(spark, n_symbols):
     edges = spark.createDataFrame(pairs, "source string, target string")
     got = graph.impact(edges, spark.createDataFrame([(s,) for s in symbols], "symbol string"), 6).collect()
     assert {tuple(x) for x in got} == want and len(got) == len(want)
+
+
+def test_a_step_of_a_walk_meets_what_was_seen_in_one_aggregation(spark, monkeypatch):
+    """Each round writes one table and shuffles its words once; symbols that are neighbours share a word."""
+    plans = []
+    kept = graph.Workspace.kept
+
+    def seen(self, df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(self, df)
+
+    monkeypatch.setattr(graph.Workspace, "kept", seen)
+    edges = spark.range(640).selectExpr("1000 + id % 64 source", "id target").unionByName(spark.range(64).selectExpr("2000L source", "1000 + id target"))
+    with graph.Workspace() as w:
+        told, _ = graph.reach(edges, spark.range(640).selectExpr("(id * 7) % 640 symbol").repartition(5), 2, w)
+        words = told.groupBy("depth").count().collect()
+    rounds = [p for p in plans if "bit_or" in p]
+    assert len(rounds) == 2 and all(p.count("Aggregate [") == 1 and p.count("Join ") == 1 for p in rounds)
+    n = {r["depth"]: r["count"] for r in words}
+    assert n[0] == 640 and n[2] <= 18  # ten full words, and one more where a range of symbols ends
