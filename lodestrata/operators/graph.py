@@ -9,6 +9,8 @@ from ..durable import Workspace
 
 MIN_SCHEMA_VERSION = 5
 MAX_DEPTH = 20
+#: Edges that a task of a point query sorts at once, in the mean.
+TASK_EDGES = 1 << 19
 
 
 def require_schema(versions: DataFrame) -> int:
@@ -21,12 +23,20 @@ def require_schema(versions: DataFrame) -> int:
 
 def callers(edges: DataFrame, nodes: DataFrame, symbols: DataFrame) -> DataFrame:
     """(symbol, node_id, name) of what has an edge to each symbol."""
-    return symbols.join(edges, edges["target"] == symbols["symbol"]).select("symbol", F.col("source").alias("node_id")).distinct().join(nodes.select(F.col("id").alias("node_id"), "name"), "node_id").select("symbol", "node_id", "name")
+    return _neighbours(edges, nodes, symbols, "target", "source")
 
 
 def callees(edges: DataFrame, nodes: DataFrame, symbols: DataFrame) -> DataFrame:
     """(symbol, node_id, name) of what each symbol has an edge to."""
-    return symbols.join(edges, edges["source"] == symbols["symbol"]).select("symbol", F.col("target").alias("node_id")).distinct().join(nodes.select(F.col("id").alias("node_id"), "name"), "node_id").select("symbol", "node_id", "name")
+    return _neighbours(edges, nodes, symbols, "source", "target")
+
+
+def _neighbours(edges: DataFrame, nodes: DataFrame, symbols: DataFrame, at: str, other: str) -> DataFrame:
+    """Other ends of the edges at each symbol, once each; tasks grow in number with the edges, so what one sorts doesn't."""
+    n = max(edges.sparkSession.sparkContext.defaultParallelism, -(-edges.count() // TASK_EDGES))
+    links = edges.select(F.col(at).alias("symbol"), F.col(other).alias("node_id")).repartition(n, "symbol")
+    pairs = links.join(symbols, "symbol").select("symbol", "node_id").distinct().repartition(n, "node_id")
+    return pairs.join(nodes.select(F.col("id").alias("node_id"), "name"), "node_id").select("symbol", "node_id", "name")
 
 
 def explore(edges: DataFrame, nodes: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -10,31 +10,38 @@ from ._bind import table
 
 def _edges(spark, sf_dir):
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    tag = lambda k, c: F.concat(F.lit(k + ":"), F.col(c).cast("string"))
-    a = orders.select(tag("c", "o_custkey").alias("source"), tag("o", "o_orderkey").alias("target"), F.lit("calls").alias("kind"))
-    b = items.select(tag("o", "l_orderkey").alias("source"), tag("p", "l_partkey").alias("target"), F.lit("imports").alias("kind"))
-    c = items.select(tag("o", "l_orderkey").alias("source"), tag("s", "l_suppkey").alias("target"), F.lit("instantiates").alias("kind"))
+    a = orders.select(_text("c", "o_custkey").alias("source"), _text("o", "o_orderkey").alias("target"), F.lit("calls").alias("kind"))
+    b = items.select(_text("o", "l_orderkey").alias("source"), _text("p", "l_partkey").alias("target"), F.lit("imports").alias("kind"))
+    c = items.select(_text("o", "l_orderkey").alias("source"), _text("s", "l_suppkey").alias("target"), F.lit("instantiates").alias("kind"))
     return a.unionByName(b).unionByName(c)
 
 
-def _nodes(spark, sf_dir):
+_TAGS = "cops"
+
+
+def _text(k, c):
+    return F.concat(F.lit(k + ":"), F.col(c).cast("string"))
+
+
+def _long(k, c):
+    """A key times four, and its table's place among the tags."""
+    return (F.col(c) * 4 + _TAGS.index(k)).cast("long")
+
+
+def _nodes(spark, sf_dir, ident=_text):
     parts = [("customer", "c", "c_custkey", "c_name"), ("orders", "o", "o_orderkey", "o_orderpriority"), ("part", "p", "p_partkey", "p_name"), ("supplier", "s", "s_suppkey", "s_name")]
     out = None
     for name, k, key, label in parts:
-        rows = table(spark, sf_dir, name).select(F.concat(F.lit(k + ":"), F.col(key).cast("string")).alias("id"), F.lit(name).alias("kind"), F.col(label).alias("name"))
+        rows = table(spark, sf_dir, name).select(ident(k, key).alias("id"), F.lit(name).alias("kind"), F.col(label).alias("name"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-_TAGS = "cops"
-
-
 def _long_edges(spark, sf_dir):
-    """The same edges between longs: a key times four, and its table's place among the tags."""
+    """The same edges between longs."""
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    tag = lambda k, c: (F.col(c) * 4 + _TAGS.index(k)).cast("long")
-    a = orders.select(tag("c", "o_custkey").alias("source"), tag("o", "o_orderkey").alias("target"))
-    parts = items.select(tag("o", "l_orderkey").alias("source"), F.explode(F.array(tag("p", "l_partkey"), tag("s", "l_suppkey"))).alias("target"))
+    a = orders.select(_long("c", "o_custkey").alias("source"), _long("o", "o_orderkey").alias("target"))
+    parts = items.select(_long("o", "l_orderkey").alias("source"), F.explode(F.array(_long("p", "l_partkey"), _long("s", "l_suppkey"))).alias("target"))
     return a.unionByName(parts)
 
 
@@ -44,20 +51,26 @@ def _tagged(node):
     return F.concat(tag, F.lit(":"), F.floor(F.col(node) / 4).cast("string"))
 
 
-def _symbols(spark, sf_dir, kind):
-    return _nodes(spark, sf_dir).where(F.col("kind") == kind).select(F.col("id").alias("symbol"))
+def _symbols(spark, sf_dir, kind, ident=_text):
+    return _nodes(spark, sf_dir, ident).where(F.col("kind") == kind).select(F.col("id").alias("symbol"))
+
+
+def _asked(ask, spark, sf_dir, kind):
+    """What a point query tells of all symbols of a kind; ids are longs while they are joined and sorted, and text at the end."""
+    told = ask(_long_edges(spark, sf_dir), _nodes(spark, sf_dir, _long), _symbols(spark, sf_dir, kind, _long))
+    return told.withColumns({c: _tagged(c) for c in ("symbol", "node_id")})
 
 
 def graph_callers(spark, sf_dir):
-    return graph.callers(_edges(spark, sf_dir), _nodes(spark, sf_dir), _symbols(spark, sf_dir, "part"))
+    return _asked(graph.callers, spark, sf_dir, "part")
 
 
 def graph_callees(spark, sf_dir):
-    return graph.callees(_edges(spark, sf_dir), _nodes(spark, sf_dir), _symbols(spark, sf_dir, "orders"))
+    return _asked(graph.callees, spark, sf_dir, "orders")
 
 
 def graph_explore(spark, sf_dir):
-    return graph.explore(_edges(spark, sf_dir), _nodes(spark, sf_dir), _symbols(spark, sf_dir, "supplier"))
+    return _asked(graph.explore, spark, sf_dir, "supplier")
 
 
 def graph_search(spark, sf_dir):
@@ -65,7 +78,7 @@ def graph_search(spark, sf_dir):
 
 
 def graph_impact(spark, sf_dir):
-    suppliers = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 4 + _TAGS.index("s")).cast("long").alias("symbol"))
+    suppliers = table(spark, sf_dir, "supplier").select(_long("s", "s_suppkey").alias("symbol"))
     told = graph.impact(_long_edges(spark, sf_dir), suppliers, 3).groupBy("symbol", "depth").agg(F.count("*").alias("n_nodes"))
     return told.withColumn("symbol", _tagged("symbol"))
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from lodestrata.catalogue import QUERIES
 from lodestrata.operators import graph, relocation, sessions
 
 
@@ -135,3 +136,30 @@ def test_a_step_of_a_walk_meets_what_was_seen_in_one_aggregation(spark, monkeypa
     assert len(rounds) == 2 and all(p.count("Aggregate [") == 1 and p.count("Join ") == 1 for p in rounds)
     n = {r["depth"]: r["count"] for r in words}
     assert n[0] == 640 and n[2] <= 18  # ten full words, and one more where a range of symbols ends
+
+
+@pytest.mark.parametrize("name", ["callers", "callees", "explore"])
+def test_point_queries_join_long_ids(spark, monkeypatch, name):
+    kinds = []
+    ask = getattr(graph, name)
+
+    def seen(edges, nodes, symbols):
+        kinds.extend([*(edges.schema[c].dataType.simpleString() for c in ("source", "target")), nodes.schema["id"].dataType.simpleString(), symbols.schema["symbol"].dataType.simpleString()])
+        return ask(edges, nodes, symbols)
+
+    monkeypatch.setattr(graph, name, seen)
+    told = QUERIES[f"graph_{name}"](spark, "/root/testdata/sf0.001")
+    assert set(kinds) == {"bigint"} and {dict(told.dtypes)[c] for c in ("symbol", "node_id")} == {"string"}
+
+
+def test_tasks_of_a_point_query_grow_with_the_edges(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_EDGES", 50, raising=False)
+    edges = spark.range(1000).selectExpr("id % 100 source", "1000 + id % 37 target").unionByName(spark.sql("SELECT 3L source, 1003L target"))
+    nodes = spark.range(2000).selectExpr("id", "'n' || id name")
+    symbols = spark.range(60).selectExpr("id symbol")
+    want = {(s, t, f"n{t}") for s, t in ({(k % 100, 1000 + k % 37) for k in range(1000)} | {(3, 1003)}) if s < 60}
+    down, up = graph.callees(edges, nodes, symbols), graph.callers(edges, nodes, symbols.selectExpr("symbol + 1000 symbol"))
+    got = down.collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+    assert {(x.node_id, x.symbol) for x in up.collect()} == {(s, t) for s, t in ((k % 100, 1000 + k % 37) for k in range(1000))} | {(3, 1003)}
+    assert down.rdd.getNumPartitions() == 21
