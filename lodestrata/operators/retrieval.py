@@ -48,9 +48,11 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
 
     Corpus size, document frequencies and scores all come from one written table
     of postings. That is dealt by document, so a document's score for a query is
-    summed where its postings are.
+    summed where its postings are. Up to LISTED_TERMS rows of terms are broadcast,
+    with their weights, so that postings are not dealt by term first.
     """
     terms = query_terms(queries)
+    few = F.broadcast if terms.count() <= LISTED_TERMS else lambda df: df
     post = durable(postings(docs, key, text, terms))
     size = post.where("term is null").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("doc_len") * F.col("tf")) / F.sum(F.when(F.col("doc_len").isNotNull(), F.col("tf")))).alias("mean_len"))
     post = post.where("term is not null")
@@ -58,8 +60,8 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "
     idf = df.crossJoin(F.broadcast(size)).select("term", "mean_len", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("mean_len")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = post.join(idf, "term").select(key, "term", part.alias("part")).repartition(n, key)
-    return dealt.join(terms, "term").groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
+    dealt = post.join(few(idf), "term").select(key, "term", part.alias("part")).repartition(n, key)
+    return dealt.join(few(terms), "term").groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:
