@@ -22,6 +22,11 @@ _LETTER = np.zeros(256, bool)
 _LETTER[np.frombuffer(b"0123456789_abcdefghijklmnopqrstuvwxyz", np.uint8)] = True
 
 
+#: Rows that are dealt hold blocks of several rare terms that begin alike, one after the other: their terms, with blanks between, and their n. Term is what they are dealt by.
+PACKED = ["term", "block", "max_tf", "min_len", "terms", "ns", *LISTS]
+PACKED_SCHEMA = "term string, block long, max_tf int, min_len int, terms string, ns binary, keys {}, tfs binary, lens binary, gaps binary"
+
+
 def listed(kind: str) -> str:
     """The type of a block's keys."""
     return "binary" if kind == "bigint" else f"array<{kind}>"
@@ -153,7 +158,7 @@ def stepped(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def arrays(b: pa.RecordBatch, wanted: tuple[str, ...] = ("tfs", "lens", "gaps")) -> dict:
     """n, starts and key of the postings of rows of blocks, and the lists wanted."""
-    n = b.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+    n = grown(b.column("ns")).astype(np.int64) if "ns" in b.schema.names else b.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
     starts = np.cumsum(n) - n
     keys = b.column("keys")
     key = pa.array(summed(grown(keys).view(np.int64), starts, n)) if pa.types.is_binary(keys.type) else keys.flatten()
@@ -195,3 +200,27 @@ def blocked(terms: pa.Array, code: np.ndarray, key: pa.Array, tf: np.ndarray, si
     n = np.diff(np.append(starts, len(order))).astype(np.int32)
     lists = encoded(key.take(pa.array(order)), tf, size, gaps[spans(at, tf)], starts)
     return pa.RecordBatch.from_arrays([terms.take(pa.array(code[starts])), *map(pa.array, (np.arange(number, number + len(starts)), n, *bounds)), *lists], names=[*HEADER, *LISTS])
+
+
+def packed(b: pa.RecordBatch, rare: int, front: int, most: int) -> pa.RecordBatch:
+    """Rows of blocks as PACKED: blocks of at most rare postings whose terms begin with the same front letters share a row of at most about most postings."""
+    few = pc.less_equal(b.column("n"), rare)
+    by = pc.if_else(few, pc.utf8_slice_codeunits(b.column("term"), 0, front), b.column("term"))
+    order = pc.sort_indices(pa.table([by, pc.invert(few)], names=["by", "own"]), [("by", "ascending"), ("own", "ascending")])
+    b, by, few = b.take(order), by.take(order), few.take(order).to_numpy(zero_copy_only=False)
+    n = b.column("n").to_numpy().astype(np.int64)
+    code = by.dictionary_encode().indices.to_numpy()
+    new = np.append(True, (code[1:] != code[:-1]) | (few[1:] != few[:-1])) | ~few
+    head = np.flatnonzero(new)
+    own = np.cumsum(n) - n
+    part = (own - np.repeat(own[head], np.diff(np.append(head, len(n))))) // most
+    new |= np.append(True, part[1:] != part[:-1])
+    starts = np.flatnonzero(new)
+    cut = np.append(starts, len(n))
+    lists = []
+    for c in (b.column(name) for name in LISTS):
+        offsets = pa.py_buffer(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1][cut].copy())
+        lists.append(pa.BinaryArray.from_buffers(c.type, len(starts), [None, offsets, c.buffers()[2]]) if pa.types.is_binary(c.type) else pa.ListArray.from_arrays(pa.Array.from_buffers(pa.int32(), len(cut), [None, offsets]), c.values))
+    terms = pc.binary_join(pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), b.column("term")), " ")
+    at = pa.array(starts)
+    return pa.RecordBatch.from_arrays([by.take(at), *(b.column(c).take(at) for c in ("block", "max_tf", "min_len")), terms, shrunk(n.view(np.uint64), starts), *lists], names=PACKED)
